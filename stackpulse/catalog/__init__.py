@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics"]
+MODULES = ["basics", "statistics"]
 
 
 def load_all() -> None:
