@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import ROW, TOTAL, join_keys
+from ..session import materialise
+from .ordered import ROW, TOTAL
 
 # Low-pass decomposition filter of the Daubechies wavelet with
 # four vanishing moments (Daubechies 1988).
@@ -38,62 +39,56 @@ def _strict_sum(share: Column) -> Column:
     return F.when(F.count_if(share.isNull()) == 0, F.sum(share))
 
 
-def _scatter(df: DataFrame, series: Sequence[str], at: Column, keep: Sequence[str]) -> DataFrame:
-    """Rows repeated at every position of the mirrored signal near its ends."""
-    n = F.col(TOTAL)
-    mirrored = F.array_compact(F.array(
-        at,
-        F.when(at < TAPS - 1, -1 - at),
-        F.when(n - 1 - at < TAPS - 1, 2 * n - 1 - at),
-    ))
-    return df.select(*series, TOTAL, *keep, F.explode(mirrored).alias("_at"))
+def level_size(rows: Column, level: int) -> Column:
+    """Number of coefficients after ``level`` halvings of a series of ``rows``."""
+    for _ in range(level):
+        rows = F.floor((rows + TAPS - 1) / 2).cast("bigint")
+    return rows
 
 
-def analyse(df: DataFrame, value: str, series: Sequence[str] = ()) -> DataFrame:
+def analyse(df: DataFrame, value: str, series: Sequence[str] = (), level: int = 0) -> DataFrame:
     """One level: rows (series, row_no, approx, detail, series_rows) at half rate.
 
-    Output k is the sum over taps j of filter[j] * x[2k + 1 - j] with the
-    signal mirrored at both ends.
+    Output k is the sum over taps j of filter[j] * x[2k + 1 - j], with the
+    signal mirrored at both ends. ``series_rows`` stays the length of the whole
+    series; the input of this level holds ``level_size(series_rows, level)``.
     """
-    spread = _scatter(df, series, F.col(ROW), [value])
-    # Taps of one parity reach this position: j = 2k + 1 - at.
-    low, high = _taps(DB4), _taps(_high(DB4))
-    reach = spread.withColumn("_j", F.explode(F.sequence(F.pmod(F.col("_at") + 1, F.lit(2)), F.lit(TAPS - 1), F.lit(2))))
+    n, at = level_size(F.col(TOTAL), level), F.col(ROW)
+    mirrored = F.array_compact(F.array(
+        at,
+        F.when(at < TAPS - 1, -1 - at),
+        F.when(n - 1 - at < TAPS - 1, 2 * n - 1 - at),
+    ))
+    spread = df.select(*series, TOTAL, value, F.explode(mirrored).alias("_at"))
+    # Only taps of one parity reach a position: j = 2k + 1 - at.
+    taps = F.sequence(F.pmod(F.col("_at") + 1, F.lit(2)), F.lit(TAPS - 1), F.lit(2))
+    reach = spread.withColumn("_j", F.explode(taps))
     reach = reach.withColumn("_k", ((F.col("_at") + F.col("_j") - 1) / 2).cast("bigint"))
-    size = F.floor((F.col(TOTAL) + TAPS - 1) / 2).cast("bigint")
-    reach = reach.filter((F.col("_at") + F.col("_j") >= 1) & (F.col("_k") < size))
+    reach = reach.filter((F.col("_at") + F.col("_j") >= 1) & (F.col("_k") < level_size(F.col(TOTAL), level + 1)))
     tap = (F.col("_j") + 1).cast("int")
-    return (
-        reach.groupBy(*series, F.col("_k").alias(ROW)).agg(
-            _strict_sum(F.col(value) * F.element_at(low, tap)).alias("approx"),
-            _strict_sum(F.col(value) * F.element_at(high, tap)).alias("detail"),
-            F.first(size).alias(TOTAL),
-        )
+    return reach.groupBy(*series, F.col("_k").alias(ROW)).agg(
+        _strict_sum(F.col(value) * F.element_at(_taps(DB4), tap)).alias("approx"),
+        _strict_sum(F.col(value) * F.element_at(_taps(_high(DB4)), tap)).alias("detail"),
+        F.first(TOTAL).alias(TOTAL),
     )
 
 
-def synthesise(coeffs: DataFrame, approx: str, detail: str, lengths: DataFrame, series: Sequence[str] = ()) -> DataFrame:
-    """Inverse of ``analyse``: rows (series, row_no, value) for positions below
-    the length given per series in ``lengths``.
+def synthesise(approx: DataFrame, detail: DataFrame, series: Sequence[str] = (), level: int = 0) -> DataFrame:
+    """Inverse of ``analyse``: rows (series, row_no, approx, series_rows).
 
-    Sample i is the sum over k of coefficient[k] * reversed filter[i - 2k + taps - 2].
+    Sample i is the sum over k of coefficient[k] * reversed filter[i - 2k + taps - 2],
+    over both coefficient tables.
     """
-    low = _taps(list(reversed(DB4)))
-    high = _taps(list(reversed(_high(DB4))))
-    reach = coeffs.select(
-        *series, approx, detail, F.col(ROW).alias("_k"),
-        F.explode(F.sequence(F.lit(0), F.lit(TAPS - 1))).alias("_j"),
-    )
-    reach = reach.withColumn(ROW, F.col("_j") + 2 * F.col("_k") - (TAPS - 2)).filter(F.col(ROW) >= 0)
-    tap = (F.col("_j") + 1).cast("int")
-    out = reach.groupBy(*series, ROW).agg(
-        _strict_sum(F.col(approx) * F.element_at(low, tap) + F.col(detail) * F.element_at(high, tap)).alias("value")
-    )
-    if series:
-        out = join_keys(out, lengths, series, "inner")
-    else:
-        out = out.withColumn(TOTAL, lengths.select(F.max(TOTAL)).scalar())
-    return out.filter(F.col(ROW) < F.col(TOTAL))
+    def shares(df: DataFrame, column: str, taps: Sequence[float]) -> DataFrame:
+        return df.select(
+            *series, TOTAL, F.col(ROW).alias("_k"), F.col(column).alias("_c"),
+            F.posexplode(_taps(list(reversed(taps)))).alias("_j", "_tap"))
+
+    both = shares(approx, "approx", DB4).unionByName(shares(detail, "detail", _high(DB4)))
+    both = both.withColumn(ROW, F.col("_j") + 2 * F.col("_k") - (TAPS - 2))
+    both = both.filter((F.col(ROW) >= 0) & (F.col(ROW) < level_size(F.col(TOTAL), level)))
+    return both.groupBy(*series, ROW).agg(
+        _strict_sum(F.col("_c") * F.col("_tap")).alias("approx"), F.first(TOTAL).alias(TOTAL))
 
 
 def wavelet_smooth(indexed: DataFrame, column: str, series: Sequence[str] = (), level: int = 3, name: str = "wavelet") -> DataFrame:
@@ -101,21 +96,17 @@ def wavelet_smooth(indexed: DataFrame, column: str, series: Sequence[str] = (),
 
     The coefficients are left as they are, so the output equals the input up to
     rounding. Series with fewer than 16 rows give 0; positions within reach of
-    a missing value give null.
+    a missing value give null. Each level is half as long as the one before and
+    is pinned, because the rebuild reads it again.
     """
     base = indexed.select(*series, ROW, TOTAL, F.col(column).alias("approx"))
     short = base.filter(F.col(TOTAL) < MIN_ROWS).select(*series, ROW, F.lit(0.0).alias(name))
     current = base.filter(F.col(TOTAL) >= MIN_ROWS)
-    sizes, details = [], []
-    for _ in range(level):
-        sizes.append(current.filter(F.col(ROW) == 0).select(*series, TOTAL))
-        step = analyse(current, "approx", series)
-        details.append(step.select(*series, ROW, "detail"))
-        current = step.select(*series, ROW, "approx", TOTAL)
-    current = current.drop(TOTAL)
-    for size, detail in zip(reversed(sizes), reversed(details)):
-        both = join_keys(current, detail, [*series, ROW], "inner")
-        current = synthesise(both, "approx", "detail", size, series).select(
-            *series, ROW, F.col("value").alias("approx")
-        )
-    return current.withColumnRenamed("approx", name).unionByName(short)
+    steps = []
+    for depth in range(level):
+        current = materialise(analyse(current, "approx", series, depth), "wavelet")
+        steps.append(current)
+    current = current.select(*series, ROW, "approx", TOTAL)
+    for depth in reversed(range(level)):
+        current = synthesise(current, steps[depth], series, depth)
+    return current.select(*series, ROW, F.col("approx").alias(name)).unionByName(short)
