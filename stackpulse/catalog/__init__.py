@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "statistics", "series"]
+MODULES = ["basics", "statistics", "series", "neighbours"]
 
 
 def load_all() -> None:
