@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "statistics", "series", "neighbours"]
+MODULES = ["basics", "statistics", "series", "neighbours", "learning"]
 
 
 def load_all() -> None:

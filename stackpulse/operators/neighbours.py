@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialise
 from .ordered import index_rows
 
-BLOCK_POINTS = 256
+BLOCK_POINTS = 512
 AXES = 3
 # Groups up to this size may be ordered by a plain window.
 PLAIN_WINDOW_ROWS = 1_000_000

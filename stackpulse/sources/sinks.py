@@ -30,8 +30,8 @@ def read_cell(spark: SparkSession, path: str, schema: T.StructType, number: int,
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Append a report as one run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Write a report as one run; writing the same run again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def read_latest_run(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ def as_records(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).json(path)
 
 
 def write_metrics(metrics: dict[str, float], spark: SparkSession, path: str) -> None:
