@@ -55,6 +55,4 @@ FROM cells LEFT JOIN num ON num.i = vec_id LEFT JOIN border ON border.i = vec_id
 
 @query("i07_dbscan", DBSCAN)
 def i07(spark, sf):
-    rows = cells_table(spark, sf)
-    eps, k = density.elbow_eps(rows, "vec_id", "cells")
-    return density.dbscan(rows, "vec_id", "cells", eps, k)
+    return density.elbow_dbscan(cells_table(spark, sf), "vec_id", "cells")[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import id_hash, unit_hash
+from ..session import materialise
 from .neighbours import BLOCK_POINTS, nearest
 from .ordered import ROW, TOTAL, index_rows
 
@@ -46,33 +47,38 @@ def smote(
     Every smaller class grows to the size of the largest. A synthetic point
     lies between a row and one of its k nearest rows of the same class; the
     needed copies are dealt out evenly over the rows. Classes of one row are
-    left alone. The driver loops over classes only.
+    left alone.
     """
     base = df.select(F.col(key), F.col(label), F.col(vector).cast("array<double>").alias(vector))
-    sizes = {r[label]: r["n"] for r in base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = max(sizes.values(), default=0)
-    out = base.withColumn("synthetic", F.lit(False))
-    for cls, n in sorted(sizes.items(), key=lambda kv: str(kv[0])):
-        near = min(k, n - 1)
-        if n == most or near < 1:
-            continue
-        rows = base.filter(F.col(label) == F.lit(cls))
-        # The own row is among its nearest; one more is asked for, then it goes.
-        lists = nearest(rows, key, vector, near + 1, block_points).filter(F.col("neighbour") != F.col(key))
-        lists = lists.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), 1, near)["neighbour"].alias("_near"))
-        need = most - n
-        numbered = index_rows(rows, [key]).drop("_slice")
-        copies = F.lit(need // n) + F.when(F.col(ROW) < need % n, 1).otherwise(0)
-        made = numbered.withColumn("_c", copies).filter(F.col("_c") > 0).withColumn(
-            "_c", F.explode(F.sequence(F.lit(1), F.col("_c")))).join(lists, key)
-        draw = F.col(key).cast("bigint") * 1009 + F.col("_c")
-        made = made.withColumns({
-            "_pick": F.element_at("_near", (F.pmod(id_hash(draw, seed), F.size("_near")) + 1).cast("int")),
-            "_u": unit_hash(draw, seed + 1),
-        })
-        other = rows.select(F.col(key).alias("_pick"), F.col(vector).alias("_y"))
-        # The gap is bound as an array element, once per row.
-        made = made.join(other, "_pick").withColumn(vector, F.zip_with(
-            vector, "_y", lambda x, y: x + (y - x) * F.col("_u")))
-        out = out.unionByName(made.select(key, label, vector, F.lit(True).alias("synthetic")))
-    return out
+    # One row per class, numbered.
+    sizes = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumns({
+        "_need": F.max("_n").over(every) - F.col("_n"), "_no": F.row_number().over(every.orderBy(label)) - 1})
+    small = base.join(F.broadcast(sizes.filter((F.col("_need") > 0) & (F.col("_n") > 1))), label)
+    numbered = materialise(index_rows(small, [key], [label]).drop("_slice"), "minority")
+
+    # One more coordinate puts the classes further apart than any two rows of
+    # a class, so one search finds the neighbours within each class.
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
+    far = numbered.agg(F.coalesce(F.max(norm), F.lit(0.0)) * 2 + 1)
+    apart = numbered.withColumn("_x", F.concat(vector, F.array(F.col("_no") * far.scalar())))
+    lists = nearest(apart, key, "_x", k + 1, block_points).filter(F.col("neighbour") != F.col(key))
+    classes = numbered.select(F.col(key).alias("neighbour"), F.col(label).alias("_theirs"))
+    lists = lists.join(classes, "neighbour").join(numbered.select(key, label), key).filter(F.col(label) == F.col("_theirs"))
+    lists = lists.groupBy(key).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), 1, k)["neighbour"].alias("_near"))
+
+    copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col(ROW) < F.col("_need") % F.col("_n"), 1).otherwise(0)
+    made = numbered.withColumn("_c", copies).filter(F.col("_c") > 0).withColumn(
+        "_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c")))).join(lists, key)
+    draw = F.pmod(F.col(key).cast("bigint"), F.lit(2**40)) * 1009 + F.col("_c")
+    made = made.withColumns({
+        "_pick": F.element_at("_near", (F.pmod(id_hash(draw, seed), F.size("_near")) + 1).cast("int")),
+        "_u": unit_hash(draw, seed + 1),
+    })
+    other = numbered.select(F.col(key).alias("_pick"), F.col(vector).alias("_y"))
+    made = made.join(other, "_pick").withColumn(vector, F.zip_with(
+        vector, "_y", lambda x, y: x + (y - x) * F.col("_u")))
+    synthetic = made.select(key, label, vector, F.lit(True).alias("synthetic"))
+    return base.withColumn("synthetic", F.lit(False)).unionByName(synthetic)

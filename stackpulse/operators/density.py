@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .neighbours import (
-    BLOCK_POINTS, Blocks, build_blocks, candidate_pairs, distances, eps_counts, fold_copies, kth_distances,
-    map_to_points, measure_pairs,
+    BLOCK_POINTS, Blocks, PointSet, build_blocks, candidate_pairs, distances, eps_counts, kth_distances, map_to_points,
+    measure_pairs, point_set,
 )
 from .ordered import index_rows
 from .quantiles import pick_rank
@@ -22,10 +22,13 @@ def min_samples_for(n: int) -> int:
     return max(5, int(math.log(n))) if n > 0 else 5
 
 
-def elbow_eps(df: DataFrame, key: str, vector: str, k: int | None = None, fraction: float = 0.2, block_points: int = BLOCK_POINTS) -> tuple[float, int]:
+def elbow_eps(
+    df: DataFrame, key: str, vector: str, k: int | None = None, fraction: float = 0.2, block_points: int = BLOCK_POINTS,
+    points: PointSet | None = None,
+) -> tuple[float, int]:
     """(eps, k): the k-distance at index int(fraction * n) of the sorted curve."""
     k = k or min_samples_for(df.count())
-    curve = materialise(kth_distances(df, key, vector, k, block_points), "k_distances")
+    curve = materialise(kth_distances(df, key, vector, k, block_points, points), "k_distances")
     return pick_rank(curve, "k_distance", fraction), k
 
 
@@ -64,13 +67,14 @@ def _local_components(near: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def dbscan(
-    df: DataFrame, key: str, vector: str, eps: float, min_samples: int, block_points: int = BLOCK_POINTS
+    df: DataFrame, key: str, vector: str, eps: float, min_samples: int, block_points: int = BLOCK_POINTS,
+    points: PointSet | None = None,
 ) -> DataFrame:
     """(key, Cluster, is_core): clusters are numbered by their least core key,
     noise is -1, a row counts itself, a border row joins the least cluster.
     """
-    points = materialise(fold_copies(df, key, vector), "points")
-    blocks = build_blocks(points, block_points)
+    found = points or point_set(df, key, vector, None, block_points)
+    blocks = found.blocks
     pairs = materialise(candidate_pairs(blocks, eps), "pairs")
     local = _block_cores(blocks, pairs, eps, min_samples)
     links = _links(blocks, pairs, local, eps)
@@ -86,7 +90,7 @@ def dbscan(
         links.filter("kind = 1").select(F.col("a").alias("point"), F.col("b").alias("comp")).join(of_comp, "comp")
         .groupBy("point").agg(F.min("Cluster").alias("Cluster")).withColumn("is_core", F.lit(False)))
     labelled = core.unionByName(border)
-    rows = map_to_points(df, points, key, vector).join(labelled, "point", "left")
+    rows = map_to_points(df, found.points, key, vector).join(labelled, "point", "left")
     return rows.select(
         key, F.coalesce("Cluster", F.lit(-1)).cast("int").alias("Cluster"),
         F.coalesce("is_core", F.lit(False)).alias("is_core"))
@@ -153,7 +157,7 @@ def _links(blocks: Blocks, pairs: DataFrame, local: DataFrame, eps: float) -> Da
                 yield pd.DataFrame(out, columns=["kind", "a", "b"])
 
     side = blocks.payload.select("block", "flat").join(local, "block")
-    return materialise(measure_pairs(pairs.drop("radius"), side, side, link, "kind long, a long, b long"), "links")
+    return materialise(measure_pairs(pairs, side, side, link, "kind long, a long, b long"), "links")
 
 
 def near_stored_cores(df: DataFrame, cores: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:
@@ -169,3 +173,16 @@ def near_stored_cores(df: DataFrame, cores: DataFrame, key: str, vector: str, ep
     counts = members.join(counts, ["block", "pos"], "left").select("point", "neighbours")
     rows = map_to_points(df, points, key, vector).join(counts, "point", "left")
     return rows.select(key, (F.coalesce("neighbours", F.lit(0)) == 0).alias("is_anomaly"))
+
+
+def elbow_dbscan(
+    df: DataFrame, key: str, vector: str, eps: float | None = None, min_samples: int | None = None, fraction: float = 0.2,
+    block_points: int = BLOCK_POINTS,
+) -> tuple[DataFrame, float, int]:
+    """(labels, eps, min_samples): clustering with what is not given estimated
+    from the elbow; both steps share one packing of the points."""
+    k = min_samples or min_samples_for(df.count())
+    found = point_set(df, key, vector, k, block_points)
+    if eps is None:
+        eps, _ = elbow_eps(df, key, vector, k, fraction, block_points, found)
+    return dbscan(df, key, vector, eps, k, block_points, found), eps, k

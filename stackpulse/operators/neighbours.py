@@ -30,6 +30,8 @@ BLOCK_POINTS = 512
 AXES = 3
 # Groups up to this size may be ordered by a plain window.
 PLAIN_WINDOW_ROWS = 1_000_000
+# Up to this many blocks are compared through one array.
+FEW_BLOCKS = 256
 _CHUNK = 4_000_000
 
 
@@ -59,20 +61,24 @@ def map_to_points(df: DataFrame, points: DataFrame, key: str, vector: str) -> Da
 @dataclass
 class Blocks:
     """``payload``: block, slab, tile, ids, weights, flat (vectors end to end).
-    ``meta``: block, slab, tile, points, weight, lo, hi (boxes), centre, reach."""
+    ``meta``: block, slab, tile, lo, hi (boxes), points, weight, centre, reach
+    and, when asked for, limits (bound on each point's k-th distance) and radius
+    (the largest of them)."""
 
     payload: DataFrame
     meta: DataFrame
     dim: int
+    most: int  # upper bound on the number of blocks
 
 
-def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS) -> Blocks:
-    points = materialise(points, "points")
+def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | None = None) -> Blocks:
+    """Pack a pinned table of folded points; ``k`` also bounds k-th distances."""
     row = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("dmin")).first()
     n, dim = row["n"], row["d"] or 0
     if n and row["dmin"] != dim:
         raise ValueError("vectors differ in length")
-    placed = _place(points, n, dim, block_points)
+    fan = max(1, math.ceil((n / block_points) ** (1 / 3)))
+    placed = _place(points, n, dim, block_points, fan)
     axes = [F.col("axes")[i] for i in range(min(AXES, dim))]
     payload = placed.groupBy("block", "slab", "tile").agg(
         F.collect_list(F.struct("point", "weight", "vec")).alias("rows"),
@@ -84,30 +90,48 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS) -> Blocks:
     )
     payload = materialise(payload, "blocks")
 
-    def spheres(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            centre, reach = [], []
+            centre, reach, limits, radius = [], [], [], []
             for flat in pdf["flat"]:
                 x = np.asarray(flat, dtype=float).reshape(-1, dim)
                 mid = x.mean(axis=0)
                 centre.append(mid.tolist())
                 reach.append(float(distances(x, mid[None, :]).max()))
-            yield pd.DataFrame({"block": pdf["block"], "centre": centre, "reach": reach})
+                limit = np.full(len(x), np.inf)
+                if k is not None and len(x) >= k:
+                    limit = np.partition(distances(x, x), k - 1, axis=1)[:, k - 1]
+                limits.append(limit.tolist() if k is not None else [])
+                radius.append(float(limit.max()))
+            yield pdf.drop(columns=["flat"]).assign(centre=centre, reach=reach, limits=limits, radius=radius)
 
-    ball = payload.select("block", "flat").mapInPandas(spheres, "block long, centre array<double>, reach double")
-    meta = payload.select(
+    own = payload.select(
         "block", "slab", "tile", "lo", "hi", F.size("ids").alias("points"),
-        F.aggregate("weights", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("weight"),
-    ).join(ball, "block")
-    return Blocks(payload, materialise(meta, "block_meta"), dim)
+        F.aggregate("weights", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("weight"), "flat")
+    meta = own.mapInPandas(
+        measure, "block long, slab long, tile long, lo array<double>, hi array<double>, points int, weight long,"
+        " centre array<double>, reach double, limits array<double>, radius double")
+    return Blocks(payload, materialise(meta, "block_meta"), dim, math.ceil(n / block_points) + fan * fan + 1)
 
 
-def _place(points: DataFrame, n: int, dim: int, block_points: int) -> DataFrame:
+@dataclass
+class PointSet:
+    """Folded points of a table and their blocks, shared by several searches."""
+
+    points: DataFrame
+    blocks: Blocks
+
+
+def point_set(df: DataFrame, key: str, vector: str, k: int | None = None, block_points: int = BLOCK_POINTS) -> PointSet:
+    points = materialise(fold_copies(df, key, vector), "points")
+    return PointSet(points, build_blocks(points, max(block_points, (k or 0) + 1), k))
+
+
+def _place(points: DataFrame, n: int, dim: int, block_points: int, fan: int) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if n <= block_points:
         return points.withColumns({
             "axes": F.slice("vec", 1, AXES), "slab": zero, "tile": zero, "block": zero})
-    fan = math.ceil((n / block_points) ** (1 / 3))
     k = min(AXES, dim)
     vectors = points.withColumn("_v", array_to_vector("vec"))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
@@ -148,43 +172,52 @@ def _slack(radius: Column, lo: Column, hi: Column) -> Column:
     return radius + F.lit(1e-9) * (radius + size + 1.0)
 
 
-def candidate_pairs(blocks: Blocks, radius: DataFrame | float) -> DataFrame:
+def candidate_pairs(blocks: Blocks, radius: float | None = None) -> DataFrame:
     """Ordered pairs (q, c) of blocks that may hold points within the radius of
     the query block: a descent slab -> tile -> block through their boxes.
 
-    The slab list has about (n / block size)^(1/3) entries and is attached as
-    one array; tiles and blocks come by equi joins on slab and tile.
+    Without ``radius`` each block asks with its own. The slab list has about
+    (n / block size)^(1/3) entries and is attached as one array; tiles and
+    blocks come by equi joins on slab and tile. A few blocks in all are
+    attached as one array at once.
     """
-    meta = blocks.meta
-    asking = meta.withColumn("radius", F.lit(float(radius))) if not isinstance(radius, DataFrame) else meta.join(radius, "block")
-    asking = asking.select(
-        F.col("block").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), "radius",
-        _slack(F.col("radius"), F.col("lo"), F.col("hi")).alias("wide"),
+    meta, k = blocks.meta, min(AXES, blocks.dim)
+    asked = F.col("radius") if radius is None else F.lit(float(radius))
+    asking = meta.select(
+        F.col("block").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"),
+        _slack(asked, F.col("lo"), F.col("hi")).alias("wide"),
         F.col("centre").alias("q_centre"), F.col("reach").alias("q_reach"))
-    k = min(AXES, blocks.dim)
 
-    def boxes(level: str, parent: str | None, child: DataFrame) -> DataFrame:
+    def touches(b: Column) -> Column:
+        return _gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide")
+
+    def boxes(level: str, parent: str | None) -> DataFrame:
         keys = [parent] if parent else []
-        box = child.groupBy(*keys, level).agg(
+        box = meta.groupBy(*keys, level).agg(
             F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
             F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"))
-        packed = F.collect_list(F.struct(F.col(level).alias("id"), "lo", "hi")).alias(f"{level}s")
+        packed = F.collect_list(F.struct(F.col(level).alias("id"), "lo", "hi")).alias("boxes")
         return box.groupBy(*keys).agg(packed) if keys else box.agg(packed)
 
+    keep = asking.columns
+
     def near(level: str) -> Column:
-        return F.explode(F.filter(
-            F.col(f"{level}s"),
-            lambda b: _gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide"))["id"]).alias(level)
+        return F.explode(F.filter("boxes", touches)["id"]).alias(level)
 
-    keep = asking.columns
-    step = asking.withColumn("slabs", boxes("slab", None, meta).scalar()).select(*keep, near("slab"))
-    step = step.join(boxes("tile", "slab", meta), "slab").select(*keep, near("tile"))
-    step = step.join(boxes("block", "tile", meta), "tile").select(*keep, near("block")).withColumnRenamed("block", "c")
-    spheres = meta.select(F.col("block").alias("c"), F.col("centre").alias("c_centre"), F.col("reach").alias("c_reach"))
-    step = step.join(spheres, "c")
+    if blocks.most <= FEW_BLOCKS:
+        every = meta.agg(F.collect_list(F.struct(
+            F.col("block").alias("c"), "lo", "hi", F.col("centre").alias("c_centre"), F.col("reach").alias("c_reach"))))
+        step = asking.withColumn("boxes", every.scalar()).select(
+            *keep, F.explode(F.filter("boxes", touches)).alias("b")).select(*keep, "b.c", "b.c_centre", "b.c_reach")
+    else:
+        step = asking.withColumn("boxes", boxes("slab", None).scalar()).select(*keep, near("slab"))
+        step = step.join(boxes("tile", "slab"), "slab").select(*keep, near("tile"))
+        step = step.join(boxes("block", "tile"), "tile").select(*keep, near("c"))
+        step = step.join(meta.select(
+            F.col("block").alias("c"), F.col("centre").alias("c_centre"), F.col("reach").alias("c_reach")), "c")
     apart = F.sqrt(F.aggregate(
         F.zip_with("q_centre", "c_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
-    return step.filter(apart - F.col("q_reach") - F.col("c_reach") <= F.col("wide")).select("q", "c", "radius")
+    return step.filter(apart - F.col("q_reach") - F.col("c_reach") <= F.col("wide")).select("q", "c")
 
 
 def measure_pairs(
@@ -203,8 +236,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block_points: int = BL
     A row is its own first neighbour when it has no copies; ties go to the
     smaller key. Fewer than k rows in all give fewer neighbours.
     """
-    points = materialise(fold_copies(df, key, vector), "points")
-    near = nearest_points(points, k, block_points)
+    found = point_set(df, key, vector, k, block_points)
+    points, near = found.points, nearest_points(found.blocks, k)
     # The first k members of each point are enough for any list of k.
     first = Window.partitionBy("vec").orderBy(key)
     members = df.select(F.col(vector).alias("vec"), key).withColumn("_m", F.row_number().over(first)).filter(F.col("_m") <= k)
@@ -218,27 +251,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block_points: int = BL
     return rows.join(packed, "point").select(key, F.explode("l").alias("l")).select(key, "l.*")
 
 
-def nearest_points(points: DataFrame, k: int, block_points: int = BLOCK_POINTS) -> DataFrame:
+def nearest_points(blocks: Blocks, k: int) -> DataFrame:
     """k nearest distinct points of every point:
-    (point, neighbour_point, distance, weight of the neighbour)."""
-    blocks = build_blocks(points, max(block_points, k + 1))
-    dim = blocks.dim
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for block, flat in zip(pdf["block"], pdf["flat"]):
-                x = np.asarray(flat, dtype=float).reshape(-1, dim)
-                if len(x) < k:
-                    limit = np.full(len(x), np.inf)
-                else:
-                    limit = np.partition(distances(x, x), k - 1, axis=1)[:, k - 1]
-                rows.append((block, limit.tolist(), float(limit.max())))
-            yield pd.DataFrame(rows, columns=["block", "limits", "radius"])
+    (point, neighbour_point, distance, weight of the neighbour).
 
-    limits = materialise(
-        blocks.payload.select("block", "flat").mapInPandas(bounds, "block long, limits array<double>, radius double"), "limits")
-    pairs = candidate_pairs(blocks, limits.select("block", "radius"))
+    ``blocks`` must have been built for this k.
+    """
+    dim = blocks.dim
+    pairs = candidate_pairs(blocks)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -258,31 +278,33 @@ def nearest_points(points: DataFrame, k: int, block_points: int = BLOCK_POINTS)
                         "distance": best[i, j], "weight": weights[col]})
 
     found = measure_pairs(
-        pairs.drop("radius"), blocks.payload.select("block", "ids", "flat").join(limits.select("block", "limits"), "block"),
+        pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),
         blocks.payload.select("block", "ids", "weights", "flat"), measure,
         "point long, neighbour_point long, distance double, weight long")
     rank = F.row_number().over(Window.partitionBy("point").orderBy("distance", "neighbour_point"))
     return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def kth_distances(df: DataFrame, key: str, vector: str, k: int, block_points: int = BLOCK_POINTS) -> DataFrame:
+def kth_distances(
+    df: DataFrame, key: str, vector: str, k: int, block_points: int = BLOCK_POINTS, points: PointSet | None = None
+) -> DataFrame:
     """Distance of every row to its k-th nearest row, itself counted."""
-    points = materialise(fold_copies(df, key, vector), "points")
-    near = nearest_points(points, k, block_points)
+    found = points or point_set(df, key, vector, k, block_points)
+    near = nearest_points(found.blocks, k)
     upto = Window.partitionBy("point").orderBy("distance", "neighbour_point").rowsBetween(Window.unboundedPreceding, 0)
     reached = near.withColumn("_w", F.sum("weight").over(upto)).filter(F.col("_w") >= k)
     kth = reached.groupBy("point").agg(F.min("distance").alias("k_distance"))
-    return map_to_points(df, points, key, vector).join(kth, "point", "left").drop("point")
+    return map_to_points(df, found.points, key, vector).join(kth, "point", "left").drop("point")
 
 
 def within_eps_counts(df: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:
     """Number of rows within ``eps`` of every row, itself counted."""
-    points = materialise(fold_copies(df, key, vector), "points")
-    blocks = build_blocks(points, block_points)
+    found = point_set(df, key, vector, None, block_points)
+    blocks = found.blocks
     counts = eps_counts(blocks, candidate_pairs(blocks, eps), eps)
     members = blocks.payload.select("block", F.posexplode("ids").alias("pos", "point"))
     counts = members.join(counts, ["block", "pos"]).select("point", "neighbours")
-    return map_to_points(df, points, key, vector).join(counts, "point").drop("point")
+    return map_to_points(df, found.points, key, vector).join(counts, "point").drop("point")
 
 
 def eps_counts(blocks: Blocks, pairs: DataFrame, eps: float) -> DataFrame:
@@ -300,6 +322,6 @@ def eps_counts(blocks: Blocks, pairs: DataFrame, eps: float) -> DataFrame:
                     yield pd.DataFrame({"block": r.q, "pos": at.astype(np.int32), "hits": hits[at]})
 
     shares = measure_pairs(
-        pairs.drop("radius"), blocks.payload.select("block", "flat"), blocks.payload.select("block", "weights", "flat"),
+        pairs, blocks.payload.select("block", "flat"), blocks.payload.select("block", "weights", "flat"),
         count, "block long, pos int, hits long")
     return shares.groupBy("block", "pos").agg(F.sum("hits").alias("neighbours"))

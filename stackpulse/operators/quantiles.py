@@ -23,13 +23,27 @@ def _value(name: str):
     return F.col(f"`{name}`").cast("double")
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of values that are neither null nor NaN, per column."""
+    if not columns:
+        return {}
+    row = df.agg(*[
+        F.count_if(_value(c).isNotNull() & ~F.isnan(_value(c))).alias(f"n{i}") for i, c in enumerate(columns)
+    ]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
     exact_rows: int = EXACT_ROWS,
     accuracy: int = ACCURACY,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, dict[int, float]]:
-    """Value at each 0-based rank of the sorted non-null values of a column."""
+    """Value at each 0-based rank of the sorted non-null values of a column.
+
+    ``sizes`` are the numbers of such values, when the caller knows them.
+    """
     # An open interval (low, high) per wanted rank, with the number of values
     # at or below its low end.
     state = {
@@ -47,15 +61,11 @@ def order_statistics(
             cond = cond & (v < s["high"])
         return cond
 
-    counts = df.agg(*[
-        F.count_if(inside((c, 0 if not rs else sorted(set(rs))[0]))).alias(f"n{i}")
-        for i, (c, rs) in enumerate(ranks.items()) if rs
-    ]).first() if state else None
-    for i, (c, rs) in enumerate(ranks.items()):
-        for r in set(rs):
-            state[(c, r)]["inside"] = counts[f"n{i}"]
-            if not 0 <= r < counts[f"n{i}"]:
-                raise IndexError(f"rank {r} outside the {counts[f'n{i}']} values of {c}")
+    sizes = sizes if sizes is not None else value_counts(df, [c for c, rs in ranks.items() if rs])
+    for c, r in state:
+        state[(c, r)]["inside"] = sizes[c]
+        if not 0 <= r < sizes[c]:
+            raise IndexError(f"rank {r} outside the {sizes[c]} values of {c}")
 
     while len(found) < len(state):
         todo = [k for k in state if k not in found]
@@ -157,8 +167,7 @@ def quantiles(
         ]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs[c])) for i, c in enumerate(cols)}
 
-    row = df.agg(*[F.count_if(_value(c).isNotNull() & ~F.isnan(_value(c))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    n = value_counts(df, cols)
     if max(n.values()) <= exact_rows:
         clean = {c: F.when(~F.isnan(_value(c)), _value(c)) for c in cols}
         row = df.agg(*[
@@ -171,7 +180,7 @@ def quantiles(
         c: sorted({r for p in probs[c] for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1)))})
         for c in cols if n[c]
     }
-    stats = order_statistics(df, ranks, exact_rows, accuracy)
+    stats = order_statistics(df, ranks, exact_rows, accuracy, n)
     out: dict[str, list[float | None]] = {}
     for c in cols:
         values: list[float | None] = []
@@ -193,8 +202,28 @@ def quantile(df: DataFrame, column: str, p: float, **options) -> float | None:
 
 def pick_rank(df: DataFrame, column: str, fraction: float, **options) -> float | None:
     """Value at index int(fraction * n) of the sorted column."""
-    n = df.agg(F.count(F.col(column)).alias("n")).first()["n"]
+    sizes = value_counts(df, [column])
+    n = sizes[column]
     if not n:
         return None
     rank = min(int(fraction * n), n - 1)
-    return order_statistics(df, {column: [rank]}, **options)[column][rank]
+    return order_statistics(df, {column: [rank]}, sizes=sizes, **options)[column][rank]
+
+
+def quantiles_by(
+    df: DataFrame, group: str, column: str, probs: Sequence[float], exact_rows: int = EXACT_ROWS, accuracy: int = ACCURACY
+) -> dict[object, list[float | None]]:
+    """Exact quantiles per group, for a bounded number of groups.
+
+    Groups that one task can hold share one aggregate; a larger group gets the
+    bracketing passes of its own.
+    """
+    clean = df.filter(F.col(column).isNotNull() & ~F.isnan(_value(column)))
+    sizes = {r[group]: r["n"] for r in clean.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = [g for g, n in sizes.items() if n > exact_rows]
+    small = clean.filter(~F.col(group).isin(large)) if large else clean
+    points = F.percentile(_value(column), F.array(*[F.lit(float(p)) for p in probs])).alias("q")
+    out = {r[group]: list(r["q"]) for r in small.groupBy(group).agg(points).collect()}
+    for g in large:
+        out[g] = quantiles(clean.filter(F.col(group) == F.lit(g)), {column: probs}, exact_rows, accuracy)[column]
+    return out

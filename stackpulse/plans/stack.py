@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import clean_time_text
 from ..operators import cells as cell_ops, clean, density, reduce, scale
-from ..operators.quantiles import quantiles
+from ..operators.quantiles import quantiles_by
 from ..schema import N_CELLS, STACK_CONDITIONS, require_columns
 from ..session import materialise
 from ..sources import sinks, tables
@@ -27,16 +27,15 @@ class StackReport:
 def repair_cells(df: DataFrame, cells: str, n_cells: int, nonzero: bool = True) -> DataFrame:
     """Zero or missing cells become the median of their position.
 
-    Medians come from one pass over (position, value) pairs, so no aggregate is
-    as wide as the stack.
+    Medians come from (position, value) pairs, so no aggregate is as wide as
+    the stack.
     """
     value = F.col("v")
     present = df.select(F.posexplode(cells).alias("pos", "v")).filter(value.isNotNull())
     if nonzero:
         present = present.filter(value != 0)
-    wide = present.select(*[F.when(F.col("pos") == i, value).alias(f"c{i}") for i in range(n_cells)])
-    mids = [q[0] for q in quantiles(wide, {f"c{i}": [0.5] for i in range(n_cells)}).values()]
-    fill = F.array(*[F.lit(float(m if m is not None else 0.0)) for m in mids])
+    mids = quantiles_by(present, "pos", "v", [0.5])
+    fill = F.array(*[F.lit(mids[i][0] if mids.get(i) else 0.0) for i in range(n_cells)])
     return df.withColumn(cells, F.zip_with(
         cells, fill, lambda v, m: F.when(v.isNull() | (v == 0), m).otherwise(v)))
 
@@ -65,10 +64,7 @@ def stack_report(
     scaled = scale.apply_scale(wide, scale.fit_minmax(wide, names))
     vectors = materialise(scaled.select(key, F.array(*names).alias("x")), "stack_vectors")
 
-    if eps is None or min_samples is None:
-        found, k = density.elbow_eps(vectors, key, "x", min_samples)
-        eps, min_samples = eps or found, min_samples or k
-    labels = density.dbscan(vectors, key, "x", eps, min_samples)
+    labels, eps, min_samples = density.elbow_dbscan(vectors, key, "x", eps, min_samples)
     axes = reduce.fit_pca(vectors, "x", 2)
     placed = reduce.with_pca_columns(vectors, axes, "x").select(key, "PCA1", "PCA2")
     out = materialise(rows.join(labels, key).join(placed, key), "stack_labelled")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ _RUNTIME_DEFAULTS = {
 }
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "stackpulse", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,8 +37,28 @@ def build_session(app: str = "stackpulse", master: str | None = None, **conf: st
     return prepare(builder.getOrCreate())
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers start from another folder, and on a cluster from another host, so
+    they cannot rely on the driver's import path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="stackpulse-code-")) / "stackpulse.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Fill in the runtime settings that the caller's session leaves unset."""
+    """Fill in the runtime settings that the caller's session leaves unset and
+    make the package known to the workers."""
+    ship_package(spark)
     for key, value in _RUNTIME_DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
