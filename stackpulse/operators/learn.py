@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import HEALTH_LABELS, argmax_code, confidence, fault_label, left_closed_bins, map_codes, uniform
 from ..schema import with_missing_as_zero
+from ..session import spread
 from .clean import iqr_bounds, quantile_bounds, sample_rows
 from .evaluate import balanced_accuracy, feature_importance, with_class_weight
 from .quantiles import quantiles
@@ -79,7 +80,7 @@ def _fit(df: DataFrame, features: Sequence[str], learner, **preparation) -> Pipe
         VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features"),
         learner,
     ]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(spread(df))
 
 
 def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42, **params: Any) -> RandomForestClassifier:
@@ -148,7 +149,7 @@ def _search(df: DataFrame, estimator, grid: Mapping[str, Sequence], evaluator: E
         builder = builder.addGrid(estimator.getParam(name), list(values))
     return CrossValidator(
         estimator=estimator, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds, foldCol=fold,
-        parallelism=parallelism).fit(df)
+        parallelism=parallelism).fit(spread(df))
 
 
 # Search grids of the two tuned models.
