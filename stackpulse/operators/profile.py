@@ -105,49 +105,48 @@ def prune_features(
     return [c for c in features if c not in flat]
 
 
-def describe_all(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
-    """Profile of every column, numeric and text.
+def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, distinct values, most frequent value and its frequency.
 
     Values are counted per (column, value) first; that combines map-side, so a
-    hot value costs one row per task, and the exact distinct count, the most
-    frequent value and its frequency all come from the small second step.
+    hot value costs one row per task, and the rest comes from the counts.
     """
-    columns = list(columns or df.columns)
-    numeric = set(numeric_columns(df))
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
-            (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
-        ) for c in columns
-    ]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     counted = (
         _long(df, cells).filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.first("number").alias("number"))
-    )
-    text = F.col("number").isNull()
-    best = F.max(F.when(text, F.struct(F.col("n"), F.col("value"))))
-    values = counted.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        F.count(F.when(text, 1)).alias("unique_text"),
-        best.alias("best"),
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    moments = spread_profile(df, [c for c in columns if c in numeric]) if numeric & set(columns) else None
-    out = values.select(
-        "column", "count",
-        F.when(F.col("unique_text") > 0, F.col("unique_text")).alias("unique"),
-        F.col("best.value").alias("top"), F.col("best.n").alias("freq"),
-    )
-    if moments is None:
-        return out
-    wanted = [c for c in columns if c in numeric]
-    quart = quantiles(df, {c: [0.25, 0.5, 0.75] for c in wanted}, **options)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(wanted)])
-    means = _long(means, [F.struct(
-        F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
-        *[F.lit(v).cast("double").alias(k) for k, v in zip(("p25", "p50", "p75"), quart[c])],
-    ) for i, c in enumerate(wanted)])
-    numbers = means.join(F.broadcast(moments.select("column", "std", "min", "max")), "column")
-    return out.join(F.broadcast(numbers), "column", "left")
+    best = F.max(F.struct("n", "value"))
+    return counted.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+        best["value"].alias("top"), best["n"].alias("freq"))
+
+
+def describe_numbers(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles, one row per column."""
+    quart = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, **options)
+    one = df.agg(*[
+        F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), *[F.lit(q).cast("double").alias(n) for n, q in zip(("p25", "p50", "p75"), quart[c])],
+            F.max(v).alias("max"),
+        ).alias(f"p{i}")
+        for i, c in enumerate(columns) for v in [F.col(c).cast("double")]
+    ])
+    return _long(one, [F.col(f"p{i}") for i in range(len(columns))])
+
+
+def describe_all(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Profile of every column: numbers and text each with their own figures."""
+    columns = list(columns or df.columns)
+    numbers = [c for c in numeric_columns(df) if c in columns]
+    text = [c for c in columns if c not in numbers]
+    parts = []
+    if numbers:
+        parts.append(describe_numbers(df, numbers, **options))
+    if text:
+        parts.append(describe_text(df, text))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -12,137 +12,152 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 50_000
 ACCURACY = 10_000
 
 
-def _value(name: str):
+def _value(name: str) -> Column:
     return F.col(f"`{name}`").cast("double")
 
 
+def _present(name: str) -> Column:
+    return _value(name).isNotNull() & ~F.isnan(_value(name))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Number of values that are neither null nor NaN, per column."""
     if not columns:
         return {}
-    row = df.agg(*[
-        F.count_if(_value(c).isNotNull() & ~F.isnan(_value(c))).alias(f"n{i}") for i, c in enumerate(columns)
-    ]).first()
+    row = df.agg(*[F.count_if(_present(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
 
+@dataclass(frozen=True)
+class _Span:
+    """Values of a column strictly between two ends; ``below`` values lie at or
+    under the low end."""
+
+    column: str
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+    def value(self) -> Column:
+        v, cond = _value(self.column), _present(self.column)
+        if self.low is not None:
+            cond = cond & (v > F.lit(self.low))
+        if self.high is not None:
+            cond = cond & (v < F.lit(self.high))
+        return F.when(cond, v)
+
+    def probabilities(self, ranks: Sequence[int], accuracy: int) -> list[float]:
+        around = [(r - self.below) / max(1, self.inside - 1) for r in ranks]
+        return _widened(around, accuracy)
+
+
+def _widened(probs: Sequence[float], accuracy: int) -> list[float]:
+    slack = 4.0 / accuracy
+    return sorted({q for p in probs for q in (max(0.0, p - slack), min(1.0, p + slack))})
+
+
+def _edge_aggregates(i: int, value: Column, probs: Sequence[float], accuracy: int) -> list[Column]:
+    return [
+        F.percentile_approx(value, list(probs), accuracy).alias(f"q{i}"),
+        F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}"),
+    ]
+
+
+def _edges(row: Row, i: int) -> list[float]:
+    return sorted({row[f"lo{i}"], *row[f"q{i}"], row[f"hi{i}"]})
+
+
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
     exact_rows: int = EXACT_ROWS,
     accuracy: int = ACCURACY,
     sizes: Mapping[str, int] | None = None,
+    edges: Mapping[str, Sequence[float]] | None = None,
 ) -> dict[str, dict[int, float]]:
     """Value at each 0-based rank of the sorted non-null values of a column.
 
-    ``sizes`` are the numbers of such values, when the caller knows them.
+    ``sizes`` are the numbers of such values and ``edges`` some values near the
+    wanted ones, when the caller knows them.
     """
-    # An open interval (low, high) per wanted rank, with the number of values
-    # at or below its low end.
-    state = {
-        (c, r): {"low": None, "high": None, "below": 0, "inside": None}
-        for c, rs in ranks.items() for r in sorted(set(rs))
-    }
-    found: dict[tuple[str, int], float] = {}
-
-    def inside(key):
-        s, v = state[key], _value(key[0])
-        cond = v.isNotNull() & ~F.isnan(v)
-        if s["low"] is not None:
-            cond = cond & (v > s["low"])
-        if s["high"] is not None:
-            cond = cond & (v < s["high"])
-        return cond
-
     sizes = sizes if sizes is not None else value_counts(df, [c for c, rs in ranks.items() if rs])
-    for c, r in state:
-        state[(c, r)]["inside"] = sizes[c]
-        if not 0 <= r < sizes[c]:
-            raise IndexError(f"rank {r} outside the {sizes[c]} values of {c}")
-
-    while len(found) < len(state):
-        todo = [k for k in state if k not in found]
-        small = [k for k in todo if state[k]["inside"] <= exact_rows]
-        large = [k for k in todo if state[k]["inside"] > exact_rows]
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    spans: dict[_Span, list[int]] = {}
+    for c, wanted in ranks.items():
+        for r in wanted:
+            if not 0 <= r < sizes[c]:
+                raise IndexError(f"rank {r} outside the {sizes[c]} values of {c}")
+        if wanted:
+            spans[_Span(c, None, None, 0, sizes[c])] = sorted(set(wanted))
+
+    while spans:
+        small = {s: rs for s, rs in spans.items() if s.inside <= exact_rows}
+        large = {s: rs for s, rs in spans.items() if s.inside > exact_rows}
+        spans = {}
         if small:
-            # Half a step past the rank, so that rounding cannot move the pick.
-            row = df.select(*[
-                F.when(inside(k), _value(k[0])).alias(f"c{i}") for i, k in enumerate(small)
-            ]).agg(*[
-                F.expr(
-                    f"percentile_disc({(k[1] - state[k]['below'] + 0.5) / state[k]['inside']!r}D)"
-                    f" WITHIN GROUP (ORDER BY c{i})"
-                ).alias(f"v{i}")
-                for i, k in enumerate(small)
-            ]).first()
-            for i, k in enumerate(small):
-                found[k] = row[f"v{i}"]
+            for s, values in _pick(df, small).items():
+                found[s.column].update(zip(small[s], values))
         if large:
-            for k, edges in zip(large, _brackets(df, large, state, inside, accuracy)):
-                state[k]["edges"] = edges
-            row = df.agg(*[
-                part
-                for i, k in enumerate(large)
-                for part in _edge_counts(i, k, state[k]["edges"], inside)
-            ]).first()
-            for i, k in enumerate(large):
-                _narrow(i, k, state[k], row, found)
-    out: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    for (c, r), value in found.items():
-        out[c][r] = value
-    return out
+            near = {s: sorted(set(edges[s.column])) for s in large if edges and s.low is None and s.high is None}
+            blind = [s for s in large if s not in near]
+            if blind:
+                row = df.agg(*[
+                    a for i, s in enumerate(blind)
+                    for a in _edge_aggregates(i, s.value(), s.probabilities(large[s], accuracy), accuracy)
+                ]).first()
+                near.update({s: _edges(row, i) for i, s in enumerate(blind)})
+            for s, counts in _count_edges(df, near).items():
+                for r in large[s]:
+                    _place(s, r, near[s], counts, spans, found[s.column])
+    return found
+
+
+def _pick(df: DataFrame, spans: Mapping[_Span, Sequence[int]]) -> dict[_Span, list[float]]:
+    # Half a step past the rank, so that rounding cannot move the pick.
+    row = df.select(*[s.value().alias(f"c{i}") for i, s in enumerate(spans)]).agg(*[
+        F.expr(f"percentile_disc(array({', '.join(repr((r - s.below + 0.5) / s.inside) + 'D' for r in rs)}))"
+               f" WITHIN GROUP (ORDER BY c{i})").alias(f"v{i}")
+        for i, (s, rs) in enumerate(spans.items())
+    ]).first()
+    return {s: list(row[f"v{i}"]) for i, s in enumerate(spans)}
 
 
-def _fraction(rank: int, n: int) -> float:
-    return 0.0 if n <= 1 else rank / (n - 1)
+def _count_edges(df: DataFrame, near: Mapping[_Span, Sequence[float]]) -> dict[_Span, list[tuple[int, int]]]:
+    """Per span and edge: values of the span below the edge and on it."""
+    row = df.select(*[s.value().alias(f"c{i}") for i, s in enumerate(near)]).agg(*[
+        a for i, edges in enumerate(near.values()) for j, e in enumerate(edges)
+        for a in (F.count_if(F.col(f"c{i}") < F.lit(e)).alias(f"lt{i}_{j}"), F.count_if(F.col(f"c{i}") == F.lit(e)).alias(f"eq{i}_{j}"))
+    ]).first()
+    return {
+        s: [(row[f"lt{i}_{j}"], row[f"eq{i}_{j}"]) for j in range(len(edges))]
+        for i, (s, edges) in enumerate(near.items())
+    }
 
 
-def _brackets(df, keys, state, inside, accuracy):
-    slack = 4.0 / accuracy
-    aggs = []
-    for i, k in enumerate(keys):
-        p = _fraction(k[1] - state[k]["below"], state[k]["inside"])
-        probs = [max(0.0, p - slack), min(1.0, p + slack)]
-        value = F.when(inside(k), _value(k[0]))
-        aggs += [
-            F.percentile_approx(value, probs, accuracy).alias(f"q{i}"),
-            F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    return [(row[f"lo{i}"], *sorted(row[f"q{i}"]), row[f"hi{i}"]) for i in range(len(keys))]
-
-
-def _edge_counts(i, key, edges, inside):
-    v, base = _value(key[0]), inside(key)
-    parts = []
-    for j, edge in enumerate(edges):
-        parts += [
-            F.count_if(base & (v < edge)).alias(f"lt{i}_{j}"),
-            F.count_if(base & (v == edge)).alias(f"eq{i}_{j}"),
-        ]
-    return parts
-
-
-def _narrow(i, key, s, row, found) -> None:
-    rank = key[1] - s["below"]
-    low, high, below, stop = s["low"], s["high"], 0, s["inside"]
-    for j, edge in enumerate(s["edges"]):
-        lt, eq = row[f"lt{i}_{j}"], row[f"eq{i}_{j}"]
-        if lt <= rank < lt + eq:
-            found[key] = edge
+def _place(span, rank, edges, counts, spans, found) -> None:
+    """Resolve a rank on an edge, or hand it to the span between two edges."""
+    at = rank - span.below
+    low, high, below, stop = span.low, span.high, 0, span.inside
+    for edge, (under, on) in zip(edges, counts):
+        if under <= at < under + on:
+            found[rank] = edge
             return
-        if rank >= lt + eq and lt + eq >= below:
-            low, below = edge, lt + eq
-        elif rank < lt and lt <= stop:
-            high, stop = edge, lt
-    s.update(low=low, high=high, below=s["below"] + below, inside=stop - below)
+        if at >= under + on:
+            low, below = edge, under + on
+        else:
+            high, stop = edge, under
+            break
+    narrower = _Span(span.column, low, high, span.below + below, stop - below)
+    spans.setdefault(narrower, []).append(rank)
 
 
 def quantiles(
@@ -160,39 +175,33 @@ def quantiles(
     cols = list(probs)
     if not cols:
         return {}
+    values = {c: F.when(_present(c), _value(c)) for c in cols}
+    asked = {c: list(probs[c]) if approximate else _widened(probs[c], accuracy) for c in cols}
+    row = df.agg(*[
+        a for i, c in enumerate(cols)
+        for a in (F.count(values[c]).alias(f"n{i}"), *_edge_aggregates(i, values[c], asked[c], accuracy))
+    ]).first()
     if approximate:
-        row = df.agg(*[
-            F.percentile_approx(_value(c), list(probs[c]), accuracy).alias(f"q{i}")
-            for i, c in enumerate(cols)
-        ]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs[c])) for i, c in enumerate(cols)}
-
-    n = value_counts(df, cols)
-    if max(n.values()) <= exact_rows:
-        clean = {c: F.when(~F.isnan(_value(c)), _value(c)) for c in cols}
-        row = df.agg(*[
-            F.percentile(clean[c], F.array(*[F.lit(float(p)) for p in probs[c]])).alias(f"q{i}")
-            for i, c in enumerate(cols)
-        ]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs[c])) for i, c in enumerate(cols)}
 
+    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    edges = {c: _edges(row, i) for i, c in enumerate(cols) if n[c]}
     ranks = {
         c: sorted({r for p in probs[c] for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1)))})
         for c in cols if n[c]
     }
-    stats = order_statistics(df, ranks, exact_rows, accuracy, n)
+    stats = order_statistics(df, ranks, exact_rows, accuracy, n, edges)
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        values: list[float | None] = []
+        out[c] = []
         for p in probs[c]:
             if not n[c]:
-                values.append(None)
+                out[c].append(None)
                 continue
             at = p * (n[c] - 1)
             low, high = math.floor(at), math.ceil(at)
             a, b = stats[c][low], stats[c][high]
-            values.append(a if low == high else a * (high - at) + b * (at - low))
-        out[c] = values
+            out[c].append(a if low == high else a * (high - at) + b * (at - low))
     return out
 
 
@@ -218,7 +227,7 @@ def quantiles_by(
     Groups that one task can hold share one aggregate; a larger group gets the
     bracketing passes of its own.
     """
-    clean = df.filter(F.col(column).isNotNull() & ~F.isnan(_value(column)))
+    clean = df.filter(_present(column))
     sizes = {r[group]: r["n"] for r in clean.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     large = [g for g, n in sizes.items() if n > exact_rows]
     small = clean.filter(~F.col(group).isin(large)) if large else clean

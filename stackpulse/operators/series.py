@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import array_mean, euclidean
+from ..session import materialise
 from .ordered import BLOCK_ROWS, ROW, SLICE, TOTAL, fill_gaps, in_blocks, index_rows, join_keys, rolling_columns
 from .quantiles import quantile
 from .wavelet import wavelet_smooth
@@ -28,7 +29,8 @@ def series_features(
     position in the input. ``power`` is dropped when it is there.
     """
     indexed = index_rows(df.drop("power"), order, series)
-    filled = fill_gaps(indexed, ["current", "voltage"], series)
+    # Read twice: by the frames here and by the wavelet.
+    filled = materialise(fill_gaps(indexed, ["current", "voltage"], series), "filled")
 
     def build(w: Window) -> dict[str, Column]:
         return {

@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordered import BLOCK, BLOCK_ROWS, ROW, join_keys, with_halo
 
-_CHUNK = 512
+_CHUNK = 256
 
 
 def warp(windows: np.ndarray, reference: np.ndarray, band: int | None = None) -> np.ndarray:
     """Exact warping distance of many windows (m, a, f) to one reference (b, f).
 
-    The recurrence runs over the two positions; each step handles all windows.
+    The recurrence runs over anti-diagonals: all cells of one, for all windows,
+    only need the two before.
     """
     m, a, b = len(windows), windows.shape[1], len(reference)
+    step = np.sqrt(((windows[:, :, None, :] - reference[None, None, :, :]) ** 2).sum(axis=3)).transpose(1, 2, 0)
+    if band is not None:
+        i, j = np.indices((a, b))
+        step[np.abs(i * (b - 1) - j * (a - 1)) > band * max(a - 1, b - 1, 1)] = np.inf
     cost = np.full((a + 1, b + 1, m), np.inf)
     cost[0, 0] = 0.0
-    for i in range(a):
-        step = np.sqrt(((windows[:, i, None, :] - reference[None, :, :]) ** 2).sum(axis=2))
-        for j in range(b):
-            if band is None or abs(i * (b - 1) - j * (a - 1)) <= band * max(a - 1, b - 1, 1):
-                best = np.minimum(np.minimum(cost[i, j + 1], cost[i + 1, j]), cost[i, j])
-                cost[i + 1, j + 1] = step[:, j] + best
+    for s in range(a + b - 1):
+        i = np.arange(max(0, s - b + 1), min(a - 1, s) + 1)
+        j = s - i
+        best = np.minimum(np.minimum(cost[i, j + 1], cost[i + 1, j]), cost[i, j])
+        cost[i + 1, j + 1] = step[i, j] + best
     return cost[a, b]
 
 
