@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import id_hash, unit_hash
 from ..session import materialise
+from .evaluate import join_classes
 from .neighbours import BLOCK_POINTS, nearest
 from .ordered import ROW, TOTAL, index_rows
 
@@ -55,7 +56,7 @@ def smote(
     every = Window.partitionBy(F.lit(0))
     sizes = sizes.withColumns({
         "_need": F.max("_n").over(every) - F.col("_n"), "_no": F.row_number().over(every.orderBy(label)) - 1})
-    small = base.join(F.broadcast(sizes.filter((F.col("_need") > 0) & (F.col("_n") > 1))), label)
+    small = join_classes(base, sizes.filter((F.col("_need") > 0) & (F.col("_n") > 1)), label)
     numbered = materialise(index_rows(small, [key], [label]).drop("_slice"), "minority")
 
     # One more coordinate puts the classes further apart than any two rows of

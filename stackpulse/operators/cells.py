@@ -46,7 +46,8 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 def counts_per_cell(df: DataFrame, n_cells: int, cell: str = "min_cell") -> DataFrame:
     """Count of rows for every cell 1..n, zero where there are none."""
     domain = df.sparkSession.range(1, n_cells + 1).select(F.col("id").cast("int").alias(cell))
-    counts = value_counts(df, cell, name="Count")  # at most one row per cell
+    # At most one row per cell of the domain.
+    counts = value_counts(df.filter(F.col(cell).between(1, n_cells)), cell, name="Count")
     return (
         domain.join(F.broadcast(counts), cell, "left")
         .select(cell, cell_label(F.col(cell)).alias("Min_Cell_Index"), F.coalesce("Count", F.lit(0)).alias("Count"))

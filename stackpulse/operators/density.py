@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from . import neighbours
 from .neighbours import (
-    BLOCK_POINTS, Blocks, PointSet, build_blocks, candidate_pairs, distances, eps_counts, kth_distances, map_to_points,
-    measure_pairs, point_set,
+    BLOCK_POINTS, Blocks, PointSet, block_pairs, build_blocks, candidate_pairs, distances, eps_counts, kth_distances,
+    map_to_points, measure_pairs, point_set, tile_pairs, tile_spheres,
 )
 from .ordered import index_rows
 from .quantiles import pick_rank
@@ -72,17 +73,24 @@ def dbscan(
 ) -> DataFrame:
     """(key, Cluster, is_core): clusters are numbered by their least core key,
     noise is -1, a row counts itself, a border row joins the least cluster.
+
+    Crowded regions are settled by spheres alone. Where two spheres lie wholly
+    within eps of each other, every point of one counts every point of the
+    other, so weights and links follow without looking at points, for whole
+    tiles as well as for blocks; and blocks that such links already connect are
+    not compared again. What is left to measure is the thin and the mixed part.
     """
     found = points or point_set(df, key, vector, None, block_points)
     blocks = found.blocks
-    pairs = materialise(candidate_pairs(blocks, eps), "pairs")
-    local = _block_cores(blocks, pairs, eps, min_samples)
-    links = _links(blocks, pairs, local, eps)
+    pairs, flooded, sure = _settle(blocks, eps, min_samples)
+    local = _block_cores(blocks, pairs, flooded, eps, min_samples)
+    links = _links(blocks, pairs, flooded, local, eps)
 
     members = local.select(F.explode(F.arrays_zip("ids", "comps")).alias("m")).select(
         F.col("m.ids").alias("point"), F.col("m.comps").alias("comp"))
     nodes = members.filter("comp >= 0").select(F.col("comp").alias("node")).distinct()
-    roots = connected_components(links.filter("kind = 0").select("a", "b"), nodes)
+    edges = links.filter("kind = 0").select("a", "b")
+    roots = connected_components(edges if sure is None else edges.unionByName(sure), nodes)
     numbers = index_rows(roots.select("root").distinct(), ["root"]).select("root", F.col("row_no").alias("Cluster"))
     of_comp = materialise(roots.join(numbers, "root").select(F.col("node").alias("comp"), "Cluster"), "clusters")
     core = members.filter("comp >= 0").join(of_comp, "comp").select("point", "Cluster", F.lit(True).alias("is_core"))
@@ -96,20 +104,69 @@ def dbscan(
         F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
-def _block_cores(blocks: Blocks, pairs: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """(block, ids, comps): per point the local component of cores within its
-    block (least core point), or -1 when it is not a core.
+def _settle(blocks: Blocks, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What spheres alone decide.
 
-    A block that fits into a ball of diameter eps and weighs enough is all
-    core, which its sphere alone decides.
+    Gives the block pairs to measure (q, c, linked), the flooded blocks (block,
+    comp) whose points are all cores of one component, and the sure links
+    between flooded components (None when there are none). ``linked`` marks
+    pairs of flooded blocks that sure links connect already.
     """
+    inside = (F.col("apart") + F.col("q_reach") + F.col("c_reach")) * (1 + 1e-12) <= eps
+    heads = blocks.payload.select("block", F.array_min("ids").alias("head"))
+    meta = blocks.meta
+    tiles = None
+    if blocks.most > neighbours.FEW_BLOCKS:
+        spheres = materialise(tile_spheres(blocks), "tiles")
+        tiles = materialise(tile_pairs(blocks, spheres, eps).select("q", "c", inside.alias("inside")), "tile_pairs")
+        solid = tiles.filter("inside AND q = c").select(F.col("q").alias("tile"))
+        # A tile that fits into eps and weighs enough is one component of cores.
+        solid = solid.join(spheres.filter(F.col("weight") >= min_samples).select("tile"), "tile")
+        heads_of = meta.join(heads, "block").join(solid, "tile").groupBy("tile").agg(F.min("head").alias("comp"))
+        whole = materialise(heads_of, "solid_tiles")
+        name = lambda side: whole.select(F.col("tile").alias(side), F.col("comp").alias(f"{side}_comp"))
+        tiles = tiles.join(name("q"), "q", "left").join(name("c"), "c", "left")
+        settled = F.col("inside") & F.col("q_comp").isNotNull() & F.col("c_comp").isNotNull()
+        settled = F.coalesce(settled, F.lit(False))
+        tile_links = tiles.filter(settled & (F.col("q_comp") < F.col("c_comp"))).select(
+            F.col("q_comp").alias("a"), F.col("c_comp").alias("b"))
+        tiles = tiles.filter(~settled)
+    pairs = materialise(block_pairs(blocks, tiles, eps).select("q", "c", inside.alias("inside")), "pairs")
+
+    own = meta.select(F.col("block"), ((2 * F.col("reach")) * (1 + 1e-12) <= eps).alias("fits"), "weight", "tile")
+    own = own.join(heads, "block")
+    flooded = own.filter(F.col("fits") & (F.col("weight") >= min_samples)).select("block", "tile", F.col("head").alias("comp"))
+    if tiles is not None:
+        flooded = own.filter("fits").join(whole.withColumnRenamed("comp", "whole"), "tile", "left").filter(
+            F.col("whole").isNotNull() | (F.col("weight") >= min_samples)).select(
+            "block", "tile", F.coalesce("whole", "head").alias("comp"))
+    flooded = materialise(flooded.select("block", "comp"), "flooded")
+    if not flooded.limit(1).count():
+        return pairs.select("q", "c", F.lit(False).alias("linked")), flooded, None
+
+    side = lambda s: flooded.select(F.col("block").alias(s), F.col("comp").alias(f"{s}_comp"))
+    both = pairs.join(side("q"), "q", "left").join(side("c"), "c", "left")
+    sure = both.filter("inside AND q_comp < c_comp").select(F.col("q_comp").alias("a"), F.col("c_comp").alias("b"))
+    if tiles is not None:
+        sure = sure.unionByName(tile_links)
+    sure = materialise(sure.distinct(), "sure_links")
+    roots = connected_components(sure, flooded.select(F.col("comp").alias("node")).distinct())
+    root = lambda s: roots.select(F.col("node").alias(f"{s}_comp"), F.col("root").alias(f"{s}_root"))
+    both = both.join(root("q"), "q_comp", "left").join(root("c"), "c_comp", "left")
+    linked = F.coalesce(F.col("q_root") == F.col("c_root"), F.lit(False))
+    return materialise(both.select("q", "c", linked.alias("linked")), "open_pairs"), flooded, sure
+
+
+def _block_cores(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """(block, ids, comps): per point the local component of cores within its
+    block (least core point), or -1 when it is not a core."""
     dim = blocks.dim
-    tight = blocks.meta.select(
-        "block", ((2 * F.col("reach") * (1 + 1e-12) <= eps) & (F.col("weight") >= min_samples)).alias("tight"))
-    open_pairs = pairs.join(tight.filter(~F.col("tight")).select(F.col("block").alias("q")), "q", "left_semi")
-    counts = eps_counts(blocks, open_pairs, eps).filter(F.col("neighbours") >= min_samples)
+    thin = pairs.join(flooded.select(F.col("block").alias("q")), "q", "left_anti").select("q", "c")
+    counts = eps_counts(blocks, thin, eps).filter(F.col("neighbours") >= min_samples)
     cores = counts.groupBy("block").agg(F.collect_list("pos").alias("cores"))
-    held = blocks.payload.select("block", "ids", "flat").join(tight, "block").join(cores, "block", "left")
+    # As an array, because a null would turn the number into a float.
+    whole = flooded.select("block", F.array("comp").alias("comp"))
+    held = blocks.payload.select("block", "ids", "flat").join(whole, "block", "left").join(cores, "block", "left")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,8 +174,8 @@ def _block_cores(blocks: Blocks, pairs: DataFrame, eps: float, min_samples: int)
             for r in pdf.itertuples(index=False):
                 ids = np.asarray(r.ids, dtype=np.int64)
                 out = np.full(len(ids), -1, dtype=np.int64)
-                if r.tight:
-                    out[:] = ids.min()
+                if r.comp is not None:
+                    out[:] = r.comp[0]
                 elif r.cores is not None and len(r.cores):
                     at = np.asarray(r.cores, dtype=np.int64)
                     x = np.asarray(r.flat, dtype=float).reshape(-1, dim)[at]
@@ -129,12 +186,16 @@ def _block_cores(blocks: Blocks, pairs: DataFrame, eps: float, min_samples: int)
     return materialise(held.mapInPandas(local, "block long, ids array<long>, comps array<long>"), "cores")
 
 
-def _links(blocks: Blocks, pairs: DataFrame, local: DataFrame, eps: float) -> DataFrame:
+def _links(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, local: DataFrame, eps: float) -> DataFrame:
     """Links found between blocks: kind 0 joins two local components of cores,
     kind 1 ties a point that is not a core to a component. Each pair of blocks
     gives every link once, however many point pairs stand behind it.
     """
     dim = blocks.dim
+    # Core links are symmetric, so a flooded query block needs one order only.
+    full = flooded.select(F.col("block").alias("q"), F.lit(True).alias("full"))
+    wanted = pairs.join(full, "q", "left").filter(
+        ~F.col("linked") & ((F.col("q") < F.col("c")) | F.col("full").isNull())).select("q", "c")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +203,6 @@ def _links(blocks: Blocks, pairs: DataFrame, local: DataFrame, eps: float) -> Da
                 cc = np.asarray(r.c_comps, dtype=np.int64)
                 qc = np.asarray(r.q_comps, dtype=np.int64)
                 core_c = np.nonzero(cc >= 0)[0]
-                # Core to core is symmetric, so one order of the pair is enough.
                 rows = np.arange(len(qc)) if r.q < r.c else np.nonzero(qc < 0)[0]
                 if not len(core_c) or not len(rows):
                     continue
@@ -157,7 +217,7 @@ def _links(blocks: Blocks, pairs: DataFrame, local: DataFrame, eps: float) -> Da
                 yield pd.DataFrame(out, columns=["kind", "a", "b"])
 
     side = blocks.payload.select("block", "flat").join(local, "block")
-    return materialise(measure_pairs(pairs, side, side, link, "kind long, a long, b long"), "links")
+    return materialise(measure_pairs(wanted, side, side, link, "kind long, a long, b long"), "links")
 
 
 def near_stored_cores(df: DataFrame, cores: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:

@@ -145,9 +145,19 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     return counts.select(label, (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias(name))
 
 
+# A table of classes up to this size may be broadcast.
+MAX_CLASSES = 100_000
+
+
+def join_classes(df: DataFrame, per_class: DataFrame, label: str) -> DataFrame:
+    """Join a table of one row per class; it is broadcast once its size is
+    checked, because a class may hold most rows."""
+    few = per_class.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+    return df.join(F.broadcast(per_class) if few else per_class, label)
+
+
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    # The table has one row per class.
-    return df.join(F.broadcast(class_weights(df, label, name)), label)
+    return join_classes(df, class_weights(df, label, name), label)
 
 
 def feature_importance(names: Sequence[str], values: Sequence[float], spark) -> DataFrame:

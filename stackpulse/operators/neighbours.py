@@ -172,52 +172,88 @@ def _slack(radius: Column, lo: Column, hi: Column) -> Column:
     return radius + F.lit(1e-9) * (radius + size + 1.0)
 
 
-def candidate_pairs(blocks: Blocks, radius: float | None = None) -> DataFrame:
-    """Ordered pairs (q, c) of blocks that may hold points within the radius of
-    the query block: a descent slab -> tile -> block through their boxes.
+def _apart(left: str, right: str) -> Column:
+    return F.sqrt(F.aggregate(
+        F.zip_with(left, right, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
 
-    Without ``radius`` each block asks with its own. The slab list has about
-    (n / block size)^(1/3) entries and is attached as one array; tiles and
-    blocks come by equi joins on slab and tile. A few blocks in all are
-    attached as one array at once.
-    """
+
+def _side(table: DataFrame, prefix: str, level: str, radius: Column | None = None) -> DataFrame:
+    """Boxes and spheres of a level, named for one side of a pair."""
+    cols = [F.col(level).alias(prefix), *[F.col(c).alias(f"{prefix}_{c}") for c in ("lo", "hi", "centre", "reach")]]
+    if radius is not None:
+        cols.append(_slack(radius, F.col("lo"), F.col("hi")).alias("wide"))
+    return table.select(*cols)
+
+
+def tile_spheres(blocks: Blocks) -> DataFrame:
+    """Per tile: box, sphere around its blocks, weight and largest radius."""
     meta, k = blocks.meta, min(AXES, blocks.dim)
-    asked = F.col("radius") if radius is None else F.lit(float(radius))
-    asking = meta.select(
-        F.col("block").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"),
-        _slack(asked, F.col("lo"), F.col("hi")).alias("wide"),
-        F.col("centre").alias("q_centre"), F.col("reach").alias("q_reach"))
-
-    def touches(b: Column) -> Column:
-        return _gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide")
-
-    def boxes(level: str, parent: str | None) -> DataFrame:
-        keys = [parent] if parent else []
-        box = meta.groupBy(*keys, level).agg(
-            F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
-            F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"))
-        packed = F.collect_list(F.struct(F.col(level).alias("id"), "lo", "hi")).alias("boxes")
-        return box.groupBy(*keys).agg(packed) if keys else box.agg(packed)
+    mids = meta.groupBy("slab", "tile").agg(
+        F.array(*[F.avg(F.col("centre")[i]) for i in range(blocks.dim)]).alias("mid"))
+    held = meta.join(mids, ["slab", "tile"])
+    return held.groupBy("slab", "tile").agg(
+        F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
+        F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"),
+        F.first("mid").alias("centre"),
+        F.max((_apart("centre", "mid") + F.col("reach")) * (1 + 1e-12)).alias("reach"),
+        F.sum("weight").alias("weight"), F.max("radius").alias("radius"),
+    )
+
 
+def tile_pairs(blocks: Blocks, tiles: DataFrame, radius: float | None = None) -> DataFrame:
+    """Ordered pairs of tiles (q, c) in reach, with both sides' spheres.
+
+    The list of slabs has about (n / block size)^(1/3) entries and is attached
+    as one array; tiles come by an equi join on the slab.
+    """
+    k = min(AXES, blocks.dim)
+    slab_boxes = tiles.groupBy("slab").agg(
+        F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
+        F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"),
+    ).agg(F.collect_list(F.struct("slab", "lo", "hi")))
+    asking = _side(tiles, "q", "tile", F.col("radius") if radius is None else F.lit(float(radius)))
+    touched = F.filter("boxes", lambda b: _gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide"))
     keep = asking.columns
+    step = asking.withColumn("boxes", slab_boxes.scalar()).select(*keep, F.explode(touched["slab"]).alias("slab"))
+    others = tiles.select("slab", F.col("tile").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ("lo", "hi", "centre", "reach")])
+    return in_reach(step.join(others, "slab").drop("slab"))
 
-    def near(level: str) -> Column:
-        return F.explode(F.filter("boxes", touches)["id"]).alias(level)
 
-    if blocks.most <= FEW_BLOCKS:
-        every = meta.agg(F.collect_list(F.struct(
-            F.col("block").alias("c"), "lo", "hi", F.col("centre").alias("c_centre"), F.col("reach").alias("c_reach"))))
-        step = asking.withColumn("boxes", every.scalar()).select(
-            *keep, F.explode(F.filter("boxes", touches)).alias("b")).select(*keep, "b.c", "b.c_centre", "b.c_reach")
-    else:
-        step = asking.withColumn("boxes", boxes("slab", None).scalar()).select(*keep, near("slab"))
-        step = step.join(boxes("tile", "slab"), "slab").select(*keep, near("tile"))
-        step = step.join(boxes("block", "tile"), "tile").select(*keep, near("c"))
-        step = step.join(meta.select(
-            F.col("block").alias("c"), F.col("centre").alias("c_centre"), F.col("reach").alias("c_reach")), "c")
-    apart = F.sqrt(F.aggregate(
-        F.zip_with("q_centre", "c_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
-    return step.filter(apart - F.col("q_reach") - F.col("c_reach") <= F.col("wide")).select("q", "c")
+def in_reach(pairs: DataFrame) -> DataFrame:
+    """Keep pairs whose boxes and spheres come within ``wide`` of each other;
+    ``apart`` is the distance of the centres."""
+    near = pairs.filter(_gap(F.col("q_lo"), F.col("q_hi"), F.col("c_lo"), F.col("c_hi")) <= F.col("wide"))
+    near = near.withColumn("apart", _apart("q_centre", "c_centre"))
+    return near.filter(F.col("apart") - F.col("q_reach") - F.col("c_reach") <= F.col("wide"))
+
+
+def block_pairs(blocks: Blocks, tiles: DataFrame | None, radius: float | None = None) -> DataFrame:
+    """Ordered pairs of blocks (q, c) in reach, with both sides' spheres.
+
+    ``tiles`` are the tile pairs (q, c) to look into; without them every block
+    is compared with all the others through one array, which is for few blocks.
+    """
+    asked = F.col("radius") if radius is None else F.lit(float(radius))
+    asking = _side(blocks.meta, "q", "block", asked)
+    if tiles is None:
+        every = blocks.meta.agg(F.collect_list(F.struct(F.col("block").alias("c"), *[
+            F.col(x).alias(f"c_{x}") for x in ("lo", "hi", "centre", "reach")])))
+        return in_reach(asking.withColumn("b", F.explode(every.scalar())).select(*asking.columns, "b.*"))
+    home = blocks.meta.select("block", "tile")
+    pairs = tiles.select(F.col("q").alias("q_tile"), F.col("c").alias("c_tile"))
+    asking = asking.join(home.select(F.col("block").alias("q"), F.col("tile").alias("q_tile")), "q")
+    others = _side(blocks.meta, "c", "block").join(home.select(F.col("block").alias("c"), F.col("tile").alias("c_tile")), "c")
+    return in_reach(pairs.join(asking, "q_tile").join(others, "c_tile").drop("q_tile", "c_tile"))
+
+
+def candidate_pairs(blocks: Blocks, radius: float | None = None) -> DataFrame:
+    """Ordered pairs (q, c) of blocks that may hold points within the radius of
+    the query block; without ``radius`` each block asks with its own.
+
+    Whole tiles are compared before their blocks are.
+    """
+    tiles = None if blocks.most <= FEW_BLOCKS else tile_pairs(blocks, tile_spheres(blocks), radius)
+    return block_pairs(blocks, tiles, radius).select("q", "c")
 
 
 def measure_pairs(

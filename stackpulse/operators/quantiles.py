@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 EXACT_ROWS = 50_000
 ACCURACY = 10_000
+# Columns per pass; wider aggregates leave code generation.
+MAX_COLUMNS = 32
 
 
 def _value(name: str) -> Column:
@@ -172,9 +174,15 @@ def quantiles(
     ``approximate`` takes the sketch value alone, one pass and a rank error of
     at most ``n / accuracy``.
     """
+    cols, out = list(probs), {}
+    for start in range(0, len(cols), MAX_COLUMNS):
+        chunk = {c: list(probs[c]) for c in cols[start:start + MAX_COLUMNS]}
+        out.update(_quantiles(df, chunk, exact_rows, accuracy, approximate))
+    return out
+
+
+def _quantiles(df: DataFrame, probs: Mapping[str, list[float]], exact_rows: int, accuracy: int, approximate: bool) -> dict[str, list[float | None]]:
     cols = list(probs)
-    if not cols:
-        return {}
     values = {c: F.when(_present(c), _value(c)) for c in cols}
     asked = {c: list(probs[c]) if approximate else _widened(probs[c], accuracy) for c in cols}
     row = df.agg(*[
@@ -219,20 +227,21 @@ def pick_rank(df: DataFrame, column: str, fraction: float, **options) -> float |
     return order_statistics(df, {column: [rank]}, sizes=sizes, **options)[column][rank]
 
 
-def quantiles_by(
-    df: DataFrame, group: str, column: str, probs: Sequence[float], exact_rows: int = EXACT_ROWS, accuracy: int = ACCURACY
-) -> dict[object, list[float | None]]:
-    """Exact quantiles per group, for a bounded number of groups.
+def array_quantiles(
+    df: DataFrame, array: str, size: int, p: float, keep=None, exact_rows: int = EXACT_ROWS, accuracy: int = ACCURACY
+) -> list[float | None]:
+    """Exact quantile of every position of an array column.
 
-    Groups that one task can hold share one aggregate; a larger group gets the
-    bracketing passes of its own.
+    ``keep(value)`` may narrow the values that count. Few rows share one
+    aggregate over (position, value) pairs; many rows take the passes above
+    with one column per position, so no task buffers a position.
     """
-    clean = df.filter(_present(column))
-    sizes = {r[group]: r["n"] for r in clean.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = [g for g, n in sizes.items() if n > exact_rows]
-    small = clean.filter(~F.col(group).isin(large)) if large else clean
-    points = F.percentile(_value(column), F.array(*[F.lit(float(p)) for p in probs])).alias("q")
-    out = {r[group]: list(r["q"]) for r in small.groupBy(group).agg(points).collect()}
-    for g in large:
-        out[g] = quantiles(clean.filter(F.col(group) == F.lit(g)), {column: probs}, exact_rows, accuracy)[column]
-    return out
+    counts = keep or (lambda v: F.lit(True))
+    if df.limit(exact_rows + 1).count() <= exact_rows:
+        pairs = df.select(F.posexplode(array).alias("pos", "v")).filter(_present("v") & counts(F.col("v")))
+        found = {r["pos"]: r["q"] for r in pairs.groupBy("pos").agg(F.percentile("v", F.lit(float(p))).alias("q")).collect()}
+        return [found.get(i) for i in range(size)]
+    cell = [F.get(F.col(array), i) for i in range(size)]
+    wide = df.select(*[F.when(counts(v), v).alias(f"c{i}") for i, v in enumerate(cell)])
+    got = quantiles(wide, {f"c{i}": [p] for i in range(size)}, exact_rows, accuracy)
+    return [got[f"c{i}"][0] for i in range(size)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import array_mean, euclidean
@@ -73,21 +75,25 @@ def reference_window(
 ) -> DataFrame:
     """Elementwise median of the first ``windows`` windows of each series.
 
-    A row at position r is element p of window r - p, so each of the first rows
-    goes to the elements it belongs to and the median is taken per element; no
-    window is built. ``first`` takes window 0 instead. One row per series with
-    ``reference`` as array<array<double>>.
+    Only the rows under these windows leave the scan, so a group has at most
+    windows + length - 1 rows however long its series is. ``first`` takes
+    window 0 instead. One row per series with ``reference`` as
+    array<array<double>>.
     """
     windows = 1 if first else windows
     count = F.least(F.lit(windows), F.col(TOTAL) - length)
     base = indexed.filter((F.col(TOTAL) > length) & (F.col(ROW) < count + length - 1))
-    element = F.sequence(
-        F.greatest(F.lit(0), F.col(ROW) - (count - 1)).cast("int"), F.least(F.lit(length - 1), F.col(ROW)).cast("int"))
-    spread = base.select(*series, *features, F.explode(element).alias("element"))
-    medians = spread.groupBy(*series, "element").agg(
-        F.array(*[F.median(f) for f in features]).alias("values"))
-    rows = medians.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("element", "values"))).alias("r"))
-    return rows.select(*series, F.col("r.values").alias("reference"))
+    base = base.select(*series, ROW, *[F.col(f).cast("double") for f in features])
+    schema = ", ".join([*[f"`{s}` {indexed.schema[s].dataType.simpleString()}" for s in series], "reference array<array<double>>"])
+
+    def median(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(ROW)[list(features)].to_numpy(dtype=float)
+        middle = np.median(np.lib.stride_tricks.sliding_window_view(x, length, axis=0), axis=0).T
+        out = pdf[list(series)].iloc[:1].reset_index(drop=True)
+        out["reference"] = [middle.tolist()]
+        return out if series else pd.DataFrame({"reference": [middle.tolist()]})
+
+    return base.groupBy(*series).applyInPandas(median, schema)
 
 
 def attach_reference(windows: DataFrame, reference: DataFrame, series: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import clean_time_text
 from ..operators import cells as cell_ops, clean, density, reduce, scale
-from ..operators.quantiles import quantiles_by
+from ..operators.quantiles import array_quantiles
 from ..schema import N_CELLS, STACK_CONDITIONS, require_columns
 from ..session import materialise
 from ..sources import sinks, tables
@@ -25,17 +25,9 @@ class StackReport:
 
 
 def repair_cells(df: DataFrame, cells: str, n_cells: int, nonzero: bool = True) -> DataFrame:
-    """Zero or missing cells become the median of their position.
-
-    Medians come from (position, value) pairs, so no aggregate is as wide as
-    the stack.
-    """
-    value = F.col("v")
-    present = df.select(F.posexplode(cells).alias("pos", "v")).filter(value.isNotNull())
-    if nonzero:
-        present = present.filter(value != 0)
-    mids = quantiles_by(present, "pos", "v", [0.5])
-    fill = F.array(*[F.lit(mids[i][0] if mids.get(i) else 0.0) for i in range(n_cells)])
+    """Zero or missing cells become the median of their position."""
+    mids = array_quantiles(df, cells, n_cells, 0.5, (lambda v: v != 0) if nonzero else None)
+    fill = F.array(*[F.lit(float(m or 0.0)) for m in mids])
     return df.withColumn(cells, F.zip_with(
         cells, fill, lambda v, m: F.when(v.isNull() | (v == 0), m).otherwise(v)))
 
@@ -75,10 +67,10 @@ def stack_report(
     return StackReport(out, cell_ops.report_rows(noise), cell_ops.anomaly_summary(flagged, "_hit", means=means), eps, min_samples)
 
 
-def write_stack_report(result: StackReport, folder: str, run_id: str, salt: int = 8) -> None:
+def write_stack_report(result: StackReport, folder: str, run_id: str) -> None:
     """Main report as one run, reports per cell in one pass, summary as JSON."""
     noise = clean.split_noise(result.rows)[1]
     sinks.write_run(result.report, f"{folder}/anomalies", run_id)
     names = clean.existing(noise, ["Date_Time", "Min_Cell_Voltage", "Min_Cell_Index", "min_cell"])
-    sinks.write_by_cell(noise.select(*names), f"{folder}/cells/{run_id}", salt=salt, mode="overwrite")
+    sinks.write_by_cell(noise.select(*names), f"{folder}/cells/{run_id}", mode="overwrite")
     sinks.write_records(result.summary, f"{folder}/summary/{run_id}", "overwrite")

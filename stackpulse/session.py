@@ -105,3 +105,9 @@ def spread(df: DataFrame) -> DataFrame:
     iterative training reads it many times. Meant for pinned tables."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/stackpulse/{spark.sparkContext.applicationId}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,14 +12,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_by_cell(df: DataFrame, path: str, cell: str = "min_cell", salt: int = 1, mode: str = "errorifexists") -> None:
+def write_by_cell(df: DataFrame, path: str, cell: str = "min_cell", mode: str = "errorifexists") -> None:
     """One folder per cell in one pass.
 
-    ``salt`` spreads each cell over that many tasks, so that a cell that holds
-    most of the rows is not written by a single one.
+    Rebalancing gathers small cells and splits a cell that holds most of the
+    rows, so no single task writes it.
     """
-    spread = df.repartition(F.col(cell), F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    spread.write.mode(mode).option("header", True).partitionBy(cell).csv(path)
+    df.hint("rebalance", cell).write.mode(mode).option("header", True).partitionBy(cell).csv(path)
 
 
 def read_cell(spark: SparkSession, path: str, schema: T.StructType, number: int, n_cells: int = 96, cell: str = "min_cell") -> DataFrame:

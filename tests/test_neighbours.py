@@ -88,6 +88,37 @@ def test_dbscan_equals_brute_force(spark, eps, block, monkeypatch):
     assert (got["is_core"].to_numpy() == core).all()
 
 
+@pytest.mark.parametrize("few", [0, 256])
+@pytest.mark.parametrize("eps", [0.3, 1.0])
+def test_dbscan_crowded_ball(spark, eps, few, monkeypatch):
+    monkeypatch.setattr(nn, "FEW_BLOCKS", few)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(420, 4))
+    x[:300] = rng.normal(scale=0.01, size=(300, 4))  # most rows crowd together
+    x[300:330] += 6
+    df = make(spark, x[rng.permutation(420)])
+    x = np.array([r["x"] for r in df.orderBy("id").collect()])
+    got = density.dbscan(df, "id", "x", eps, 4, 8).toPandas().set_index("id").sort_index()
+    label, core = brute_dbscan(x, eps, 4)
+    assert (got["Cluster"].to_numpy() == label).all() and (got["is_core"].to_numpy() == core).all()
+    found = nn.point_set(df, "id", "x", None, 8)
+    pairs, flooded, sure = density._settle(found.blocks, eps, 4)
+    blocks = found.blocks.meta.count()
+    crowded = flooded.count()
+    left = pairs.filter("NOT linked").join(flooded.select(F.col("block").alias("q")), "q", "left_semi").join(
+        flooded.select(F.col("block").alias("c")), "c", "left_semi").count()
+    assert crowded > 30 and left < crowded * crowded / 20 and blocks > crowded
+    if few == 0:
+        assert pairs.filter("NOT linked").count() < blocks * blocks / 2
+
+
+def test_dbscan_keeps_wide_keys(spark):
+    keys = [2**62 + i for i in range(12)]
+    df = spark.createDataFrame([(k, [float(i // 6) * 10]) for i, k in enumerate(keys)], "id long, x array<double>")
+    got = density.dbscan(df, "id", "x", 1.0, 3, 4).toPandas().sort_values("id")
+    assert got["id"].tolist() == keys and got["Cluster"].tolist() == [0] * 6 + [1] * 6
+
+
 def test_dbscan_long_chain(spark):
     x = np.c_[np.arange(150) * 0.5, np.zeros(150)]
     got = density.dbscan(make(spark, x), "id", "x", 0.5, 3, 10).toPandas()
