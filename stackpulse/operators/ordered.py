@@ -29,6 +29,22 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def with_headers(rows: DataFrame, per_slice: DataFrame) -> DataFrame:
+    """Put one header row per (series, slice) in front of its rows.
+
+    A window over the slice then reads the header's columns as its first
+    values, so figures per slice arrive in the shuffle that the window needs
+    anyway and no join moves the rows again. ``_head`` marks headers.
+    """
+    return rows.withColumn("_head", F.lit(False)).unionByName(
+        per_slice.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+
+
+def header_window(keys: Sequence[str], order: Sequence[str]):
+    """Window over a slice, header first."""
+    return Window.partitionBy(*keys).orderBy(F.desc("_head"), *order)
+
+
 def slices(df: DataFrame, order: Sequence[str], series: Sequence[str] = ()) -> DataFrame:
     """Range-partition on (series, order) and pin the slice number of each row."""
     ranged = df.repartitionByRange(*series, *order).withColumn(SLICE, F.spark_partition_id())
@@ -47,9 +63,6 @@ def running_totals(
     The second step handles one row per (series, slice).
     """
     keys = [*series, SLICE]
-    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
     sums = sliced.groupBy(*keys).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in totals.items()])
     before = Window.partitionBy(*(series or [F.lit(0)])).orderBy(SLICE)
     prior = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -59,10 +72,16 @@ def running_totals(
         *[F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in totals],
         *[F.sum(f"_s_{n}").over(whole).alias(f"_t_{n}") for n in totals],
     )
-    out = sliced.withColumns({n: F.coalesce(F.sum(e).over(local), F.lit(0)) for n, e in totals.items()})
-    out = join_keys(out, offsets, keys)
-    out = out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in totals})
-    return out.drop(*[f"_o_{n}" for n in totals])
+    w = header_window(keys, order)
+    head = w.rowsBetween(Window.unboundedPreceding, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    added = {}
+    for n, e in totals.items():
+        own = F.sum(F.when(~F.col("_head"), e)).over(upto)
+        added[n] = F.coalesce(own, F.lit(0)) + F.first(f"_o_{n}").over(head)
+        added[f"_t_{n}"] = F.first(f"_t_{n}").over(head)
+    out = with_headers(sliced, offsets).withColumns(added)
+    return out.filter(~F.col("_head")).drop("_head", *[f"_o_{n}" for n in totals])
 
 
 def index_rows(df: DataFrame, order: Sequence[str], series: Sequence[str] = ()) -> DataFrame:
@@ -148,12 +167,15 @@ def fill_gaps(indexed: DataFrame, columns: Sequence[str], series: Sequence[str]
         *[F.max(f"_last_{c}").over(earlier).alias(f"_in_{c}") for c in columns],
         *[F.min(f"_first_{c}").over(later).alias(f"_out_{c}") for c in columns],
     )
-    w = Window.partitionBy(*keys).orderBy(ROW)
+    w = header_window(keys, [ROW])
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    out = indexed.withColumns({f"_b_{c}": F.last(point[c], ignorenulls=True).over(back) for c in columns})
-    out = out.withColumns({f"_a_{c}": F.first(point[c], ignorenulls=True).over(ahead) for c in columns})
-    out = join_keys(out, carry, keys)
+    out = with_headers(indexed, carry).withColumns({
+        **{f"_b_{c}": F.last(point[c], ignorenulls=True).over(back) for c in columns},
+        **{f"_a_{c}": F.first(point[c], ignorenulls=True).over(ahead) for c in columns},
+        **{f"_in_{c}": F.first(f"_in_{c}").over(back) for c in columns},
+        **{f"_out_{c}": F.first(f"_out_{c}").over(back) for c in columns},
+    }).filter(~F.col("_head"))
     filled = {}
     for c in columns:
         left = F.coalesce(F.col(f"_b_{c}"), F.col(f"_in_{c}"))
@@ -166,7 +188,7 @@ def fill_gaps(indexed: DataFrame, columns: Sequence[str], series: Sequence[str]
             .otherwise(left["v"] + step)
         )
     helpers = [f"{p}{c}" for c in columns for p in ("_b_", "_a_", "_in_", "_out_")]
-    return out.withColumns(filled).drop(*helpers)
+    return out.withColumns(filled).drop("_head", *helpers)
 
 
 def chronological_split(indexed: DataFrame, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import array_mean, euclidean
 from ..session import materialise
-from .ordered import BLOCK_ROWS, ROW, SLICE, TOTAL, fill_gaps, in_blocks, index_rows, join_keys, rolling_columns
+from .ordered import (
+    BLOCK_ROWS, ROW, SLICE, TOTAL, fill_gaps, header_window, in_blocks, index_rows, join_keys, rolling_columns, with_headers,
+)
 from .quantiles import quantile
 from .wavelet import wavelet_smooth
 
@@ -61,12 +63,13 @@ def renumber(kept: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     prior = every.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"), F.sum("_n").over(every).alias("_len"))
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(ROW))
-    out = kept.drop(TOTAL).withColumn("_local", local)
-    out = join_keys(out, offsets, keys).withColumnRenamed(ROW, "source_row")
-    return out.withColumns({
-        ROW: (F.col("_local") - 1 + F.col("_off")).cast("bigint"), TOTAL: F.col("_len"),
-    }).drop("_local", "_off", "_len")
+    w = header_window(keys, [ROW]).rowsBetween(Window.unboundedPreceding, 0)
+    # The header counts as the first row of its slice.
+    out = with_headers(kept.drop(TOTAL), offsets).withColumns({
+        "_new": F.count(F.lit(1)).over(w) - 2 + F.first("_off").over(w), TOTAL: F.first("_len").over(w),
+    }).filter(~F.col("_head"))
+    return out.withColumnRenamed(ROW, "source_row").withColumn(ROW, F.col("_new").cast("bigint")).drop(
+        "_head", "_off", "_len", "_new")
 
 
 def reference_window(
