@@ -17,8 +17,8 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .text import text_batch
 
-REMEMBERED = 300_000
-_BATCH_TOKENS = 2_000_000
+REMEMBERED = 500_000
+_GROUP_CHARS = 1 << 19
 
 # The splitting pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,7 +79,7 @@ class ForcedBoundaryCoder:
         self.words = regex.compile(PATTERN).findall
         self.ascii_words = re.compile(ASCII_PATTERN).findall
         self.unsettled = re.compile(f"[^{SETTLED}]").search
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def split(self, text: str) -> list[str]:
         if text.isascii():
@@ -88,43 +88,57 @@ class ForcedBoundaryCoder:
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return self.words(text)
 
-    def fragments(self, word: str) -> list[bytes]:
-        """The word's bytes, cut wherever no token holds both neighbours."""
-        raw = word.encode()
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """Positions between neighbouring bytes that no token holds together."""
         codes = np.frombuffer(raw, np.uint8)
-        cuts = np.flatnonzero(~self.beside[codes[:-1], codes[1:]]) + 1
-        edges = [0, *cuts.tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(edges, edges[1:])]
-
-    def learn(self, fresh: set[str]) -> None:
-        pieces = {word: self.fragments(word) for word in fresh}
-        unique = list(dict.fromkeys(chain.from_iterable(pieces.values())))
-        coded = self.fragment_coder.encode_batch_fast([p.decode("latin-1").translate(self.symbols) for p in unique], add_special_tokens=False)
-        ids = {p: tuple(c.ids) for p, c in zip(unique, coded)}
-        for word, parts in pieces.items():
-            self.known[word] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(ids[p] for p in parts))
-
-    def encode_ordinary(self, text: str) -> list[int]:
-        words = self.split(text)
-        distinct = set(words)
+        return np.flatnonzero(~self.beside[codes[:-1], codes[1:]]) + 1
+
+    def learn(self, fresh: list[str]) -> None:
+        """Remember the ids of words, all cut at their forced boundaries at once."""
+        raw = [word.encode() for word in fresh]
+        blob = b"".join(raw)
+        ends = np.cumsum([0, *map(len, raw)])
+        edges = np.union1d(self.cuts(blob), ends)
+        first = np.searchsorted(edges, ends).tolist()
+        edges = edges.tolist()
+        shown = blob.decode("latin-1").translate(self.symbols)
+        pieces = [shown[a:b] for a, b in zip(edges, edges[1:])]
+        unique = list(dict.fromkeys(pieces))
+        ids = dict(zip(unique, [array("i", c.ids).tobytes() for c in self.fragment_coder.encode_batch_fast(unique, add_special_tokens=False)]))
+        for word, a, b in zip(fresh, first, first[1:]):
+            self.known[word] = ids[pieces[a]] if b == a + 1 else b"".join(map(ids.__getitem__, pieces[a:b]))
+
+    def encode_words(self, listed: list[list[str]]) -> list[bytes]:
+        distinct = set().union(*listed)
         fresh = distinct.difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.known.clear()
                 fresh = distinct
-            self.learn(fresh)
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+            self.learn(list(fresh))
+        return [b"".join(map(self.known.__getitem__, words)) for words in listed]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Special tokens in a text are themselves."""
+        parts: list[str] = []
+        owners: list[tuple[int, int | None]] = []  # (text, special id or None for ordinary text)
+        for i, text in enumerate(texts):
+            split = self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]
+            for part in split:
+                owners.append((i, self.special.get(part)))
+                if owners[-1][1] is None:
+                    parts.append(part)
+        coded = iter(self.encode_words([self.split(p) for p in parts]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, special in owners:
+            out[i].append(next(coded) if special is None else array("i", [special]).tobytes())
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
     def encode(self, text: str) -> list[int]:
-        if self.special_split is None or not any(s in text for s in self.special):
-            return self.encode_ordinary(text)
-        out: list[int] = []
-        for part in self.special_split.split(text):
-            out += [self.special[part]] if part in self.special else self.encode_ordinary(part)
-        return out
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return b"".join(map(self.token_bytes.__getitem__, np.asarray(ids, np.int32).tolist())).decode("utf-8", "replace")
 
 
 @functools.cache
@@ -133,23 +147,27 @@ def coder(path: str) -> ForcedBoundaryCoder:
     return ForcedBoundaryCoder(path)
 
 
+def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``_GROUP_CHARS`` together."""
+    at = 0
+    while at < len(lengths):
+        stop = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), _GROUP_CHARS, "right")))
+        yield at, min(stop, len(lengths))
+        at = stop
+
+
 def _encoded(path: str, decode: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(path)
         for batch in batches:
-            keys, ids, back, held, begin = batch.column(0), [], [], 0, 0
-            for row, text in enumerate(batch.column(1)):
-                codes = tool.encode(text.as_py() or "")
-                ids.append(np.array(codes, np.int32))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _groups(np.array([len(t) for t in texts])):
+                ids = tool.encode_all(texts[a:b])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                out = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
                 if decode:
-                    back.append(tool.decode(codes))
-                held += len(codes)
-                if held > _BATCH_TOKENS or row == len(keys) - 1:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                    out = [keys.slice(begin, row + 1 - begin), column, *([pa.array(back, pa.string())] if decode else [])]
-                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
-                    ids, back, held, begin = [], [], 0, row + 1
+                    out.append(pa.array([tool.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
     return run
 
 

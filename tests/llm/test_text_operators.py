@@ -54,9 +54,11 @@ def test_splitting_of_every_character():
 
 def test_cuts_are_between_pairs_of_no_token():
     tool = bpe.ForcedBoundaryCoder(bpe.default_path())
-    pieces = tool.fragments("thequzzxjqhouse")
-    assert b"".join(pieces) == b"thequzzxjqhouse" and len(pieces) > 1
-    assert all(not tool.beside[a[-1], b[0]] for a, b in zip(pieces, pieces[1:]))
+    raw = b"thequzzxjqhouse"
+    cuts = tool.cuts(raw)
+    assert len(cuts) and all(raw[c - 1:c + 1] not in b"".join(x) for c in cuts for x in [tool.token_bytes[i:i + 1] for i in range(0, 50256, 7)])
+    inside = {raw[i:i + 2] for token in tool.token_bytes for i in range(len(raw) - 1) if raw[i:i + 2] in token}
+    assert {int(c) for c in cuts} == {i + 1 for i in range(len(raw) - 1) if raw[i:i + 2] not in inside}
 
 
 def test_forgetting_keeps_results(monkeypatch):
