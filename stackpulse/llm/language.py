@@ -157,7 +157,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     by the languages."""
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("body"), F.col(lang).cast("string").alias("label")) \
         .filter(~held_out(key)).filter(F.col("body").rlike(r"\p{L}"))
-    return fit(bounded_sample(rows, "label", "body", TRAIN_ROWS, TRAIN_BYTES, per_label=True))
+    return fit(bounded_sample(rows, "body", TRAIN_ROWS, TRAIN_BYTES, label="label"))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

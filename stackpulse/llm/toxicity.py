@@ -138,12 +138,11 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None) -> Mode
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most ``TRAIN_ROWS`` labelled rows that are not held out. A
     document with several labels counts as toxic if one of them says so."""
-    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label is not null") \
-        .groupBy("key").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).filter(~held_out("key")).join(marks, "key")
-    rows = rows.withColumn("label", (F.col("label") > 0).cast("int"))
-    share = rows.agg(F.avg("label")).first()[0]
-    return fit(bounded_sample(rows, "label", "body", TRAIN_ROWS, TRAIN_BYTES, per_label=True), share)
+    marks = labels.select(F.col(key).alias("key"), (F.col(label).cast("int") > 0).cast("int").alias("label")) \
+        .filter("key is not null and label is not null").filter(~held_out("key")).groupBy("key").agg(F.max("label").alias("label"))
+    share = marks.agg(F.avg("label")).first()[0]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).filter(~held_out("key"))
+    return fit(bounded_sample(rows, "body", TRAIN_ROWS, TRAIN_BYTES, marks=marks, key="key"), share)
 
 
 def _scored(shared):

@@ -25,10 +25,10 @@ def test_held_out_rows(spark):
 
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(f"{i} " * (i % 7 + 1), str(i % 3)) for i in range(500)] + [("x" * 10_000, "0"), (None, "1"), ("y", None)], "text string, lang string")
-    got = sampling.bounded_sample(docs, "lang", "text", 90, 100_000, per_label=True)
+    got = sampling.bounded_sample(docs, "text", 90, 100_000, label="lang")
     assert len(got) == 90 and {x for _, x in got} == {"0", "1", "2"} and all(len(t) < 1000 for t, _ in got)
-    assert got == sampling.bounded_sample(docs.repartition(7), "lang", "text", 90, 100_000, per_label=True)
-    assert sum(len(t) for t, _ in sampling.bounded_sample(docs, "lang", "text", 400, 1200, per_label=False)) <= 1200
+    assert got == sampling.bounded_sample(docs.repartition(7), "text", 90, 100_000, label="lang")
+    assert sum(len(t) for t, _ in sampling.bounded_sample(docs, "text", 400, 1200 * 3, label="lang")) <= 3600
 
 
 def test_language_kernel():
