@@ -2,10 +2,12 @@
 
 ``link`` finds the edges that decide the connected components. First every
 member of a bucket is compared with the bucket's least member only. Components
-of the accepted pairs then settle nearly all buckets: a pair inside one
-component needs no comparison any more. What is left are buckets that span
-several components; there the members outside the bucket's largest component
-are compared with the members of other components. So every pair of a bucket is
+of the accepted pairs settle nearly all buckets, since a pair inside one
+component needs no comparison any more. Large buckets that still span several
+components are dealt into small random cells, in which members of different
+components are compared, and dealt anew as long as that finds links. What is
+left are the few members outside the largest component of a bucket: these are
+compared with all members of other components. So every pair of a bucket is
 either compared or already connected, and no link between components is lost.
 """
 
@@ -13,11 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
 Verify = Callable[[DataFrame], DataFrame]
+Likely = Callable[[Column, Column], Column]
+
+CELL = 32    # members of a random cell
+WORTH = 20   # cells go on while one pair in so many is a link
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,36 +57,80 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-def link(members: DataFrame, verify: Verify) -> DataFrame:
-    """(node, component) for linked nodes, from (bucket, node, weight) rows.
+def _merged(labels: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Labels after more links; nodes without a label stand for themselves."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    joined = accepted.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    tops = materialise(components(joined).withColumnRenamed("component", "top"), "tops")
+    old = labels.join(tops.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = tops.join(labels.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
+    return materialise(old.unionByName(new), "components")
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that span several components."""
+    labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")) \
+        .filter("low <> high").select("bucket", "size")
+    return materialise(labelled.join(spread, "bucket"), "open-buckets")
+
+
+def _cells(rows: DataFrame, turn: int, likely: Likely) -> DataFrame:
+    """Pairs of different components from random cells of large buckets; each
+    node takes part in its largest bucket."""
+    largest = rows.filter(F.col("size") > CELL).groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("of"), F.first("component").alias("component"), F.first("sketch").alias("sx"))
+    dealt = largest.select("of.bucket", "node", "component", "sx", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("of.size") / CELL)).alias("cell"))
+    other = dealt.select("bucket", "cell", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sx").alias("sy"))
+    return dealt.join(other, ["bucket", "cell"]).filter("node < y and component <> cy").filter(likely(F.col("sx"), F.col("sy"))).select(F.col("node").alias("a"), F.col("y").alias("b"))
+
+
+def _outsiders(rows: DataFrame, likely: Likely) -> DataFrame:
+    """Members outside the largest component of a bucket, paired with members of
+    other components, each pair in one of the buckets that it shares only."""
+    listed = rows.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    full = rows.join(listed, "node")
+    largest = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top")) \
+        .select("bucket", F.col("top.component").alias("largest"))
+    outside = full.join(largest, "bucket").filter("component <> largest") \
+        .select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("buckets").alias("bx"), F.col("sketch").alias("sx"), "largest")
+    inside = full.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("buckets").alias("by"), F.col("sketch").alias("sy"))
+    # Between two outsiders the lesser one speaks.
+    return outside.join(inside, "bucket").filter("cx <> cy and (cy = largest or x < y)") \
+        .filter(F.col("bucket") == F.array_min(F.array_intersect("bx", "by"))).filter(likely(F.col("sx"), F.col("sy"))) \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
-    ``verify`` takes pairs (a, b) and returns those that are links. Pairs whose
-    weights (set sizes) cannot meet the limit may be dropped by ``verify``.
+def link(members: DataFrame, verify: Verify, sketch: Callable[[DataFrame], DataFrame] | None = None, likely: Likely = lambda x, y: F.lit(True)) -> DataFrame:
+    """(node, component) for linked nodes, from (bucket, node) rows.
+
+    ``verify`` takes pairs (a, b), a below b, and returns those that are links.
+    ``sketch`` gives (node, sketch) rows for the nodes of buckets that stay
+    open; ``likely`` looks at the sketches of a pair and says whether it can be
+    a link. It must hold for every link.
     """
-    spark = members.sparkSession
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub")
     shared = materialise(members.join(hubs, "bucket").select("bucket", "node", "hub"), "buckets")
     tried = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    accepted = materialise(verify(tried).select("a", "b"), "links")
-    first = materialise(components(accepted), "components")
-    # Buckets that still span components.
-    labelled = shared.join(first, "node", "left").select("bucket", "node", "hub", F.coalesce("component", "node").alias("component"))
-    spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    open_ = materialise(labelled.join(spread, "bucket"), "open-buckets")
-    sizes = open_.groupBy("bucket", "component").count()
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top")).select("bucket", F.col("top.component").alias("largest"))
-    outside = open_.join(largest, "bucket").filter("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), "largest")
-    rest = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), "hub").join(outside, "bucket") \
-        .filter("cx <> cy and x <> hub and y <> hub and (cy = largest or x < y)") \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialise(verify(rest).select("a", "b"), "links")
-    if more.isEmpty():
-        return first
-    # Edges between first components are enough; nodes without one stand for themselves.
-    joined = more.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left") \
-        .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left") \
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(joined).withColumnRenamed("component", "top")
-    old = first.join(second.select(F.col("node").alias("component"), "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    new = second.join(first.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
-    return old.unionByName(new)
+    labels = materialise(components(materialise(verify(tried).select("a", "b"), "links")), "components")
+    rows = _open(shared, labels)
+    if rows.isEmpty():
+        return labels
+    sketches = None if sketch is None else materialise(sketch(rows.select("node").distinct()), "sketches")
+
+    def sketched() -> DataFrame:
+        return rows.withColumn("sketch", F.lit(None)) if sketches is None else rows.join(sketches, "node")
+
+    turn = 0
+    while not rows.filter(F.col("size") > CELL).isEmpty():
+        turn += 1
+        pairs = materialise(_cells(sketched(), turn, likely), "cell-pairs")
+        found = materialise(verify(pairs).select("a", "b"), "links")
+        n_pairs, n_found = pairs.count(), found.count()
+        if n_found:
+            labels = _merged(labels, found)
+            rows = _open(shared, labels)
+        if n_found * WORTH < n_pairs or not n_found:
+            break
+    more = materialise(verify(_outsiders(sketched(), likely)).select("a", "b"), "links")
+    return labels if more.isEmpty() else _merged(labels, more)
