@@ -21,6 +21,7 @@ from ..session import materialise
 
 Verify = Callable[[DataFrame], DataFrame]
 Likely = Callable[[Column, Column], Column]
+Fits = Callable[[str, str], Column]
 
 CELL = 32    # members of a random cell
 WORTH = 20   # cells go on while one pair in so many is a link
@@ -70,22 +71,22 @@ def _merged(labels: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that span several components."""
-    labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = shared.join(labels, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
     spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")) \
         .filter("low <> high").select("bucket", "size")
     return materialise(labelled.join(spread, "bucket"), "open-buckets")
 
 
-def _cells(rows: DataFrame, turn: int, likely: Likely) -> DataFrame:
+def _cells(rows: DataFrame, turn: int, fits: Fits, likely: Likely) -> DataFrame:
     """Pairs of different components from random cells of large buckets; each
     node takes part in its largest bucket."""
-    largest = rows.filter(F.col("size") > CELL).groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("of"), F.first("component").alias("component"), F.first("sketch").alias("sx"))
-    dealt = largest.select("of.bucket", "node", "component", "sx", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("of.size") / CELL)).alias("cell"))
-    other = dealt.select("bucket", "cell", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sx").alias("sy"))
-    return dealt.join(other, ["bucket", "cell"]).filter("node < y and component <> cy").filter(likely(F.col("sx"), F.col("sy"))).select(F.col("node").alias("a"), F.col("y").alias("b"))
+    largest = rows.filter(F.col("size") > CELL).groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("of"), F.first("component").alias("component"), F.first("weight").alias("wx"), F.first("sketch").alias("sx"))
+    dealt = largest.select("of.bucket", "node", "component", "wx", "sx", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("of.size") / CELL)).alias("cell"))
+    other = dealt.select("bucket", "cell", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("wx").alias("wy"), F.col("sx").alias("sy"))
+    return dealt.join(other, ["bucket", "cell"]).filter("node < y and component <> cy").filter(fits("wx", "wy")).filter(likely(F.col("sx"), F.col("sy"))).select(F.col("node").alias("a"), F.col("y").alias("b"))
 
 
-def _outsiders(rows: DataFrame, likely: Likely) -> DataFrame:
+def _outsiders(rows: DataFrame, fits: Fits, likely: Likely) -> DataFrame:
     """Members outside the largest component of a bucket, paired with members of
     other components, each pair in one of the buckets that it shares only."""
     listed = rows.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
@@ -93,25 +94,32 @@ def _outsiders(rows: DataFrame, likely: Likely) -> DataFrame:
     largest = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top")) \
         .select("bucket", F.col("top.component").alias("largest"))
     outside = full.join(largest, "bucket").filter("component <> largest") \
-        .select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("buckets").alias("bx"), F.col("sketch").alias("sx"), "largest")
-    inside = full.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("buckets").alias("by"), F.col("sketch").alias("sy"))
+        .select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("buckets").alias("bx"), F.col("weight").alias("wx"), F.col("sketch").alias("sx"), "largest")
+    inside = full.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("buckets").alias("by"), F.col("weight").alias("wy"), F.col("sketch").alias("sy"))
     # Between two outsiders the lesser one speaks.
-    return outside.join(inside, "bucket").filter("cx <> cy and (cy = largest or x < y)") \
+    return outside.join(inside, "bucket").filter("cx <> cy and (cy = largest or x < y)").filter(fits("wx", "wy")) \
         .filter(F.col("bucket") == F.array_min(F.array_intersect("bx", "by"))).filter(likely(F.col("sx"), F.col("sy"))) \
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link(members: DataFrame, verify: Verify, sketch: Callable[[DataFrame], DataFrame] | None = None, likely: Likely = lambda x, y: F.lit(True)) -> DataFrame:
-    """(node, component) for linked nodes, from (bucket, node) rows.
+def size_ratio(numerator: int, denominator: int) -> Fits:
+    """Sets whose sizes are further apart than the limit cannot be that alike."""
+    return lambda x, y: F.least(x, y) * denominator >= F.greatest(x, y) * numerator
+
+
+def link(members: DataFrame, verify: Verify, fits: Fits, sketch: Callable[[DataFrame], DataFrame] | None = None, likely: Likely = lambda x, y: F.lit(True)) -> DataFrame:
+    """(node, component) for linked nodes, from (bucket, node, weight) rows.
 
     ``verify`` takes pairs (a, b), a below b, and returns those that are links.
+    ``fits`` tells from the weights, the set sizes, whether two nodes can be one.
     ``sketch`` gives (node, sketch) rows for the nodes of buckets that stay
     open; ``likely`` looks at the sketches of a pair and says whether it can be
     a link. It must hold for every link.
     """
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub")
-    shared = materialise(members.join(hubs, "bucket").select("bucket", "node", "hub"), "buckets")
-    tried = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("hub"), F.max("node").alias("last")) \
+        .filter("hub.node <> last").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.weight").alias("hub_weight"))
+    shared = materialise(members.join(hubs, "bucket").select("bucket", "node", "weight", "hub", "hub_weight"), "buckets")
+    tried = shared.filter("node <> hub").filter(fits("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     labels = materialise(components(materialise(verify(tried).select("a", "b"), "links")), "components")
     rows = _open(shared, labels)
     if rows.isEmpty():
@@ -124,7 +132,7 @@ def link(members: DataFrame, verify: Verify, sketch: Callable[[DataFrame], DataF
     turn = 0
     while not rows.filter(F.col("size") > CELL).isEmpty():
         turn += 1
-        pairs = materialise(_cells(sketched(), turn, likely), "cell-pairs")
+        pairs = materialise(_cells(sketched(), turn, fits, likely), "cell-pairs")
         found = materialise(verify(pairs).select("a", "b"), "links")
         n_pairs, n_found = pairs.count(), found.count()
         if n_found:
@@ -132,5 +140,5 @@ def link(members: DataFrame, verify: Verify, sketch: Callable[[DataFrame], DataF
             rows = _open(shared, labels)
         if n_found * WORTH < n_pairs or not n_found:
             break
-    more = materialise(verify(_outsiders(sketched(), likely)).select("a", "b"), "links")
+    more = materialise(verify(_outsiders(sketched(), fits, likely)).select("a", "b"), "links")
     return labels if more.isEmpty() else _merged(labels, more)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 from . import text as tx
-from .links import link
+from .links import link, size_ratio
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -181,8 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(
         F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("chosen"),
         F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands")), "sets")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    sizes = nodes.select("node", "n_shingles")
+    members = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("weight"))
 
     def bodies(wanted: DataFrame) -> DataFrame:
         """(node, text) of one document for each wanted node."""
@@ -191,10 +190,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
             .join(chosen.select("node", "same", "text_hash"), ["same", "text_hash"]).select("node", "text").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-        b = sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
-        near = materialise(pairs.join(a, "a").join(b, "b")
-                           .filter(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator).select("a", "b"), "pairs")
+        near = materialise(pairs, "pairs")
         if near.isEmpty():
             return near
         found = materialise(bodies(near.select(F.col("a").alias("node")).union(near.select("b")).distinct()), "bodies")
@@ -205,7 +201,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     def sketches(wanted: DataFrame) -> DataFrame:
         return bodies(wanted).select("node", "text").mapInArrow(_sketched(size), "node long, sketch array<long>")
 
-    grouped = link(members, verify, sketches, likely(numerator, denominator))
+    grouped = link(members, verify, size_ratio(numerator, denominator), sketches, likely(numerator, denominator))
     owner = nodes.select("node", "least_id").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = owner.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_node = owner.join(least, "component").select("node", "component_id")

@@ -173,13 +173,26 @@ def test_circulant_signature():
 def test_links_lose_nothing(spark):
     """A bucket whose hub is linked to no one, and chains through buckets."""
     good = {(2, 3), (3, 4), (5, 6), (4, 9)}
-    members = [(1, n) for n in range(1, 7)] + [(2, 4), (2, 9)]
-    frame = spark.createDataFrame(members, "bucket long, node long")
+    members = [(1, n, 1) for n in range(1, 7)] + [(2, 4, 1), (2, 9, 1)]
+    frame = spark.createDataFrame(members, "bucket long, node long, weight long")
     ok = spark.createDataFrame(sorted(good), "a long, b long")
-    got = dict(rows(links.link(frame, lambda pairs: pairs.join(F.broadcast(ok), ["a", "b"], "left_semi"))))
+    got = dict(rows(links.link(frame, lambda pairs: pairs.join(F.broadcast(ok), ["a", "b"], "left_semi"), links.size_ratio(85, 100))))
     assert {got.get(n, n) for n in (2, 3, 4, 9)} == {2} and got.get(5, 5) == got.get(6, 6) == 5 and got.get(1, 1) == 1
 
 
+def test_links_of_a_large_bucket(spark):
+    """Random cells and the last round reach what the hub does not, and pairs of
+    unequal sizes are spared."""
+    rng = random.Random(8)
+    n = 300
+    good = {(a, b) for a in range(1, n) for b in range(a + 1, n) if rng.random() < 0.02 and a != 5 and b != 5}
+    frame = spark.createDataFrame([(7, i, 100 if i != 9 else 50) for i in range(n)], "bucket long, node long, weight long")
+    ok = spark.createDataFrame(sorted(good), "a long, b long")
+    got = dict(rows(links.link(frame, lambda pairs: pairs.join(F.broadcast(ok), ["a", "b"], "left_semi"), links.size_ratio(85, 100))))
+    want = brute.least_reachable(n, [e for e in good if 9 not in e])
+    assert [got.get(i, i) for i in range(n)] == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i + 1000, i + 1001) for i in range(200)]
