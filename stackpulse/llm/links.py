@@ -23,8 +23,8 @@ Verify = Callable[[DataFrame], DataFrame]
 Likely = Callable[[Column, Column], Column]
 Fits = Callable[[str, str], Column]
 
-CELL = 32    # members of a random cell
-WORTH = 20   # cells go on while one pair in so many is a link
+CELL = 96    # members of a random cell
+WORTH = 4    # cells go on while one pair in so many is a link
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large-star")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         now = materialise(small, "small-star")
@@ -119,7 +118,7 @@ def link(members: DataFrame, verify: Verify, fits: Fits, sketch: Callable[[DataF
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("hub"), F.max("node").alias("last")) \
         .filter("hub.node <> last").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.weight").alias("hub_weight"))
     shared = materialise(members.join(hubs, "bucket").select("bucket", "node", "weight", "hub", "hub_weight"), "buckets")
-    tried = shared.filter("node <> hub").filter(fits("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tried = materialise(shared.filter("node <> hub").filter(fits("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs")
     labels = materialise(components(materialise(verify(tried).select("a", "b"), "links")), "components")
     rows = _open(shared, labels)
     if rows.isEmpty():
@@ -140,5 +139,8 @@ def link(members: DataFrame, verify: Verify, fits: Fits, sketch: Callable[[DataF
             rows = _open(shared, labels)
         if n_found * WORTH < n_pairs or not n_found:
             break
-    more = materialise(verify(_outsiders(sketched(), fits, likely)).select("a", "b"), "links")
+    rest = materialise(_outsiders(sketched(), fits, likely), "last-pairs")
+    if rest.isEmpty():
+        return labels
+    more = materialise(verify(rest).select("a", "b"), "links")
     return labels if more.isEmpty() else _merged(labels, more)

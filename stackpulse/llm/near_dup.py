@@ -190,13 +190,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
             .join(chosen.select("node", "same", "text_hash"), ["same", "text_hash"]).select("node", "text").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = materialise(pairs, "pairs")
-        if near.isEmpty():
-            return near
-        found = materialise(bodies(near.select(F.col("a").alias("node")).union(near.select("b")).distinct()), "bodies")
+        found = materialise(bodies(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "bodies")
         ta = found.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         tb = found.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(numerator, denominator, size), "a long, b long")
+        return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(numerator, denominator, size), "a long, b long")
 
     def sketches(wanted: DataFrame) -> DataFrame:
         return bodies(wanted).select("node", "text").mapInArrow(_sketched(size), "node long, sketch array<long>")
