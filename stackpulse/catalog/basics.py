@@ -205,8 +205,8 @@ def b11(spark, sf):
 
 @query("b12_head_rows", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_no FROM events ORDER BY ts, event_id LIMIT 100")
 def b12(spark, sf):
-    rows = index_rows(table(spark, sf, "events").select("ts", "event_id"), ORDER)
-    return rows.filter("row_no < 100").select("event_id", "row_no")
+    head = table(spark, sf, "events").select("ts", "event_id").orderBy(*ORDER).limit(100)
+    return index_rows(head, ORDER).select("event_id", "row_no")
 
 
 RANGES = {"l_quantity": (2, 45), "l_discount": (0, 0.08), "l_tax": (0.01, 0.07)}

@@ -139,9 +139,9 @@ def i15(spark, sf):
 
 @query("i16_logistic_regression")
 def i16(spark, sf):
-    rows = _priced_states(spark, sf)
-    model = learn.train_logistic(rows, PRICE_FEATURES, "Health_State_Code")
-    return evaluate.classification_metrics(model.transform(rows), "Health_State_Code", "prediction")
+    train, test = balance.stratified_split(_priced_states(spark, sf), "key", "Health_State_Code")
+    model = learn.train_logistic(materialise(train, "train"), PRICE_FEATURES, "Health_State_Code")
+    return evaluate.classification_metrics(model.transform(test), "Health_State_Code", "prediction")
 
 
 @query("i17_grid_search_regression")
@@ -294,7 +294,7 @@ def s02(spark, sf):
     source, folder = scratch_path(spark, "s02-in"), scratch_path(spark, "s02-out")
     names = [f"Cell{i + 1}" for i in range(N_CELLS)]
     wide = cells_table(spark, sf).select("vec_id", F.col("label").alias("Load"), *tables.cell_columns(F.col("cells"), N_CELLS))
-    wide.coalesce(1).write.option("header", True).csv(source)
+    wide.write.option("header", True).csv(source)
 
     def report(df, run_id):
         packed = cell_ops.pack_cells(df, names)

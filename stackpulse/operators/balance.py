@@ -11,6 +11,10 @@ from .neighbours import BLOCK_POINTS, nearest
 from .ordered import ROW, TOTAL, index_rows
 
 
+# Synthetic copies that one task makes of a row.
+STRIP = 10_000
+
+
 def hash_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Random split that depends on the row's id alone."""
     bucket = F.pmod(id_hash(F.col(key), seed), F.lit(10_000))
@@ -71,9 +75,12 @@ def smote(
         F.slice(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), 1, k)["neighbour"].alias("_near"))
 
     copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col(ROW) < F.col("_need") % F.col("_n"), 1).otherwise(0)
-    made = numbered.withColumn("_c", copies).filter(F.col("_c") > 0).withColumn(
-        "_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c")))).join(lists, key)
-    draw = F.pmod(F.col(key).cast("bigint"), F.lit(2**40)) * 1009 + F.col("_c")
+    # Copies are dealt out in strips first, so no task makes all of one row's.
+    strips = numbered.withColumn("_all", copies).filter(F.col("_all") > 0).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_all") - 1, F.lit(STRIP).cast("bigint"))).alias("_first"))
+    made = strips.repartition(key, "_first").withColumn(
+        "_c", F.explode(F.sequence(F.col("_first") + 1, F.least(F.col("_all"), F.col("_first") + STRIP)))).join(lists, key)
+    draw = F.pmod(F.xxhash64(key, "_c"), F.lit(2**40))
     made = made.withColumns({
         "_pick": F.element_at("_near", (F.pmod(id_hash(draw, seed), F.size("_near")) + 1).cast("int")),
         "_u": unit_hash(draw, seed + 1),

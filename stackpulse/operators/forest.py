@@ -20,7 +20,6 @@ from .quantiles import quantile
 SAMPLE = 256
 TREES = 100
 # Rows times trees up to which every row may stand for every tree.
-_SMALL = 5_000_000
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, size int, depth int"
 
 
@@ -35,17 +34,15 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 def tree_samples(df: DataFrame, key: str, trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, row) with ``sample`` rows per tree, chosen by hash of key and tree.
 
-    On large tables a row is offered to one tree only, at a rate somewhat above
-    the need; the surplus is cut off by rank inside each bounded group.
+    Every row is offered to a tree by its hash for that tree, at a rate
+    somewhat above the need; the surplus is cut off by rank inside each bounded
+    group.
     """
-    n = df.count()
-    if n * trees <= _SMALL:
-        offered = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        rate = min(1.0, 1.3 * trees * sample / n)
-        draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**40))
-        offered = df.filter(draw < int(rate * 2**40)).withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(trees)).cast("int"))
+    n = max(1, df.count())
+    need = sample + 6 * sample ** 0.5 + 12  # beyond the spread of a draw
+    limit = F.lit(int(min(1.0, need / n) * 2**40))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed + 1)), F.lit(2**40)) < limit)
+    offered = df.withColumn("tree", F.explode(chosen))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), key)
     return offered.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample).drop("_r")
 
@@ -190,7 +187,7 @@ def shapley_values(
         F.avg("gain").alias("contribution"))
 
 
-def background_rows(df: DataFrame, order: str, vector: str, rows: int = 100) -> np.ndarray:
-    """The first ``rows`` rows by ``order`` as a matrix."""
-    head = df.orderBy(order).limit(rows).select(F.col(vector).cast("array<double>").alias("x")).collect()
+def background_rows(df: DataFrame, key: str, vector: str, rows: int = 100, seed: int = 42) -> np.ndarray:
+    """A hash sample of ``rows`` rows of the whole table as a matrix."""
+    head = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows).select(F.col(vector).cast("array<double>").alias("x")).collect()
     return np.array([r["x"] for r in head])

@@ -39,9 +39,12 @@ def read_latest_run(spark: SparkSession, path: str, base: str | None = None) ->
         return spark.read.parquet(base)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no report under {path}")
-    runs = spark.read.option("recursiveFileLookup", False).parquet(path)
-    latest = runs.agg(F.max("run_id").alias("r")).first()["r"]
-    return runs.filter(F.col("run_id") == latest)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    latest = max((n for n in names if n.startswith("run_id=")), default=None)
+    if latest is None:
+        raise FileNotFoundError(f"no report under {path}")
+    return spark.read.option("basePath", path).parquet(f"{path}/{latest}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -74,8 +74,7 @@ def test_forest_save_load_and_small_samples(spark, tmp_path):
     assert forest.fit_forest(one, "id", "x", trees=2).score(one, "x").count() == 10
 
 
-def test_samples_of_a_large_table(spark, monkeypatch):
-    monkeypatch.setattr(forest, "_SMALL", 10)
+def test_samples_of_a_large_table(spark):
     df = make(spark, np.random.default_rng(4).normal(size=(3000, 1)))
     sizes = [r["count"] for r in forest.tree_samples(df, "id", 5, 64, 1).groupBy("tree").count().collect()]
     assert len(sizes) == 5 and max(sizes) == 64 and min(sizes) > 40
