@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import array_sum
 from ..operators import ordered, series as ops
-from ..operators.wavelet import wavelet_smooth
+from ..operators.wavelet import DB4, analyse, high_pass, wavelet_smooth
 from .registry import ORDER, SERIES, SERIES_SQL, query, r6, series_table
 
 W = "OVER (PARTITION BY user_id ORDER BY row_no)"
@@ -80,13 +80,28 @@ def e07(spark, sf):
     return whole.join(keyed, "event_id")
 
 
-@query("e09_wavelet", f"WITH {SERIES_SQL} SELECT event_id, round(CASE WHEN n < 16 THEN 0 ELSE current END, 6) AS wavelet FROM series")
+@query("e09_wavelet", f"WITH {SERIES_SQL} SELECT event_id, round(current, 6) AS wavelet FROM series")
 def e09(spark, sf):
     rows = _indexed(spark, sf)
     wave = wavelet_smooth(rows, "current", SERIES)
     return rows.select("user_id", "row_no", "event_id").join(wave, ["user_id", "row_no"]).select("event_id", r6("wavelet").alias("wavelet"))
 
 
+# Every coefficient from its filter taps over the mirrored series.
+COEFFICIENTS_SQL = f"""{SERIES_SQL},
+taps AS (SELECT unnest({DB4}::DOUBLE[]) AS low, unnest({high_pass(DB4)}::DOUBLE[]) AS high, unnest(range({len(DB4)})) AS j),
+k AS (SELECT user_id, n, unnest(range((n + {len(DB4) - 1}) // 2)) AS k FROM (SELECT DISTINCT user_id, n FROM series)),
+reached AS (SELECT user_id, k, n, low, high, (2 * k + 1 - j + 8 * n) % (2 * n) AS m FROM k, taps),
+placed AS (SELECT *, CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END AS row_no FROM reached)"""
+
+
+@query("e09_wavelet_coefficients", f"""
+WITH {COEFFICIENTS_SQL} SELECT user_id, k AS row_no, round(sum(low * current), 6) AS approx, round(sum(high * current), 6) AS detail
+FROM placed JOIN series USING (user_id, row_no) GROUP BY 1, 2""")
+def e09_coefficients(spark, sf):
+    return analyse(_indexed(spark, sf), "current", SERIES).select("user_id", "row_no", r6("approx").alias("approx"), r6("detail").alias("detail"))
+
+
 # A run of p missing values at the head reaches that many coefficients and
 # then samples: the same reach arithmetic as the filters.
 FEATURES_SQL = f"""{FILLED},
@@ -97,7 +112,7 @@ p3 AS (SELECT *, CASE WHEN p > 0 THEN (p2 + 5) // 2 + 1 ELSE 0 END AS p3 FROM p2
 reach AS (SELECT user_id, 2 * greatest(p1, 2 * greatest(p2, 2 * p3)) AS reach FROM p3),
 feat AS (SELECT filled.*, lag(current, 1) {W} AS current_lag1, lag(current, 2) {W} AS current_lag2, lag(voltage, 1) {W} AS voltage_lag1,
   {ROLL.format(f='avg')} AS current_rolling_mean, {ROLL.format(f='stddev_samp')} AS current_rolling_std,
-  CASE WHEN n < 16 THEN 0 WHEN row_no >= reach THEN current END AS wavelet_current
+  CASE WHEN row_no >= reach THEN current END AS wavelet_current
   FROM filled JOIN reach USING (user_id) {ROLL_W}),
 kept AS (SELECT *, row_number() {W} - 1 AS new_no, count(*) OVER (PARTITION BY user_id) AS new_n FROM feat WHERE current IS NOT NULL AND current_lag1 IS NOT NULL AND current_lag2 IS NOT NULL
   AND voltage_lag1 IS NOT NULL AND current_rolling_mean IS NOT NULL AND current_rolling_std IS NOT NULL AND wavelet_current IS NOT NULL)"""
@@ -115,7 +130,7 @@ def i26(spark, sf):
 
 REF = f"""{SERIES_SQL}, w AS (SELECT s.user_id, s.row_no AS target, h.row_no - (s.row_no - 30) AS e, h.current AS x
   FROM series s JOIN series h ON s.user_id = h.user_id AND h.row_no BETWEEN s.row_no - 30 AND s.row_no - 1 WHERE s.row_no >= 30),
-ref AS (SELECT user_id, e, median(x) AS m FROM w WHERE target < 1030 GROUP BY 1, 2)"""
+ref AS (SELECT user_id, e, median(x) AS m FROM w GROUP BY 1, 2)"""
 
 
 @query("d32_reference_window", f"WITH {REF} SELECT user_id, e AS element, round(m, 6) AS value FROM ref")

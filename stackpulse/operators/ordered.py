@@ -161,7 +161,7 @@ def fill_gaps(indexed: DataFrame, columns: Sequence[str], series: Sequence[str]
     )
     order = Window.partitionBy(*(series or [F.lit(0)])).orderBy(SLICE)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*(series or [F.lit(0)])).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *keys,
         *[F.max(f"_last_{c}").over(earlier).alias(f"_in_{c}") for c in columns],
@@ -169,10 +169,11 @@ def fill_gaps(indexed: DataFrame, columns: Sequence[str], series: Sequence[str]
     )
     w = header_window(keys, [ROW])
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, because a frame that only grows takes one pass.
+    ahead = Window.partitionBy(*keys).orderBy("_head", F.desc(ROW)).rowsBetween(Window.unboundedPreceding, 0)
     out = with_headers(indexed, carry).withColumns({
         **{f"_b_{c}": F.last(point[c], ignorenulls=True).over(back) for c in columns},
-        **{f"_a_{c}": F.first(point[c], ignorenulls=True).over(ahead) for c in columns},
+        **{f"_a_{c}": F.last(point[c], ignorenulls=True).over(ahead) for c in columns},
         **{f"_in_{c}": F.first(f"_in_{c}").over(back) for c in columns},
         **{f"_out_{c}": F.first(f"_out_{c}").over(back) for c in columns},
     }).filter(~F.col("_head"))

@@ -232,15 +232,10 @@ def array_quantiles(
 ) -> list[float | None]:
     """Exact quantile of every position of an array column.
 
-    ``keep(value)`` may narrow the values that count. Few rows share one
-    aggregate over (position, value) pairs; many rows take the passes above
-    with one column per position, so no task buffers a position.
+    ``keep(value)`` may narrow the values that count. Each position is a column
+    of the passes above, so no task buffers a position.
     """
     counts = keep or (lambda v: F.lit(True))
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        pairs = df.select(F.posexplode(array).alias("pos", "v")).filter(_present("v") & counts(F.col("v")))
-        found = {r["pos"]: r["q"] for r in pairs.groupBy("pos").agg(F.percentile("v", F.lit(float(p))).alias("q")).collect()}
-        return [found.get(i) for i in range(size)]
     cell = [F.get(F.col(array), i) for i in range(size)]
     wide = df.select(*[F.when(counts(v), v).alias(f"c{i}") for i, v in enumerate(cell)])
     got = quantiles(wide, {f"c{i}": [p] for i in range(size)}, exact_rows, accuracy)

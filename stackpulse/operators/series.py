@@ -73,30 +73,52 @@ def renumber(kept: DataFrame, series: Sequence[str] = ()) -> DataFrame:
 
 
 def reference_window(
-    indexed: DataFrame, features: Sequence[str], length: int = LENGTH, windows: int = 1000,
+    indexed: DataFrame, features: Sequence[str], length: int = LENGTH, windows: int | None = None,
     series: Sequence[str] = (), first: bool = False,
 ) -> DataFrame:
-    """Elementwise median of the first ``windows`` windows of each series.
-
-    Only the rows under these windows leave the scan, so a group has at most
-    windows + length - 1 rows however long its series is. ``first`` takes
-    window 0 instead. One row per series with ``reference`` as
-    array<array<double>>.
+    """Elementwise median of the windows of each series: of all of them, of the
+    first ``windows`` if given, or of window 0 with ``first``. One row per
+    series with ``reference`` as array<array<double>>; missing values do not
+    count.
+
+    The values at one element are those of all rows under the windows but for
+    ``length`` rows at the ends. So every wanted median lies among the few
+    middle ranks, and only these rows and those at the ends meet in one group.
+    Ranks come from range-partitioned slices, however long a series is.
     """
     windows = 1 if first else windows
-    count = F.least(F.lit(windows), F.col(TOTAL) - length)
-    base = indexed.filter((F.col(TOTAL) > length) & (F.col(ROW) < count + length - 1))
-    base = base.select(*series, ROW, *[F.col(f).cast("double") for f in features])
+    rows = F.col(TOTAL) if windows is None else F.least(F.col(TOTAL), F.lit(windows + length))
+    base = indexed.filter((F.col(TOTAL) > length) & (F.col(ROW) < rows))
+    cells = F.array(*[F.col(f).cast("double") for f in features])
+    long = base.select(*series, F.col(ROW).alias("at"), rows.alias("rows"), F.posexplode(cells).alias("feature", "value"))
+    ranked = index_rows(long.filter("value is not null"), ["value", "at"], [*series, "feature"])
+    middle = F.abs(2 * F.col(ROW) - F.col(TOTAL)) <= 2 * (length + 2)
+    ends = (F.col("at") < length) | (F.col("at") >= F.col("rows") - length)
+    few = ranked.filter(middle | ends).select(*series, "at", "rows", "feature", "value", F.col(ROW).alias("rank"), F.col(TOTAL).alias("known"))
     schema = ", ".join([*[f"`{s}` {indexed.schema[s].dataType.simpleString()}" for s in series], "reference array<array<double>>"])
 
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(ROW)[list(features)].to_numpy(dtype=float)
-        middle = np.median(np.lib.stride_tricks.sliding_window_view(x, length, axis=0), axis=0).T
+    def medians(pdf: pd.DataFrame) -> np.ndarray:
+        pdf = pdf.sort_values("rank")
+        at, rank, value = (pdf[c].to_numpy() for c in ("at", "rank", "value"))
+        rows, known = int(pdf["rows"].iloc[0]), int(pdf["known"].iloc[0])
+        out = np.full(length, np.nan)
+        for e in range(length):
+            gone = (at < e) | (at >= rows - length + e)
+            place = np.where(gone, -1, rank - (np.cumsum(gone) - gone))
+            n = known - int(gone.sum())
+            if n:
+                out[e] = (value[place == (n - 1) // 2][0] + value[place == n // 2][0]) / 2
+        return out
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        middle = np.full((length, len(features)), np.nan)
+        for f, part in pdf.groupby("feature"):
+            middle[:, f] = medians(part)
         out = pdf[list(series)].iloc[:1].reset_index(drop=True)
         out["reference"] = [middle.tolist()]
         return out if series else pd.DataFrame({"reference": [middle.tolist()]})
 
-    return base.groupBy(*series).applyInPandas(median, schema)
+    return few.groupBy(*series).applyInPandas(build, schema)
 
 
 def attach_reference(windows: DataFrame, reference: DataFrame, series: Sequence[str] = ()) -> DataFrame:

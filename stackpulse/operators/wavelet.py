@@ -22,10 +22,9 @@ DB4 = [
     -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523,
 ]
 TAPS = len(DB4)
-MIN_ROWS = 16
 
 
-def _high(low: Sequence[float]) -> list[float]:
+def high_pass(low: Sequence[float]) -> list[float]:
     """Quadrature mirror of a low-pass filter."""
     return [(-1) ** (k + 1) * v for k, v in enumerate(reversed(low))]
 
@@ -46,6 +45,19 @@ def level_size(rows: Column, level: int) -> Column:
     return rows
 
 
+def _images(at: Column, n: Column) -> Column:
+    """Positions, as far as the filters reach, at which a signal of ``n`` rows
+    that is mirrored at its ends shows row ``at``. The mirror image repeats
+    every 2n positions, which matters to signals shorter than the filter."""
+    reach, period = TAPS - 2, 2 * n
+
+    def places(row: Column) -> Column:
+        first = F.pmod(row + reach, period) - reach
+        return F.when(first <= n + reach, F.sequence(first, n + reach, period)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.concat(places(at), places(-1 - at))
+
+
 def analyse(df: DataFrame, value: str, series: Sequence[str] = (), level: int = 0) -> DataFrame:
     """One level: rows (series, row_no, approx, detail, series_rows) at half rate.
 
@@ -54,12 +66,7 @@ def analyse(df: DataFrame, value: str, series: Sequence[str] = (), level: int =
     series; the input of this level holds ``level_size(series_rows, level)``.
     """
     n, at = level_size(F.col(TOTAL), level), F.col(ROW)
-    mirrored = F.array_compact(F.array(
-        at,
-        F.when(at < TAPS - 1, -1 - at),
-        F.when(n - 1 - at < TAPS - 1, 2 * n - 1 - at),
-    ))
-    spread = df.select(*series, TOTAL, value, F.explode(mirrored).alias("_at"))
+    spread = df.select(*series, TOTAL, value, F.explode(_images(at, n)).alias("_at"))
     # Only taps of one parity reach a position: j = 2k + 1 - at.
     taps = F.sequence(F.pmod(F.col("_at") + 1, F.lit(2)), F.lit(TAPS - 1), F.lit(2))
     reach = spread.withColumn("_j", F.explode(taps))
@@ -68,7 +75,7 @@ def analyse(df: DataFrame, value: str, series: Sequence[str] = (), level: int =
     tap = (F.col("_j") + 1).cast("int")
     return reach.groupBy(*series, F.col("_k").alias(ROW)).agg(
         _strict_sum(F.col(value) * F.element_at(_taps(DB4), tap)).alias("approx"),
-        _strict_sum(F.col(value) * F.element_at(_taps(_high(DB4)), tap)).alias("detail"),
+        _strict_sum(F.col(value) * F.element_at(_taps(high_pass(DB4)), tap)).alias("detail"),
         F.first(TOTAL).alias(TOTAL),
     )
 
@@ -84,24 +91,26 @@ def synthesise(approx: DataFrame, detail: DataFrame, series: Sequence[str] = (),
             *series, TOTAL, F.col(ROW).alias("_k"), F.col(column).alias("_c"),
             F.posexplode(_taps(list(reversed(taps)))).alias("_j", "_tap"))
 
-    both = shares(approx, "approx", DB4).unionByName(shares(detail, "detail", _high(DB4)))
+    both = shares(approx, "approx", DB4).unionByName(shares(detail, "detail", high_pass(DB4)))
     both = both.withColumn(ROW, F.col("_j") + 2 * F.col("_k") - (TAPS - 2))
     both = both.filter((F.col(ROW) >= 0) & (F.col(ROW) < level_size(F.col(TOTAL), level)))
     return both.groupBy(*series, ROW).agg(
         _strict_sum(F.col("_c") * F.col("_tap")).alias("approx"), F.first(TOTAL).alias(TOTAL))
 
 
-def wavelet_smooth(indexed: DataFrame, column: str, series: Sequence[str] = (), level: int = 3, name: str = "wavelet") -> DataFrame:
+def wavelet_smooth(
+    indexed: DataFrame, column: str, series: Sequence[str] = (), level: int = 3, name: str = "wavelet", zero_below: int = 0
+) -> DataFrame:
     """Decompose to ``level`` and rebuild; rows (series, row_no, name).
 
     The coefficients are left as they are, so the output equals the input up to
-    rounding. Series with fewer than 16 rows give 0; positions within reach of
-    a missing value give null. Each level is half as long as the one before and
+    rounding. Positions within reach of a missing value give null. Series with
+    fewer than ``zero_below`` rows give 0; none do by default. Each level is half as long as the one before and
     is pinned, because the rebuild reads it again.
     """
     base = indexed.select(*series, ROW, TOTAL, F.col(column).alias("approx"))
-    short = base.filter(F.col(TOTAL) < MIN_ROWS).select(*series, ROW, F.lit(0.0).alias(name))
-    current = base.filter(F.col(TOTAL) >= MIN_ROWS)
+    short = base.filter(F.col(TOTAL) < zero_below).select(*series, ROW, F.lit(0.0).alias(name))
+    current = base.filter(F.col(TOTAL) >= zero_below)
     steps = []
     for depth in range(level):
         current = materialise(analyse(current, "approx", series, depth), "wavelet")

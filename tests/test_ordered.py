@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from stackpulse.operators import ordered, series as ops
-from stackpulse.operators.wavelet import DB4, _high, analyse, level_size, wavelet_smooth
+from stackpulse.operators.wavelet import DB4, high_pass, analyse, level_size, wavelet_smooth
 
 
 @pytest.fixture(scope="module")
@@ -96,13 +96,17 @@ def test_reference_window(indexed, data):
     for limit in (1000, 100):
         ref = ops.reference_window(indexed, ["voltage"], 30, limit, ["s"]).filter("s = 'hot'").first()["reference"]
         assert np.allclose(np.array(ref)[:, 0], np.median(wins[:limit], axis=0))
+    every = ops.reference_window(indexed, ["voltage"], 30, series=["s"]).filter("s = 'hot'").first()["reference"]
+    assert np.allclose(np.array(every)[:, 0], np.median(wins, axis=0))
+    zero = ops.reference_window(indexed, ["voltage"], 30, series=["s"], first=True).filter("s = 'hot'").first()["reference"]
+    assert np.allclose(np.array(zero)[:, 0], wins[0])
 
 
 def numpy_analysis(x):
     ext = lambda i: x[-1 - i] if i < 0 else (x[2 * len(x) - 1 - i] if i >= len(x) else x[i])
     size = (len(x) + 7) // 2
     low = [sum(DB4[j] * ext(2 * k + 1 - j) for j in range(8)) for k in range(size)]
-    high = [sum(_high(DB4)[j] * ext(2 * k + 1 - j) for j in range(8)) for k in range(size)]
+    high = [sum(high_pass(DB4)[j] * ext(2 * k + 1 - j) for j in range(8)) for k in range(size)]
     return np.array(low), np.array(high)
 
 
@@ -121,11 +125,20 @@ def test_wavelet_levels(spark):
 
 def test_wavelet_rebuild(indexed):
     filled = indexed.withColumn("x", indexed["voltage"])
-    got = wavelet_smooth(filled, "x", ["s"]).toPandas().set_index(["s", "row_no"]).sort_index()
+    every = wavelet_smooth(filled, "x", ["s"]).toPandas().set_index(["s", "row_no"]).sort_index()
+    got = wavelet_smooth(filled, "x", ["s"], zero_below=16).toPandas().set_index(["s", "row_no"]).sort_index()
     want = filled.toPandas().set_index(["s", "row_no"]).sort_index()
     long = want["series_rows"] >= 16
     assert np.allclose(got["wavelet"][long], want["x"][long])
     assert (got["wavelet"][~long] == 0).all()
+    assert np.allclose(every["wavelet"], want["x"])
+
+
+def test_wavelet_of_short_series(spark):
+    rows = [(n, i, float((i * 7 + n) % 5) - 1.5) for n in range(1, 12) for i in range(n)]
+    df = ordered.index_rows(spark.createDataFrame(rows, "s int, id int, v double"), ["id"], ["s"])
+    got = wavelet_smooth(df, "v", ["s"]).join(df.select("s", "row_no", "v"), ["s", "row_no"]).toPandas()
+    assert len(got) == len(rows) and np.allclose(got["wavelet"], got["v"])
 
 
 def test_wavelet_gap_spoils_its_reach(spark):
