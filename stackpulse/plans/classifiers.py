@@ -19,20 +19,22 @@ def train_health(
 ) -> tuple[PipelineModel, PipelineModel, DataFrame, list[str]]:
     """(model, model on top features, metrics, top features).
 
-    Labels are cut at the 5 % and 50 % quantiles of the target before
-    synthetic extremes are added; statistics come from the training part.
+    Labels are cut at the 5 % and 50 % quantiles of the target. The source rows
+    are split first; fill values and the choice of columns come from the
+    training part, and only that part gets synthetic extremes, so no copy of a
+    row is on the other side.
     """
     require_columns(df, [key, target, time])
-    base = clean.fill_means(df, numeric_columns(df, [key]))
-    flat = profile.low_spread_columns(base, numeric_columns(base, [key, target]))
-    features = [c for c in numeric_columns(base, [key, target, *exclude]) if c not in flat]
-    _, cuts = learn.health_labels(base, target)
-    rows = learn.augment_extremes(base, target, time, key=key) if augment else base
-    rows, _ = learn.health_labels(rows, target, thresholds=list(cuts.values()))
-    # Copies share their source's key, so the split takes them along.
-    rows = materialise(rows, "health_rows")
-    train, test = balance.stratified_split(rows, key, "Health_State_Code")
-    train, test = materialise(train, "train"), materialise(test, "test")
+    numeric = numeric_columns(df, [key])
+    labelled, cuts = learn.health_labels(df, target)
+    parts = [materialise(p.drop("Health_State", "Health_State_Code"), "health_rows") for p in balance.stratified_split(labelled, key, "Health_State_Code")]
+    means = clean.stored_means(parts[0], numeric).first().asDict()
+    train, test = [p.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in numeric}) for p in parts]
+    flat = profile.low_spread_columns(train, [c for c in numeric if c != target])
+    features = [c for c in numeric if c not in {target, *exclude, *flat}]
+    if augment:
+        train = learn.augment_extremes(train, target, time, key=key)
+    train, test = [materialise(learn.health_labels(p, target, thresholds=list(cuts.values()))[0], name) for p, name in ((train, "train"), (test, "test"))]
     model = learn.train_forest(train, features, "Health_State_Code", trees, depth)
     top_model, top = learn.retrain_on_top(train, model, "Health_State_Code", trees=trees, depth=depth)
     parts = None

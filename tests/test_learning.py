@@ -71,6 +71,20 @@ def test_health_plan(spark):
     assert np.isclose(table[("all", "test")]["critical_threshold"], np.quantile([r[2] for r in rows], 0.05))
 
 
+def test_health_plan_augments_training_rows_only(spark, monkeypatch):
+    rows = [(i, float(i), 3 + i / 400, None if i % 50 == 0 else float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, time double, utot double, other double")
+    seen, augment = [], learn.augment_extremes
+
+    def watched(part, *args, **options):
+        seen.extend(r["id"] for r in part.collect())
+        return augment(part, *args, **options)
+
+    monkeypatch.setattr(learn, "augment_extremes", watched)
+    classifiers.train_health(df, "id", "utot", "time", trees=2, depth=2)
+    assert len(seen) == len(set(seen)) and 300 < len(seen) < 330
+
+
 def test_voltage_plan_and_storage(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, float(a), float(b), float(3 * a - b)) for i, (a, b) in enumerate(rng.uniform(size=(600, 2)))]
