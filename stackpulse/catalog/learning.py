@@ -171,35 +171,35 @@ def i19(spark, sf):
         F.count_if(~F.col("synthetic")).alias("original"), F.count_if(F.col("synthetic")).alias("synthetic"))
 
 
-def _quick_forest(spark, sf):
+def _fitted_forest(spark, sf):
     rows = _priced_states(spark, sf)
-    return rows, learn.train_forest(rows, PRICE_FEATURES, "Health_State_Code", 20, 5)
+    return rows, learn.train_forest(rows, PRICE_FEATURES, "Health_State_Code", 100, 10)
 
 
 @query("i20_feature_importance")
 def i20(spark, sf):
-    return learn.importances(_quick_forest(spark, sf)[1], spark)
+    return learn.importances(_fitted_forest(spark, sf)[1], spark)
 
 
 @query("f01_sorted_importances")
 def f01(spark, sf):
-    return learn.importances(_quick_forest(spark, sf)[1], spark).orderBy(F.desc("importance"), "feature")
+    return learn.importances(_fitted_forest(spark, sf)[1], spark).orderBy(F.desc("importance"), "feature")
 
 
 @query("f03_important_features")
 def f03(spark, sf):
-    return learn.importances(_quick_forest(spark, sf)[1], spark).filter("importance > 0.05")
+    return learn.importances(_fitted_forest(spark, sf)[1], spark).filter("importance > 0.05")
 
 
 @query("i21_score_batch")
 def i21(spark, sf):
-    rows, model = _quick_forest(spark, sf)
+    rows, model = _fitted_forest(spark, sf)
     return learn.score_health(rows.drop("Health_State", "Health_State_Code"), model).select("key", "Health_State_Predicted", "Health_State_Label")
 
 
 @query("a12_model_save_load")
 def a12(spark, sf):
-    rows, model = _quick_forest(spark, sf)
+    rows, model = _fitted_forest(spark, sf)
     path = scratch_path(spark, "a12")
     models.save_model(model, path)
     return learn.score_fault(rows.select("key", *PRICE_FEATURES), models.load_model(path)).select(
