@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions.arrays import euclidean
 from ..operators import cells as cell_ops, clean
 from ..operators.ordered import index_rows
-from ..schema import drop_if_present, exclude_columns, numeric_columns, rename_snake, select_features, with_missing_as_zero
+from ..schema import drop_if_present, exclude_columns, numeric_columns, rename_snake, require_columns, select_features, with_missing_as_zero
 from ..session import materialise, scratch_path
 from ..sources import sinks, tables
 from .registry import CELLS_SQL, N_CELLS, ORDER, SERIES, cells_table, query, r6, series_table, table
@@ -140,6 +140,20 @@ def b01(spark, sf):
     return clean.drop_duplicate_rows(table(spark, sf, "events").select("user_id", "event_type"))
 
 
+@query("a06_required_columns", """
+SELECT l_orderkey, l_linenumber, l_quantity, 'missing columns: [''humidity'', ''load'']' AS refusal FROM lineitem""")
+def a06(spark, sf):
+    """Rows of a table that has what is required, and what the check says about
+    names that it lacks."""
+    rows = table(spark, sf, "lineitem")
+    try:
+        require_columns(rows, ["l_quantity", "humidity", "load"])
+        refusal = None
+    except ValueError as error:
+        refusal = str(error)
+    return require_columns(rows, ["l_orderkey", "l_linenumber", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity", F.lit(refusal).alias("refusal"))
+
+
 @query("b02_select_columns", "SELECT l_quantity, l_discount FROM lineitem")
 def b02(spark, sf):
     return select_features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])

@@ -56,3 +56,10 @@ FROM cells LEFT JOIN num ON num.i = vec_id LEFT JOIN border ON border.i = vec_id
 @query("i07_dbscan", DBSCAN)
 def i07(spark, sf):
     return density.elbow_dbscan(cells_table(spark, sf), "vec_id", "cells")[0]
+
+
+@query("i08_stored_cores", f"WITH {DIST} SELECT i AS vec_id, min(d) > 1.2 AS is_anomaly FROM d JOIN cells s ON s.vec_id = d.j AND s.label = 0 GROUP BY 1")
+def i08_cores(spark, sf):
+    """Every record against stored core points, here those of one label."""
+    rows = cells_table(spark, sf)
+    return density.near_stored_cores(rows, rows.filter("label = 0"), "vec_id", "cells", 1.2)

@@ -287,6 +287,29 @@ def d29(spark, sf):
     return out.withColumns({"precision": r6("precision"), "recall": r6("recall")})
 
 
+@query("d29_one_vs_rest_curves", """
+WITH r AS (SELECT unnest([0, 1, 2]) AS class, unnest([CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE), l_quantity / 50.0]) AS s,
+ unnest([l_returnflag = 'A', l_returnflag = 'N', l_returnflag = 'R']) AS hit FROM lineitem),
+g AS (SELECT class, s, count(*) FILTER (hit) AS pos, count(*) FILTER (NOT hit) AS neg FROM r GROUP BY 1, 2),
+c AS (SELECT class, s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS p FROM g WINDOW w AS (PARTITION BY class ORDER BY s DESC))
+SELECT class, round(s, 6) AS threshold, round(tp / (tp + fp), 6) AS "precision", round(tp / p, 6) AS recall FROM c
+UNION ALL SELECT DISTINCT class, NULL, 1.0, 0.0 FROM c""")
+def d29_classes(spark, sf):
+    chances = F.array(F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_quantity") / 50.0)
+    code = F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1
+    rows = table(spark, sf, "lineitem").select(code.cast("int").alias("label"), chances.alias("chances"))
+    out = evaluate.one_vs_rest_curves(rows, "label", "chances", [0, 1, 2])
+    return out.withColumns({c: r6(c) for c in ("threshold", "precision", "recall")})
+
+
+@query("d30_roc_curve", f"""
+WITH {SCORES}, c AS (SELECT s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g WINDOW w AS (ORDER BY s DESC))
+SELECT s AS threshold, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr FROM c""")
+def d30_curve(spark, sf):
+    out = evaluate.roc_curve(_quality_scores(spark, sf), "score", F.col("quality") == 1)
+    return out.withColumns({"tpr": r6("tpr"), "fpr": r6("fpr")})
+
+
 @query("d30_roc_auc", f"""
 WITH {SCORES}, c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM g)
 SELECT round(sum(pos * (less + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM c""")
