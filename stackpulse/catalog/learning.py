@@ -125,7 +125,7 @@ def i14(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.col("l_shipdate").cast("timestamp").cast("double").alias("time"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    _, _, metrics, _ = classifiers.train_health(rows, "key", "l_extendedprice", "time", trees=20, depth=5)
+    _, _, metrics, _ = classifiers.train_health(rows, "key", "l_extendedprice", "time", trees=100, depth=10)
     return metrics
 
 
