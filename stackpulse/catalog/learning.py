@@ -133,7 +133,7 @@ def i14(spark, sf):
 def i15(spark, sf):
     rows = _priced(spark, sf)
     train, test = balance.hash_split(rows, "key")
-    model = learn.train_boosted(materialise(train, "train"), PRICE_FEATURES, "l_extendedprice", n_estimators=20, max_depth=5)
+    model = learn.train_boosted(materialise(train, "train"), PRICE_FEATURES, "l_extendedprice", n_estimators=100, max_depth=7)
     return evaluate.regression_metrics(learn.score_voltage(test, model, "predicted"), "l_extendedprice", "predicted")
 
 
