@@ -242,6 +242,19 @@ def test_repeated_passages(spark, plain_docs):
     assert spans.count() and spans.filter("start >= end").count() == 0
 
 
+def test_exact_copies_of_short_texts(spark):
+    """A copy of any length from five words on is reported, from end to end."""
+    sizes = [*range(5, 50), 80, 200]
+    texts = {n: " ".join(f"s{n}x{i}" for i in range(n)) for n in sizes}
+    frame = spark.createDataFrame([(1000 * k + n, t) for n, t in texts.items() for k in (1, 2)], "doc_id long, text string")
+    ends = {}
+    for r in passages.repeated_passages(frame).collect():
+        low, high = ends.get(r["doc_id"], (10 ** 9, 0))
+        ends[r["doc_id"]] = min(low, r["para_start"]), max(high, r["para_end"])
+        assert r["kept_doc_id"] == 1000 + r["doc_id"] % 1000 and r["kept"] == (r["doc_id"] < 2000)
+    assert ends == {1000 * k + n: (0, len(t)) for n, t in texts.items() for k in (1, 2)}
+
+
 def test_bands_reach_the_recall():
     for limit in (0.6, 0.8, 0.9):
         bands, per_band = passages.tune_bands(limit)
