@@ -22,12 +22,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group; rows that repeat an
-    id count once."""
+    """Keep the document with the least id of every group. Rows are told apart
+    by id and text; only rows equal in both count once."""
     prepare(spark)
-    keep = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    ranked = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return ranked.dropDuplicates(["doc_id"])
+    place, same = "_kept_hash", "_kept_id"
+    keep = near_dup.near_duplicates(docs, hashed=True).filter("kept").select(F.col("doc_id").alias(same), F.col("text_hash").alias(place)).distinct()
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    ranked = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col("_text_hash") == F.col(place)), "left_semi")
+    return ranked.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

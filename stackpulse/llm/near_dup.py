@@ -164,9 +164,10 @@ def _confirm(numerator: int, denominator: int, size: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR,
-                    denominator: int = DENOMINATOR, size: int = SHINGLE) -> DataFrame:
+                    denominator: int = DENOMINATOR, size: int = SHINGLE, hashed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the least id of every group of
-    linked documents, and whether this document is it.
+    linked documents, and whether this document is it; ``hashed`` adds the
+    text_hash, which tells apart rows that repeat an id.
 
     A null id is never the least; a group of nulls only has a null component
     and keeps all of them.
@@ -202,6 +203,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     owner = nodes.select("node", "least_id").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = owner.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_node = owner.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left") \
+    out = signed.select("doc_id", "n_shingles", "node", "text_hash").join(of_node, "node", "left") \
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *["text_hash"] * hashed)

@@ -253,3 +253,13 @@ def test_stages_with_odd_rows(spark, odd, nothing):
         assert out.count() <= docs.count()
         if name != "encoding":
             assert out.columns == docs.columns and stage(spark, nothing, sf).count() == 0
+
+
+def test_near_duplicate_stage_keeps_rows_by_id_and_text(spark):
+    """Null ids and ids that repeat with different texts, row by row."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = text["a"].replace("a59", "other")
+    docs = [(1, text["a"]), (2, near), (2, text["b"]), (3, text["c"]), (3, text["d"]), (3, text["d"]), (None, text["e"]), (None, text["f"]), (None, text["f"]), (None, near), (None, None), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (None, text["e"]), (None, text["f"]), (None, None), (4, None)]
+    assert rows(corpus_pipeline.drop_near_duplicates(spark, frame, "")) == sorted(want, key=repr)
