@@ -242,6 +242,21 @@ def test_repeated_passages(spark, plain_docs):
     assert spans.count() and spans.filter("start >= end").count() == 0
 
 
+def test_spans_cover_whole_passages(spark, plain_docs):
+    """From the first word of a planted passage to its last, in every host."""
+    docs, planted = passage_docs(plain_docs)
+    texts, covered = dict(docs), {}
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    for r in got.collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["para_start"], r["para_end"]))
+    for passage, hosts in planted:
+        for host in hosts:
+            at = texts[host].index(passage)
+            assert set(range(at, at + len(passage))) - covered[host] <= {at + i for i, c in enumerate(passage) if c == " "}
+    for own, other, left, right in ((b"a B c ", b"x b  C\n", (b"B c ", b"b  C\n"), (b"", b"")), (b" a b", b"\tA  b c", (b"", b""), (b" a b", b"\tA  b")), (b"", b"a", (b"", b""), (b"", b""))):
+        assert passages._before(own, other) == left and passages._after(own, other) == right
+
+
 def test_exact_copies_of_short_texts(spark):
     """A copy of any length from five words on is reported, from end to end."""
     sizes = [*range(5, 50), 80, 200]
