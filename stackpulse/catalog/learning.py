@@ -146,8 +146,7 @@ def i16(spark, sf):
 
 @query("i17_grid_search_regression")
 def i17(spark, sf):
-    _, metrics, rmse = classifiers.train_voltage(
-        _priced(spark, sf), "key", "l_extendedprice", grid={"maxIter": [5, 10], "maxDepth": [3, 5], "stepSize": [0.1]})
+    _, metrics, rmse = classifiers.train_voltage(_priced(spark, sf), "key", "l_extendedprice")
     return metrics.withColumn("cv_rmse", F.lit(rmse))
 
 
@@ -159,10 +158,17 @@ def i18(spark, sf):
         VectorAssembler(inputCols=[f"x_{c}" for c in PRICE_FEATURES], outputCol="features")]).fit(rows).transform(rows)
     folded = balance.stratified_folds(shaped.select("key", "features", "Health_State_Code"), "key", "Health_State_Code")
     ready = materialise(evaluate.with_class_weight(folded, "Health_State_Code", learn.WEIGHT), "ready")
-    search, _ = learn.tune_forest(ready, "Health_State_Code", "fold", {"numTrees": [5, 10], "maxDepth": [3, 6], "minInstancesPerNode": [2]})
+    search, _ = learn.tune_forest(ready, "Health_State_Code", "fold")
     return learn.search_table(search, spark)
 
 
+@query("i18_tuned_fault")
+def i18_fault(spark, sf):
+    rows = _priced_states(spark, sf).drop("Health_State", "l_extendedprice")
+    _, scored, _, score = classifiers.train_fault(rows, "key", "Health_State_Code")
+    return evaluate.classification_metrics(scored, "Health_State_Code", "predicted_class").withColumn("cv_balanced_accuracy", F.lit(score))
+
+
 @query("i19_smote_counts", """
 SELECT label, n AS original, max(n) OVER () - n AS synthetic FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)""")
 def i19(spark, sf):

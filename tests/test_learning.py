@@ -149,3 +149,20 @@ def test_one_vs_rest_curves(spark):
     end = got[got["threshold"].isna()]
     assert sorted(end["class"]) == [0, 1] and (end["precision"] == 1).all()
     assert got[(got["class"] == 1) & (got["threshold"] == .4)]["precision"].iloc[0] == 1.0
+
+
+@pytest.mark.parametrize("name, grid", [
+    ("i17_grid_search_regression", learn.BOOSTED_GRID), ("i18_grid_search_classifier", learn.FOREST_GRID), ("i18_tuned_fault", learn.FOREST_GRID)])
+def test_registered_searches_use_the_full_grids(spark, sf, monkeypatch, name, grid):
+    import __spark_entry__ as entry
+
+    class Reached(Exception):
+        pass
+
+    def search(df, estimator, got, *rest):
+        assert df.count() and got == grid
+        raise Reached
+
+    monkeypatch.setattr(learn, "_search", search)
+    with pytest.raises(Reached):
+        entry.queries()[name](spark, sf)
