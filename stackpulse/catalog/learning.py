@@ -222,9 +222,9 @@ def i22(spark, sf):
 @query("i27_shapley")
 def i27(spark, sf):
     rows = cells_table(spark, sf)
-    model = forest.fit_forest(rows, "vec_id", "cells", trees=25)
-    base = forest.background_rows(rows, "vec_id", "cells", 8)
-    return forest.shapley_values(rows, "vec_id", "cells", model, base, permutations=2)
+    model = forest.fit_forest(rows, "vec_id", "cells")
+    base = forest.background_rows(rows, "vec_id", "cells")
+    return forest.shapley_values(rows, "vec_id", "cells", model, base)
 
 
 def _plain_series(spark, sf):

@@ -109,6 +109,47 @@ def forest_scores(x: np.ndarray, trees: Sequence[dict[str, np.ndarray]], psi: in
     return 2.0 ** (-(total / len(trees)) / max(float(average_path(psi)), 1e-12))
 
 
+def one_table(trees: Sequence[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The nodes of all trees one after another; ``root`` has the first of each."""
+    root = np.cumsum([0, *[len(t["left"]) for t in trees]])[:-1].astype(np.int64)
+    out = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "threshold", "path")}
+    for side in ("left", "right"):
+        out[side] = np.concatenate([t[side] + r for t, r in zip(trees, root)]).astype(np.int64)
+    return out | {"root": root, "leaf": out["left"] == np.arange(len(out["left"]))}
+
+
+def path_scores(x: np.ndarray, base: np.ndarray, rank: np.ndarray, trees: dict[str, np.ndarray], psi: int) -> np.ndarray:
+    """Scores (step, background row) while a background row takes over the
+    features of ``x`` in the order of ``rank``.
+
+    A node is met at the steps of one range only: those after the features in
+    which only ``x`` goes its way, up to those in which only the background row
+    does. So each leaf adds its path to a range of steps, and no row is scored
+    step by step.
+    """
+    n, n_trees = len(x), len(trees["root"])
+    change = np.zeros((n + 2, len(base)))
+    row, node = np.repeat(np.arange(len(base)), n_trees), np.tile(trees["root"], len(base))
+    low, high = np.zeros(len(row), np.int64), np.full(len(row), n)
+    while len(row):
+        done = trees["leaf"][node]
+        path = trees["path"][node[done]]
+        np.add.at(change, (low[done], row[done]), path)
+        np.add.at(change, (high[done] + 1, row[done]), -path)
+        row, node, low, high = [v[~done] for v in (row, node, low, high)]
+        feature, cut = trees["feature"][node], trees["threshold"][node]
+        left_x, left_b, at = x[feature] < cut, base[row, feature] < cut, rank[feature]
+        after, until = np.maximum(low, at + 1), np.minimum(high, at)
+        sides = []
+        for child, own, other in ((trees["left"][node], left_x, left_b), (trees["right"][node], ~left_x, ~left_b)):
+            a, b = np.where(own & ~other, after, low), np.where(other & ~own, until, high)
+            met = (own | other) & (a <= b)
+            sides.append((row[met], child[met], a[met], b[met]))
+        row, node, low, high = map(np.concatenate, zip(*sides))
+    total = np.cumsum(change, axis=0)[:n + 1]
+    return 2.0 ** (-(total / n_trees) / max(float(average_path(psi)), 1e-12))
+
+
 def fit_forest(
     df: DataFrame, key: str, vector: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42
 ) -> IsolationForest:
@@ -159,7 +200,7 @@ def shapley_values(
     gain of a feature is its contribution; contributions of a row sum to its
     score less the mean background score. ``background`` is a small sample.
     """
-    trees, psi, base = model.tables(), model.psi, np.asarray(background, dtype=float)
+    joined, psi, base = one_table(model.tables()), model.psi, np.asarray(background, dtype=float)
     spread = df.select(
         F.col(key), F.col(vector).cast("array<double>").alias("_x"),
         F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_order"))
@@ -172,11 +213,10 @@ def shapley_values(
                 x = np.asarray(x, dtype=float)
                 path = np.random.default_rng([seed, int(order) // 2]).permutation(len(x))
                 path = path[::-1] if order % 2 else path
-                steps = np.repeat(base[None, :, :], len(x) + 1, axis=0)
-                for i, feature in enumerate(path):
-                    steps[i + 1:, :, feature] = x[feature]
-                values = -forest_scores(steps.reshape(-1, len(x)), trees, psi)
-                values = values.reshape(len(x) + 1, -1).mean(axis=1)
+                rank = np.empty(len(x), np.int64)
+                rank[path] = np.arange(len(x))
+                values = -path_scores(x, base, rank, joined, psi)
+                values = values.mean(axis=1)
                 out = np.empty(len(x))
                 out[path] = np.diff(values)
                 gains.append(out.tolist())

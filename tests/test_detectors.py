@@ -91,6 +91,31 @@ def test_shapley_adds_up(spark):
     assert np.allclose(total, s - mean)
 
 
+def test_shapley_paths_and_full_settings(spark, sf, monkeypatch):
+    """Paths score as the rows that they stand for, and the registered query
+    takes 100 trees, 100 background rows and 4 orders."""
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(80, 5)), 1)
+    model = forest.fit_forest(make(spark, x), "id", "x", trees=12)
+    trees, path = model.tables(), rng.permutation(5)
+    steps = np.repeat(x[None, :9], 6, axis=0)
+    for i, feature in enumerate(path):
+        steps[i + 1:, :, feature] = x[20, feature]
+    want = forest.forest_scores(steps.reshape(-1, 5), trees, model.psi).reshape(6, 9)
+    assert np.allclose(forest.path_scores(x[20], x[:9], np.argsort(path), forest.one_table(trees), model.psi), want)
+    seen = {}
+
+    def values(df, key, vector, model, background, permutations=4, **more):
+        seen.update(trees=len(model.tables()), rows=len(background), orders=permutations)
+        return df.select(key)
+
+    monkeypatch.setattr(forest, "shapley_values", values)
+    entry.queries()["i27_shapley"](spark, sf)
+    assert seen == dict(trees=100, rows=min(100, spark.read.parquet(f"{sf}/embeddings.parquet").count()), orders=4)
+
+
 def test_axes(spark, tmp_path):
     x = np.random.default_rng(6).normal(size=(200, 5)) @ np.diag([5, 3, 1, .5, .1]) + 4
     df = make(spark, x)
