@@ -148,16 +148,18 @@ def _rerank(nearest: int):
         if len(entries) and len(queries):
             x, ids, right = _matrix(entries["vector"]), entries["vec_id"].to_numpy(), entries["right"].to_numpy()
             q = _matrix(queries["query"])
-            rough = _distances(q, x)
+            rough, norms = _distances(q, x), (x ** 2).sum(1)
             for row, (query, visited) in enumerate(zip(queries["query_id"], queries["rights"])):
                 allowed = np.flatnonzero(np.isin(right, np.asarray(visited)) & (ids != query))
                 if not len(allowed):
                     continue
                 d = rough[row, allowed]
                 if len(allowed) > nearest:
-                    # Every entry that rounding could put among the nearest.
-                    edge = np.partition(d, nearest - 1)[nearest - 1]
-                    allowed = allowed[d <= edge + 1e-9 * (1 + edge)]
+                    # Every entry that rounding could put among the nearest; it
+                    # grows with the squared norms, which the distances come from.
+                    slack = 1e-12 * ((q[row] ** 2).sum() + norms[allowed])
+                    edge = np.partition(d + slack, nearest - 1)[nearest - 1]
+                    allowed = allowed[d - slack <= edge + 1e-9 * (1 + edge)]
                 exact = np.sqrt(((x[allowed] - q[row]) ** 2).sum(1))
                 best = np.lexsort((ids[allowed], exact))[:nearest]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[allowed][best], "score": exact[best]}))

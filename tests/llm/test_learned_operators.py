@@ -191,6 +191,17 @@ def test_search_is_exact_when_all_is_visited(spark):
         assert np.allclose([s for _, s, _ in sorted(found)], [s for s, _ in want[q]], atol=1e-12)
 
 
+def test_search_among_vectors_of_large_norm(spark):
+    """Rounding of large squared norms drops no neighbour that was visited."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, (1e5 + 1e-3 * rng.normal(size=16)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in multi_index.search(frame, frame.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for _, v in w] for q, w in nearest(vectors, {0, 100, 200}).items()}
+
+
 def test_search_of_few_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (100, [2.0, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert multi_index.search(frame, frame.filter("vec_id % 100 = 0")).count() == 4
