@@ -130,6 +130,26 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(odd, model, classes, cut).filter("confirmed").count() >= 0
 
 
+def test_wrapped_licences(spark):
+    """Notices broken at 60 to 80 columns, as plain blocks and as comments."""
+    import textwrap
+
+    model, classes, cut = licences.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs, want = [], {}
+    for family, texts in licences.TEMPLATES.items():
+        for t in texts:
+            if len(t.split()) < 17:
+                continue
+            for width in (60, 70, 80):
+                for mark in ("", "# "):
+                    wrapped = textwrap.fill(t, width, initial_indent=mark, subsequent_indent=mark)
+                    want[len(docs)] = family
+                    docs.append((len(docs), f"Some words that come before.\n\n{wrapped}\n\nAnd some that come after."))
+    found = licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), model, classes, cut).filter("confirmed").collect()
+    assert {r["doc_id"]: r["family"] for r in found} == want
+    assert all(r["paragraph"] >= 2 for r in found)
+
+
 @pytest.mark.parametrize("ranges", [None, 3, 200])
 def test_shards(spark, odd, odd_docs, ranges):
     copies = odd.select("doc_id", "text").union(spark.range(3000).select((F.col("id") + 50_000).alias("doc_id"), F.lit("the same text everywhere").alias("text")))
