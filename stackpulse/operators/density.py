@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
 from . import neighbours
@@ -18,6 +19,8 @@ from .neighbours import (
 from .ordered import index_rows
 from .quantiles import pick_rank
 
+TASK_EDGES = 1 << 20
+
 
 def min_samples_for(n: int) -> int:
     return max(5, int(math.log(n))) if n > 0 else 5
@@ -33,14 +36,38 @@ def elbow_eps(
     return pick_rank(curve, "k_distance", fraction), k
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) with b the least node that the edges of a partition reach from a."""
+    held = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches]
+    nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1), return_inverse=True)
+    left, right = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root): least node of the component, by min-label spreading with
-    pointer jumping. The driver loops over rounds only; each round is pinned.
+    """(node, root): least node of the component. ``edges`` has columns a, b;
+    ``nodes`` has the column node.
 
-    ``edges`` has columns a, b; ``nodes`` has the column node.
+    Tasks join up to about ``TASK_EDGES`` edges each on their own; if there are
+    more, what the tasks found is joined by min-label spreading with pointer
+    jumping, where the driver loops over rounds only and each round is pinned.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.filter("a <> b").distinct(), "edges")
+    edges = materialise(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")), "edges")
+    tasks = -(-edges.count() // TASK_EDGES)
+    stars = materialise(edges.coalesce(max(1, tasks)).mapInArrow(_joined, "a long, b long"), "stars")
+    if tasks <= 1:
+        found = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    both = stars.filter("a <> b").unionByName(stars.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialise(both.distinct(), "edges")
     labels = materialise(nodes.select("node", F.col("node").alias("root")), "labels")
     while True:
         ends = labels.select(F.col("node").alias("b"), F.col("root").alias("other"))
@@ -91,7 +118,12 @@ def dbscan(
     nodes = members.filter("comp >= 0").select(F.col("comp").alias("node")).distinct()
     edges = links.filter("kind = 0").select("a", "b")
     roots = connected_components(edges if sure is None else edges.unionByName(sure), nodes)
-    numbers = index_rows(roots.select("root").distinct(), ["root"]).select("root", F.col("row_no").alias("Cluster"))
+    roots = materialise(roots, "roots")
+    found_roots = roots.select("root").distinct()
+    if found_roots.count() <= neighbours.PLAIN_WINDOW_ROWS:
+        numbers = found_roots.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("bigint").alias("Cluster"))
+    else:
+        numbers = index_rows(found_roots, ["root"]).select("root", F.col("row_no").alias("Cluster"))
     of_comp = materialise(roots.join(numbers, "root").select(F.col("node").alias("comp"), "Cluster"), "clusters")
     core = members.filter("comp >= 0").join(of_comp, "comp").select("point", "Cluster", F.lit(True).alias("is_core"))
     border = (
@@ -217,7 +249,7 @@ def _links(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, local: DataFram
                 yield pd.DataFrame(out, columns=["kind", "a", "b"])
 
     side = blocks.payload.select("block", "flat").join(local, "block")
-    return materialise(measure_pairs(wanted, side, side, link, "kind long, a long, b long"), "links")
+    return materialise(measure_pairs(blocks, wanted, side, side, link, "kind long, a long, b long"), "links")
 
 
 def near_stored_cores(df: DataFrame, cores: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:

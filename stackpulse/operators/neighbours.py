@@ -1,33 +1,41 @@
 """Exact neighbour search: k nearest neighbours and eps ranges.
 
 Equal points are folded into one weighted point first, so a group of copies
-costs one row. The points are then packed into blocks of bounded size by
-sort-tile-recursive packing on the leading principal axes: equal-size slabs,
-tiles and blocks, whatever the density. An orthogonal projection never
-lengthens a distance, so the boxes of slabs, tiles and blocks prune safely on
-the way from a query block to its candidate blocks; spheres in the full space
-prune the candidate pairs once more before any vectors move. Each remaining
-pair of blocks is measured as a whole and gives back reduced results only,
-never its point pairs.
+costs one row. The points are then packed into blocks of bounded size. A ball
+tree, grown on a bounded sample in the full space, deals them to slabs (its
+leaves); inside a slab they are cut into tiles and blocks along the leaf's own
+directions. Distances to a few far-apart pivots make the boxes of slabs, tiles
+and blocks: by the triangle inequality no distance is shorter than the largest
+gap between two boxes. Boxes, and spheres in the full space, prune on the way
+from a query block to its candidate blocks before any vectors move. Pairs of
+blocks that are left travel in groups, so that a block is sent once for each
+group it meets instead of once for each block. Each pair is measured as a whole
+and gives back reduced results only, never its point pairs.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import materialise
 from .ordered import index_rows
 
 BLOCK_POINTS = 512
-AXES = 3
+PIVOTS = 8
+# Bounds of the ball tree: leaves, sampled points, and numbers sent for either.
+LEAVES, SAMPLE, SENT = 1024, 8192, 1 << 22
+# Blocks of a group that travel together.
+GROUP_BLOCKS = 8
+_PART = 1 << 20
 # Groups up to this size may be ordered by a plain window.
 PLAIN_WINDOW_ROWS = 1_000_000
 # Up to this many blocks are compared through one array.
@@ -63,12 +71,18 @@ class Blocks:
     """``payload``: block, slab, tile, ids, weights, flat (vectors end to end).
     ``meta``: block, slab, tile, lo, hi (boxes), points, weight, centre, reach
     and, when asked for, limits (bound on each point's k-th distance) and radius
-    (the largest of them)."""
+    (the largest of them). ``group`` gives a block's group from its number."""
 
     payload: DataFrame
     meta: DataFrame
     dim: int
-    most: int  # upper bound on the number of blocks
+    most: int  # about the number of blocks, at most
+    axes: int
+    slabs_together: int  # slabs of a group; 0 if a tile is one
+
+    def group(self, block: Column) -> Column:
+        tile = F.floor(block / _PART)
+        return (F.floor(tile / _PART / self.slabs_together) if self.slabs_together else tile).cast("bigint")
 
 
 def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | None = None) -> Blocks:
@@ -77,9 +91,10 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
     n, dim = row["n"], row["d"] or 0
     if n and row["dmin"] != dim:
         raise ValueError("vectors differ in length")
-    fan = max(1, math.ceil((n / block_points) ** (1 / 3)))
-    placed = _place(points, n, dim, block_points, fan)
-    axes = [F.col("axes")[i] for i in range(min(AXES, dim))]
+    leaves = max(1, min(LEAVES, SENT // max(1, dim), math.ceil(n / block_points)))
+    placed = _place(points, n, dim, block_points, leaves, (k or 0) + 1)
+    n_axes = min(PIVOTS, dim) if n <= block_points else PIVOTS
+    axes = [F.col("axes")[i] for i in range(n_axes)]
     payload = placed.groupBy("block", "slab", "tile").agg(
         F.collect_list(F.struct("point", "weight", "vec")).alias("rows"),
         F.array(*[F.min(a) for a in axes]).alias("lo"),
@@ -111,7 +126,9 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
     meta = own.mapInPandas(
         measure, "block long, slab long, tile long, lo array<double>, hi array<double>, points int, weight long,"
         " centre array<double>, reach double, limits array<double>, radius double")
-    return Blocks(payload, materialise(meta, "block_meta"), dim, math.ceil(n / block_points) + fan * fan + 1)
+    blocks = math.ceil(n / block_points)
+    together = GROUP_BLOCKS * leaves // max(1, blocks)
+    return Blocks(payload, materialise(meta, "block_meta"), dim, blocks + 2 * leaves, n_axes, together)
 
 
 @dataclass
@@ -127,52 +144,156 @@ def point_set(df: DataFrame, key: str, vector: str, k: int | None = None, block_
     return PointSet(points, build_blocks(points, max(block_points, (k or 0) + 1), k))
 
 
-def _place(points: DataFrame, n: int, dim: int, block_points: int, fan: int) -> DataFrame:
+def far_points(x: np.ndarray, count: int) -> np.ndarray:
+    """Points far from each other: each the furthest from those before it."""
+    found = [int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax())]
+    least = ((x - x[found[0]]) ** 2).sum(axis=1)
+    while len(found) < count:
+        found.append(int(least.argmax()))
+        least = np.minimum(least, ((x - x[found[-1]]) ** 2).sum(axis=1))
+    return x[found]
+
+
+@dataclass
+class BallTree:
+    """Node i sends a point down ``children[i][x . normals[i] > cuts[i]]``; a
+    child below 0 is a leaf, -1 the first. ``directions`` of a leaf are its two
+    main ones."""
+
+    normals: np.ndarray
+    cuts: np.ndarray
+    children: np.ndarray
+    directions: np.ndarray
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), 0 if len(self.cuts) else -1)
+        for i in range(len(self.cuts)):  # parents come before their children
+            here = np.flatnonzero(at == i)
+            if len(here):
+                at[here] = self.children[i][(x[here] @ self.normals[i] > self.cuts[i]).astype(int)]
+        return -1 - at
+
+
+def _split(x: np.ndarray, least: int) -> tuple[np.ndarray, float] | None:
+    """A plane between the two means of ``x``, moved to the median if one side
+    would hold fewer than ``least`` points."""
+    a = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+    b = x[((x - a) ** 2).sum(axis=1).argmax()]
+    for _ in range(5):
+        far = ((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)
+        if far.all() or not far.any():
+            break
+        a, b = x[~far].mean(axis=0), x[far].mean(axis=0)
+    normal = b - a
+    along = x @ normal
+    cut = float((b @ b - a @ a) / 2)
+    n = int((along > cut).sum())
+    if min(n, len(x) - n) < least:
+        cut = float(np.median(along))
+        n = int((along > cut).sum())
+    return (normal, cut) if min(n, len(x) - n) >= max(1, min(least, len(x) // 4)) else None
+
+
+def ball_tree(x: np.ndarray, leaves: int, least: int) -> BallTree:
+    """Grown by splitting the fullest leaf; leaves are numbered so that near
+    ones have near numbers."""
+    held, nodes, root = [(-len(x), 0, np.arange(len(x)), None)], [], None
+    done, serial = [], 0
+    while held and len(held) + len(done) < leaves:
+        _, _, rows, above = heapq.heappop(held)
+        plane = _split(x[rows], least) if len(rows) >= 2 * least else None
+        if plane is None:
+            done.append((rows, above))
+            continue
+        right = x[rows] @ plane[0] > plane[1]
+        i = len(nodes)
+        nodes.append((*plane, [None, None]))
+        if above is not None:
+            nodes[above[0]][2][above[1]] = i
+        for side, part in enumerate((rows[~right], rows[right])):
+            serial += 1
+            heapq.heappush(held, (-len(part), serial, part, (i, side)))
+    ends = {above: rows for rows, above in done + [(rows, above) for _, _, rows, above in held]}
+    order, todo = [], [0] if nodes else []
+    if not nodes:
+        order = [None]
+    while todo:  # leaves from left to right
+        i = todo.pop()
+        if isinstance(i, tuple):
+            nodes[i[0]][2][i[1]] = -1 - len(order)
+            order.append(i)
+            continue
+        for side in (1, 0):
+            child = nodes[i][2][side]
+            todo.append((i, side) if child is None else child)
+    directions = np.zeros((len(order), 2, x.shape[1]))
+    for leaf, above in enumerate(order):
+        rows = x[ends[above]]
+        if len(rows) > 1:
+            main = np.linalg.svd(rows - rows.mean(axis=0), full_matrices=False)[2][:2]
+            directions[leaf, :len(main)] = main
+    return BallTree(np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes], dtype=np.int64), directions)
+
+
+def _located(shared):
+    """Pivot distances, leaf and coordinates inside the leaf of each point."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, pivots = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            vec = batch.column(batch.schema.get_field_index("vec"))
+            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            leaf = tree.leaf_of(x)
+            along = np.einsum("nd,nkd->nk", x, tree.directions[leaf])
+            axes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(pivots)), pa.array(distances(x, pivots).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, axes, pa.array(leaf), pa.array(along[:, 0]), pa.array(along[:, 1])],
+                                             names=[*batch.schema.names, "axes", "slab", "_a0", "_a1"])
+    return run
+
+
+def _place(points: DataFrame, n: int, dim: int, block_points: int, leaves: int, least: int) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if n <= block_points:
         return points.withColumns({
-            "axes": F.slice("vec", 1, AXES), "slab": zero, "tile": zero, "block": zero})
-    k = min(AXES, dim)
-    vectors = points.withColumn("_v", array_to_vector("vec"))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
-    axed = model.transform(vectors).withColumn("axes", vector_to_array("_p")).drop("_v", "_p")
-    axed = axed.withColumns({f"_a{i}": F.col("axes")[min(i, k - 1)] for i in range(AXES)})
-
-    def share(row: Column, rows: Column, parts: int | Column) -> Column:
-        return F.floor(row * parts / rows).cast("bigint")
-
-    slabs = index_rows(axed, ["_a0", "point"]).drop("_slice")
-    slabs = slabs.withColumn("slab", share(F.col("row_no"), F.col("series_rows"), fan)).drop("row_no", "series_rows")
-    if n / fan <= PLAIN_WINDOW_ROWS:
+            "axes": F.slice("vec", 1, PIVOTS), "slab": zero, "tile": zero, "block": zero})
+    sampled = min(SAMPLE, max(leaves, SENT // dim))
+    # The sort keeps the best rows of each partition only.
+    x = np.array([r["vec"] for r in points.orderBy(F.xxhash64("point"), "point").limit(sampled).select("vec").collect()], dtype=float)
+    scale = len(x) / n
+    tree = ball_tree(x, leaves, max(1, round(max(block_points / 3, least) * scale)))
+    shared = points.sparkSession.sparkContext.broadcast((tree, far_points(x, PIVOTS)))  # ``LEAVES`` planes at most
+    points = points.select("point", "weight", F.col("vec").cast("array<double>").alias("vec"))
+    located = points.mapInArrow(_located(shared), "point long, weight long, vec array<double>, axes array<double>, slab long, _a0 double, _a1 double")
+    if n <= PLAIN_WINDOW_ROWS:
         w = Window.partitionBy("slab")
-        tiles = slabs.withColumns({
-            "row_no": F.row_number().over(w.orderBy("_a1", "point")) - 1, "series_rows": F.count(F.lit(1)).over(w)})
+        ranked = located.withColumns({
+            "row_no": F.row_number().over(w.orderBy("_a0", "point")) - 1, "series_rows": F.count(F.lit(1)).over(w)})
     else:
-        tiles = index_rows(slabs, ["_a1", "point"], ["slab"]).drop("_slice")
-    tiles = tiles.withColumn("tile", F.col("slab") * fan + share(F.col("row_no"), F.col("series_rows"), fan))
-    w = Window.partitionBy("tile")  # about block_points * fan rows each
+        ranked = index_rows(located, ["_a0", "point"], ["slab"]).drop("_slice")
+    tiles = F.ceil(F.sqrt(F.col("series_rows") / block_points))
+    tile = F.col("slab") * _PART + F.floor(F.col("row_no") * tiles / F.col("series_rows")).cast("bigint")
+    w = Window.partitionBy("tile")  # about the root of block_points times the slab's rows each
     rows = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy("_a2", "point")) - 1
-    parts = F.ceil(rows / block_points)
-    return tiles.withColumn("block", F.col("tile") * (2 * fan + 2) + share(rank, rows, parts)).drop(
-        "row_no", "series_rows", *[f"_a{i}" for i in range(AXES)])
+    rank = F.row_number().over(w.orderBy("_a1", "point")) - 1
+    part = F.floor(rank * F.ceil(rows / block_points) / rows).cast("bigint")
+    return ranked.withColumn("tile", tile).withColumn("block", F.col("tile") * _PART + part).drop("row_no", "series_rows", "_a0", "_a1")
 
 
 def _gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Distance between two boxes."""
+    """Largest gap between two boxes on one axis; no distance is shorter."""
     gaps = F.zip_with(
-        F.zip_with(lo_a, hi_b, lambda x, y: x - y), F.zip_with(lo_b, hi_a, lambda x, y: x - y),
-        lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g))
+        F.zip_with(lo_a, hi_b, lambda x, y: x - y), F.zip_with(lo_b, hi_a, lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    return F.greatest(F.array_max(gaps), F.lit(0.0))
 
 
 def _slack(radius: Column, lo: Column, hi: Column) -> Column:
-    """Radius with room for rounding in the projection."""
+    """Radius with room for rounding in the axes."""
     size = F.greatest(F.abs(F.array_min(lo)), F.abs(F.array_max(hi)))
     return radius + F.lit(1e-9) * (radius + size + 1.0)
 
 
-def _apart(left: str, right: str) -> Column:
+def _apart(left: str | Column, right: str | Column) -> Column:
     return F.sqrt(F.aggregate(
         F.zip_with(left, right, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
 
@@ -185,36 +306,33 @@ def _side(table: DataFrame, prefix: str, level: str, radius: Column | None = Non
     return table.select(*cols)
 
 
-def tile_spheres(blocks: Blocks) -> DataFrame:
-    """Per tile: box, sphere around its blocks, weight and largest radius."""
-    meta, k = blocks.meta, min(AXES, blocks.dim)
-    mids = meta.groupBy("slab", "tile").agg(
-        F.array(*[F.avg(F.col("centre")[i]) for i in range(blocks.dim)]).alias("mid"))
-    held = meta.join(mids, ["slab", "tile"])
-    return held.groupBy("slab", "tile").agg(
-        F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
-        F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"),
+def _spheres(table: DataFrame, keys: list[str], blocks: Blocks) -> DataFrame:
+    """Per key: box, sphere around the spheres below it, weight, largest radius."""
+    mids = table.groupBy(*keys).agg(F.array(*[F.avg(F.col("centre")[i]) for i in range(blocks.dim)]).alias("mid"))
+    return table.join(mids, keys).groupBy(*keys).agg(
+        F.array(*[F.min(F.col("lo")[i]) for i in range(blocks.axes)]).alias("lo"),
+        F.array(*[F.max(F.col("hi")[i]) for i in range(blocks.axes)]).alias("hi"),
         F.first("mid").alias("centre"),
         F.max((_apart("centre", "mid") + F.col("reach")) * (1 + 1e-12)).alias("reach"),
         F.sum("weight").alias("weight"), F.max("radius").alias("radius"),
     )
 
 
+def tile_spheres(blocks: Blocks) -> DataFrame:
+    return _spheres(blocks.meta, ["slab", "tile"], blocks)
+
+
 def tile_pairs(blocks: Blocks, tiles: DataFrame, radius: float | None = None) -> DataFrame:
     """Ordered pairs of tiles (q, c) in reach, with both sides' spheres.
 
-    The list of slabs has about (n / block size)^(1/3) entries and is attached
-    as one array; tiles come by an equi join on the slab.
+    The slabs, ``LEAVES`` at most, are attached as one array; tiles come by an
+    equi join on the slab.
     """
-    k = min(AXES, blocks.dim)
-    slab_boxes = tiles.groupBy("slab").agg(
-        F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
-        F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"),
-    ).agg(F.collect_list(F.struct("slab", "lo", "hi")))
+    slabs = _spheres(tiles, ["slab"], blocks).agg(F.collect_list(F.struct("slab", "lo", "hi", "centre", "reach")))
     asking = _side(tiles, "q", "tile", F.col("radius") if radius is None else F.lit(float(radius)))
-    touched = F.filter("boxes", lambda b: _gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide"))
-    keep = asking.columns
-    step = asking.withColumn("boxes", slab_boxes.scalar()).select(*keep, F.explode(touched["slab"]).alias("slab"))
+    touched = F.filter("slabs", lambda b: (_gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide"))
+                       & (_apart(F.col("q_centre"), b["centre"]) - F.col("q_reach") - b["reach"] <= F.col("wide")))
+    step = asking.withColumn("slabs", slabs.scalar()).select(*asking.columns, F.explode(touched["slab"]).alias("slab"))
     others = tiles.select("slab", F.col("tile").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ("lo", "hi", "centre", "reach")])
     return in_reach(step.join(others, "slab").drop("slab"))
 
@@ -257,13 +375,27 @@ def candidate_pairs(blocks: Blocks, radius: float | None = None) -> DataFrame:
 
 
 def measure_pairs(
-    pairs: DataFrame, left: DataFrame, right: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
+    blocks: Blocks, pairs: DataFrame, left: DataFrame, right: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
 ) -> DataFrame:
-    """Bring the payloads of block pairs together and run ``fn`` on them."""
-    q = left.withColumnsRenamed({c: f"q_{c}" for c in left.columns})
-    c = right.withColumnsRenamed({c: f"c_{c}" for c in right.columns})
-    joined = pairs.join(q, F.col("q") == F.col("q_block")).join(c, F.col("c") == F.col("c_block"))
-    return joined.drop("q_block", "c_block").mapInPandas(fn, schema)
+    """Bring the payloads of block pairs together and run ``fn`` on them.
+
+    Near blocks form groups; a payload is sent once for each group it meets.
+    """
+    keys = ["q_group", "c_group"]
+    grouped = pairs.select("q", "c", blocks.group(F.col("q")).alias("q_group"), blocks.group(F.col("c")).alias("c_group"))
+    q = left.withColumnsRenamed({x: f"q_{x}" for x in left.columns})
+    c = right.withColumnsRenamed({x: f"c_{x}" for x in right.columns})
+    asking = grouped.groupBy(*keys, "q").agg(F.collect_list("c").alias("c")).join(q, F.col("q") == F.col("q_block")).drop("q_block")
+    meeting = grouped.select(F.col("q_group").alias("of_q"), F.col("c_group").alias("of_c"), F.col("c").alias("c_block")).distinct()
+    asked = meeting.join(c, "c_block")
+    names = StructType.fromDDL(schema).names
+
+    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        met = ours.drop(columns=keys).explode("c").merge(theirs.drop(columns=["of_q", "of_c"]), left_on="c", right_on="c_block").drop(columns="c_block")
+        found = list(fn(iter([met])))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({x: [] for x in names})
+
+    return asking.groupBy(*keys).cogroup(asked.groupBy("of_q", "of_c")).applyInPandas(run, schema)
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, block_points: int = BLOCK_POINTS) -> DataFrame:
@@ -314,7 +446,7 @@ def nearest_points(blocks: Blocks, k: int) -> DataFrame:
                         "distance": best[i, j], "weight": weights[col]})
 
     found = measure_pairs(
-        pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),
+        blocks, pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),
         blocks.payload.select("block", "ids", "weights", "flat"), measure,
         "point long, neighbour_point long, distance double, weight long")
     rank = F.row_number().over(Window.partitionBy("point").orderBy("distance", "neighbour_point"))
@@ -358,6 +490,6 @@ def eps_counts(blocks: Blocks, pairs: DataFrame, eps: float) -> DataFrame:
                     yield pd.DataFrame({"block": r.q, "pos": at.astype(np.int32), "hits": hits[at]})
 
     shares = measure_pairs(
-        pairs, blocks.payload.select("block", "flat"), blocks.payload.select("block", "weights", "flat"),
+        blocks, pairs, blocks.payload.select("block", "flat"), blocks.payload.select("block", "weights", "flat"),
         count, "block long, pos int, hits long")
     return shares.groupBy("block", "pos").agg(F.sum("hits").alias("neighbours"))

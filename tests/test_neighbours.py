@@ -143,3 +143,54 @@ def test_near_stored_cores(spark):
     cores = make(spark, x).filter(F.col("id").isin([int(i) for i in np.nonzero(core)[0]]))
     got = density.near_stored_cores(make(spark, x), cores, "id", "x", 0.9, 16).toPandas().set_index("id").sort_index()
     assert (got["is_anomaly"].to_numpy() == (label < 0)).all()
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(density, "TASK_EDGES", 7)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19], "a long, b long").repartition(9)
+    nodes = spark.range(61).withColumnRenamed("id", "node")
+    got = {r["node"]: r["root"] for r in density.connected_components(edges, nodes).collect()}
+    assert got == {i: i - i % 20 for i in range(61)}
+
+
+def clustered(clusters=60, each=100, d=64, seed=1):
+    rng = np.random.default_rng(seed)
+    return np.repeat(rng.normal(size=(clusters, d)) * 3, each, axis=0) + rng.normal(size=(clusters * each, d)) * 0.1
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_separated_clusters_are_pruned(spark, few, monkeypatch):
+    """In 64 dimensions, far more than there are axes, few block pairs stay."""
+    monkeypatch.setattr(nn, "FEW_BLOCKS", few)
+    x = clustered()
+    blocks = nn.point_set(make(spark, x), "id", "x", 5, 32).blocks
+    n = blocks.meta.count()
+    sizes = blocks.meta.agg(F.min("points"), F.max("points")).first()
+    assert sizes[0] >= 5 and sizes[1] <= 32
+    assert nn.candidate_pairs(blocks).count() < 0.05 * n * n
+    assert nn.candidate_pairs(blocks, 2.0).count() < 0.05 * n * n
+
+
+def test_tree_sends_points_to_balanced_leaves():
+    x = clustered()
+    tree = nn.ball_tree(x, 188, 10)
+    leaf = tree.leaf_of(x)
+    counts = np.bincount(leaf)
+    assert counts.sum() == len(x) and counts.min() >= 10
+    # No leaf but a few holds rows of two clusters.
+    mixed = sum(len(np.unique(np.flatnonzero(leaf == k) // 100)) > 1 for k in range(len(counts)))
+    assert mixed <= len(counts) / 20
+
+
+def test_tree_of_equal_points_is_one_leaf():
+    tree = nn.ball_tree(np.zeros((50, 3)), 8, 2)
+    assert set(tree.leaf_of(np.zeros((5, 3)))) == {0}
+
+
+def test_payloads_travel_once_for_each_group(spark, monkeypatch):
+    """With groups, a payload is sent far less often than it has pairs."""
+    x = np.random.default_rng(3).normal(size=(1600, 3))
+    blocks = nn.point_set(make(spark, x), "id", "x", None, 16).blocks
+    pairs = nn.candidate_pairs(blocks, 1.5)
+    sent = pairs.select(blocks.group(F.col("q")).alias("g"), "c").distinct().count()
+    assert sent < pairs.count() / 3
