@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialise
 from . import neighbours
 from .neighbours import (
-    BLOCK_POINTS, Blocks, PointSet, block_pairs, build_blocks, candidate_pairs, distances, eps_counts, kth_distances,
-    map_to_points, measure_pairs, point_set, tile_pairs, tile_spheres,
+    BLOCK_POINTS, Blocks, PointSet, block_pairs, build_blocks, candidate_pairs, eps_counts, kth_distances,
+    map_to_points, measure_pairs, point_set, tile_pairs, tile_spheres, within,
 )
 from .ordered import index_rows
 from .quantiles import pick_rank
@@ -211,7 +211,7 @@ def _block_cores(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, eps: floa
                 elif r.cores is not None and len(r.cores):
                     at = np.asarray(r.cores, dtype=np.int64)
                     x = np.asarray(r.flat, dtype=float).reshape(-1, dim)[at]
-                    out[at] = _local_components(distances(x, x) <= eps, ids[at])
+                    out[at] = _local_components(within(x, x, eps), ids[at])
                 comps.append(out)
             yield pd.DataFrame({"block": pdf["block"], "ids": pdf["ids"], "comps": comps})
 
@@ -240,7 +240,7 @@ def _links(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, local: DataFram
                     continue
                 a = np.asarray(r.q_flat, dtype=float).reshape(-1, dim)[rows]
                 b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)[core_c]
-                i, j = np.nonzero(distances(a, b) <= eps)
+                i, j = np.nonzero(within(a, b, eps))
                 if not len(i):
                     continue
                 from_core = qc[rows[i]] >= 0

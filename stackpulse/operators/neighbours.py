@@ -54,6 +54,33 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """All squared distances from one matrix product, and how far off they may be."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    slack = 4e-15 * (a.shape[1] + 8) * (aa.max(initial=0.0) + bb.max(initial=0.0))
+    return aa[:, None] + bb[None, :] - 2 * (a @ b.T), float(slack)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of chosen pairs, as ``distances`` has them."""
+    out = np.empty(len(i))
+    step = max(1, _CHUNK // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        diff = a[i[at:at + step]] - b[j[at:at + step]]
+        out[at:at + step] = np.sqrt((diff * diff).sum(axis=1))
+    return out
+
+
+def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which distances are at most ``eps``; close calls are measured."""
+    squares, slack = rough_squares(a, b)
+    slack += 1e-12 * eps * eps
+    out = squares <= eps * eps
+    i, j = np.nonzero(np.abs(squares - eps * eps) <= slack)
+    out[i, j] = pair_distances(a, b, i, j) <= eps
+    return out
+
+
 def fold_copies(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Distinct points (point, weight, vec); ``point`` is the least key."""
     return df.groupBy(F.col(vector).alias("vec")).agg(
@@ -115,7 +142,8 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
                 reach.append(float(distances(x, mid[None, :]).max()))
                 limit = np.full(len(x), np.inf)
                 if k is not None and len(x) >= k:
-                    limit = np.partition(distances(x, x), k - 1, axis=1)[:, k - 1]
+                    squares, slack = rough_squares(x, x)
+                    limit = np.sqrt(np.partition(squares, k - 1, axis=1)[:, k - 1].clip(0) + 2 * slack) * (1 + 1e-12)
                 limits.append(limit.tolist() if k is not None else [])
                 radius.append(float(limit.max()))
             yield pdf.drop(columns=["flat"]).assign(centre=centre, reach=reach, limits=limits, radius=radius)
@@ -127,7 +155,9 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
         measure, "block long, slab long, tile long, lo array<double>, hi array<double>, points int, weight long,"
         " centre array<double>, reach double, limits array<double>, radius double")
     blocks = math.ceil(n / block_points)
-    together = GROUP_BLOCKS * leaves // max(1, blocks)
+    # Few blocks form small groups, so that every core has some.
+    size = min(GROUP_BLOCKS, max(1, int(blocks / math.sqrt(4 * points.sparkSession.sparkContext.defaultParallelism))))
+    together = size * leaves // max(1, blocks)
     return Blocks(payload, materialise(meta, "block_meta"), dim, blocks + 2 * leaves, n_axes, together)
 
 
@@ -433,17 +463,21 @@ def nearest_points(blocks: Blocks, k: int) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 a = np.asarray(r.q_flat, dtype=float).reshape(-1, dim)
                 b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)
-                d = distances(a, b)
-                ids, weights = np.asarray(r.c_ids), np.asarray(r.c_weights)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, axis=1)
-                ok = best <= np.asarray(r.q_limits, dtype=float)[:, None]
-                i, j = np.nonzero(ok)
-                if len(i):
-                    col = order[i, j]
+                squares, slack = rough_squares(a, b)
+                ids, weights, limits = np.asarray(r.c_ids), np.asarray(r.c_weights), np.asarray(r.q_limits, dtype=float)
+                edge = limits ** 2 * (1 + 1e-9) + slack
+                if len(b) > k:
+                    edge = np.minimum(edge, np.partition(squares, k - 1, axis=1)[:, k - 1] + 2 * slack)
+                i, j = np.nonzero(squares <= edge[:, None])
+                d = pair_distances(a, b, i, j)
+                order = np.lexsort((ids[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                turn = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = (turn < k) & (d <= limits[i])
+                if keep.any():
                     yield pd.DataFrame({
-                        "point": np.asarray(r.q_ids)[i], "neighbour_point": ids[col],
-                        "distance": best[i, j], "weight": weights[col]})
+                        "point": np.asarray(r.q_ids)[i[keep]], "neighbour_point": ids[j[keep]],
+                        "distance": d[keep], "weight": weights[j[keep]]})
 
     found = measure_pairs(
         blocks, pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),
@@ -484,7 +518,7 @@ def eps_counts(blocks: Blocks, pairs: DataFrame, eps: float) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 a = np.asarray(r.q_flat, dtype=float).reshape(-1, dim)
                 b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)
-                hits = (distances(a, b) <= eps) @ np.asarray(r.c_weights, dtype=np.int64)
+                hits = within(a, b, eps) @ np.asarray(r.c_weights, dtype=np.int64)
                 at = np.nonzero(hits)[0]
                 if len(at):
                     yield pd.DataFrame({"block": r.q, "pos": at.astype(np.int32), "hits": hits[at]})
