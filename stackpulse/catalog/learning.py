@@ -153,12 +153,14 @@ def i17(spark, sf):
 @query("i18_grid_search_classifier")
 def i18(spark, sf):
     rows = _priced_states(spark, sf).drop("Health_State", "l_extendedprice")
-    shaped = Pipeline(stages=[
-        learn.preparation_stage(rows, PRICE_FEATURES, bounds=None),
-        VectorAssembler(inputCols=[f"x_{c}" for c in PRICE_FEATURES], outputCol="features")]).fit(rows).transform(rows)
-    folded = balance.stratified_folds(shaped.select("key", "features", "Health_State_Code"), "key", "Health_State_Code")
-    ready = materialise(evaluate.with_class_weight(folded, "Health_State_Code", learn.WEIGHT), "ready")
-    search, _ = learn.tune_forest(ready, "Health_State_Code", "fold")
+    folded = materialise(balance.stratified_folds(rows, "key", "Health_State_Code"), "folded")
+
+    def prepare(train):
+        return Pipeline(stages=[
+            learn.preparation_stage(train, PRICE_FEATURES, bounds=None),
+            VectorAssembler(inputCols=[f"x_{c}" for c in PRICE_FEATURES], outputCol="features")]).fit(train)
+
+    search, _ = learn.tune_forest(folded, "Health_State_Code", "fold", prepare=prepare, weighted=True)
     return learn.search_table(search, spark)
 
 

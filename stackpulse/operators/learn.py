@@ -8,11 +8,16 @@ of the batch at hand.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import HEALTH_LABELS, argmax_code, confidence, fault_label, left_closed_bins, map_codes, uniform
 from ..schema import with_missing_as_zero
-from ..session import spread
+from ..session import materialise, scratch_path, spread
 from .clean import iqr_bounds, quantile_bounds, sample_rows
-from .evaluate import balanced_accuracy, feature_importance, with_class_weight
+from .evaluate import feature_importance, with_class_weight
 from .quantiles import quantiles
 
 WEIGHT = "_weight"
@@ -129,20 +134,6 @@ def retrain_on_top(df: DataFrame, model: PipelineModel, label: str, limit: float
     return train_forest(df, top, label, trees, depth, **preparation), top
 
 
-class BalancedAccuracyEvaluator(Evaluator):
-    """Mean recall over classes, for model selection."""
-
-    def __init__(self, label: str, prediction: str = "prediction") -> None:
-        super().__init__()
-        self.label, self.prediction = label, prediction
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return balanced_accuracy(dataset, self.label, self.prediction).first()["balanced_accuracy"]
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def _search(df: DataFrame, estimator, grid: Mapping[str, Sequence], evaluator: Evaluator, fold: str, folds: int, parallelism: int) -> CrossValidatorModel:
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -163,14 +154,156 @@ def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequen
     return model, min(model.avgMetrics) ** 0.5
 
 
-def tune_forest(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 2, parallelism: int = 4) -> tuple[CrossValidatorModel, float]:
-    """Grid search by balanced accuracy over stratified folds."""
-    model = _search(df, random_forest(label), grid, BalancedAccuracyEvaluator(label), fold, folds, parallelism)
-    return model, max(model.avgMetrics)
-
-
-def search_table(model: CrossValidatorModel, spark) -> DataFrame:
+@dataclass
+class ForestSearch:
+    """Grid points in the grid's order with their mean scores, and the forest
+    fitted on all rows with the best of them."""
+
+    points: list[dict[str, Any]]
+    scores: list[float]
+    bestModel: PipelineModel | RandomForestClassificationModel
+
+
+def features_per_node(strategy: str, n: int) -> int:
+    """What Spark's forests make of a feature subset strategy."""
+    if strategy == "sqrt":
+        return max(1, math.ceil(math.sqrt(n)))
+    if strategy == "log2":
+        return max(1, math.ceil(math.log2(n)))
+    if strategy == "onethird":
+        return max(1, math.ceil(n / 3))
+    return n
+
+
+def _search_forest(label: str, trees: int, depth: int, **params: Any) -> RandomForestClassifier:
+    """Rows keep the number of the node they are in, which is checkpointed in
+    the shared folder, so deep levels do not send the trees again; statistics of
+    all nodes of a level fit in memory at once."""
+    return random_forest(label, trees, depth, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024, **params)
+
+
+def saved_nodes(model: RandomForestClassificationModel, spark) -> list[dict[str, np.ndarray]]:
+    """Per tree: feature, cut, children (-1 at a leaf), class counts and depth of
+    its nodes, the root first. They are read from the model's files; their number
+    is bounded by the trees and their depth, not by the rows."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"])
+    out = []
+    for _, tree in rows.groupby("treeID"):
+        left, right = tree["leftChild"].to_numpy(), tree["rightChild"].to_numpy()
+        depth = np.zeros(len(tree), np.int64)
+        for i in range(len(tree)):  # nodes are numbered from the root down
+            for child in (left[i], right[i]):
+                if child >= 0:
+                    depth[child] = depth[i] + 1
+        split = tree["split"]
+        out.append({
+            "left": left, "right": right, "depth": depth, "feature": np.array([r["featureIndex"] for r in split]),
+            "cut": np.array([r["leftCategoriesOrThreshold"][0] if len(r["leftCategoriesOrThreshold"]) else 0.0 for r in split]),
+            "stats": np.stack(tree["impurityStats"].to_numpy())})
+    return out
+
+
+def cut_back(tree: dict[str, np.ndarray], depth: int) -> np.ndarray:
+    """Which nodes are leaves of the tree at that depth. Sister leaves of one
+    class are one leaf, as in a tree grown to that depth only."""
+    leaf = (tree["left"] < 0) | (tree["depth"] >= depth)
+    kind = tree["stats"].argmax(axis=1)
+    for i in np.argsort(-tree["depth"], kind="stable"):
+        l, r = tree["left"][i], tree["right"][i]
+        if not leaf[i] and leaf[l] and leaf[r] and kind[l] == kind[r]:
+            leaf[i] = True
+    return leaf
+
+
+def staged_votes(x: np.ndarray, forest: list[dict[str, np.ndarray]], trees: int, leaves: list[np.ndarray]) -> np.ndarray:
+    """Class of each row by the first ``trees`` trees with the given leaves."""
+    total = 0.0
+    for tree, leaf in zip(forest[:trees], leaves):
+        at = np.zeros(len(x), np.int64)
+        while True:
+            go = np.flatnonzero(~leaf[at])
+            if not len(go):
+                break
+            node = at[go]
+            at[go] = np.where(x[go, tree["feature"][node]] <= tree["cut"][node], tree["left"][node], tree["right"][node])
+        stats = tree["stats"][at]
+        total = total + stats / stats.sum(axis=1, keepdims=True)
+    return total.argmax(axis=1)
+
+
+def _stage_scores(model: RandomForestClassificationModel, test: DataFrame, label: str, stages: Sequence[tuple[int, int]]) -> list[float]:
+    """Balanced accuracy of each (trees, depth) stage of a fitted forest, from
+    one pass over the test rows."""
+    spark = test.sparkSession
+    forest = saved_nodes(model, spark)
+    leaves = {d: [cut_back(t, d) for t in forest] for d in {d for _, d in stages}}
+    shared = spark.sparkContext.broadcast((forest, leaves))  # bounded by trees and depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, ends = shared.value
+        for batch in batches:
+            if len(batch):
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                said = np.stack([staged_votes(x, nodes, t, ends[d]) for t, d in stages], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(stages)), pa.array(said.ravel().astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["y", "said"])
+
+    voted = test.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x")).mapInArrow(run, "y double, said array<double>")
+    recalls = voted.groupBy("y").agg(*[F.avg((F.col("said")[i] == F.col("y")).cast("double")).alias(f"r{i}") for i in range(len(stages))])
+    row = recalls.agg(*[F.avg(f"r{i}") for i in range(len(stages))]).first()
+    return [float(v) for v in row]
+
+
+def tune_forest(
+    df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 2, prepare: Callable[[DataFrame], PipelineModel] | None = None,
+    weighted: bool = False,
+) -> tuple[ForestSearch, float]:
+    """Grid search by balanced accuracy over stratified folds.
+
+    ``prepare`` is fitted on the training rows of each fold, and at last on all
+    rows; without it ``df`` has a column features. ``weighted`` makes class
+    weights from the same rows. For each fold and each pair of least leaf size
+    and features per node one forest is fitted, as large and deep as the grid
+    goes. Its first trees, cut back, stand for the smaller grid points: a tree
+    cut back equals the tree grown to that depth, as both draw the same features
+    in the same order. Strategies that come to the same number of features per
+    node are the same forest. The forest with the best point is then fitted on
+    all rows. Ties go to the first point of the grid.
+    """
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    scores = np.zeros(len(points))
+
+    def ready(rows: DataFrame) -> tuple[PipelineModel | None, DataFrame]:
+        shaper = prepare(rows) if prepare else None
+        shaped = shaper.transform(rows) if shaper else rows
+        shaped = with_class_weight(shaped, label, WEIGHT) if weighted else shaped
+        return shaper, spread(materialise(shaped.select("features", label, WEIGHT), "search-rows"))
+
+    for turn in range(folds):
+        shaper, train = ready(df.filter(F.col(fold) != turn))
+        test = df.filter(F.col(fold) == turn)
+        test = materialise((shaper.transform(test) if shaper else test).select("features", label), "search-test")
+        n = len(train.first()["features"])
+        alike: dict[tuple, list[int]] = {}
+        for i, point in enumerate(points):
+            alike.setdefault((point["minInstancesPerNode"], features_per_node(point["featureSubsetStrategy"], n)), []).append(i)
+        for (leaf, each), members in alike.items():
+            stages = [(points[i]["numTrees"], points[i]["maxDepth"]) for i in members]
+            learner = _search_forest(label, max(t for t, _ in stages), max(d for _, d in stages), minInstancesPerNode=leaf, featureSubsetStrategy=str(each) if each < n else "all")
+            for i, value in zip(members, _stage_scores(learner.fit(train), test, label, stages)):
+                scores[i] += value / folds
+    best = points[int(scores.argmax())]
+    shaper, rows = ready(df)
+    model = _search_forest(label, best["numTrees"], best["maxDepth"], minInstancesPerNode=best["minInstancesPerNode"], featureSubsetStrategy=best["featureSubsetStrategy"]).fit(rows)
+    return ForestSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
+
+
+def search_table(model: CrossValidatorModel | ForestSearch, spark) -> DataFrame:
     """One row per grid point with its parameters and mean score."""
+    if isinstance(model, ForestSearch):
+        return spark.createDataFrame([(str(dict(sorted(p.items()))), s) for p, s in zip(model.points, model.scores)], "params string, score double")
     rows = [
         (str({p.name: v for p, v in sorted(params.items(), key=lambda kv: kv[0].name)}), float(score))
         for params, score in zip(model.getEstimatorParamMaps(), model.avgMetrics)

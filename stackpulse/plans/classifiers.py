@@ -66,7 +66,7 @@ def train_voltage(
 
 
 def train_fault(
-    df: DataFrame, key: str, label: str, k: int = 6, z_limit: float = 3.0, grid=learn.FOREST_GRID, parallelism: int = 4
+    df: DataFrame, key: str, label: str, k: int = 6, z_limit: float = 3.0, grid=learn.FOREST_GRID
 ) -> tuple[PipelineModel, DataFrame, list[str], float]:
     """(model, scored test rows, features, cross-validated balanced accuracy).
 
@@ -90,7 +90,7 @@ def train_fault(
     grown = grown.withColumn("_id", F.pmod(F.xxhash64(key, "x", "synthetic"), F.lit(2**40)))
     folded = balance.stratified_folds(grown, "_id", label)
     ready = folded.select(array_to_vector("x").alias("features"), label, "fold", F.lit(1.0).alias(learn.WEIGHT))
-    search, score = learn.tune_forest(materialise(ready, "ready"), label, "fold", grid, parallelism=parallelism)
+    search, score = learn.tune_forest(materialise(ready, "ready"), label, "fold", grid)
     model = PipelineModel(stages=[*shaper.stages, search.bestModel])
     return model, learn.score_fault(test, model), best, score
 

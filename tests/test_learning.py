@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F, types as T
 
 from stackpulse.operators import balance, clean, evaluate, learn, profile
@@ -151,18 +153,69 @@ def test_one_vs_rest_curves(spark):
     assert got[(got["class"] == 1) & (got["threshold"] == .4)]["precision"].iloc[0] == 1.0
 
 
-@pytest.mark.parametrize("name, grid", [
-    ("i17_grid_search_regression", learn.BOOSTED_GRID), ("i18_grid_search_classifier", learn.FOREST_GRID), ("i18_tuned_fault", learn.FOREST_GRID)])
-def test_registered_searches_use_the_full_grids(spark, sf, monkeypatch, name, grid):
+def test_registered_regression_search_uses_the_full_grid(spark, sf, monkeypatch):
     import __spark_entry__ as entry
 
     class Reached(Exception):
         pass
 
     def search(df, estimator, got, *rest):
-        assert df.count() and got == grid
+        assert df.count() and got == learn.BOOSTED_GRID
         raise Reached
 
     monkeypatch.setattr(learn, "_search", search)
     with pytest.raises(Reached):
-        entry.queries()[name](spark, sf)
+        entry.queries()["i17_grid_search_regression"](spark, sf)
+
+
+def test_full_forest_search_ends(spark, sf):
+    """The registered search, with its whole grid and all rows."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["i18_grid_search_classifier"](spark, sf).collect()
+    assert len(got) == 8 and all(0 < r["score"] <= 1 for r in got)
+    assert len({r["params"] for r in got}) == 8
+
+
+def three_classes(spark, n=900, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4))
+    y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(int) + (x[:, 2] > 0.8)
+    return spark.createDataFrame([(i, *map(float, r), int(c), i % 2) for i, (r, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y int, fold int")
+
+
+def assembled(rows):
+    return Pipeline(stages=[learn.preparation_stage(rows, list("abcd"), bounds=None), VectorAssembler(inputCols=[f"x_{c}" for c in "abcd"], outputCol="features")]).fit(rows)
+
+
+def test_cut_back_trees_equal_shallow_ones(spark):
+    df = three_classes(spark)
+    rows = assembled(df).transform(df).withColumn(learn.WEIGHT, F.lit(1.0)).select("id", "features", "y", learn.WEIGHT).cache()
+    params = dict(minInstancesPerNode=2, featureSubsetStrategy="2")
+    deep = learn._search_forest("y", 6, 12, **params).fit(rows)
+    x = np.array([r["features"].toArray() for r in rows.orderBy("id").collect()])
+    forest = learn.saved_nodes(deep, spark)
+    for depth in (3, 6, 12):
+        shallow = learn._search_forest("y", 6, depth, **params).fit(rows)
+        want = [r["prediction"] for r in shallow.transform(rows).orderBy("id").collect()]
+        leaves = [learn.cut_back(t, depth) for t in forest]
+        assert learn.staged_votes(x, forest, 6, leaves).tolist() == want
+
+
+def test_forest_search_fits_preparation_inside_folds(spark):
+    """Rows of the other fold change nothing in what a fold is fitted on."""
+    df = three_classes(spark)
+    seen = []
+
+    def prepare(train):
+        seen.append({r["fold"] for r in train.select("fold").distinct().collect()})
+        return assembled(train)
+
+    grid = {"numTrees": [2, 4], "maxDepth": [2, 5], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt", "log2"]}
+    search, best = learn.tune_forest(df, "y", "fold", grid, prepare=prepare, weighted=True)
+    assert seen == [{1}, {0}, {0, 1}]
+    assert len(search.points) == 8 and best == max(search.scores)
+    # With four features both strategies take two of them at each node.
+    by = {tuple(p.values()): s for p, s in zip(search.points, search.scores)}
+    assert all(by[t, d, 2, "sqrt"] == by[t, d, 2, "log2"] for t in (2, 4) for d in (2, 5))
+    assert search.bestModel.transform(df).filter("prediction = y").count() > 700
