@@ -7,14 +7,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F, types as T
 
 from ..functions.scalars import id_hash_sql
-from ..operators import balance, cells as cell_ops, evaluate, forest, learn, ordered, reduce, series as ops
+from ..operators import balance, cells as cell_ops, evaluate, forest, learn, ordered, reduce, series as ops, windows
 from ..operators.warping import warp_distances
 from ..plans import classifiers, stack, votes
 from ..session import materialise, scratch_path
 from ..sources import models, tables
 from ..streaming import scoring
 from .neighbours import DBSCAN
-from .registry import N_CELLS, ORDER, SERIES, cells_table, query, r6, series_table, table
+from .registry import N_CELLS, ORDER, SERIES, SERIES_SQL, cells_table, query, r6, series_table, table
 
 PRICE_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 
@@ -242,13 +242,22 @@ def i23(spark, sf):
 
 @query("i24_reconstruction_error")
 def i24(spark, sf):
-    wins = ordered.sequences(_plain_series(spark, sf), ["current", "voltage"], 30, SERIES).select(
-        "user_id", "row_no", F.flatten("window").alias("w"))
-    wins = materialise(wins, "windows")
-    errors = materialise(reduce.reconstruction_error(wins, reduce.fit_pca(wins, "w", 8), "w").drop("w"), "errors")
+    rows = materialise(_plain_series(spark, sf), "series")
+    axes = windows.fit_window_axes(rows, ["current", "voltage"], 30, 8, SERIES)
+    errors = materialise(windows.window_errors(rows, ["current", "voltage"], 30, axes, SERIES), "errors")
     return ops.percentile_flag(errors, "recon_error", "recon_anomaly")
 
 
+@query("i24_window_covariance", f"""
+WITH {SERIES_SQL}, w AS (SELECT s.user_id, s.row_no AS target, h.row_no - (s.row_no - 30) AS e, h.current AS x
+  FROM series s JOIN series h ON s.user_id = h.user_id AND h.row_no BETWEEN s.row_no - 30 AND s.row_no - 1 WHERE s.row_no >= 30)
+SELECT a.e AS i, b.e AS j, round(covar_samp(a.x, b.x), 5) AS covariance FROM w a JOIN w b ON a.user_id = b.user_id AND a.target = b.target GROUP BY 1, 2""")
+def i24_covariance(spark, sf):
+    _, _, covariance = windows.window_covariance(_plain_series(spark, sf), ["current"], 30, SERIES)
+    rows = [(i, j, float(v)) for i, row in enumerate(covariance) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "i long, j long, covariance double").withColumn("covariance", F.round("covariance", 5))
+
+
 @query("i25_three_way_vote")
 def i25(spark, sf):
     rows = materialise(ops.series_features(series_table(spark, sf), ORDER, SERIES), "features")

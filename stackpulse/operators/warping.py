@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .ordered import BLOCK, BLOCK_ROWS, ROW, join_keys, with_halo
+from .ordered import BLOCK_ROWS, ROW, join_keys
+from .windows import Batch, key_schema, keyed, map_windows
 
-_CHUNK = 256
+_CHUNK = 512
 
 
 def warp(windows: np.ndarray, reference: np.ndarray, band: int | None = None) -> np.ndarray:
-    """Exact warping distance of many windows (m, a, f) to one reference (b, f).
+    """Exact warping distance of many windows (m, a, f) to one reference (b, f),
+    or to one each (m, b, f).
 
     The recurrence runs over anti-diagonals: all cells of one, for all windows,
     only need the two before.
     """
-    m, a, b = len(windows), windows.shape[1], len(reference)
-    step = np.sqrt(((windows[:, :, None, :] - reference[None, None, :, :]) ** 2).sum(axis=3)).transpose(1, 2, 0)
+    reference = reference if reference.ndim == 3 else reference[None]
+    m, a, b = len(windows), windows.shape[1], reference.shape[1]
+    squares = np.zeros((a, b, m))
+    for f in range(windows.shape[2]):
+        gap = windows[:, :, f].T[:, None, :] - reference[:, :, f].T[None]
+        squares += gap * gap
+    step = np.sqrt(squares)
     if band is not None:
         i, j = np.indices((a, b))
         step[np.abs(i * (b - 1) - j * (a - 1)) > band * max(a - 1, b - 1, 1)] = np.inf
@@ -40,32 +47,35 @@ def warp_distances(
 ) -> DataFrame:
     """(series, row_no, distance) per target row with a full history.
 
-    Blocks with a halo go to the workers, so a row travels about once and the
-    windows are views over the block. The reference of a series rides on the
-    first row of each block only.
+    Blocks with a halo go to the workers, so a row travels about once; windows
+    of many series are warped in one call. The reference of a series rides on
+    the first row of each block only.
     """
-    rows = with_halo(indexed.select(*series, ROW, *[F.col(f).cast("double") for f in features]), length, block_rows)
-    head = F.col("_own") & (F.pmod(F.col(ROW), F.lit(block_rows)) == 0)
-    first = rows.filter(head)
-    if series:
-        first = join_keys(first, reference.select(*series, "reference"), series)
-    else:
-        first = first.withColumn("reference", reference.select("reference").scalar())
-    rest = rows.filter(~head).withColumn("reference", F.lit(None).cast("array<array<double>>"))
-    n_features, keys = len(features), list(series)
-    schema = ", ".join([*[f"`{s}` {indexed.schema[s].dataType.simpleString()}" for s in series], f"{ROW} long, {name} double"])
+    n_features = len(features)
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW)
-        given = [r for r in pdf["reference"] if r is not None]
-        x = pdf[list(features)].to_numpy(dtype=float)
-        out = pdf[[*keys, ROW]].iloc[length:].copy()
-        if not given or len(x) <= length:
-            return out.iloc[:0].assign(**{name: pd.Series(dtype=float)})
-        ref = np.stack([np.asarray(r, dtype=float) for r in given[0]]).reshape(-1, n_features)
-        views = np.lib.stride_tricks.sliding_window_view(x, length, axis=0)[:-1].transpose(0, 2, 1)
-        out[name] = np.concatenate([
-            warp(views[i:i + _CHUNK], ref, band) for i in range(0, len(views), _CHUNK)])
-        return out[pdf["_own"].to_numpy()[length:]]
+    def with_reference(rows: DataFrame) -> DataFrame:
+        head = F.col("_own") & (F.pmod(F.col(ROW), F.lit(block_rows)) == 0)
+        first = rows.filter(head)
+        if series:
+            first = join_keys(first, reference.select(*series, F.flatten("reference").alias("reference")), series)
+        else:
+            first = first.withColumn("reference", reference.select(F.flatten("reference")).scalar())
+        return first.unionByName(rows.filter(~head).withColumn("reference", F.lit(None).cast("array<double>")))
 
-    return first.unionByName(rest).groupBy(*series, BLOCK).applyInPandas(measure, schema)
+    def measure(batch: Batch) -> Iterator[pa.RecordBatch]:
+        given = batch.table["reference"].combine_chunks()
+        has = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+        sent = given.take(pa.array(has)).to_pylist()
+        place = np.full(batch.run[-1] + 1, -1)
+        place[batch.run[has]] = np.arange(len(has))
+        # Series without any window have no reference.
+        batch.targets = batch.targets[place[batch.run[batch.targets]] >= 0]
+        if not len(batch.targets):
+            return
+        references = np.array([np.asarray(r, dtype=float).reshape(-1, n_features) for r in sent])
+        for at in range(0, len(batch.targets), _CHUNK):
+            part = slice(at, at + _CHUNK)
+            own = place[batch.run[batch.targets[part]]]
+            yield keyed(batch, series, part, **{name: warp(batch.windows(part), references[own], band)})
+
+    return map_windows(indexed, features, length, measure, f"{key_schema(indexed, series)}, {name} double", series, block_rows, with_reference)

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import finite_or_zero
-from ..operators import forest, reduce, scale, series as ops
-from ..operators.ordered import ROW, chronological_split, join_keys, sequences
+from ..operators import forest, scale, series as ops
+from ..operators.ordered import ROW, chronological_split, join_keys
 from ..operators.warping import warp_distances
+from ..operators.windows import WindowAxes, fit_window_axes, window_errors
 from ..session import materialise
 
 
@@ -18,7 +19,7 @@ from ..session import materialise
 class SeriesModel:
     scale: dict[str, tuple[float, float]]
     forest: forest.IsolationForest
-    axes: reduce.Axes
+    axes: WindowAxes
     series: list[str]
     length: int
 
@@ -49,8 +50,7 @@ def fit_series_model(
     scaled = materialise(_scaled(train, params), "train")
     points = scaled.select(_key(series), F.array(*ops.FEATURES).alias("x"))
     iso = forest.fit_forest(points, "_key", "x", trees).with_threshold(points, "x", contamination)
-    windows = sequences(scaled, ops.FEATURES, length, series).select(F.flatten("window").alias("w"))
-    return SeriesModel(params, iso, reduce.fit_pca(windows, "w", axes), list(series), length)
+    return SeriesModel(params, iso, fit_window_axes(scaled, ops.FEATURES, length, axes, series), list(series), length)
 
 
 def vote_series(table: DataFrame, model: SeriesModel, p: float = 0.9, first_reference: bool = False) -> VoteResult:
@@ -62,8 +62,7 @@ def vote_series(table: DataFrame, model: SeriesModel, p: float = 0.9, first_refe
     series, length = model.series, model.length
     scaled = materialise(_scaled(table, model.scale), "scaled")
     keys = [*series, ROW]
-    windows = sequences(scaled, ops.FEATURES, length, series).select(*keys, F.flatten("window").alias("w"))
-    recon = reduce.reconstruction_error(windows, model.axes, "w").select(*keys, "recon_error")
+    recon = window_errors(scaled, ops.FEATURES, length, model.axes, series)
     ref = ops.reference_window(scaled, ops.FEATURES, length, series=series, first=first_reference)
     warped = warp_distances(scaled, ops.FEATURES, ref, length, series)
     iso = model.forest.flag(scaled.filter(F.col(ROW) >= length).select(*keys, F.array(*ops.FEATURES).alias("x")), "x").drop("x")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stackpulse.operators import forest, ordered, reduce, series as ops
+from stackpulse.operators import forest, ordered, reduce, series as ops, windows
 from stackpulse.operators.warping import warp, warp_distances
 from stackpulse.plans import votes
 
@@ -153,3 +153,24 @@ def test_vote(spark):
     rows = result.rows.toPandas()
     assert rows["anomaly"].sum() == summary["anomalies"] and len(rows) == 502
     assert rows.query("anomaly == 1")["source_row"].between(230, 260).all()
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_window_errors_without_a_window_table(spark, block):
+    """Equal to principal axes fitted on a table of all windows."""
+    rng = np.random.default_rng(12)
+    rows = [(s, i, float(5 + np.sin(i / 5) + rng.normal() / 9), float(rng.normal())) for s, n in (("a", 200), ("b", 33), ("c", 30), ("d", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, row_no long, u double, v double").repartition(5)
+    plain = ordered.sequences(df, ["u", "v"], 30, ["s"]).selectExpr("s", "row_no", "flatten(window) AS w")
+    axes = reduce.fit_pca(plain, "w", 4)
+    want = {(r["s"], r["row_no"]): r["recon_error"] for r in reduce.reconstruction_error(plain, axes, "w").collect()}
+    mine = windows.fit_window_axes(df, ["u", "v"], 30, 4, ["s"], block)
+    got = {(r["s"], r["row_no"]): r["recon_error"] for r in windows.window_errors(df, ["u", "v"], 30, mine, ["s"], block).collect()}
+    assert got.keys() == want.keys() and len(got) == 173
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_window_covariance_of_nothing(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "s string, row_no long, u double")
+    n, mean, covariance = windows.window_covariance(df, ["u"], 30, ["s"])
+    assert n == 0 and not mean.any() and not covariance.any()
