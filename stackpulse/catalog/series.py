@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import array_sum
 from ..operators import ordered, series as ops
-from ..operators.wavelet import DB4, analyse, high_pass, wavelet_smooth
+from ..operators.wavelet import DB4, coefficients, high_pass, wavelet_smooth
 from .registry import ORDER, SERIES, SERIES_SQL, query, r6, series_table
 
 W = "OVER (PARTITION BY user_id ORDER BY row_no)"
@@ -99,7 +99,7 @@ placed AS (SELECT *, CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END AS row_no FRO
 WITH {COEFFICIENTS_SQL} SELECT user_id, k AS row_no, round(sum(low * current), 6) AS approx, round(sum(high * current), 6) AS detail
 FROM placed JOIN series USING (user_id, row_no) GROUP BY 1, 2""")
 def e09_coefficients(spark, sf):
-    return analyse(_indexed(spark, sf), "current", SERIES).select("user_id", "row_no", r6("approx").alias("approx"), r6("detail").alias("detail"))
+    return coefficients(_indexed(spark, sf), "current", SERIES, 1).select("user_id", "row_no", r6("approx").alias("approx"), r6("detail").alias("detail"))
 
 
 # A run of p missing values at the head reaches that many coefficients and

@@ -43,7 +43,7 @@ def _batch(table: pa.Table, starts: np.ndarray, features: Sequence[str], length:
     return Batch(table, x, run, np.flatnonzero(own & (since >= length)), length)
 
 
-def _starts(table: pa.Table) -> np.ndarray:
+def run_starts(table: pa.Table) -> np.ndarray:
     run, row = table[_RUN].to_numpy(), table[ROW].to_numpy()
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (row[1:] != row[:-1] + 1)
@@ -69,14 +69,14 @@ def map_windows(
                 continue
             more = pa.Table.from_batches([batch])
             held = more if held is None else pa.concat_tables([held, more]).combine_chunks()
-            starts = _starts(held)
+            starts = run_starts(held)
             last = int(np.flatnonzero(starts)[-1])
             if last:
                 yield from fn(_batch(held.slice(0, last).combine_chunks(), starts[:last], features, length))
                 held = held.slice(last)
         if held is not None:
             held = held.combine_chunks()
-            yield from fn(_batch(held, _starts(held), features, length))
+            yield from fn(_batch(held, run_starts(held), features, length))
 
     return dealt.mapInArrow(run, schema)
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from stackpulse.operators import ordered, series as ops
-from stackpulse.operators.wavelet import DB4, high_pass, analyse, level_size, wavelet_smooth
+from stackpulse.operators.wavelet import DB4, coefficients, high_pass, level_size, wavelet_smooth
 
 
 @pytest.fixture(scope="module")
@@ -103,24 +103,36 @@ def test_reference_window(indexed, data):
 
 
 def numpy_analysis(x):
-    ext = lambda i: x[-1 - i] if i < 0 else (x[2 * len(x) - 1 - i] if i >= len(x) else x[i])
+    twice = np.concatenate([x, x[::-1]])  # mirrored again and again
+    ext = lambda i: twice[i % len(twice)]
     size = (len(x) + 7) // 2
     low = [sum(DB4[j] * ext(2 * k + 1 - j) for j in range(8)) for k in range(size)]
     high = [sum(high_pass(DB4)[j] * ext(2 * k + 1 - j) for j in range(8)) for k in range(size)]
     return np.array(low), np.array(high)
 
 
-def test_wavelet_levels(spark):
-    x = np.random.default_rng(4).normal(size=37)
+@pytest.mark.parametrize("n", [1, 2, 5, 37, 300, 1000])
+@pytest.mark.parametrize("block", [128, 4096])
+def test_wavelet_levels(spark, n, block):
+    """All levels of short and long series, whole or in blocks, against numpy."""
+    x = np.random.default_rng(n).normal(size=n)
+    rows = [(s, i, float(v) + s) for s in (0, 1) for i, v in enumerate(x)]
+    df = ordered.index_rows(spark.createDataFrame(rows, "s int, id long, v double"), ["id"], ["s"])
+    got = coefficients(df, "v", ["s"], 3, block).toPandas().sort_values(["s", "level", "row_no"])
+    for s in (0, 1):
+        low = x + s
+        for level in (1, 2, 3):
+            low, high = numpy_analysis(low)
+            part = got[(got["s"] == s) & (got["level"] == level)]
+            assert part["row_no"].tolist() == list(range(len(low))) and len(low) == level_size(n, level)
+            assert np.allclose(part["approx"], low) and np.allclose(part["detail"], high)
+
+
+def test_wavelet_in_blocks(spark):
+    x = np.random.default_rng(2).normal(size=700)
     df = ordered.index_rows(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, v double"), ["id"])
-    one = analyse(df, "v")
-    got = one.orderBy("row_no").toPandas()
-    low, high = numpy_analysis(x)
-    assert np.allclose(got["approx"], low) and np.allclose(got["detail"], high)
-    two = analyse(one, "approx", level=1).orderBy("row_no").toPandas()
-    assert np.allclose(two["approx"], numpy_analysis(low)[0])
-    import pyspark.sql.functions as F
-    assert df.select(level_size(F.col("series_rows"), 2).alias("n")).first()["n"] == len(two)
+    got = wavelet_smooth(df, "v", block_rows=128).orderBy("row_no").toPandas()
+    assert got["row_no"].tolist() == list(range(700)) and np.allclose(got["wavelet"], x)
 
 
 def test_wavelet_rebuild(indexed):
