@@ -166,13 +166,15 @@ class ForestSearch:
 
 def features_per_node(strategy: str, n: int) -> int:
     """What Spark's forests make of a feature subset strategy."""
-    if strategy == "sqrt":
+    if strategy in ("sqrt", "auto"):
         return max(1, math.ceil(math.sqrt(n)))
     if strategy == "log2":
         return max(1, math.ceil(math.log2(n)))
     if strategy == "onethird":
         return max(1, math.ceil(n / 3))
-    return n
+    if strategy.isdigit():
+        return min(int(strategy), n)
+    return n if strategy == "all" else max(1, math.ceil(float(strategy) * n))
 
 
 def _search_forest(label: str, trees: int, depth: int, **params: Any) -> RandomForestClassifier:
@@ -264,8 +266,8 @@ def tune_forest(
 
     ``prepare`` is fitted on the training rows of each fold, and at last on all
     rows; without it ``df`` has a column features. ``weighted`` makes class
-    weights from the same rows. For each fold and each pair of least leaf size
-    and features per node one forest is fitted, as large and deep as the grid
+    weights from the same rows. For each fold, number of features per node and
+    choice of the other parameters one forest is fitted, as large and deep as the grid
     goes. Its first trees, cut back, stand for the smaller grid points: a tree
     cut back equals the tree grown to that depth, as both draw the same features
     in the same order. Strategies that come to the same number of features per
@@ -273,6 +275,8 @@ def tune_forest(
     all rows. Ties go to the first point of the grid.
     """
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    full = [{"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "auto", **p} for p in points]
+    staged = ("numTrees", "maxDepth", "featureSubsetStrategy")
     scores = np.zeros(len(points))
 
     def ready(rows: DataFrame) -> tuple[PipelineModel | None, DataFrame]:
@@ -287,16 +291,17 @@ def tune_forest(
         test = materialise((shaper.transform(test) if shaper else test).select("features", label), "search-test")
         n = len(train.first()["features"])
         alike: dict[tuple, list[int]] = {}
-        for i, point in enumerate(points):
-            alike.setdefault((point["minInstancesPerNode"], features_per_node(point["featureSubsetStrategy"], n)), []).append(i)
-        for (leaf, each), members in alike.items():
-            stages = [(points[i]["numTrees"], points[i]["maxDepth"]) for i in members]
-            learner = _search_forest(label, max(t for t, _ in stages), max(d for _, d in stages), minInstancesPerNode=leaf, featureSubsetStrategy=str(each) if each < n else "all")
+        for i, point in enumerate(full):
+            rest = tuple(sorted((k, v) for k, v in point.items() if k not in staged))
+            alike.setdefault((rest, features_per_node(point["featureSubsetStrategy"], n)), []).append(i)
+        for (rest, each), members in alike.items():
+            stages = [(full[i]["numTrees"], full[i]["maxDepth"]) for i in members]
+            learner = _search_forest(label, max(t for t, _ in stages), max(d for _, d in stages), featureSubsetStrategy=str(each) if each < n else "all", **dict(rest))
             for i, value in zip(members, _stage_scores(learner.fit(train), test, label, stages)):
                 scores[i] += value / folds
-    best = points[int(scores.argmax())]
+    best = dict(full[int(scores.argmax())])
     shaper, rows = ready(df)
-    model = _search_forest(label, best["numTrees"], best["maxDepth"], minInstancesPerNode=best["minInstancesPerNode"], featureSubsetStrategy=best["featureSubsetStrategy"]).fit(rows)
+    model = _search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best).fit(rows)
     return ForestSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
 
 
