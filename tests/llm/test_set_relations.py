@@ -61,6 +61,12 @@ def test_join_without_broadcast(spark, crowded):
     assert rows(set_join.jaccard_classes(docs, heavy=8, most_broadcast=0)) == classes(crowded)
 
 
+def test_classes_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "TASK_LINKS", 7)
+    links = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long").repartition(9)
+    assert {r["node"]: r["component"] for r in set_join.classes_of(links).collect()} == {i: i - i % 20 for i in range(60)}
+
+
 def test_join_of_nothing(nothing):
     assert rows(set_join.jaccard_classes(nothing)) == []
 
