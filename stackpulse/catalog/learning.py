@@ -43,6 +43,22 @@ def i05(spark, sf):
     return reduce.with_pca_columns(rows, reduce.fit_svd(rows, "cells", 4), "cells", "SVD").drop("cells", "label")
 
 
+# Sums of even powers of all singular values are traces of powers of the table's
+# product with itself.
+@query("i05_singular_values", """
+WITH v AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),
+g AS (SELECT a.p AS i, b.p AS j, sum(a.x * b.x) AS g FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2),
+h AS (SELECT a.i, b.j, sum(a.g * b.g) AS h FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2),
+m AS (SELECT 1 AS power, sum(g) AS total FROM g WHERE i = j UNION ALL SELECT 2, sum(g * g) FROM g
+ UNION ALL SELECT 3, sum(g.g * h.h) FROM g JOIN h ON g.i = h.j AND g.j = h.i UNION ALL SELECT 4, sum(h * h) FROM h)
+SELECT power, round(log10(total), 8) AS log_total FROM m""")
+def i05_singular(spark, sf):
+    axes = reduce.fit_svd(cells_table(spark, sf), "cells", N_CELLS)
+    values = spark.createDataFrame([(axes.singular,)], "s array<double>").select(F.explode("s").alias("s"))
+    powers = values.select("s", F.explode(F.array(*[F.lit(p) for p in (1, 2, 3, 4)])).alias("power"))
+    return powers.groupBy("power").agg(F.round(F.log10(F.sum(F.pow("s", 2 * F.col("power")))), 8).alias("log_total"))
+
+
 # The batch scaled to [0, 1] takes the place of the raw cells.
 STACK = """stack AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS raw FROM embeddings),
 feat AS (SELECT vec_id, list_concat([CASE WHEN label = 0 THEN (SELECT avg(label) FROM stack WHERE label <> 0) ELSE label END,

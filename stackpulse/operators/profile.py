@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import numeric_columns
 from .quantiles import quantiles
 
-# Width of one aggregate; wider jobs are cut into several.
-MAX_EXPRESSIONS = 400
-
 
 def _long(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
@@ -48,25 +47,62 @@ def low_variance_columns(df: DataFrame, columns: Sequence[str], min_var: float =
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long correlation table (a_pos, a, b_pos, b, r) of the upper triangle."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    parts = []
-    for start in range(0, len(pairs), MAX_EXPRESSIONS):
-        chunk = pairs[start:start + MAX_EXPRESSIONS]
-        one = df.agg(*[
-            F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"r{i}_{j}")
-            for i, j in chunk
-        ])
-        parts.append(_long(one, [
-            F.struct(
-                F.lit(i).alias("a_pos"), F.lit(columns[i]).alias("a"),
-                F.lit(j).alias("b_pos"), F.lit(columns[j]).alias("b"), F.col(f"r{i}_{j}").alias("r"),
-            ) for i, j in chunk
-        ]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Long correlation table (a_pos, a, b_pos, b, r) of the upper triangle.
+
+    One scan: each partition sums the outer products of its rows, and the sums of
+    a pair meet in one place. A pair uses the rows that have both values; it is
+    NaN where one of these is not finite, and null where a side is constant or
+    fewer than two rows have both, as in an empty table.
+    Values are taken from a typical one, the median of a few rows, so that large
+    offsets cost no digits.
+    """
+    names = list(columns)
+    d = len(names)
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+    few = rows.limit(100).collect()
+    if not few:
+        rows = df.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double")] * d).alias("v"))
+    first = np.array([r["v"] for r in few], dtype=float).reshape(len(few), d)
+    finite = np.where(np.isfinite(first), first, np.nan)
+    typical = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in finite.T])
+    left, right = np.triu_indices(d, 1)
+    fields = ["n", "sa", "sb", "saa", "sbb", "sab", "bad"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows known, sums and squares of a where b is known, products, rows not finite.
+        known, sums, squares, products, bad = (np.zeros((d, d)) for _ in range(5))
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat = batch.column(0).flatten()
+            x = flat.to_numpy(zero_copy_only=False).reshape(len(batch), d) - typical
+            mask = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(batch), d)
+            odd = (mask & ~np.isfinite(x)).astype(float)
+            x = np.where(mask & (odd == 0), x, 0.0)
+            mask = mask.astype(float)
+            known += mask.T @ mask
+            sums += x.T @ mask
+            squares += (x * x).T @ mask
+            products += x.T @ x
+            bad += odd.T @ mask
+        upper = [m[left, right] for m in (known, sums, sums.T, squares, squares.T, products, bad + bad.T)]
+        for at in range(0, len(left), 1 << 16):
+            end = at + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(left[at:end], pa.int32()), pa.array(right[at:end], pa.int32()), *[pa.array(u[at:end]) for u in upper]], names=["a_pos", "b_pos", *fields])
+
+    parts = rows.mapInArrow(run, "a_pos int, b_pos int, " + ", ".join(f"{f} double" for f in fields))
+    pairs = parts.groupBy("a_pos", "b_pos").agg(*[F.sum(f).alias(f) for f in fields])
+
+    def spread(total: str, square: str) -> Column:
+        # What rounding leaves of a constant is no spread.
+        var = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(var > F.lit(1e-13) * F.col(square), var)
+
+    sound = F.when(F.col("n") > 1, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread("sa", "saa") * spread("sb", "sbb")))
+    bounded = F.when(sound.isNotNull(), F.least(F.greatest(sound, F.lit(-1.0)), F.lit(1.0)))
+    r = F.when(F.col("bad") > 0, F.lit(float("nan"))).otherwise(bounded)
+    named = F.array(*[F.lit(c) for c in names])
+    return pairs.select("a_pos", F.get(named, F.col("a_pos")).alias("a"), "b_pos", F.get(named, F.col("b_pos")).alias("b"), r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -116,6 +116,35 @@ def test_shapley_paths_and_full_settings(spark, sf, monkeypatch):
     assert seen == dict(trees=100, rows=min(100, spark.read.parquet(f"{sf}/embeddings.parquet").count()), orders=4)
 
 
+def test_axes_of_wide_and_thin_tables(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(240, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 3_000)) + 0.01 * rng.normal(size=(240, 3_000)) + 3
+    df = make(spark, x).repartition(5)
+    for fit, table in ((reduce.fit_pca, x - x.mean(axis=0)), (reduce.fit_svd, x)):
+        axes = fit(df, "x", 4)
+        _, s, vt = np.linalg.svd(table, full_matrices=False)
+        assert np.allclose(axes.singular, s[:4], rtol=1e-8)
+        assert np.allclose(np.abs((axes.components() * vt[:4]).sum(axis=1)), 1, atol=1e-8)
+    y = rng.normal(size=(300, 12)) + 5
+    exact, wide = (reduce.fit_pca(make(spark, y).repartition(7), "x", 3, wide=w) for w in (2048, 2))
+    assert np.allclose(exact.singular, np.linalg.svd(y - y.mean(axis=0))[1][:3])
+    assert np.allclose(exact.singular, wide.singular) and np.allclose(exact.components(), wide.components(), atol=1e-6)
+
+
+def test_axes_of_odd_tables(spark):
+    few = make(spark, np.array([[1.0, 2.0, 2.0], [1.0, 2.0, 2.0]]))
+    axes = reduce.fit_svd(few, "x", 3)
+    assert np.allclose(axes.singular, [18 ** .5, 0, 0])
+    assert np.allclose(axes.components() @ axes.components().T, np.eye(3))
+    assert np.allclose(reduce.fit_pca(few, "x", 2).singular, 0)
+    gap = few.unionByName(few.limit(1).withColumn("x", F.lit(None).cast("array<double>")))
+    assert np.allclose(reduce.fit_svd(gap, "x", 1).singular, [18 ** .5])
+    with pytest.raises(ValueError):
+        reduce.fit_pca(few.limit(0), "x", 1)
+    with pytest.raises(ValueError):
+        reduce.fit_pca(few, "x", 4)
+
+
 def test_axes(spark, tmp_path):
     x = np.random.default_rng(6).normal(size=(200, 5)) @ np.diag([5, 3, 1, .5, .1]) + 4
     df = make(spark, x)
