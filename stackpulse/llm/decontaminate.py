@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
+from .names import spare
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -239,13 +240,14 @@ def remove_spans(docs: DataFrame, found: DataFrame, longest: int = WINDOW, cover
     """Documents without their contamination: spans of ``longest`` words or more
     are cut out, and a document whose hit words exceed ``coverage`` of all its
     words goes as a whole. Columns stay as they are."""
-    verdict = found.filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans_found"), F.first("n_words").alias("words_found")) \
-        .withColumnsRenamed({"doc_id": "key_found", "text_hash": "hash_found"})
-    same = F.col(key).eqNullSafe(F.col("key_found")) & (F.xxhash64(F.col(text).cast("string")) == F.col("hash_found"))
+    key_found, hash_found, spans_found, words_found = spare(docs.columns, "key_found", "hash_found", "spans_found", "words_found")
+    verdict = found.filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias(spans_found), F.first("n_words").alias(words_found)) \
+        .withColumnsRenamed({"doc_id": key_found, "text_hash": hash_found})
+    same = F.col(key).eqNullSafe(F.col(key_found)) & (F.xxhash64(F.col(text).cast("string")) == F.col(hash_found))
     joined = docs.join(verdict, same, "left")
-    kept = joined.filter(F.col("key_found").isNull() | F.col("hash_found").isNull() | (n_hit("spans_found") <= coverage * F.col("words_found")))
-    long = F.filter("spans_found", lambda x: x["last"] - x["first"] >= longest)
+    kept = joined.filter(F.col(key_found).isNull() | F.col(hash_found).isNull() | (n_hit(spans_found) <= coverage * F.col(words_found)))
+    long = F.filter(spans_found, lambda x: x["last"] - x["first"] >= longest)
     cut = F.aggregate(long, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
                       lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("out")),
                       lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(F.col(text)))))
-    return kept.withColumn(text, F.when(F.col("spans_found").isNotNull(), cut).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn(text, F.when(F.col(spans_found).isNotNull(), cut).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,8 +6,14 @@ reads only the triples that it lacks, adds their findings, and joins findings
 back to all paths that carry the blob. Copies are scanned once, and a second
 run scans only what is new.
 
-Positions count code points, ends are exclusive. A null text is an empty blob.
-Repeated rows stay repeated. Only built-in functions are used.
+Positions count code points, ends are exclusive. A null text is an empty blob,
+which has no findings; an empty table has none either; texts are scanned whole,
+however long. Repeated rows stay repeated. Helper columns take names that the
+documents do not use. Only built-in functions are used.
+
+Findings are written before the triples are marked as scanned. A scan that dies
+in between is made good by the next one: it scans the same triples again, and
+findings that are in the ledger twice are read once.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
+from .names import spare
 
 
 class Rule(NamedTuple):
@@ -83,8 +90,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
-    """Scan what the ledger folder lacks, extend it, and return the findings of
-    this scan's blobs: (blob, kind, version, start, end).
+    """Scan what the ledger folder lacks, extend it, and return all findings in
+    the ledger under these rules: (blob, kind, version, start, end).
 
     ``versions`` has one row for each historical version: a path column, which
     need not be unique, and its text.
@@ -107,7 +114,7 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     unseen.select("blob", F.explode(F.transform("todo", lambda i: F.get(kinds, i))).alias("r")).select("blob", "r.*") \
         .write.mode("append").parquet(f"{ledger}/scanned")
     current = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
-    return _read(spark, f"{ledger}/findings", FINDING_SCHEMA).join(F.broadcast(current), ["kind", "version"], "left_semi")
+    return _read(spark, f"{ledger}/findings", FINDING_SCHEMA).join(F.broadcast(current), ["kind", "version"], "left_semi").distinct()
 
 
 def fresh_ledger(spark: SparkSession) -> str:
@@ -148,14 +155,15 @@ def redact(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]"
 def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", ledger: str | None = None) -> DataFrame:
     """Documents with the secrets of their blobs redacted. Columns stay as they
     are; a column ``length`` is brought up to date."""
+    key_found, blob_found = spare(docs.columns, "key_found", "blob_found")
     findings = scan_versions(docs, ledger or fresh_ledger(docs.sparkSession), path=key, text=text)
     # The id deals the copies of one blob out.
     marked = findings_of_paths(docs, findings, path=key, text=text).filter(F.size("spans") > 0) \
-        .select(F.col(key).alias("key_found"), F.col("blob").alias("blob_found")).distinct()
+        .select(F.col(key).alias(key_found), F.col("blob").alias(blob_found)).distinct()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    same = F.col(key).eqNullSafe(F.col("key_found")) & (F.sha2(body.cast("binary"), 256) == F.col("blob_found"))
+    same = F.col(key).eqNullSafe(F.col(key_found)) & (F.sha2(body.cast("binary"), 256) == F.col(blob_found))
     joined = docs.join(marked.hint("shuffle_hash"), same, "left")
-    clean = F.when(F.col("blob_found").isNotNull(), redact(F.col(text))).otherwise(F.col(text))
+    clean = F.when(F.col(blob_found).isNotNull(), redact(F.col(text))).otherwise(F.col(text))
     if length in docs.columns:
-        joined = joined.withColumn(length, F.when(F.col("blob_found").isNotNull(), F.length(clean).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+        joined = joined.withColumn(length, F.when(F.col(blob_found).isNotNull(), F.length(clean).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return joined.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])

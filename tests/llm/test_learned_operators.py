@@ -294,3 +294,24 @@ def test_near_duplicate_stage_keeps_rows_by_id_and_text(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (None, text["e"]), (None, text["f"]), (None, None), (4, None)]
     assert rows(corpus_pipeline.drop_near_duplicates(spark, frame, "")) == sorted(want, key=repr)
+
+
+def test_stages_with_columns_named_like_helpers(spark):
+    """Every stage gives the same rows as without the extra columns, and keeps these."""
+    names = ["key_found", "blob_found", "Hash_Found", "spans_found", "words_found", "text_hash", "_text_hash", "kept_hash", "kept_id", "row", "blob", "spans",
+             "kind", "start", "node", "bands", "held_out", "strength", "path", "path_hash", "n_words", "items", "component_id", "kept", "ids", "n_shingles"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300")
+    plain = plain.unionByName(plain.filter("doc_id % 9 = 0"))
+    wide = plain.select("*", *[F.lit("x").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, wide, SF), stage(spark, plain, SF)
+        if name != "encoding":
+            assert got.columns == wide.columns and {tuple(r) for r in got.select(*names).distinct().collect()} == {("x",) * len(names)}
+            got = got.select(*plain.columns)
+        assert rows(got) == rows(want)
+
+
+def test_near_duplicate_stage_chooses_by_the_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (1, text, None), (2, text, "a")], "doc_id long, text string, mark string").repartition(3)
+    assert rows(corpus_pipeline.drop_near_duplicates(spark, frame, "")) == [(1, text, "a")]

@@ -93,6 +93,18 @@ def test_ledger_scans_only_what_is_new(spark):
     assert spark.read.parquet(f"{ledger}/scanned").count() == 12
 
 
+def test_scan_after_an_interrupted_one(spark):
+    """Findings were written, but what had been scanned was not."""
+    docs = spark.createDataFrame([("a", "password=hunter22"), ("b", "token=abcdefgh token=abcdefgh"), ("c", None)], "path string, text string")
+    whole, broken = secret_scan.fresh_ledger(spark), secret_scan.fresh_ledger(spark)
+    want = rows(secret_scan.findings_of_paths(docs, secret_scan.scan_versions(docs, whole)))
+    spark.read.parquet(f"{whole}/findings").write.parquet(f"{broken}/findings")
+    for _ in range(2):
+        assert rows(secret_scan.findings_of_paths(docs, secret_scan.scan_versions(docs, broken))) == want
+    assert spark.read.parquet(f"{broken}/findings").count() == 6
+    assert secret_scan.scan_versions(docs.limit(0), secret_scan.fresh_ledger(spark)).count() == 0
+
+
 def test_secret_query(spark, sf):
     want = []
     for doc, text in read(sf, "documents", "doc_id, text"):
