@@ -1,7 +1,11 @@
 """A corpus made ready for training, stage by stage.
 
 Each stage takes the documents that the stage before has kept and returns
-documents with the same columns; the last returns token ids.
+documents with the same columns, whatever these are called; the last returns
+token ids. Texts are handled whole, however long; an empty table gives an empty
+one. A null or empty text has no letter, so it goes in the first stage; given to
+a later one it is like no other text, holds no benchmark window and no secret,
+and has no tokens.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackpulse.llm import bpe, decontaminate, language, near_dup, secret_scan
+from stackpulse.llm.names import spare
 from stackpulse.session import materialise, prepare
 
 # A text whose best language reaches less than this is in none of them.
@@ -23,13 +28,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of every group. Rows are told apart
-    by id and text; only rows equal in both count once."""
+    by id and text; of rows equal in both the one stays whose other columns come
+    first as JSON."""
     prepare(spark)
-    place, same = "_kept_hash", "_kept_id"
+    text_hash, place, same, row = spare(docs.columns, "text_hash", "kept_hash", "kept_id", "row")
     keep = near_dup.near_duplicates(docs, hashed=True).filter("kept").select(F.col("doc_id").alias(same), F.col("text_hash").alias(place)).distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    ranked = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col("_text_hash") == F.col(place)), "left_semi")
-    return ranked.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    marked = docs.withColumn(text_hash, F.xxhash64(F.col("text").cast("string")))
+    stay = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(text_hash) == F.col(place)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(F.lit(0).alias(row), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
+    one = stay.groupBy("doc_id", text_hash).agg(F.min_by(F.struct(*columns), others).alias(row))
+    return one.select(f"{row}.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
