@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, neighbours as nn
 from ..operators.quantiles import pick_rank
+from ..session import scratch_path
 from .registry import CELLS_SQL, cells_table, query, r6
 
 DIST = f"""{CELLS_SQL}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.c, b.c) AS d FROM cells a, cells b)"""
@@ -60,6 +61,7 @@ def i07(spark, sf):
 
 @query("i08_stored_cores", f"WITH {DIST} SELECT i AS vec_id, min(d) > 1.2 AS is_anomaly FROM d JOIN cells s ON s.vec_id = d.j AND s.label = 0 GROUP BY 1")
 def i08_cores(spark, sf):
-    """Every record against stored core points, here those of one label."""
-    rows = cells_table(spark, sf)
-    return density.near_stored_cores(rows, rows.filter("label = 0"), "vec_id", "cells", 1.2)
+    """Every record against the stored index of core points, here those of one label."""
+    rows, path = cells_table(spark, sf), scratch_path(spark, "core-index")
+    density.store_cores(rows.filter("label = 0"), "vec_id", "cells", path)
+    return density.score_against_stored(rows, path, "vec_id", "cells", 1.2)

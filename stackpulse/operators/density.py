@@ -8,18 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch_path
 from . import neighbours
 from .neighbours import (
-    BLOCK_POINTS, Blocks, PointSet, block_pairs, build_blocks, candidate_pairs, eps_counts, kth_distances,
-    map_to_points, measure_pairs, point_set, tile_pairs, tile_spheres, within,
+    BLOCK_POINTS, Blocks, PointSet, _spheres, block_pairs, candidate_pairs, eps_counts, kth_distances,
+    map_to_points, measure_pairs, point_set, rough_squares, tile_pairs, tile_spheres, within,
 )
 from .ordered import index_rows
 from .quantiles import pick_rank
 
 TASK_EDGES = 1 << 20
+# Records that ask one block in one go.
+ASKED = 1024
 
 
 def min_samples_for(n: int) -> int:
@@ -252,19 +254,82 @@ def _links(blocks: Blocks, pairs: DataFrame, flooded: DataFrame, local: DataFram
     return materialise(measure_pairs(blocks, wanted, side, side, link, "kind long, a long, b long"), "links")
 
 
+def _sound(vector: str) -> Column:
+    """Whether there is a vector and all its components are finite numbers."""
+    value = F.col(vector).cast("array<double>")
+    return F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
+def store_cores(cores: DataFrame, key: str, vector: str, path: str, block_points: int = BLOCK_POINTS) -> None:
+    """Write a spatial index of core points below ``path``: blocks of vectors, a
+    sphere around each block and around each slab of blocks. Copies are stored
+    once; rows without a vector, or with a component that is missing or not
+    finite, not at all."""
+    blocks = point_set(cores.filter(_sound(vector)), key, vector, None, block_points).blocks
+    spheres = ["slab", "centre", "reach"]
+    slabs = _spheres(tile_spheres(blocks), ["slab"], blocks) if blocks.dim else blocks.meta.limit(0)
+    blocks.payload.select("block", "flat").write.mode("overwrite").parquet(f"{path}/payload")
+    blocks.meta.select("block", *spheres).write.mode("overwrite").parquet(f"{path}/blocks")
+    slabs.select(*spheres).write.mode("overwrite").parquet(f"{path}/slabs")
+
+
+def score_against_stored(df: DataFrame, path: str, key: str, vector: str, eps: float) -> DataFrame:
+    """(key, is_anomaly) of single records: true unless a core of the index below
+    ``path`` lies within eps. The index is read as it stands.
+
+    Copies are asked once. A record goes to the slabs whose spheres it may reach,
+    from there to blocks, so it meets few of the stored vectors. The records of a
+    block come in lists of about ``ASKED``, so a block that many ask is met by
+    many tasks. A record without a vector, or with a component that is missing or
+    not finite, is near no core.
+    """
+    spark = df.sparkSession
+    points = materialise(df.filter(_sound(vector)).select(F.col(vector).cast("array<double>").alias("vec")).distinct()
+                         .select(F.monotonically_increasing_id().alias("point"), "vec"), "asking")
+    # Slabs are ``neighbours.LEAVES`` at most, their centres ``neighbours.SENT`` numbers.
+    slabs = spark.read.parquet(f"{path}/slabs").toPandas()
+    centres = np.array(slabs["centre"].tolist(), dtype=float).reshape(len(slabs), -1) if len(slabs) else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast((slabs["slab"].to_numpy(), centres, slabs["reach"].to_numpy(dtype=float)))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, mids, reach = shared.value
+        for batch in batches:
+            if not len(batch) or not len(names):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            if len(x) != len(batch) * mids.shape[1]:
+                raise ValueError("vectors differ in length from the stored ones")
+            x = x.reshape(len(batch), -1)
+            squares, slack = rough_squares(x, mids)
+            i, j = np.nonzero(squares <= ((eps + reach) * (1 + 1e-9)) ** 2 + slack)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(names[j], pa.int64())], names=["point", "vec", "slab"])
+
+    meta = spark.read.parquet(f"{path}/blocks")
+    asked = points.mapInArrow(reached, "point long, vec array<double>, slab long").join(meta, "slab") \
+        .filter(neighbours._apart("vec", "centre") <= (F.col("reach") + eps) * (1 + 1e-9)).select("block", "point", "vec")
+    asked = materialise(asked, "asked")
+    parts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts"))
+    lists = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts"))).groupBy("block", "part").agg(
+        F.collect_list(F.struct("point", "vec")).alias("l")).select("block", F.col("l.point").alias("ids"), F.flatten("l.vec").alias("x"))
+    met = lists.join(spark.read.parquet(f"{path}/payload"), "block").select("ids", "x", "flat")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a = np.asarray(r.x, dtype=float).reshape(len(r.ids), -1)
+                hit = within(a, np.asarray(r.flat, dtype=float).reshape(-1, a.shape[1]), eps).any(axis=1)
+                yield pd.DataFrame({"point": np.asarray(r.ids)[hit]})
+
+    hits = points.join(met.mapInPandas(near, "point long").distinct(), "point").select("vec", F.lit(False).alias("far"))
+    rows = df.select(key, F.col(vector).cast("array<double>").alias("vec")).join(hits, "vec", "left")
+    return rows.select(key, F.coalesce("far", F.lit(True)).alias("is_anomaly"))
+
+
 def near_stored_cores(df: DataFrame, cores: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:
-    """Score single records against stored core points: (key, is_anomaly), true
-    unless a core lies within eps. ``cores`` has the columns key and vector."""
-    both = df.select(F.col(key).cast("bigint").alias("_id"), F.col(vector).alias("vec"), F.lit(0).alias("_w")).unionByName(
-        cores.select((-F.col(key).cast("bigint") - 1).alias("_id"), F.col(vector).alias("vec"), F.lit(1).alias("_w")))
-    points = both.groupBy("vec").agg(F.max("_id").alias("point"), F.sum("_w").alias("weight"))
-    points = materialise(points, "points")
-    blocks = build_blocks(points, block_points)
-    counts = eps_counts(blocks, candidate_pairs(blocks, eps), eps)
-    members = blocks.payload.select("block", F.posexplode("ids").alias("pos", "point"))
-    counts = members.join(counts, ["block", "pos"], "left").select("point", "neighbours")
-    rows = map_to_points(df, points, key, vector).join(counts, "point", "left")
-    return rows.select(key, (F.coalesce("neighbours", F.lit(0)) == 0).alias("is_anomaly"))
+    """Score records against a table of cores that has no index yet."""
+    path = scratch_path(df.sparkSession, "core-index")
+    store_cores(cores, key, vector, path, block_points)
+    return score_against_stored(df, path, key, vector, eps)
 
 
 def elbow_dbscan(

@@ -12,17 +12,17 @@ import itertools
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import HEALTH_LABELS, argmax_code, confidence, fault_label, left_closed_bins, map_codes, uniform
@@ -134,34 +134,53 @@ def retrain_on_top(df: DataFrame, model: PipelineModel, label: str, limit: float
     return train_forest(df, top, label, trees, depth, **preparation), top
 
 
-def _search(df: DataFrame, estimator, grid: Mapping[str, Sequence], evaluator: Evaluator, fold: str, folds: int, parallelism: int) -> CrossValidatorModel:
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds, foldCol=fold,
-        parallelism=parallelism).fit(spread(df))
-
-
 # Search grids of the two tuned models.
 BOOSTED_GRID = {"maxIter": [50, 100], "maxDepth": [5, 7], "stepSize": [0.1], "subsamplingRate": [1.0], "minInfoGain": [0.0]}
 FOREST_GRID = {"numTrees": [10, 20], "maxDepth": [10, 20], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt", "log2"]}
 
 
-def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = BOOSTED_GRID, folds: int = 2, parallelism: int = 4) -> tuple[CrossValidatorModel, float]:
-    """Grid search by mean squared error; also the root of the best mean."""
-    model = _search(df, boosted_trees(label), grid, RegressionEvaluator(labelCol=label, metricName="mse"), fold, folds, parallelism)
-    return model, min(model.avgMetrics) ** 0.5
-
-
 @dataclass
-class ForestSearch:
-    """Grid points in the grid's order with their mean scores, and the forest
+class GridSearch:
+    """Grid points in the grid's order with their mean scores, and the model
     fitted on all rows with the best of them."""
 
     points: list[dict[str, Any]]
     scores: list[float]
-    bestModel: PipelineModel | RandomForestClassificationModel
+    bestModel: PipelineModel | RandomForestClassificationModel | GBTRegressionModel
+
+
+def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = BOOSTED_GRID, folds: int = 2, parallelism: int = 4) -> tuple[GridSearch, float]:
+    """Grid search by mean squared error; also the root of the best mean.
+
+    Rounds of boosting build on each other, so for each fold and choice of the
+    other parameters one model is fitted, with the most rounds of the grid, and
+    its error after fewer rounds is that of the smaller grid points. Up to
+    ``parallelism`` models are fitted at once. Ties go to the first point.
+    """
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    learner = boosted_trees(label)
+    usual = learner.getMaxIter()
+    alike: dict[tuple, list[int]] = {}
+    for i, point in enumerate(points):
+        alike.setdefault(tuple((k, v) for k, v in point.items() if k != "maxIter"), []).append(i)
+    parts = [[spread(materialise(df.filter(test).select("features", label), "boosted-rows")) for test in (F.col(fold) != turn, F.col(fold) == turn)]
+             for turn in range(folds)]
+
+    def errors(job: tuple) -> list[tuple[int, float]]:
+        (train, test), (rest, members) = job
+        rounds = [points[i].get("maxIter", usual) for i in members]
+        model = learner.copy({learner.getParam(k): v for k, v in (*rest, ("maxIter", max(rounds)))}).fit(train)
+        after = model.evaluateEachIteration(test, "squared")
+        return [(i, after[min(n, len(after)) - 1]) for i, n in zip(members, rounds)]
+
+    scores = np.zeros(len(points))
+    with ThreadPool(max(1, parallelism)) as pool:
+        for found in pool.map(inheritable_thread_target(df.sparkSession)(errors), list(itertools.product(parts, alike.items()))):
+            for i, error in found:
+                scores[i] += error / folds
+    best = points[int(scores.argmin())]
+    model = learner.copy({learner.getParam(k): v for k, v in best.items()}).fit(spread(df))
+    return GridSearch(points, scores.tolist(), model), float(scores.min()) ** 0.5
 
 
 def features_per_node(strategy: str, n: int) -> int:
@@ -261,7 +280,7 @@ def _stage_scores(model: RandomForestClassificationModel, test: DataFrame, label
 def tune_forest(
     df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 2, prepare: Callable[[DataFrame], PipelineModel] | None = None,
     weighted: bool = False,
-) -> tuple[ForestSearch, float]:
+) -> tuple[GridSearch, float]:
     """Grid search by balanced accuracy over stratified folds.
 
     ``prepare`` is fitted on the training rows of each fold, and at last on all
@@ -302,18 +321,12 @@ def tune_forest(
     best = dict(full[int(scores.argmax())])
     shaper, rows = ready(df)
     model = _search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best).fit(rows)
-    return ForestSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
+    return GridSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
 
 
-def search_table(model: CrossValidatorModel | ForestSearch, spark) -> DataFrame:
+def search_table(search: GridSearch, spark) -> DataFrame:
     """One row per grid point with its parameters and mean score."""
-    if isinstance(model, ForestSearch):
-        return spark.createDataFrame([(str(dict(sorted(p.items()))), s) for p, s in zip(model.points, model.scores)], "params string, score double")
-    rows = [
-        (str({p.name: v for p, v in sorted(params.items(), key=lambda kv: kv[0].name)}), float(score))
-        for params, score in zip(model.getEstimatorParamMaps(), model.avgMetrics)
-    ]
-    return spark.createDataFrame(rows, "params string, score double")
+    return spark.createDataFrame([(str(dict(sorted(p.items()))), s) for p, s in zip(search.points, search.scores)], "params string, score double")
 
 
 def score(df: DataFrame, model: PipelineModel, keep: Sequence[str] | None = None) -> DataFrame:

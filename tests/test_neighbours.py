@@ -145,6 +145,35 @@ def test_near_stored_cores(spark):
     assert (got["is_anomaly"].to_numpy() == (label < 0)).all()
 
 
+def test_stored_index_is_opened_not_built(spark, monkeypatch, tmp_path):
+    x = clustered(20, 40, 8)
+    cores, path = make(spark, x[::2]), str(tmp_path / "index")
+    density.store_cores(cores, "id", "x", path, 16)
+
+    def never(*args, **kwargs):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(nn, "build_blocks", never)
+    monkeypatch.setattr(density, "point_set", never)
+    monkeypatch.setattr(density, "ASKED", 7)
+    rng = np.random.default_rng(8)
+    y = np.concatenate([x, x[:50] + rng.normal(size=(50, 8)) * 0.3, np.full((40, 8), 50.0), np.repeat(x[:1], 30, axis=0)])
+    asking = make(spark, y).unionByName(spark.createDataFrame([(10_000, None), (10_001, [float("nan")] * 8), (10_002, [None] * 8)], "id long, x array<double>"))
+    for eps in (0.2, 0.6):
+        want = dict(enumerate((np.sqrt(((y[:, None] - x[None, ::2]) ** 2).sum(axis=2)) > eps).all(axis=1)))
+        got = density.score_against_stored(asking.repartition(5), path, "id", "x", eps).collect()
+        assert {r["id"]: r["is_anomaly"] for r in got} == {**want, 10_000: True, 10_001: True, 10_002: True} and len(got) == len(y) + 3
+    assert density.score_against_stored(asking.limit(0), path, "id", "x", 0.2).count() == 0
+    with pytest.raises(Exception, match="differ in length"):
+        density.score_against_stored(make(spark, y[:, :5]), path, "id", "x", 0.2).collect()
+
+
+def test_index_without_cores(spark, tmp_path):
+    rows = make(spark, clustered(2, 5, 4))
+    density.store_cores(rows.limit(0), "id", "x", str(tmp_path / "none"))
+    assert {r["is_anomaly"] for r in density.score_against_stored(rows, str(tmp_path / "none"), "id", "x", 9.0).collect()} == {True}
+
+
 def test_components_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(density, "TASK_EDGES", 7)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19], "a long, b long").repartition(9)
