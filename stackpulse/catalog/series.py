@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import array_sum
 from ..operators import ordered, series as ops
 from ..operators.wavelet import DB4, coefficients, high_pass, wavelet_smooth
+from ..plans import votes
+from ..session import materialise, scratch_path
+from ..streaming import series as streamed
 from .registry import ORDER, SERIES, SERIES_SQL, query, r6, series_table
 
 W = "OVER (PARTITION BY user_id ORDER BY row_no)"
@@ -118,16 +121,58 @@ kept AS (SELECT *, row_number() {W} - 1 AS new_no, count(*) OVER (PARTITION BY u
   AND voltage_lag1 IS NOT NULL AND current_rolling_mean IS NOT NULL AND current_rolling_std IS NOT NULL AND wavelet_current IS NOT NULL)"""
 
 
-@query("i26_series_features", f"""
+KEPT_SQL = f"""
 WITH {FEATURES_SQL} SELECT event_id, new_no AS row_no, round(current, 5) AS current, voltage, round(current_lag1, 5) AS current_lag1,
  round(current_lag2, 5) AS current_lag2, voltage_lag1, round(current_rolling_mean, 5) AS current_rolling_mean,
- round(current_rolling_std, 5) AS current_rolling_std, round(wavelet_current, 5) AS wavelet_current FROM kept""")
-def i26(spark, sf):
-    rows = ops.series_features(series_table(spark, sf, True), ORDER, SERIES)
+ round(current_rolling_std, 5) AS current_rolling_std, round(wavelet_current, 5) AS wavelet_current FROM kept"""
+
+
+def _rounded(rows):
     return rows.select("event_id", "row_no", "voltage", "voltage_lag1", *[
         F.round(c, 5).alias(c) for c in ["current", *ops.FEATURES] if not c.startswith("voltage")])
 
 
+@query("i26_series_features", KEPT_SQL)
+def i26(spark, sf):
+    return _rounded(ops.series_features(series_table(spark, sf, True), ORDER, SERIES))
+
+
+def _in_pieces(spark, rows, scorer=None, pieces=3):
+    """Let ``rows`` land piece by piece in order of time, with a run of the job
+    after each; the last piece also ends every series."""
+    source, sink, checkpoint = (scratch_path(spark, f"series-{name}") for name in ("in", "out", "run"))
+    rows = rows.withColumn("closed", F.lit(False))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return streamed.stream_series(rows, ORDER, SERIES, scorer=scorer)
+    piece = F.least(F.floor((at - low) * pieces / (high - low + 1)), F.lit(pieces - 1))
+    for i in range(pieces):
+        part = rows.filter(piece == i)
+        if i == pieces - 1:
+            part = part.unionByName(rows.select(*SERIES).distinct().withColumn("closed", F.lit(True)), allowMissingColumns=True)
+        part.write.mode("append").parquet(source)
+        streamed.score_series(spark, source, rows.schema, ORDER, SERIES, sink, checkpoint, scorer).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("s01_series_stream", KEPT_SQL)
+def s01_series_stream(spark, sf):
+    return _rounded(_in_pieces(spark, series_table(spark, sf, True)).filter("NOT late"))
+
+
+@query("s02_series_stream_vote")
+def s02_series_stream_vote(spark, sf):
+    rows = series_table(spark, sf)
+    features = materialise(ops.series_features(rows, ORDER, SERIES), "features")
+    model = votes.fit_series_model(features, SERIES)
+    training = votes.vote_series(features, model, first_reference=True).windows
+    out = _in_pieces(spark, rows, streamed.stored_scorer(model, training))
+    return out.filter("row_no >= 30").select(
+        "event_id", "row_no", r6("recon_error").alias("recon_error"), r6("dtw_distance").alias("dtw_distance"),
+        "recon_anomaly", "dtw_anomaly", "iso_anomaly", "anomaly")
+
+
 REF = f"""{SERIES_SQL}, w AS (SELECT s.user_id, s.row_no AS target, h.row_no - (s.row_no - 30) AS e, h.current AS x
   FROM series s JOIN series h ON s.user_id = h.user_id AND h.row_no BETWEEN s.row_no - 30 AND s.row_no - 1 WHERE s.row_no >= 30),
 ref AS (SELECT user_id, e, median(x) AS m FROM w GROUP BY 1, 2)"""

@@ -209,6 +209,23 @@ def _nullable(values: np.ndarray) -> pa.Array:
     return pa.array(values, mask=np.isnan(values))
 
 
+def smooth_span(span: Span, n: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> Span:
+    """Positions ``low`` to ``high`` after all levels down and up again."""
+    ranges = needed(low, high, n, level)
+    # The way down needs more of each level than the way up asks for.
+    wide = [ranges[level]]
+    for depth in range(level - 1, 0, -1):
+        wanted = np.maximum(2 * wide[0][0] + 2 - TAPS, 0), np.minimum(2 * wide[0][1] + TAPS, level_size(n, depth))
+        wide.insert(0, (np.minimum(wanted[0], ranges[depth][0]), np.maximum(wanted[1], ranges[depth][1])))
+    current, details = span, []
+    for depth in range(1, level + 1):
+        current, detail = step_down(current, level_size(n, depth - 1), *wide[depth - 1])
+        details.append(detail)
+    for depth in range(level, 0, -1):
+        current = step_up(current, details[depth - 1], *ranges[depth - 1])
+    return current
+
+
 def wavelet_smooth(
     indexed: DataFrame, column: str, series: Sequence[str] = (), level: int = 3, name: str = "wavelet", zero_below: int = 0, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -220,20 +237,9 @@ def wavelet_smooth(
     rebuild run inside a block, whose halo holds all that they reach.
     """
     def solve(span: Span, n: np.ndarray, low: np.ndarray, high: np.ndarray):
-        ranges = needed(low, high, n, level)
-        # The way down needs more of each level than the way up asks for.
-        wide = [ranges[level]]
-        for depth in range(level - 1, 0, -1):
-            wanted = np.maximum(2 * wide[0][0] + 2 - TAPS, 0), np.minimum(2 * wide[0][1] + TAPS, level_size(n, depth))
-            wide.insert(0, (np.minimum(wanted[0], ranges[depth][0]), np.maximum(wanted[1], ranges[depth][1])))
-        current, details = span, []
-        for depth in range(1, level + 1):
-            current, detail = step_down(current, level_size(n, depth - 1), *wide[depth - 1])
-            details.append(detail)
-        for depth in range(level, 0, -1):
-            current = step_up(current, details[depth - 1], *ranges[depth - 1])
-        which, col, at = _flat(low, high, current.values.shape[1])
-        return which, {ROW: at, name: _nullable(current.values[which, col])}
+        out = smooth_span(span, n, low, high, level)
+        which, col, at = _flat(low, high, out.values.shape[1])
+        return which, {ROW: at, name: _nullable(out.values[which, col])}
 
     waves = _in_spans(indexed, column, series, level, block_rows, solve, f"{_keys(indexed, series)}{ROW} long, {name} double", zero_below)
     if not zero_below:

@@ -145,15 +145,18 @@ def fit_window_axes(indexed: DataFrame, features: Sequence[str], length: int, k:
     return WindowAxes(mean, np.ascontiguousarray(vectors), covariance)
 
 
+def window_scores(flat: np.ndarray, axes: WindowAxes) -> np.ndarray:
+    """Mean squared error of flat windows after projection and back."""
+    w = flat - axes.mean
+    rest = (w * w).sum(axis=1) - ((w @ axes.components.T) ** 2).sum(axis=1)
+    return np.maximum(rest, 0.0) / len(axes.mean)
+
+
 def window_errors(indexed: DataFrame, features: Sequence[str], length: int, axes: WindowAxes, series: Sequence[str] = (), block_rows: int = BLOCK_ROWS, name: str = "recon_error") -> DataFrame:
     """(series, row_no, name): mean squared error of each window after it is
     projected on the axes and back."""
-    mean, components = axes.mean, axes.components
-
     def errors(batch: Batch) -> Iterator[pa.RecordBatch]:
-        for part in _strips(len(batch.targets), len(mean)):
-            w = batch.windows(part).reshape(-1, len(mean)) - mean
-            rest = np.maximum((w * w).sum(axis=1) - ((w @ components.T) ** 2).sum(axis=1), 0.0) / len(mean)
-            yield keyed(batch, series, part, **{name: rest})
+        for part in _strips(len(batch.targets), len(axes.mean)):
+            yield keyed(batch, series, part, **{name: window_scores(batch.windows(part).reshape(-1, len(axes.mean)), axes)})
 
     return map_windows(indexed, features, length, errors, f"{key_schema(indexed, series)}, {name} double", series, block_rows)
