@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions.arrays import euclidean
 from ..operators import cells as cell_ops, clean
 from ..operators.ordered import index_rows
-from ..schema import drop_if_present, exclude_columns, numeric_columns, rename_snake, require_columns, select_features, with_missing_as_zero
+from ..schema import FAULT_RANGES, drop_if_present, exclude_columns, numeric_columns, rename_snake, require_columns, select_features, with_missing_as_zero
 from ..session import materialise, scratch_path
 from ..sources import sinks, tables
 from .registry import CELLS_SQL, N_CELLS, ORDER, SERIES, cells_table, query, r6, series_table, table
@@ -233,6 +233,21 @@ def b13(spark, sf):
     return clean.range_violations(table(spark, sf, "lineitem"), RANGES)
 
 
+@query("b13_fields_in_range", "SELECT l_orderkey, l_linenumber, " + " AND ".join(
+    f"coalesce({c} BETWEEN {lo} AND {hi}, false)" for c, (lo, hi) in RANGES.items()) + " AS in_range FROM lineitem")
+def b13_rows(spark, sf):
+    return clean.flag_ranges(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *RANGES), RANGES).drop(*RANGES)
+
+
+@query("b13_fault_form_limits", "SELECT event_id, " + " AND ".join(
+    f"coalesce(CASE WHEN event_id % {i + 2} <> 0 THEN value END BETWEEN {lo} AND {hi}, false)" for i, (lo, hi) in enumerate(FAULT_RANGES.values())) + " AS in_range FROM events")
+def b13_form(spark, sf):
+    """Records of the fault form; the field at place i is missing where i + 2
+    divides the id."""
+    fields = {c: F.when(F.col("event_id") % (i + 2) != 0, F.col("value")) for i, c in enumerate(FAULT_RANGES)}
+    return clean.flag_ranges(table(spark, sf, "events").withColumns(fields), FAULT_RANGES).select("event_id", "in_range")
+
+
 @query("b14_trainable_guard", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def b14(spark, sf):
     rows = clean.require_trainable(table(spark, sf, "lineitem"), "l_returnflag")

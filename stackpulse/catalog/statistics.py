@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as cell_ops, clean, evaluate, profile, scale
 from ..operators.quantiles import quantile, quantiles
+from ..session import scratch_path
+from ..sources import models
 from .registry import CELLS_SQL, cells_table, query, r6, table
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -368,6 +370,18 @@ def i02(spark, sf):
     return _scaled(spark, sf, scale.fit_standard)
 
 
+@query("i02_stored_scale", _scale_sql("avg({c})", "stddev_pop({c})"))
+def i02_stored(spark, sf):
+    """Scale whose parameters come back from the table beside a model."""
+    path = scratch_path(spark, "scale")
+
+    def fit(rows, columns):
+        models.save_table(scale.scale_table(rows, scale.fit_standard(rows, columns)), path)
+        return scale.load_scale(models.load_table(spark, path))
+
+    return _scaled(spark, sf, fit)
+
+
 @query("i03_robust_scale", _scale_sql("median({c})", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"))
 def i03(spark, sf):
     return _scaled(spark, sf, scale.fit_robust)

@@ -56,5 +56,5 @@ def euclidean(left: Column, right: Column) -> Column:
 
 
 def mean_squared_error(left: Column, right: Column) -> Column:
-    squares = F.zip_with(left, right, lambda a, b: (a - b) * (a - b))
-    return F.try_divide(array_sum(squares), F.size(left))
+    """Elements that are missing on either side do not count."""
+    return array_mean(F.zip_with(left, right, lambda a, b: (a - b) * (a - b)))

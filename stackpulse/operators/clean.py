@@ -110,8 +110,9 @@ def winsorise_iqr(df: DataFrame, columns: Sequence[str], width: float = 1.5, **o
     return apply_bounds(df, iqr_bounds(df, columns, width, **options))
 
 
-def zscore_filter(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
-    """Keep rows whose every |z| is below ``limit`` (population deviation).
+def zscore_filter(df: DataFrame, columns: Sequence[str], limit: float = 3.0, over: DataFrame | None = None) -> DataFrame:
+    """Keep rows whose every |z| is below ``limit`` (population deviation), by
+    the mean and deviation of ``over`` if it is given.
 
     Columns without spread say nothing about outliers and are skipped.
     """
@@ -122,7 +123,7 @@ def zscore_filter(df: DataFrame, columns: Sequence[str], limit: float = 3.0) ->
     for c in columns:
         m, s = _stat(f"{c}_m"), _stat(f"{c}_s")
         keep = keep & ((s == 0) | F.coalesce(F.abs(F.try_divide(F.col(c) - m, s)) < limit, F.lit(False)))
-    return attach_stats(df, stats).filter(keep).drop(_STATS)
+    return attach_stats(df, stats, over).filter(keep).drop(_STATS)
 
 
 def split_noise(df: DataFrame, label: str = "Cluster") -> tuple[DataFrame, DataFrame]:

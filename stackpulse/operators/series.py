@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import array_mean, euclidean
+from ..functions.arrays import euclidean, mean_squared_error
 from ..session import materialise
 from .ordered import (
     BLOCK_ROWS, ROW, SLICE, TOTAL, fill_gaps, header_window, in_blocks, index_rows, join_keys, rolling_columns, with_headers,
@@ -136,8 +136,7 @@ def window_distance(windows: DataFrame, window: str = "window", reference: str =
 
 def window_mse(windows: DataFrame, left: str, right: str, name: str = "mse") -> DataFrame:
     """Mean squared error over all elements of two windows."""
-    squares = F.zip_with(F.flatten(left), F.flatten(right), lambda a, b: (a - b) * (a - b))
-    return windows.withColumn(name, array_mean(squares))
+    return windows.withColumn(name, mean_squared_error(F.flatten(left), F.flatten(right)))
 
 
 def percentile_flag(df: DataFrame, column: str, name: str, p: float = 0.9, **options) -> DataFrame:

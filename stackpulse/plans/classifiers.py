@@ -14,6 +14,12 @@ from ..schema import numeric_columns, require_columns
 from ..session import materialise
 
 
+def _filled(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Both parts with the means of the training part in place of nulls."""
+    means = clean.stored_means(train, columns).first().asDict()
+    return [p.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in columns}) for p in (train, test)]
+
+
 def train_health(
     df: DataFrame, key: str, target: str, time: str, exclude: Sequence[str] = (), trees: int = 100, depth: int = 10, augment: bool = True
 ) -> tuple[PipelineModel, PipelineModel, DataFrame, list[str]]:
@@ -28,8 +34,7 @@ def train_health(
     numeric = numeric_columns(df, [key])
     labelled, cuts = learn.health_labels(df, target)
     parts = [materialise(p.drop("Health_State", "Health_State_Code"), "health_rows") for p in balance.stratified_split(labelled, key, "Health_State_Code")]
-    means = clean.stored_means(parts[0], numeric).first().asDict()
-    train, test = [p.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in numeric}) for p in parts]
+    train, test = _filled(*parts, numeric)
     flat = profile.low_spread_columns(train, [c for c in numeric if c != target])
     features = [c for c in numeric if c not in {target, *exclude, *flat}]
     if augment:
@@ -50,11 +55,14 @@ def train_health(
 def train_voltage(
     df: DataFrame, key: str, target: str, exclude: Sequence[str] = (), grid=learn.BOOSTED_GRID, parallelism: int = 4
 ) -> tuple[PipelineModel, DataFrame, float]:
-    """(model, test metrics, cross-validated RMSE) of the boosted regression."""
-    base = clean.fill_means(df, numeric_columns(df, [key]))
-    flat = profile.low_spread_columns(base, numeric_columns(base, [key, target]), 1e-6)
-    features = sorted(c for c in numeric_columns(base, [key, target, *exclude]) if c not in flat)
-    train, test = balance.hash_split(base, key)
+    """(model, test metrics, cross-validated RMSE) of the boosted regression.
+
+    Rows are split first; fill values, the choice of columns, bounds and scale
+    come from the training part.
+    """
+    train, test = _filled(*balance.hash_split(df, key), numeric_columns(df, [key]))
+    flat = profile.low_spread_columns(train, numeric_columns(train, [key, target]), 1e-6)
+    features = sorted(c for c in numeric_columns(train, [key, target, *exclude]) if c not in flat)
     shaper = Pipeline(stages=[
         learn.preparation_stage(train, features, bounds="iqr"),
         VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features"),
@@ -70,16 +78,17 @@ def train_fault(
 ) -> tuple[PipelineModel, DataFrame, list[str], float]:
     """(model, scored test rows, features, cross-validated balanced accuracy).
 
-    Columns are filled and pruned, outlier rows dropped, the table split by
-    class; the training part is scaled, reduced to the k best features and
-    balanced with synthetic rows before the search.
+    The table is split by class first. Fill values, the choice of columns and the
+    outlier limits come from the training part and are put to both; the training
+    part is scaled, reduced to the k best features and balanced with synthetic
+    rows before the search.
     """
-    base = clean.fill_means(df, numeric_columns(df, [key, label]))
-    features = profile.prune_features(base.drop(key), label)
-    rows = clean.zscore_filter(base.select(key, label, *features), features, z_limit)
-    rows = clean.require_trainable(materialise(rows, "fault_rows"), label)
-    train, test = balance.stratified_split(rows, key, label)
-    train = materialise(train, "train")
+    parts = [materialise(p, "fault_rows") for p in balance.stratified_split(df, key, label)]
+    train, test = _filled(*parts, numeric_columns(df, [key, label]))
+    features = profile.prune_features(train.drop(key), label)
+    train, test = [p.select(key, label, *features) for p in (train, test)]
+    test = clean.zscore_filter(test, features, z_limit, over=train)
+    train = clean.require_trainable(materialise(clean.zscore_filter(train, features, z_limit), "train"), label)
     best = [r["feature"] for r in profile.select_k_best(train, features, label, k).collect()]
     shaper = Pipeline(stages=[
         learn.preparation_stage(train, best, bounds=None),

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -64,6 +66,35 @@ def test_fault_plan(spark, faults):
     assert r["prediction_label"] == ("Normal" if r["predicted_class"] == 0 else "Faulty") and 0 < r["confidence"] <= 1
 
 
+def dump(model):
+    """Every stage of a fitted pipeline, as text; sums over tasks may differ in
+    the last digits."""
+    texts = [s.getStatement() if hasattr(s, "getStatement") else getattr(s, "toDebugString", None) and s.toDebugString.split("\n", 1)[1] for s in model.stages]
+    return [t and re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda m: f"{float(m[0]):.9g}", t) for t in texts]
+
+
+def test_plans_learn_from_the_training_part_alone(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    y = rng.choice([0, 1], size=n, p=[.7, .3])
+    x = np.c_[y * 2.0 + rng.normal(scale=.3, size=n), rng.normal(size=n), rng.normal(scale=.05, size=n)]
+    rows = [(i, *(None if rng.random() < .05 else float(v) for v in x[i]), int(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, thin double, y int")
+
+    def spoilt(test):
+        """Other values in test rows: far off, missing, and no longer thin."""
+        changed = F.col("id").isin([r["id"] for r in test.collect()])
+        return df.withColumns({c: F.when(changed, F.when(F.col("id") % 2 == 0, F.col("id") * 1000.0)).otherwise(F.col(c)) for c in ("a", "b", "thin")})
+
+    grid = {"numTrees": [3], "maxDepth": [3], "minInstancesPerNode": [2]}
+    one, two = (classifiers.train_fault(d, "id", "y", grid=grid) for d in (df, spoilt(balance.stratified_split(df, "id", "y")[1])))
+    assert one[2] == two[2] and one[3] == pytest.approx(two[3]) and dump(one[0]) == dump(two[0])
+    assert two[1].count() < one[1].count()  # outliers by the training limits
+    grid = {"maxIter": [3], "maxDepth": [3], "stepSize": [0.3]}
+    one, two = (classifiers.train_voltage(d, "id", "a", grid=grid) for d in (df, spoilt(balance.hash_split(df, "id")[1])))
+    assert one[2] == pytest.approx(two[2]) and dump(one[0]) == dump(two[0])
+
+
 def test_health_plan(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(i), float(v), float(rng.normal()), 2.0) for i, v in enumerate(rng.normal(3.2, 0.05, size=800))]
