@@ -33,6 +33,11 @@ from .evaluate import feature_importance, with_class_weight
 from .quantiles import quantiles
 
 WEIGHT = "_weight"
+# Trees see features in at most this many bins, Spark's own default.
+BINS = 32
+# Larger tables are folded to one row per occupied cell of bins, if that leaves
+# at most this share of the rows.
+FOLD_ROWS, FOLD_SHARE = 1 << 20, 0.125
 
 
 def health_labels(df: DataFrame, target: str, critical: float = 0.05, degraded: float = 0.5, thresholds: Sequence[float] | None = None, **options) -> tuple[DataFrame, dict[str, float]]:
@@ -88,6 +93,52 @@ def _fit(df: DataFrame, features: Sequence[str], learner, **preparation) -> Pipe
     return Pipeline(stages=stages).fit(spread(df))
 
 
+def bin_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Upper ends of all bins but the last: every value of a column of few
+    values, else quantiles of all rows."""
+    few = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    cuts = {}
+    for c in columns:
+        if few[c] <= 2 * BINS:
+            values = sorted(r[0] for r in df.select(c).distinct().limit(BINS + 1).collect())
+            if len(values) <= BINS:
+                cuts[c] = values[:-1]
+    many = [c for c in columns if c not in cuts]
+    if many:
+        found = df.approxQuantile(many, [i / BINS for i in range(1, BINS)], 0.001)
+        cuts.update((c, sorted(set(q))) for c, q in zip(many, found))
+    return cuts
+
+
+def fold_cells(
+    df: DataFrame, stage: SQLTransformer, features: Sequence[str], by: Sequence[str] = (), target: str | None = None, fold_rows: int = FOLD_ROWS
+) -> tuple[SQLTransformer, DataFrame] | None:
+    """(stage with bin numbers as ``x_<feature>``, cells), or None where folding
+    does not pay.
+
+    Trees only compare bins, so rows of one cell, alike in all bins and in
+    ``by``, count as one row of weight ``_n``. With a target a cell holds its mean
+    and ``_within``, the sum of squares around it; splits and leaves need no more.
+    """
+    names = [f"x_{c}" for c in features]
+    if df.count() <= fold_rows:
+        return None
+    cuts = bin_cuts(stage.transform(df).select(*names), names)
+    ends = {c: ", ".join(f"{float(v)!r}D" for v in cuts[c]) for c in names}
+    bins = [f"CAST(size(filter(array({ends[c]}), t -> t < `{c}`)) AS DOUBLE) AS `{c}`" if ends[c] else f"0D AS `{c}`" for c in names]
+    drop = ", ".join(f"`{c}`" for c in names)
+    binned = SQLTransformer(statement=f"SELECT * EXCEPT ({drop}), {', '.join(bins)} FROM ({stage.getStatement()})")
+    keys = [*names, *by]
+    rows = binned.transform(df).select(*keys, *([target] if target else []))
+    known = F.count(target) if target else F.count(F.lit(1))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), known.alias("known"), F.approx_count_distinct(F.struct(*keys)).alias("cells")).first()
+    if size["known"] < size["n"] or size["cells"] > FOLD_SHARE * size["n"]:
+        return None
+    values = [F.avg(target).alias(target), (F.var_pop(target) * F.count(F.lit(1))).alias("_within")] if target else []
+    cells = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"), *values)
+    return binned, materialise(cells.sortWithinPartitions(*keys), "cells")
+
+
 def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42, **params: Any) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol=WEIGHT, numTrees=trees, maxDepth=depth, seed=seed, **params)
@@ -111,8 +162,17 @@ def boosted_trees(
         subsamplingRate=subsample, featureSubsetStrategy="all" if colsample >= 1.0 else str(colsample), minInfoGain=gamma, seed=seed)
 
 
-def train_boosted(df: DataFrame, features: Sequence[str], label: str, bounds: str = "iqr", **params: Any) -> PipelineModel:
-    return _fit(df, sorted(features), boosted_trees(label, **params), bounds=bounds)
+def train_boosted(df: DataFrame, features: Sequence[str], label: str, bounds: str = "iqr", fold_rows: int = FOLD_ROWS, **params: Any) -> PipelineModel:
+    """Boosted regression. Large tables are folded to cells of bins first, where
+    that leaves far fewer rows; rounds that draw rows need the rows."""
+    features, learner = sorted(features), boosted_trees(label, **params)
+    stage = preparation_stage(df, features, bounds=bounds)
+    folded = fold_cells(df, stage, features, target=label, fold_rows=fold_rows) if learner.getSubsamplingRate() == 1.0 else None
+    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features")
+    if folded is None:
+        return Pipeline(stages=[stage, assembler, learner]).fit(spread(df))
+    rows = spread(assembler.transform(folded[1]))
+    return PipelineModel(stages=[folded[0], assembler, learner.setWeightCol("_n").fit(rows)])
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:
@@ -149,8 +209,9 @@ class GridSearch:
     bestModel: PipelineModel | RandomForestClassificationModel | GBTRegressionModel
 
 
-def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = BOOSTED_GRID, folds: int = 2, parallelism: int = 4) -> tuple[GridSearch, float]:
-    """Grid search by mean squared error; also the root of the best mean.
+def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = BOOSTED_GRID, folds: int = 2, parallelism: int = 4, weight: str | None = None, within: str | None = None) -> tuple[GridSearch, float]:
+    """Grid search by mean squared error; also the root of the best mean. Rows
+    may be folded ones of a ``weight``, with the squares ``within`` them.
 
     Rounds of boosting build on each other, so for each fold and choice of the
     other parameters one model is fitted, with the most rounds of the grid, and
@@ -163,19 +224,23 @@ def tune_boosted(df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequen
     alike: dict[tuple, list[int]] = {}
     for i, point in enumerate(points):
         alike.setdefault(tuple((k, v) for k, v in point.items() if k != "maxIter"), []).append(i)
-    parts = [[spread(materialise(df.filter(test).select("features", label), "boosted-rows")) for test in (F.col(fold) != turn, F.col(fold) == turn)]
+    if weight:
+        learner.setWeightCol(weight)
+    kept = ["features", label, *[c for c in (weight, within) if c]]
+    parts = [[spread(materialise(df.filter(test).select(*kept), "boosted-rows")) for test in (F.col(fold) != turn, F.col(fold) == turn)]
              for turn in range(folds)]
+    spare = [float(test.agg(F.sum(within) / F.sum(weight)).first()[0]) if within else 0.0 for _, test in parts]
 
     def errors(job: tuple) -> list[tuple[int, float]]:
-        (train, test), (rest, members) = job
+        ((train, test), extra), (rest, members) = job
         rounds = [points[i].get("maxIter", usual) for i in members]
         model = learner.copy({learner.getParam(k): v for k, v in (*rest, ("maxIter", max(rounds)))}).fit(train)
         after = model.evaluateEachIteration(test, "squared")
-        return [(i, after[min(n, len(after)) - 1]) for i, n in zip(members, rounds)]
+        return [(i, after[min(n, len(after)) - 1] + extra) for i, n in zip(members, rounds)]
 
     scores = np.zeros(len(points))
     with ThreadPool(max(1, parallelism)) as pool:
-        for found in pool.map(inheritable_thread_target(df.sparkSession)(errors), list(itertools.product(parts, alike.items()))):
+        for found in pool.map(inheritable_thread_target(df.sparkSession)(errors), list(itertools.product(zip(parts, spare), alike.items()))):
             for i, error in found:
                 scores[i] += error / folds
     best = points[int(scores.argmin())]

@@ -53,7 +53,8 @@ def train_health(
 
 
 def train_voltage(
-    df: DataFrame, key: str, target: str, exclude: Sequence[str] = (), grid=learn.BOOSTED_GRID, parallelism: int = 4
+    df: DataFrame, key: str, target: str, exclude: Sequence[str] = (), grid=learn.BOOSTED_GRID, parallelism: int = 4,
+    fold_rows: int = learn.FOLD_ROWS,
 ) -> tuple[PipelineModel, DataFrame, float]:
     """(model, test metrics, cross-validated RMSE) of the boosted regression.
 
@@ -63,13 +64,18 @@ def train_voltage(
     train, test = _filled(*balance.hash_split(df, key), numeric_columns(df, [key]))
     flat = profile.low_spread_columns(train, numeric_columns(train, [key, target]), 1e-6)
     features = sorted(c for c in numeric_columns(train, [key, target, *exclude]) if c not in flat)
-    shaper = Pipeline(stages=[
-        learn.preparation_stage(train, features, bounds="iqr"),
-        VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features"),
-    ]).fit(train)
-    shaped = balance.hash_folds(shaper.transform(train), key, seed=7).select("features", target, "fold")
-    search, rmse = learn.tune_boosted(materialise(shaped, "shaped"), target, "fold", grid, parallelism=parallelism)
-    model = PipelineModel(stages=[*shaper.stages, search.bestModel])
+    stage = learn.preparation_stage(train, features, bounds="iqr")
+    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features")
+    dealt = balance.hash_folds(train, key, seed=7)
+    whole = all(v == 1.0 for v in grid.get("subsamplingRate", [1.0]))
+    folded = learn.fold_cells(dealt, stage, features, ["fold"], target, fold_rows) if whole else None
+    if folded is None:
+        shaped = assembler.transform(stage.transform(dealt)).select("features", target, "fold")
+        search, rmse = learn.tune_boosted(materialise(shaped, "shaped"), target, "fold", grid, parallelism=parallelism)
+    else:
+        stage, cells = folded
+        search, rmse = learn.tune_boosted(assembler.transform(cells), target, "fold", grid, parallelism=parallelism, weight="_n", within="_within")
+    model = PipelineModel(stages=[stage, assembler, search.bestModel])
     return model, evaluate.regression_metrics(model.transform(test), target, "prediction"), rmse
 
 

@@ -264,3 +264,33 @@ def test_boosted_search_scores_rounds_of_one_fit(spark):
     best = search.points[int(np.argmin(search.scores))]
     assert search.bestModel.getNumTrees == best["maxIter"] and search.bestModel.getOrDefault("maxDepth") == best["maxDepth"]
     assert learn.search_table(search, spark).count() == 4
+
+
+def _folding_rows(spark, n=6000):
+    rng = np.random.default_rng(21)
+    a, b, c = rng.integers(0, 12, n), rng.integers(0, 5, n), rng.integers(0, 3, n)
+    y = np.sin(a) + 0.5 * b * c + rng.normal(scale=.3, size=n)
+    kind = (a + 2 * b + rng.normal(scale=2, size=n) > 12).astype(int) + (c == 2) * (a > 8)
+    return spark.createDataFrame(
+        [(i, float(a[i]), float(b[i]), float(c[i]), float(y[i]), int(kind[i])) for i in range(n)], "id long, a double, b double, c double, y double, kind int")
+
+
+def test_folded_boosting_equals_boosting_of_rows(spark):
+    """Trees need the weight and mean of a cell only."""
+    df, names = _folding_rows(spark), ["a", "b", "c"]
+    whole = learn.score_voltage(df, learn.train_boosted(df, names, "y", n_estimators=4, max_depth=3), "p").orderBy("id").toPandas()["p"]
+    model = learn.train_boosted(df, names, "y", n_estimators=4, max_depth=3, fold_rows=0)
+    assert "EXCEPT" in model.stages[0].getStatement()
+    assert np.allclose(learn.score_voltage(df, model, "p").orderBy("id").toPandas()["p"], whole)
+    grid = {"maxIter": [2, 4], "maxDepth": [3], "stepSize": [0.1]}
+    _, rows_metrics, rows_rmse = classifiers.train_voltage(df.drop("kind"), "id", "y", grid=grid)
+    _, metrics, rmse = classifiers.train_voltage(df.drop("kind"), "id", "y", grid=grid, fold_rows=0)
+    assert np.allclose(rmse, rows_rmse) and np.allclose(metrics.first(), rows_metrics.first())
+
+
+def test_folding_keeps_rows_that_do_not_repeat(spark):
+    df = spark.createDataFrame([(i, float(i), float(i * 7919 % 6000), float(i % 2)) for i in range(600)], "id long, a double, b double, y double")
+    stage = learn.preparation_stage(df, ["a", "b"])
+    assert learn.fold_cells(df, stage, ["a", "b"], ["y"], fold_rows=0) is None
+    assert learn.fold_cells(df, stage, ["a"], ["y"], fold_rows=0) is not None
+    assert learn.fold_cells(df, stage, ["a"], ["y"]) is None
