@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -23,7 +24,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalars import HEALTH_LABELS, argmax_code, confidence, fault_label, left_closed_bins, map_codes, uniform
 from ..schema import with_missing_as_zero
@@ -36,8 +37,9 @@ WEIGHT = "_weight"
 # Trees see features in at most this many bins, Spark's own default.
 BINS = 32
 # Larger tables are folded to one row per occupied cell of bins, if that leaves
-# at most this share of the rows.
-FOLD_ROWS, FOLD_SHARE = 1 << 20, 0.125
+# at most this share of the rows. A folded forest costs a fit a tree, so
+# it takes more rows to pay; that limit is an estimate, not measured.
+FOLD_ROWS, FOREST_FOLD_ROWS, FOLD_SHARE = 1 << 20, 1 << 23, 0.125
 
 
 def health_labels(df: DataFrame, target: str, critical: float = 0.05, degraded: float = 0.5, thresholds: Sequence[float] | None = None, **options) -> tuple[DataFrame, dict[str, float]]:
@@ -139,14 +141,68 @@ def fold_cells(
     return binned, materialise(cells.sortWithinPartitions(*keys), "cells")
 
 
+def _with_draws(cells: DataFrame, trees: int, seed: int) -> DataFrame:
+    """Adds ``_d<t>``: how many rows of a cell the bootstrap of tree t draws. A
+    row is drawn Poisson(1) times, so a cell of n rows Poisson(n) times. The seed
+    of a batch comes from its cells."""
+    draws = [f"_d{t}" for t in range(trees)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = 0
+            for column in batch.columns:
+                mark = zlib.crc32(column.to_numpy(zero_copy_only=False).tobytes(), mark)
+            rng = np.random.default_rng([seed, mark])
+            n = batch.column("_n").to_numpy()
+            drawn = [pa.array(rng.poisson(n).astype(np.int32)) for _ in draws]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *drawn], names=[*batch.schema.names, *draws])
+
+    schema = T.StructType([*cells.schema.fields, *[T.StructField(d, T.IntegerType()) for d in draws]])
+    return materialise(cells.mapInArrow(run, schema), "draws")
+
+
+def _forest_of_cells(cells: DataFrame, features: Sequence[str], label: str, trees: int, depth: int, seed: int = 42, parallelism: int = 4) -> RandomForestClassificationModel:
+    """Random forest from folded rows. Spark's own bootstrap would draw a cell as
+    a whole, so each tree is fitted alone on the draws of its rows."""
+    spark = cells.sparkSession
+    drawn = _with_draws(cells, trees, seed).persist()
+    classes = int(cells.agg(F.max(label)).first()[0]) + 1
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": max(2, classes)}}
+    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features")
+    each = features_per_node("sqrt", len(features)) if trees > 1 else len(features)
+
+    def grow(t: int):
+        rows = drawn.filter(F.col(f"_d{t}") > 0).withColumn(WEIGHT, F.col(WEIGHT) * F.col(f"_d{t}"))
+        rows = assembler.transform(rows).select("features", F.col(label).alias(label, metadata=nominal), WEIGHT)
+        learner = random_forest(label, 1, depth, seed + t, bootstrap=False, featureSubsetStrategy=str(each) if each < len(features) else "all")
+        return learner.fit(rows).trees[0]
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        grown = pool.map(inheritable_thread_target(spark)(grow), range(trees), chunksize=1)
+    drawn.unpersist()
+    kind = spark._jvm.org.apache.spark.ml.classification
+    one = spark.sparkContext._gateway.new_array(kind.DecisionTreeClassificationModel, trees)
+    for t, tree in enumerate(grown):
+        one[t] = tree._java_obj
+    return RandomForestClassificationModel(kind.RandomForestClassificationModel(one, len(features), max(2, classes)))
+
+
 def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42, **params: Any) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol=WEIGHT, numTrees=trees, maxDepth=depth, seed=seed, **params)
 
 
-def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, **preparation) -> PipelineModel:
-    """Random forest with balanced class weights."""
-    return _fit(with_class_weight(df, label, WEIGHT), features, random_forest(label, trees, depth), **preparation)
+def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, fold_rows: int = FOREST_FOLD_ROWS, **preparation) -> PipelineModel:
+    """Random forest with balanced class weights. Large tables are folded to
+    cells of bins first, where that leaves far fewer rows."""
+    weighted = with_class_weight(df, label, WEIGHT)
+    stage = preparation_stage(weighted, features, **preparation)
+    folded = fold_cells(weighted, stage, features, [label, WEIGHT], fold_rows=fold_rows)
+    assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features")
+    if folded is None:
+        return Pipeline(stages=[stage, assembler, random_forest(label, trees, depth)]).fit(spread(weighted))
+    forest = _forest_of_cells(folded[1], features, label, trees, depth)
+    return PipelineModel(stages=[folded[0], assembler, forest.setFeaturesCol("features")])
 
 
 def train_logistic(df: DataFrame, features: Sequence[str], label: str, iterations: int = 100, **preparation) -> PipelineModel:

@@ -288,6 +288,28 @@ def test_folded_boosting_equals_boosting_of_rows(spark):
     assert np.allclose(rmse, rows_rmse) and np.allclose(metrics.first(), rows_metrics.first())
 
 
+def test_folded_forest_draws_rows(spark, tmp_path):
+    df, names = _folding_rows(spark), ["a", "b", "c"]
+    stage = learn.preparation_stage(df, names)
+    _, cells = learn.fold_cells(df, stage, names, ["kind"], fold_rows=0)
+    total = cells.agg(F.count("*"), F.sum("_n")).first()
+    assert total[0] <= 540 and total[1] == 6000
+    drawn = learn._with_draws(cells, 20, 42).agg(*[F.sum(f"_d{t}") for t in range(20)], F.var_samp(F.col("_d0") - F.col("_n")), F.avg("_n")).first()
+    sums = np.array(drawn[:20])
+    # Each tree draws Poisson(rows of a cell), trees apart from each other.
+    assert len(set(sums)) > 15 and abs(sums.mean() - 6000) < 100 and 0.7 < drawn[20] / drawn[21] < 1.3
+    whole = learn.train_forest(df, names, "kind", 8, 4)
+    model = learn.train_forest(df, names, "kind", 8, 4, fold_rows=0)
+    assert model.stages[-1].getNumTrees == 8 and model.stages[-1].numClasses == whole.stages[-1].numClasses
+    said = [evaluate.classification_metrics(m.transform(df), "kind", "prediction").first()["balanced_accuracy"] for m in (whole, model)]
+    assert abs(said[0] - said[1]) < 0.05
+    weights = [{r["feature"]: r["importance"] for r in learn.importances(m, spark).collect()} for m in (whole, model)]
+    assert all(abs(weights[0][c] - weights[1][c]) < 0.1 for c in names)
+    models.save_model(model, str(tmp_path / "m"))
+    back = learn.score_fault(df, models.load_model(str(tmp_path / "m")))
+    assert back.join(learn.score_fault(df, model).select("id", F.col("predicted_class").alias("same")), "id").filter("same = predicted_class").count() == 6000
+
+
 def test_folding_keeps_rows_that_do_not_repeat(spark):
     df = spark.createDataFrame([(i, float(i), float(i * 7919 % 6000), float(i % 2)) for i in range(600)], "id long, a double, b double, y double")
     stage = learn.preparation_stage(df, ["a", "b"])
