@@ -19,7 +19,8 @@ from .quantiles import quantile
 
 SAMPLE = 256
 TREES = 100
-# Rows times trees up to which every row may stand for every tree.
+# Rows that are explained together, and rows of a task.
+EXPLAINED, EXPLAINED_TASK = 256, 4096
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, size int, depth int"
 
 
@@ -118,36 +119,106 @@ def one_table(trees: Sequence[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return out | {"root": root, "leaf": out["left"] == np.arange(len(out["left"]))}
 
 
+@dataclass
+class Boxes:
+    """Every leaf of a forest as the ranges of values that lead to it.
+
+    Condition i is on ``feature[i]`` and belongs to leaf ``owner[i]``, whose first
+    one is ``start``; the value is not below ``low`` and below ``high``, which is
+    NaN where the path never turns left. A leaf has one condition a feature."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    path: np.ndarray
+    trees: int
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """(condition, row): which conditions the rows meet."""
+        value = np.ascontiguousarray(x.T)[self.feature]
+        high = self.high[:, None]
+        return ~(value < self.low[:, None]) & ((value < high) | np.isnan(high))
+
+
+def leaf_boxes(trees: dict[str, np.ndarray]) -> Boxes:
+    """Boxes of the leaves of ``one_table``."""
+    start, conditions, path = [], [], []
+    todo = [(int(r), {}) for r in trees["root"]]
+    while todo:
+        node, box = todo.pop()
+        if trees["leaf"][node]:
+            start.append(len(conditions))
+            path.append(trees["path"][node])
+            # A tree of one leaf has one condition that all values meet.
+            conditions += [(len(path) - 1, f, *ends) for f, ends in (box or {0: (-np.inf, np.nan)}).items()]
+            continue
+        f, cut = int(trees["feature"][node]), float(trees["threshold"][node])
+        low, high = box.get(f, (-np.inf, np.nan))
+        todo.append((int(trees["left"][node]), box | {f: (low, float(np.fmin(high, cut)))}))
+        todo.append((int(trees["right"][node]), box | {f: (max(low, cut), high)}))
+    owner, feature, low, high = (np.array(c) for c in zip(*conditions))
+    return Boxes(owner, np.array(start), feature, low, high, np.array(path), len(trees["root"]))
+
+
+def first_steps(met: np.ndarray, rank: np.ndarray, boxes: Boxes) -> np.ndarray:
+    """(leaf, row): the step from which a background row no longer keeps a way to
+    the leaf shut: after the last feature whose condition it fails."""
+    after = (rank[boxes.feature] + 1).astype(np.int32)[:, None]
+    return np.maximum.reduceat(np.where(met, np.int32(0), after), boxes.start, axis=0)
+
+
+def last_steps(met: np.ndarray, rank: np.ndarray, boxes: Boxes) -> np.ndarray:
+    """(leaf, row): the last step at which an explained row leaves the way to the
+    leaf open: before the first feature whose condition it fails."""
+    before = rank[boxes.feature].astype(np.int32)[:, None]
+    return np.minimum.reduceat(np.where(met, np.int32(len(rank)), before), boxes.start, axis=0)
+
+
+def batch_scores(last: np.ndarray, first: np.ndarray, order: np.ndarray, boxes: Boxes, psi: int) -> np.ndarray:
+    """Scores (explained row, step, background row) while background rows take
+    over the features of the explained ones in the given order.
+
+    A leaf is met at the steps from ``first`` of the background row to ``last``
+    of the explained one. A step changes one feature, so only the leaves with a
+    condition on it come or go, and one matrix product adds up their paths for
+    all pairs of rows.
+    """
+    change = np.zeros((last.shape[1], len(order) + 1, first.shape[1]))
+    change[:, 0] = boxes.path @ (first == 0)
+    by_feature = np.argsort(boxes.feature, kind="stable")
+    ends = np.searchsorted(boxes.feature[by_feature], np.arange(len(order) + 1))
+    for step, f in enumerate(order):
+        leaves = boxes.owner[by_feature[ends[f]:ends[f + 1]]]
+        if len(leaves):
+            path, of_x, of_b = boxes.path[leaves][:, None], last[leaves], first[leaves]
+            come = (of_x > step).T.astype(float) @ ((of_b == step + 1) * path)
+            change[:, step + 1] = come - (of_x == step).T.astype(float) @ ((of_b <= step) * path)
+    total = np.cumsum(change, axis=1, out=change)
+    return 2.0 ** (-(total / boxes.trees) / max(float(average_path(psi)), 1e-12))
+
+
 def path_scores(x: np.ndarray, base: np.ndarray, rank: np.ndarray, trees: dict[str, np.ndarray], psi: int) -> np.ndarray:
     """Scores (step, background row) while a background row takes over the
-    features of ``x`` in the order of ``rank``.
-
-    A node is met at the steps of one range only: those after the features in
-    which only ``x`` goes its way, up to those in which only the background row
-    does. So each leaf adds its path to a range of steps, and no row is scored
-    step by step.
-    """
-    n, n_trees = len(x), len(trees["root"])
-    change = np.zeros((n + 2, len(base)))
-    row, node = np.repeat(np.arange(len(base)), n_trees), np.tile(trees["root"], len(base))
-    low, high = np.zeros(len(row), np.int64), np.full(len(row), n)
-    while len(row):
-        done = trees["leaf"][node]
-        path = trees["path"][node[done]]
-        np.add.at(change, (low[done], row[done]), path)
-        np.add.at(change, (high[done] + 1, row[done]), -path)
-        row, node, low, high = [v[~done] for v in (row, node, low, high)]
-        feature, cut = trees["feature"][node], trees["threshold"][node]
-        left_x, left_b, at = x[feature] < cut, base[row, feature] < cut, rank[feature]
-        after, until = np.maximum(low, at + 1), np.minimum(high, at)
-        sides = []
-        for child, own, other in ((trees["left"][node], left_x, left_b), (trees["right"][node], ~left_x, ~left_b)):
-            a, b = np.where(own & ~other, after, low), np.where(other & ~own, until, high)
-            met = (own | other) & (a <= b)
-            sides.append((row[met], child[met], a[met], b[met]))
-        row, node, low, high = map(np.concatenate, zip(*sides))
-    total = np.cumsum(change, axis=0)[:n + 1]
-    return 2.0 ** (-(total / n_trees) / max(float(average_path(psi)), 1e-12))
+    features of ``x`` in the order of ``rank``."""
+    boxes = leaf_boxes(trees)
+    last, first = last_steps(boxes.met(x[None, :]), rank, boxes), first_steps(boxes.met(base), rank, boxes)
+    return batch_scores(last, first, np.argsort(rank), boxes, psi)[0]
+
+
+def mean_gains(x: np.ndarray, base: np.ndarray, boxes: Boxes, psi: int, permutations: int, seed: int) -> np.ndarray:
+    """(row, feature): mean gain of the negated score over the orders and the
+    background rows."""
+    total = np.zeros(x.shape)
+    met, met_base = boxes.met(x), boxes.met(base)
+    for order in range(permutations):
+        path = np.random.default_rng([seed, order // 2]).permutation(x.shape[1])
+        path = path[::-1] if order % 2 else path
+        rank = np.argsort(path)
+        values = batch_scores(last_steps(met, rank, boxes), first_steps(met_base, rank, boxes), path, boxes, psi)
+        total[:, path] -= np.diff(values.mean(axis=2), axis=1)
+    return total / permutations
 
 
 def fit_forest(
@@ -195,34 +266,25 @@ def shapley_values(
 ) -> DataFrame:
     """(key, feature, contribution) of the negated anomaly score.
 
-    Each row is spread over feature orders; an order and its reverse start from
+    Each row goes through feature orders; an order and its reverse start from
     the background rows and take over the row's features one by one. The mean
     gain of a feature is its contribution; contributions of a row sum to its
     score less the mean background score. ``background`` is a small sample.
     """
-    joined, psi, base = one_table(model.tables()), model.psi, np.asarray(background, dtype=float)
-    spread = df.select(
-        F.col(key), F.col(vector).cast("array<double>").alias("_x"),
-        F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_order"))
+    boxes, psi, base = leaf_boxes(one_table(model.tables())), model.psi, np.asarray(background, dtype=float)
+    # A row costs much more to explain than to move, so rows are dealt out evenly.
+    rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias("_x"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // EXPLAINED_TASK))
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, gains array<double>"
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gains = []
-            for x, order in zip(pdf["_x"], pdf["_order"]):
-                x = np.asarray(x, dtype=float)
-                path = np.random.default_rng([seed, int(order) // 2]).permutation(len(x))
-                path = path[::-1] if order % 2 else path
-                rank = np.empty(len(x), np.int64)
-                rank[path] = np.arange(len(x))
-                values = -path_scores(x, base, rank, joined, psi)
-                values = values.mean(axis=1)
-                out = np.empty(len(x))
-                out[path] = np.diff(values)
-                gains.append(out.tolist())
-            yield pd.DataFrame({key: pdf[key], "gains": gains})
-
-    each = spread.mapInPandas(explain, schema)
+            for at in range(0, len(pdf), EXPLAINED):
+                some = pdf.iloc[at:at + EXPLAINED]
+                x = np.stack([np.asarray(v, dtype=float) for v in some["_x"]])
+                yield pd.DataFrame({key: some[key], "gains": list(mean_gains(x, base, boxes, psi, permutations, seed))})
+
+    each = rows.repartition(parts).mapInPandas(explain, schema)
     return each.select(key, F.posexplode("gains").alias("feature", "gain")).groupBy(key, "feature").agg(
         F.avg("gain").alias("contribution"))
 

@@ -116,6 +116,41 @@ def test_shapley_paths_and_full_settings(spark, sf, monkeypatch):
     assert seen == dict(trees=100, rows=min(100, spark.read.parquet(f"{sf}/embeddings.parquet").count()), orders=4)
 
 
+def test_shapley_rows_share_their_work(spark):
+    """Many rows are explained by a few matrix products a feature, and as if each
+    were explained alone; gaps go right like in the trees."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(700, 6)), 1)
+    x[3, 2], x[4, 0] = np.nan, np.inf
+    model = forest.fit_forest(make(spark, x[10:]), "id", "x", trees=15)
+    trees, joined = model.tables(), forest.one_table(model.tables())
+    got = forest.mean_gains(x[:40], x[600:612], forest.leaf_boxes(joined), model.psi, 4, 42)
+    for row, gains in zip(x[:8], got):
+        want = np.zeros(6)
+        for order in range(4):
+            path = np.random.default_rng([42, order // 2]).permutation(6)[::-1 if order % 2 else 1]
+            steps = np.repeat(x[None, 600:612], 7, axis=0)
+            for i, feature in enumerate(path):
+                steps[i + 1:, :, feature] = row[feature]
+            scores = forest.forest_scores(steps.reshape(-1, 6), trees, model.psi).reshape(7, 12).mean(axis=1)
+            want[path] -= np.diff(scores) / 4
+        assert np.allclose(gains, want)
+    # One file of rows is dealt out over all cores.
+    one = make(spark, x[:300]).coalesce(1)
+    plan = forest.shapley_values(one, "id", "x", model, x[600:612])
+    assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().toString()
+    assert plan.count() == 300 * 6
+    # Tables with keys that repeat give the mean of their rows.
+    twice = forest.shapley_values(one.unionByName(one), "id", "x", model, x[600:612])
+    assert twice.count() == 300 * 6
+
+
+def test_forests_of_single_leaves(spark):
+    model = forest.fit_forest(make(spark, np.ones((20, 3))), "id", "x", trees=3)
+    got = forest.shapley_values(make(spark, np.arange(12.0).reshape(4, 3)), "id", "x", model, np.ones((2, 3)))
+    assert got.count() == 12 and got.filter("contribution <> 0").count() == 0
+
+
 def test_axes_of_wide_and_thin_tables(spark):
     rng = np.random.default_rng(16)
     x = rng.normal(size=(240, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 3_000)) + 0.01 * rng.normal(size=(240, 3_000)) + 3
