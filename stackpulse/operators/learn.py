@@ -23,7 +23,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifica
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalars import HEALTH_LABELS, argmax_code, confidence, fault_label, left_closed_bins, map_codes, uniform
@@ -40,6 +40,9 @@ BINS = 32
 # at most this share of the rows. A folded forest costs a fit a tree, so
 # it takes more rows to pay; that limit is an estimate, not measured.
 FOLD_ROWS, FOREST_FOLD_ROWS, FOLD_SHARE = 1 << 20, 1 << 23, 0.125
+# Nodes that the driver grows at once in a forest search, and holds to score
+# them; a single tree may have more.
+GROWN_NODES, SCORED_NODES = 1 << 20, 1 << 21
 
 
 def health_labels(df: DataFrame, target: str, critical: float = 0.05, degraded: float = 0.5, thresholds: Sequence[float] | None = None, **options) -> tuple[DataFrame, dict[str, float]]:
@@ -180,11 +183,19 @@ def _forest_of_cells(cells: DataFrame, features: Sequence[str], label: str, tree
     with ThreadPool(max(1, parallelism)) as pool:
         grown = pool.map(inheritable_thread_target(spark)(grow), range(trees), chunksize=1)
     drawn.unpersist()
-    kind = spark._jvm.org.apache.spark.ml.classification
-    one = spark.sparkContext._gateway.new_array(kind.DecisionTreeClassificationModel, trees)
-    for t, tree in enumerate(grown):
+    return forest_of(grown, len(features), max(2, classes))
+
+
+def forest_of(trees: Sequence, features: int, classes: int) -> RandomForestClassificationModel:
+    """Forest model of single trees."""
+    context = SparkContext._active_spark_context
+    kind = context._jvm.org.apache.spark.ml.classification
+    one = context._gateway.new_array(kind.DecisionTreeClassificationModel, len(trees))
+    for t, tree in enumerate(trees):
         one[t] = tree._java_obj
-    return RandomForestClassificationModel(kind.RandomForestClassificationModel(one, len(features), max(2, classes)))
+    model = kind.RandomForestClassificationModel(one, features, classes)
+    model.set(model.numTrees(), len(trees))  # its default stands otherwise, and goes into saved models
+    return RandomForestClassificationModel(model)
 
 
 def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42, **params: Any) -> RandomForestClassifier:
@@ -330,20 +341,23 @@ def saved_nodes(model: RandomForestClassificationModel, spark) -> list[dict[str,
     is bounded by the trees and their depth, not by the rows."""
     path = scratch_path(spark, "forest")
     model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"])
+    split = F.col("nodeData.split")
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        split["featureIndex"].alias("feature"), F.coalesce(F.get(split["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("cut"),
+        F.col("nodeData.impurityStats").alias("stats")).toArrow()
+    stats = rows.column("stats").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    column = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "stats"}
+    order = np.lexsort((column["id"], column["treeID"]))
     out = []
-    for _, tree in rows.groupby("treeID"):
-        left, right = tree["leftChild"].to_numpy(), tree["rightChild"].to_numpy()
-        depth = np.zeros(len(tree), np.int64)
-        for i in range(len(tree)):  # nodes are numbered from the root down
-            for child in (left[i], right[i]):
-                if child >= 0:
-                    depth[child] = depth[i] + 1
-        split = tree["split"]
-        out.append({
-            "left": left, "right": right, "depth": depth, "feature": np.array([r["featureIndex"] for r in split]),
-            "cut": np.array([r["leftCategoriesOrThreshold"][0] if len(r["leftCategoriesOrThreshold"]) else 0.0 for r in split]),
-            "stats": np.stack(tree["impurityStats"].to_numpy())})
+    for at in np.split(order, np.flatnonzero(np.diff(column["treeID"][order])) + 1):
+        tree = {c: column[c][at].astype(np.int32) for c in ("left", "right", "feature")} | {"cut": column["cut"][at], "stats": stats[at]}
+        depth, level = np.zeros(len(at), np.int16), np.zeros(1, np.int64)
+        while len(level):
+            children = np.concatenate([tree[side][level] for side in ("left", "right")])
+            depth[children[children >= 0]] = depth[level[0]] + 1
+            level = children[children >= 0]
+        out.append(tree | {"depth": depth})
     return out
 
 
@@ -352,48 +366,91 @@ def cut_back(tree: dict[str, np.ndarray], depth: int) -> np.ndarray:
     class are one leaf, as in a tree grown to that depth only."""
     leaf = (tree["left"] < 0) | (tree["depth"] >= depth)
     kind = tree["stats"].argmax(axis=1)
-    for i in np.argsort(-tree["depth"], kind="stable"):
-        l, r = tree["left"][i], tree["right"][i]
-        if not leaf[i] and leaf[l] and leaf[r] and kind[l] == kind[r]:
-            leaf[i] = True
+    for level in range(int(tree["depth"].max()), -1, -1):
+        at = np.flatnonzero(~leaf & (tree["depth"] == level))
+        left, right = tree["left"][at], tree["right"][at]
+        leaf[at] = leaf[left] & leaf[right] & (kind[left] == kind[right])
     return leaf
 
 
+def added_votes(x: np.ndarray, tree: dict[str, np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    """Class shares of the leaves that the rows reach."""
+    at = np.zeros(len(x), np.int64)
+    while True:
+        go = np.flatnonzero(~leaf[at])
+        if not len(go):
+            break
+        node = at[go]
+        at[go] = np.where(x[go, tree["feature"][node]] <= tree["cut"][node], tree["left"][node], tree["right"][node])
+    stats = tree["stats"][at]
+    return stats / stats.sum(axis=1, keepdims=True)
+
+
 def staged_votes(x: np.ndarray, forest: list[dict[str, np.ndarray]], trees: int, leaves: list[np.ndarray]) -> np.ndarray:
     """Class of each row by the first ``trees`` trees with the given leaves."""
-    total = 0.0
-    for tree, leaf in zip(forest[:trees], leaves):
-        at = np.zeros(len(x), np.int64)
-        while True:
-            go = np.flatnonzero(~leaf[at])
-            if not len(go):
-                break
-            node = at[go]
-            at[go] = np.where(x[go, tree["feature"][node]] <= tree["cut"][node], tree["left"][node], tree["right"][node])
-        stats = tree["stats"][at]
-        total = total + stats / stats.sum(axis=1, keepdims=True)
-    return total.argmax(axis=1)
-
-
-def _stage_scores(model: RandomForestClassificationModel, test: DataFrame, label: str, stages: Sequence[tuple[int, int]]) -> list[float]:
-    """Balanced accuracy of each (trees, depth) stage of a fitted forest, from
-    one pass over the test rows."""
-    spark = test.sparkSession
-    forest = saved_nodes(model, spark)
-    leaves = {d: [cut_back(t, d) for t in forest] for d in {d for _, d in stages}}
-    shared = spark.sparkContext.broadcast((forest, leaves))  # bounded by trees and depth
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, ends = shared.value
-        for batch in batches:
-            if len(batch):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                said = np.stack([staged_votes(x, nodes, t, ends[d]) for t, d in stages], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(stages)), pa.array(said.ravel().astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["y", "said"])
-
-    voted = test.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x")).mapInArrow(run, "y double, said array<double>")
-    recalls = voted.groupBy("y").agg(*[F.avg((F.col("said")[i] == F.col("y")).cast("double")).alias(f"r{i}") for i in range(len(stages))])
+    return sum(added_votes(x, tree, leaf) for tree, leaf in zip(forest[:trees], leaves)).argmax(axis=1)
+
+
+def grown_forests(learner: RandomForestClassifier, rows: DataFrame, count: int, dim: int) -> Iterator[RandomForestClassificationModel]:
+    """A forest in parts of about ``GROWN_NODES`` nodes, or of one tree. A forest
+    that cannot have more comes whole. Each part draws from its own seed."""
+    trees, depth, least = (learner.getOrDefault(p) for p in ("numTrees", "maxDepth", "minInstancesPerNode"))
+    most, done = min(2 ** (depth + 1), 2 * max(1, count // least)), 0
+    if trees * most <= GROWN_NODES:
+        yield learner.fit(rows)
+        return
+    each = features_per_node(learner.getFeatureSubsetStrategy(), dim)
+    fixed = learner.copy({learner.featureSubsetStrategy: str(each) if each < dim else "all"})
+    while done < trees:
+        some = min(trees - done, max(1, GROWN_NODES // most))
+        part = fixed.copy({fixed.numTrees: some, fixed.seed: learner.getSeed() + 7919 * done}).fit(rows)
+        done, most = done + some, max(tree.numNodes for tree in part.trees)
+        yield part
+
+
+def _held_together(parts: Iterator[RandomForestClassificationModel], spark) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Nodes of consecutive trees, about ``SCORED_NODES`` at once."""
+    held: list[dict[str, np.ndarray]] = []
+    for part in parts:
+        trees = saved_nodes(part, spark)
+        if held and sum(len(t["left"]) for t in held + trees) > SCORED_NODES:
+            yield held
+            held = []
+        held = held + trees
+    yield held
+
+
+def _stage_scores(parts: Iterator[RandomForestClassificationModel], test: DataFrame, label: str, stages: Sequence[tuple[int, int]]) -> list[float]:
+    """Balanced accuracy of each (trees, depth) stage of a forest that comes in
+    parts. The votes of a row so far go with it from part to part."""
+    spark, done, last = test.sparkSession, 0, max(t for t, _ in stages)
+    voted = test.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x"), F.array().cast("array<double>").alias("votes"))
+    for forest in _held_together(parts, spark):
+        leaves = {d: [cut_back(t, d) for t in forest] for d in {d for _, d in stages}}
+        shared = spark.sparkContext.broadcast((forest, leaves, done))  # bounded by ``SCORED_NODES`` or one tree
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            nodes, ends, before = shared.value
+            classes = nodes[0]["stats"].shape[1]
+            for batch in batches:
+                if len(batch):
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    votes = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                    votes = votes.reshape(len(x), len(stages), classes).copy() if len(votes) else np.zeros((len(x), len(stages), classes))
+                    for d, leaf in ends.items():
+                        for t, tree in enumerate(nodes, before):
+                            wanted = [i for i, stage in enumerate(stages) if stage[1] == d and stage[0] > t]
+                            if wanted:
+                                votes[:, wanted] += added_votes(x, tree, leaf[t - before])[:, None]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(stages) * classes), pa.array(votes.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["y", "x", "votes"])
+
+        voted, done = voted.mapInArrow(run, "y double, x array<double>, votes array<double>"), done + len(forest)
+        if done < last:
+            voted = materialise(voted, "votes")
+    classes = F.size("votes") / len(stages)
+    own = [F.slice("votes", (classes * i + 1).cast("int"), classes.cast("int")) for i in range(len(stages))]
+    recalls = voted.groupBy("y").agg(*[F.avg((F.array_position(v, F.array_max(v)) - 1 == F.col("y")).cast("double")).alias(f"r{i}") for i, v in enumerate(own)])
     row = recalls.agg(*[F.avg(f"r{i}") for i in range(len(stages))]).first()
     return [float(v) for v in row]
 
@@ -411,7 +468,9 @@ def tune_forest(
     goes. Its first trees, cut back, stand for the smaller grid points: a tree
     cut back equals the tree grown to that depth, as both draw the same features
     in the same order. Strategies that come to the same number of features per
-    node are the same forest. The forest with the best point is then fitted on
+    node are the same forest. A forest of many nodes is grown and scored in
+    parts, so the driver holds a bounded number of nodes or one tree. The forest
+    with the best point, which has to be held, is then fitted on
     all rows. Ties go to the first point of the grid.
     """
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
@@ -429,7 +488,7 @@ def tune_forest(
         shaper, train = ready(df.filter(F.col(fold) != turn))
         test = df.filter(F.col(fold) == turn)
         test = materialise((shaper.transform(test) if shaper else test).select("features", label), "search-test")
-        n = len(train.first()["features"])
+        n, count = len(train.first()["features"]), train.count()
         alike: dict[tuple, list[int]] = {}
         for i, point in enumerate(full):
             rest = tuple(sorted((k, v) for k, v in point.items() if k not in staged))
@@ -437,11 +496,13 @@ def tune_forest(
         for (rest, each), members in alike.items():
             stages = [(full[i]["numTrees"], full[i]["maxDepth"]) for i in members]
             learner = _search_forest(label, max(t for t, _ in stages), max(d for _, d in stages), featureSubsetStrategy=str(each) if each < n else "all", **dict(rest))
-            for i, value in zip(members, _stage_scores(learner.fit(train), test, label, stages)):
+            parts = grown_forests(learner, train, count, n)
+            for i, value in zip(members, _stage_scores(parts, test, label, stages)):
                 scores[i] += value / folds
     best = dict(full[int(scores.argmax())])
     shaper, rows = ready(df)
-    model = _search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best).fit(rows)
+    parts = list(grown_forests(_search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best), rows, rows.count(), n))
+    model = parts[0] if len(parts) == 1 else forest_of([t for p in parts for t in p.trees], n, parts[0].numClasses).setFeaturesCol("features")
     return GridSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
 
 

@@ -247,6 +247,37 @@ def test_forest_search_fits_preparation_inside_folds(spark):
     assert search.bestModel.transform(df).filter("prediction = y").count() > 700
 
 
+def test_forest_search_in_parts(spark, monkeypatch):
+    """A forest of many nodes is grown and scored a few trees at a time, with the
+    scores that its trees have together."""
+    df = three_classes(spark)
+    rows = assembled(df).transform(df).withColumn(learn.WEIGHT, F.lit(1.0)).select("id", "features", "y", learn.WEIGHT).cache()
+    learner = learn._search_forest("y", 7, 9, minInstancesPerNode=2, featureSubsetStrategy="2")
+    assert len(list(learn.grown_forests(learner, rows, 900, 4))) == 1
+    monkeypatch.setattr(learn, "GROWN_NODES", 400)
+    parts = list(learn.grown_forests(learner, rows, 900, 4))
+    assert len(parts) > 2 and sum(p.getNumTrees for p in parts) == 7 and parts[0].getNumTrees == 1
+    assert all(p.getNumTrees == 1 or p.totalNumNodes < 800 for p in parts)
+    assert len({t.toDebugString for p in parts for t in p.trees}) == 7
+    stages = [(3, 4), (7, 9), (7, 4), (1, 9)]
+    trees = [t for p in parts for t in learn.saved_nodes(p, spark)]
+    x, y = (np.array([r[c].toArray() if c == "features" else r[c] for r in rows.collect()]) for c in ("features", "y"))
+    want = []
+    for n, depth in stages:
+        said = learn.staged_votes(x, trees, n, [learn.cut_back(t, depth) for t in trees])
+        want.append(np.mean([(said[y == c] == c).mean() for c in np.unique(y)]))
+    held = []
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(learn, "SCORED_NODES", most)
+        held.append([len(f) for f in learn._held_together(iter(parts), spark)])
+        assert np.allclose(learn._stage_scores(iter(parts), rows, "y", stages), want)
+    assert held[0] == [p.getNumTrees for p in parts] and held[-1] == [7]
+    grid = {"numTrees": [2, 4], "maxDepth": [2, 5], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt"]}
+    monkeypatch.setattr(learn, "GROWN_NODES", 40)
+    search, best = learn.tune_forest(df, "y", "fold", grid, prepare=assembled, weighted=True)
+    assert best == max(search.scores) and search.bestModel.transform(df).filter("prediction = y").count() > 700
+
+
 def test_boosted_search_scores_rounds_of_one_fit(spark):
     """The same scores as fitting every grid point, from half the fits."""
     rng = np.random.default_rng(12)
