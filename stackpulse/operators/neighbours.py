@@ -33,8 +33,8 @@ BLOCK_POINTS = 512
 PIVOTS = 8
 # Bounds of the ball tree: leaves, sampled points, and numbers sent for either.
 LEAVES, SAMPLE, SENT = 1024, 8192, 1 << 22
-# Blocks of a group that travel together.
-GROUP_BLOCKS = 8
+# Blocks of a group that travel together, and about how many bytes of vectors.
+GROUP_BLOCKS, GROUP_BYTES = 8, 1 << 24
 _PART = 1 << 20
 # Groups up to this size may be ordered by a plain window.
 PLAIN_WINDOW_ROWS = 1_000_000
@@ -156,7 +156,8 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
         " centre array<double>, reach double, limits array<double>, radius double")
     blocks = math.ceil(n / block_points)
     # Few blocks form small groups, so that every core has some.
-    size = min(GROUP_BLOCKS, max(1, int(blocks / math.sqrt(4 * points.sparkSession.sparkContext.defaultParallelism))))
+    most = max(GROUP_BLOCKS, GROUP_BYTES // (8 * max(1, dim) * block_points))
+    size = min(most, max(1, int(blocks / math.sqrt(4 * points.sparkSession.sparkContext.defaultParallelism))))
     together = size * leaves // max(1, blocks)
     return Blocks(payload, materialise(meta, "block_meta"), dim, blocks + 2 * leaves, n_axes, together)
 
@@ -449,6 +450,34 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block_points: int = BL
     return rows.join(packed, "point").select(key, F.explode("l").alias("l")).select(key, "l.*")
 
 
+def _nearest_of(pairs: pd.DataFrame, dim: int, k: int) -> tuple[np.ndarray, ...]:
+    """(points, neighbours, distances, weights): up to k nearest of each point of
+    one query block in the blocks that it meets here. What a block gives bounds
+    the search in the next ones, so few pairs of points are measured."""
+    first = next(pairs.itertuples(index=False))
+    a, limits = np.asarray(first.q_flat, dtype=float).reshape(-1, dim), np.array(first.q_limits, dtype=float)
+    at, ids, d, weights = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    for r in pairs.itertuples(index=False):
+        b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)
+        squares, slack = rough_squares(a, b)
+        edge = limits ** 2 * (1 + 1e-9) + slack
+        if len(b) > k:
+            edge = np.minimum(edge, np.partition(squares, k - 1, axis=1)[:, k - 1] + 2 * slack)
+        i, j = np.nonzero(squares <= edge[:, None])
+        if not len(i):
+            continue
+        at, d = np.concatenate([at, i]), np.concatenate([d, pair_distances(a, b, i, j)])
+        ids, weights = np.concatenate([ids, np.asarray(r.c_ids)[j]]), np.concatenate([weights, np.asarray(r.c_weights)[j]])
+        order = np.lexsort((ids, d, at))
+        at, ids, d, weights = at[order], ids[order], d[order], weights[order]
+        turn = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = (turn < k) & (d <= limits[at])
+        full = keep & (turn == k - 1)
+        limits[at[full]] = d[full]
+        at, ids, d, weights = at[keep], ids[keep], d[keep], weights[keep]
+    return np.asarray(first.q_ids)[at], ids, d, weights
+
+
 def nearest_points(blocks: Blocks, k: int) -> DataFrame:
     """k nearest distinct points of every point:
     (point, neighbour_point, distance, weight of the neighbour).
@@ -460,24 +489,10 @@ def nearest_points(blocks: Blocks, k: int) -> DataFrame:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                a = np.asarray(r.q_flat, dtype=float).reshape(-1, dim)
-                b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)
-                squares, slack = rough_squares(a, b)
-                ids, weights, limits = np.asarray(r.c_ids), np.asarray(r.c_weights), np.asarray(r.q_limits, dtype=float)
-                edge = limits ** 2 * (1 + 1e-9) + slack
-                if len(b) > k:
-                    edge = np.minimum(edge, np.partition(squares, k - 1, axis=1)[:, k - 1] + 2 * slack)
-                i, j = np.nonzero(squares <= edge[:, None])
-                d = pair_distances(a, b, i, j)
-                order = np.lexsort((ids[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                turn = np.arange(len(i)) - np.searchsorted(i, i)
-                keep = (turn < k) & (d <= limits[i])
-                if keep.any():
-                    yield pd.DataFrame({
-                        "point": np.asarray(r.q_ids)[i[keep]], "neighbour_point": ids[j[keep]],
-                        "distance": d[keep], "weight": weights[j[keep]]})
+            for _, pairs_of in pdf.groupby("q"):
+                best = _nearest_of(pairs_of, dim, k)
+                if len(best[0]):
+                    yield pd.DataFrame(dict(zip(("point", "neighbour_point", "distance", "weight"), best)))
 
     found = measure_pairs(
         blocks, pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,26 @@ def test_payloads_travel_once_for_each_group(spark, monkeypatch):
     pairs = nn.candidate_pairs(blocks, 1.5)
     sent = pairs.select(blocks.group(F.col("q")).alias("g"), "c").distinct().count()
     assert sent < pairs.count() / 3
+
+
+def test_neighbours_of_a_group_leave_together(spark):
+    """A query block gives up to k neighbours a point for all blocks that it meets
+    in a group, and groups grow with the table."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(900, 4)).round(1)
+    x[100:140] = x[:40]
+    k, own = 5, np.arange(0, 100)
+    d = nn.distances(x[own], x)
+    limits = np.sort(nn.distances(x[own], x[own]), axis=1)[:, k - 1]
+    pairs = pd.DataFrame([{
+        "q": 1, "c": c, "q_ids": own.tolist(), "q_flat": x[own].ravel().tolist(), "q_limits": limits.tolist(),
+        "c_ids": list(range(c * 100, c * 100 + 100)), "c_weights": [c + 1] * 100, "c_flat": x[c * 100:c * 100 + 100].ravel().tolist()} for c in range(9)])
+    points, near, far, weights = nn._nearest_of(pairs, 4, k)
+    assert len(points) == k * len(own)
+    for i in own:
+        want = np.lexsort((np.arange(900), d[i]))[:k]
+        assert near[points == i].tolist() == want.tolist() and np.allclose(far[points == i], d[i][want])
+    assert (weights == near // 100 + 1).all()
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(6000, 4)))], "id long, x array<double>")
+    blocks = nn.point_set(rows, "id", "x", None, 16).blocks
+    assert blocks.meta.select(blocks.group(F.col("block")).alias("g")).distinct().count() <= 12
