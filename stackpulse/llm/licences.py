@@ -2,11 +2,13 @@
 
 Paragraphs are the lines of a text, and the blocks of lines that look wrapped:
 neighbours of at most 132 characters, between blank or longer lines, with their
-line breaks folded. Word one- and two-grams, hashed, feed a
-multinomial logistic regression. Its training rows are runs of words from the
-templates of each family, and lines of the documents that share no three words
-in a row with any template, which are the class of everything else. A prediction
-stands if its chance passes a cut that is set on lines kept out of the training,
+line breaks folded. The word one- and two-grams of the templates are
+the features of a multinomial logistic regression. Its training rows are runs of
+words from the templates of each family, and all different lines of the documents
+that share no three words in a row with any template, which are the class of
+everything else. Lines with the same features are one row with their number as
+weight. By a hash, one half of the lines is trained on; a prediction
+stands if its chance passes a cut that is set on the other half,
 so that almost none of those pass; below the cut a paragraph is unknown. A
 template of the predicted family then confirms it: the share of the template's
 three-word runs that the paragraph holds. A block is reported if it is confirmed
@@ -18,13 +20,16 @@ DataFrame functions and Spark ML are used.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+import re
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 
 # Notices of each licence family.
 TEMPLATES = {
@@ -69,8 +74,6 @@ TEMPLATES = {
 }
 OTHER = "none"
 UNKNOWN = "unknown"
-FEATURES = 1 << 14
-OTHER_ROWS, OTHER_CHARS = 4000, 2000
 PASSING = 0.001
 CONFIRMING = 0.5
 WRAPPED = 132
@@ -124,22 +127,51 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text).cast("string"), r"\r?\n", -1)
 
 
-def _template_runs() -> list[str]:
-    import re
-
+def _template_runs(n: int) -> list[str]:
     out = set()
     for texts in TEMPLATES.values():
         for t in texts:
             w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
-            out |= {" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))}
+            out |= {" ".join(w[i:i + n]) for i in range(max(1, len(w) - n + 1))}
     return sorted(out)
 
 
+def shapers() -> list:
+    """Stages from words to features: which one- and two-grams of the templates a
+    paragraph holds. The number of features is that of the templates' grams."""
+    known = lambda n, column, name: CountVectorizerModel.from_vocabulary(_template_runs(n), column, name, binary=True)
+    return [NGram(n=2, inputCol="words", outputCol="pairs"), known(1, "words", "f1"), known(2, "pairs", "f2"),
+            VectorAssembler(inputCols=["f1", "f2"], outputCol="features")]
+
+
+def other_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(half, features, n): all different lines that hold no run of three words of
+    a template, folded by their features."""
+    lines = docs.select(F.explode(_lines(text)).alias("line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    found = once(lines.select("line", F.xxhash64(F.lit(7), "line").alias("place")), "words", words(F.col("line"))).filter(F.size("words") > 0)
+    plain = ~F.arrays_overlap(runs(F.col("words"), 3), F.array(*map(F.lit, _template_runs(3))))
+    shaped = PipelineModel(stages=shapers()).transform(found.filter(plain).select("place", "words"))
+    # Lines are told apart by their hashes, so that texts are not shuffled.
+    different = shaped.select("place", "features").distinct()
+    return different.groupBy(F.pmod("place", F.lit(2)).cast("int").alias("half"), "features").agg(F.count(F.lit(1)).alias("n"))
+
+
+def passing_cut(scored: DataFrame) -> float:
+    """The chance that the share ``PASSING`` of the lines (p, n) reaches."""
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return 0.5
+    # At most that share of the lines lies above the cut, so the rest is left out.
+    above = math.ceil(PASSING * total)
+    top = scored.orderBy(F.desc("p")).limit(above)
+    upto = F.sum("n").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
+    return float(top.withColumn("upto", upto).filter(F.col("upto") >= above).agg(F.max("p")).first()[0])
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[PipelineModel, list[str], float]:
-    """(model, classes, cut). The sample of other lines is bounded by
-    ``OTHER_ROWS`` different lines of at most ``OTHER_CHARS`` characters, those
-    with the least hashes; half of it only sets the cut. Hashes alone are
-    compared over the whole corpus, lines are read for the chosen ones."""
+    """(model, classes, cut). Every line of the corpus is trained on or sets the
+    cut; both halves weigh as many lines as they hold, and all families together
+    as much as the other lines."""
     spark = docs.sparkSession
     classes = [OTHER, *sorted(TEMPLATES)]
     known = spark.createDataFrame([(f, t) for f in TEMPLATES for t in TEMPLATES[f]], "family string, line string").withColumn("words", words(F.col("line")))
@@ -150,28 +182,21 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Pip
         .select("family", F.slice("words", F.col("at"), F.col("long")).alias("words"))
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
     positive = pieces.select(label.cast("double").alias("label"), "words")
+    others = materialise(other_lines(docs, text), "licence-other")
+    own, rest = (others.filter(F.col("half") == half) for half in (0, 1))
     weight = positive.groupBy("label").agg(F.count("*").alias("rows"))
-    positive = positive.join(F.broadcast(weight), "label").select("label", "words", (F.lit(float(OTHER_ROWS)) / 2 / len(TEMPLATES) / F.col("rows")).alias("weight"))
-    lines = docs.select(F.explode(_lines(text)).alias("line")).filter((F.length("line") <= OTHER_CHARS) & F.col("line").rlike(r"[\p{L}\p{N}]")) \
-        .select("line", F.xxhash64(F.lit(7), "line").alias("place"))
-    edge = lines.select("place").distinct().orderBy("place").limit(OTHER_ROWS).agg(F.max("place")).first()[0]
-    chosen = once(lines.filter(F.col("place") <= F.lit(edge).cast("long")).distinct(), "words", words(F.col("line")))
-    plain = ~F.arrays_overlap(runs(F.col("words"), 3), F.array(*map(F.lit, _template_runs())))
-    drawn = materialise(chosen.filter(plain).select("words", "place"), "licence-other")
-    own = drawn.filter(F.pmod("place", F.lit(2)) == 0).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
-    rest = drawn.filter(F.pmod("place", F.lit(2)) == 1)
-    stages = [NGram(n=2, inputCol="words", outputCol="pairs"),
-              HashingTF(inputCol="words", outputCol="f1", numFeatures=FEATURES, binary=True),
-              HashingTF(inputCol="pairs", outputCol="f2", numFeatures=FEATURES, binary=True),
-              VectorAssembler(inputCols=["f1", "f2"], outputCol="features"),
-              LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", standardization=False,
-                                 regParam=1e-4, maxIter=40, probabilityCol="chances", rawPredictionCol="raw", predictionCol="class")]
-    rows = materialise(positive.unionByName(own), "licence-training").coalesce(4).cache()
-    model = Pipeline(stages=stages).fit(rows)
+    total = float(own.agg(F.sum("n")).first()[0] or 1)
+    positive = positive.join(F.broadcast(weight), "label").select("label", "words", (F.lit(total / len(TEMPLATES)) / F.col("rows")).alias("weight"))
+    stages = shapers()
+    known = PipelineModel(stages=stages).transform(positive).select("label", "features", "weight")
+    rows = known.unionByName(own.select(F.lit(0.0).alias("label"), "features", F.col("n").cast("double").alias("weight")))
+    rows = spread(materialise(rows, "licence-training")).cache()
+    learner = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", standardization=False,
+                                 regParam=1e-4, maxIter=40, probabilityCol="chances", rawPredictionCol="raw", predictionCol="class")
+    fitted = learner.fit(rows)
     rows.unpersist()
-    scored = model.transform(rest).select((1 - F.get(vector_to_array("chances"), F.lit(0))).alias("p"))
-    cut = scored.agg(F.percentile("p", F.lit(1 - PASSING))).first()[0]
-    return model, classes, max(0.5, float(cut) if cut is not None else 0.5)
+    cut = passing_cut(fitted.transform(rest).select((1 - F.get(vector_to_array("chances"), F.lit(0))).alias("p"), "n"))
+    return PipelineModel(stages=[*stages, fitted]), classes, max(0.5, cut)
 
 
 def scan(docs: DataFrame, model: PipelineModel, classes: list[str], cut: float, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -130,6 +130,26 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(odd, model, classes, cut).filter("confirmed").count() >= 0
 
 
+def test_licences_learn_from_all_lines(spark, nothing):
+    """No different line is left out of the training and the cut, however many or
+    long they are; copies count once."""
+    import re
+
+    texts = [f"row {i} of a licence\r\nunder water {i % 3}\n\n--" for i in range(6000)]
+    texts += ["word " * 3000 + "end", None, "", "Released under the MIT License.\nsoftware"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x for t in texts for x in re.split(r"\r?\n", t or "") if re.search(r"\w", x)} - {"Released under the MIT License."}
+    got = licences.other_lines(docs)
+    assert got.agg(F.sum("n")).first()[0] == len(want) == 6005
+    assert got.count() < 20
+    p = [i / 4000 for i in range(4000)]
+    scored = spark.createDataFrame([(x, 1 + (i % 2)) for i, x in enumerate(p)], "p double, n long")
+    assert licences.passing_cut(scored) == p[-4] and licences.passing_cut(scored.limit(0)) == 0.5
+    model, classes, cut = licences.train(nothing)
+    found = licences.scan(docs, model, classes, cut).filter("confirmed").collect()
+    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in found] == [(6003, 0, "mit")]
+
+
 def test_wrapped_licences(spark):
     """Notices broken at 60 to 80 columns, as plain blocks and as comments."""
     import textwrap
