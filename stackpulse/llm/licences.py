@@ -136,6 +136,10 @@ def _template_runs(n: int) -> list[str]:
     return sorted(out)
 
 
+# The fewest different pairs of words in a template's run of three.
+_PAIRS_HELD = min(len({r.rsplit(" ", 1)[0], r.split(" ", 1)[-1]}) for r in _template_runs(3))
+
+
 def shapers() -> list:
     """Stages from words to features: which one- and two-grams of the templates a
     paragraph holds. The number of features is that of the templates' grams."""
@@ -149,8 +153,11 @@ def other_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     a template, folded by their features."""
     lines = docs.select(F.explode(_lines(text)).alias("line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
     found = once(lines.select("line", F.xxhash64(F.lit(7), "line").alias("place")), "words", words(F.col("line"))).filter(F.size("words") > 0)
-    plain = ~F.arrays_overlap(runs(F.col("words"), 3), F.array(*map(F.lit, _template_runs(3))))
-    shaped = PipelineModel(stages=shapers()).transform(found.filter(plain).select("place", "words"))
+    shaped = PipelineModel(stages=shapers()).transform(found.select("place", "words"))
+    # A run of three words holds two of the templates' pairs, so most lines go by that.
+    held = F.size(F.array_remove(vector_to_array("f2"), 0.0))
+    own = F.arrays_overlap(runs(F.col("words"), 3), F.array(*map(F.lit, _template_runs(3))))
+    shaped = shaped.filter(F.when(held >= _PAIRS_HELD, ~own).otherwise(F.lit(True)))
     # Lines are told apart by their hashes, so that texts are not shuffled.
     different = shaped.select("place", "features").distinct()
     return different.groupBy(F.pmod("place", F.lit(2)).cast("int").alias("half"), "features").agg(F.count(F.lit(1)).alias("n"))

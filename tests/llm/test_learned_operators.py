@@ -1,6 +1,7 @@
 """Language, toxicity and licences on held-out rows; shards and vector search
 against their laws; the pipeline against its stages."""
 
+import re
 import zlib
 
 import numpy as np
@@ -130,6 +131,25 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(odd, model, classes, cut).filter("confirmed").count() >= 0
 
 
+def test_runs_are_looked_for_where_pairs_are(spark):
+    """Runs of three words are built for lines with two pairs of a template only,
+    and the lines that go are those that hold a whole run."""
+    texts = ["this work is licensed to kill", "released under the mit licence of the license", "under the MIT, license", "the sea", "a license, a license", None,
+             "released under the and under the mit", "you may not; use this", "any person; person obtaining a", "\u00dcber the License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = set(licences._template_runs(3))
+
+    def holds(text):
+        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+        return any(" ".join(w[i:i + 3]) in runs for i in range(len(w) - 2))
+
+    got = licences.other_lines(docs)
+    kept = [t for t in texts if t and not holds(t)]
+    assert 0 < len(kept) < len(texts) - 1 and got.agg(F.sum("n")).first()[0] == len(kept)
+    tests = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "arrays_overlap" in x]
+    assert tests and all("CASE WHEN" in x.split("arrays_overlap")[0] for x in tests)
+
+
 def test_licences_learn_from_all_lines(spark, nothing):
     """No different line is left out of the training and the cut, however many or
     long they are; copies count once."""
