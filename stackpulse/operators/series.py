@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import euclidean, mean_squared_error
@@ -21,6 +21,7 @@ FEATURES = [
     "current_rolling_mean", "current_rolling_std", "wavelet_current",
 ]
 LENGTH = 30
+_RUN = "_run"
 
 
 def series_features(
@@ -74,7 +75,7 @@ def renumber(kept: DataFrame, series: Sequence[str] = ()) -> DataFrame:
 
 def reference_window(
     indexed: DataFrame, features: Sequence[str], length: int = LENGTH, windows: int | None = None,
-    series: Sequence[str] = (), first: bool = False,
+    series: Sequence[str] = (), first: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Elementwise median of the windows of each series: of all of them, of the
     first ``windows`` if given, or of window 0 with ``first``. One row per
@@ -84,41 +85,119 @@ def reference_window(
     The values at one element are those of all rows under the windows but for
     ``length`` rows at the ends. So every wanted median lies among the few
     middle ranks, and only these rows and those at the ends meet in one group.
-    Ranks come from range-partitioned slices, however long a series is.
+    Series of up to ``block_rows`` such rows are ordered in Arrow batches of many
+    series; ranks of longer ones come from range-partitioned slices, however long
+    a series is.
     """
     windows = 1 if first else windows
     rows = F.col(TOTAL) if windows is None else F.least(F.col(TOTAL), F.lit(windows + length))
-    base = indexed.filter((F.col(TOTAL) > length) & (F.col(ROW) < rows))
-    cells = F.array(*[F.col(f).cast("double") for f in features])
-    long = base.select(*series, F.col(ROW).alias("at"), rows.alias("rows"), F.posexplode(cells).alias("feature", "value"))
+    base = indexed.filter((F.col(TOTAL) > length) & (F.col(ROW) < rows)).withColumn("rows", rows)
+    run, values = F.xxhash64(*series, F.lit(0)).alias(_RUN), [F.col(f).cast("double") for f in features]
+    short = base.filter(F.col("rows") <= block_rows).select(run, *series, F.col(ROW).alias("at"), "rows", *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    long = base.filter(F.col("rows") > block_rows).select(*series, F.col(ROW).alias("at"), "rows", F.posexplode(F.array(*values)).alias("feature", "value"))
     ranked = index_rows(long.filter("value is not null"), ["value", "at"], [*series, "feature"])
-    middle = F.abs(2 * F.col(ROW) - F.col(TOTAL)) <= 2 * (length + 2)
-    ends = (F.col("at") < length) | (F.col("at") >= F.col("rows") - length)
-    few = ranked.filter(middle | ends).select(*series, "at", "rows", "feature", "value", F.col(ROW).alias("rank"), F.col(TOTAL).alias("known"))
+    few = ranked.select(run, *series, "at", "rows", "feature", "value", F.col(ROW).alias("rank"), F.col(TOTAL).alias("known")).filter(
+        _wanted(F.col("at"), F.col("rows"), F.col("rank"), F.col("known"), length))
     schema = ", ".join([*[f"`{s}` {indexed.schema[s].dataType.simpleString()}" for s in series], "reference array<array<double>>"])
-
-    def medians(pdf: pd.DataFrame) -> np.ndarray:
-        pdf = pdf.sort_values("rank")
-        at, rank, value = (pdf[c].to_numpy() for c in ("at", "rank", "value"))
-        rows, known = int(pdf["rows"].iloc[0]), int(pdf["known"].iloc[0])
-        out = np.full(length, np.nan)
-        for e in range(length):
-            gone = (at < e) | (at >= rows - length + e)
-            place = np.where(gone, -1, rank - (np.cumsum(gone) - gone))
-            n = known - int(gone.sum())
-            if n:
-                out[e] = (value[place == (n - 1) // 2][0] + value[place == n // 2][0]) / 2
-        return out
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        middle = np.full((length, len(features)), np.nan)
-        for f, part in pdf.groupby("feature"):
-            middle[:, f] = medians(part)
-        out = pdf[list(series)].iloc[:1].reset_index(drop=True)
-        out["reference"] = [middle.tolist()]
-        return out if series else pd.DataFrame({"reference": [middle.tolist()]})
-
-    return few.groupBy(*series).applyInPandas(build, schema)
+    width = len(features)
+
+    def listed(table: pa.Table, heads: np.ndarray, middles: np.ndarray) -> pa.RecordBatch:
+        n = len(heads)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(n * length + 1, dtype=np.int32) * width), pa.array(middles.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * length), inner)
+        keys = table.select(list(series)).take(pa.array(heads)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) if n else pa.array([], c.type) for c in keys.columns), lists], names=[*series, "reference"])
+
+    def from_ranks(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        heads = np.flatnonzero(starts)
+        middles = np.full((len(heads), length, width), np.nan)
+        owner, feature = np.cumsum(starts) - 1, table["feature"].to_numpy()
+        first = np.flatnonzero(starts | np.concatenate([[True], feature[1:] != feature[:-1]]))
+        middles[owner[first], :, feature[first]] = _medians(first, *(table[c].to_numpy() for c in ("at", "rank", "value", "rows", "known")), length)
+        return listed(table, heads, middles)
+
+    def from_rows(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        heads = np.flatnonzero(starts)
+        middles, seen = np.full((len(heads), length, width), np.nan), np.zeros(len(heads), bool)
+        owner, at, n_rows = np.cumsum(starts) - 1, table["at"].to_numpy(), table["rows"].to_numpy()
+        for f in range(width):
+            column = table[f"_v{f}"].combine_chunks()
+            given = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            value = column.to_numpy(zero_copy_only=False)
+            order = given[np.lexsort((at[given], value[given], owner[given]))]
+            known = np.bincount(owner[given], minlength=len(heads))
+            rank = np.arange(len(order)) - (np.cumsum(known) - known)[owner[order]]
+            wanted = _wanted(at[order], n_rows[order], rank, known[owner[order]], length)
+            order, rank = order[wanted], rank[wanted]
+            if len(order):
+                first = np.flatnonzero(np.diff(owner[order], prepend=-1))
+                group = owner[order[first]]
+                middles[group, :, f] = _medians(first, at[order], rank, value[order], n_rows[order], known[owner[order]], length)
+                seen[group] = True
+        return listed(table, heads[seen], middles[seen])
+
+    def by_series(table: DataFrame, order: Sequence[str], build) -> DataFrame:
+        dealt = table.repartition(*series) if series else table.repartition(1)
+        return dealt.sortWithinPartitions(_RUN, *series, *order).mapInArrow(_whole_series(build, order), schema)
+
+    return by_series(short, ["at"], from_rows).unionByName(by_series(few, ["feature", "rank"], from_ranks))
+
+
+def _wanted(at, rows, rank, known, length: int):
+    """Whether a value is near the middle rank or its row near an end: of columns
+    and of arrays."""
+    off, most = 2 * rank - known, 2 * (length + 2)
+    return ((off <= most) & (off >= -most)) | (at < length) | (at >= rows - length)
+
+
+def _whole_series(build: Callable[[pa.Table, np.ndarray], pa.RecordBatch], order: Sequence[str]):
+    """Run ``build`` on batches of whole series, with the first rows marked."""
+    def starts_of(table: pa.Table) -> np.ndarray:
+        run, keys = table[_RUN].to_numpy(), [table[c].to_numpy() for c in order]
+        # Two series of one hash still begin anew in the order.
+        same, later = run[1:] == run[:-1], np.zeros(len(run) - 1, bool)
+        for key in reversed(keys):
+            later = (key[1:] > key[:-1]) | ((key[1:] == key[:-1]) & later)
+        return np.concatenate([[True], ~(same & later)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more]).combine_chunks()
+            starts = starts_of(held)
+            last = int(np.flatnonzero(starts)[-1])
+            if last:
+                yield build(held.slice(0, last).combine_chunks(), starts[:last])
+                held = held.slice(last)
+        if held is not None:
+            held = held.combine_chunks()
+            yield build(held, starts_of(held))
+
+    return run
+
+
+def _medians(first: np.ndarray, at: np.ndarray, rank: np.ndarray, value: np.ndarray, rows: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
+    """(group, element): medians of the values at each element of the windows, for
+    groups of rows in order of rank that begin at ``first``."""
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    out = np.full((len(first), length), np.nan)
+    for e in range(length):
+        gone = (at < e) | (at >= rows - length + e)
+        before = np.cumsum(gone) - gone
+        place = rank - (before - np.repeat(before[first], size))
+        n = known[first] - np.add.reduceat(gone.astype(np.int64), first)
+        low, high = (np.repeat(np.where(n > 0, x, -1), size) for x in ((n - 1) // 2, n // 2))
+        sides = []
+        for wanted in (low, high):
+            hit = np.flatnonzero(~gone & (place == wanted))
+            side = np.full(len(first), np.nan)
+            side[np.searchsorted(first, hit, "right") - 1] = value[hit]
+            sides.append(side)
+        out[:, e] = (sides[0] + sides[1]) / 2
+    return out
 
 
 def attach_reference(windows: DataFrame, reference: DataFrame, series: Sequence[str] = ()) -> DataFrame:

@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -102,6 +104,33 @@ def test_reference_window(indexed, data):
     assert np.allclose(np.array(zero)[:, 0], wins[0])
 
 
+def test_reference_windows_of_many_series(spark):
+    """Short series are ordered together and long ones by ranks, with the same
+    medians; nulls do not count, and a series without any value has no reference."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n in (("a", 40), ("b", 31), (None, 70), ("c", 30), ("d", 33)):
+        for i in range(n):
+            u = None if name == "d" or rng.random() < 0.2 else float(rng.integers(0, 9))
+            rows.append((name, i, n, u, None if name == "d" or name == "b" else rng.normal()))
+    df = spark.createDataFrame(rows, "s string, row_no long, series_rows long, u double, v double").repartition(5)
+    for options in ({}, {"first": True}, {"windows": 4}):
+        last = 1 if "first" in options else options.get("windows")
+        want = {}
+        for name in ("a", "b", None):
+            x = np.array([[np.nan if y is None else y for y in r[3:]] for r in rows if r[0] == name])
+            wins = np.stack([x[i:i + 30] for i in range(len(x) - 30)][:last])
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                want[name] = np.nanmedian(wins, axis=0)
+        for block in (4096, 50, 1):
+            got = {r["s"]: np.array(r["reference"]) for r in ops.reference_window(df, ["u", "v"], 30, series=["s"], block_rows=block, **options).collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], equal_nan=True) for k in want)
+    alone = df.filter("s = 'a'").drop("s")
+    for block in (4096, 1):
+        assert np.allclose(ops.reference_window(alone, ["v"], 30, block_rows=block).first()["reference"], ops.reference_window(df, ["v"], 30, series=["s"]).filter("s = 'a'").first()["reference"])
+
+
 def numpy_analysis(x):
     twice = np.concatenate([x, x[::-1]])  # mirrored again and again
     ext = lambda i: twice[i % len(twice)]
