@@ -21,6 +21,8 @@ SAMPLE = 256
 TREES = 100
 # Rows that are explained together, and rows of a task.
 EXPLAINED, EXPLAINED_TASK = 256, 4096
+# Rows that go down all trees together.
+SCORED = 256
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, size int, depth int"
 
 
@@ -69,7 +71,7 @@ class IsolationForest:
 
     def score(self, df: DataFrame, vector: str, name: str = "score") -> DataFrame:
         """Anomaly score in (0, 1); larger is more isolated."""
-        trees, psi = self.tables(), self.psi
+        trees, psi = packed(self.tables()), self.psi
 
         @F.pandas_udf("double")
         def score_rows(vectors: pd.Series) -> pd.Series:
@@ -98,16 +100,33 @@ class IsolationForest:
         return cls(table.drop("psi", "cut"), r["psi"], r["cut"])
 
 
-def forest_scores(x: np.ndarray, trees: Sequence[dict[str, np.ndarray]], psi: int) -> np.ndarray:
-    rows = np.arange(len(x))
-    total = np.zeros(len(x))
-    for t in trees:
-        at = np.zeros(len(x), dtype=np.int64)
-        for _ in range(t["levels"]):
-            go_left = x[rows, t["feature"][at]] < t["threshold"][at]
-            at = np.where(go_left, t["left"][at], t["right"][at])
-        total += t["path"][at]
-    return 2.0 ** (-(total / len(trees)) / max(float(average_path(psi)), 1e-12))
+def packed(trees: Sequence[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What scoring reads of ``one_table``: the children of node i are at 2i and
+    2i + 1, and a leaf is its own child."""
+    if not trees:
+        return {"root": np.zeros(0, np.int64)}
+    table = one_table(trees)
+    return {k: table[k] for k in ("root", "feature", "threshold", "path")} | {
+        "child": np.stack([table["left"], table["right"]], axis=1).ravel(), "levels": np.array(max(t["levels"] for t in trees))}
+
+
+def forest_scores(x: np.ndarray, trees: Sequence[dict[str, np.ndarray]] | dict[str, np.ndarray], psi: int) -> np.ndarray:
+    """Scores of rows; all trees go down a level at once. Who scores often hands
+    in the ``packed`` trees."""
+    table = trees if isinstance(trees, dict) else packed(trees)
+    count, width, total = len(table["root"]), x.shape[1] if x.ndim > 1 else 0, np.zeros(len(x))
+    if not count:
+        return np.full(len(x), np.nan)
+    for begin in range(0, len(x), SCORED):
+        part = np.ascontiguousarray(x[begin:begin + SCORED])
+        values, head = part.ravel(), np.arange(len(part))[:, None] * width
+        at = np.repeat(table["root"][None], len(part), axis=0)
+        for _ in range(int(table["levels"])):
+            right = ~(values[head + table["feature"][at]] < table["threshold"][at])
+            at = table["child"][2 * at + right]
+        # Summed tree by tree, so a score does not depend on the rows beside it.
+        total[begin:begin + SCORED] = np.cumsum(table["path"][at], axis=1)[:, -1]
+    return 2.0 ** (-(total / count) / max(float(average_path(psi)), 1e-12))
 
 
 def one_table(trees: Sequence[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .ordered import BLOCK_ROWS, ROW, join_keys
 from .windows import Batch, key_schema, keyed, map_windows
 
-_CHUNK = 512
+# Windows whose costs fit a core's cache.
+_CHUNK = 128
 
 
 def warp(windows: np.ndarray, reference: np.ndarray, band: int | None = None) -> np.ndarray:
@@ -25,19 +26,27 @@ def warp(windows: np.ndarray, reference: np.ndarray, band: int | None = None) ->
     m, a, b = len(windows), windows.shape[1], reference.shape[1]
     squares = np.zeros((a, b, m))
     for f in range(windows.shape[2]):
-        gap = windows[:, :, f].T[:, None, :] - reference[:, :, f].T[None]
-        squares += gap * gap
-    step = np.sqrt(squares)
+        gap = np.ascontiguousarray(windows[:, :, f].T)[:, None, :] - np.ascontiguousarray(reference[:, :, f].T)[None]
+        squares += np.multiply(gap, gap, out=gap)
+    step = np.sqrt(squares, out=squares)
     if band is not None:
         i, j = np.indices((a, b))
         step[np.abs(i * (b - 1) - j * (a - 1)) > band * max(a - 1, b - 1, 1)] = np.inf
     cost = np.full((a + 1, b + 1, m), np.inf)
     cost[0, 0] = 0.0
+    flat_cost, flat_step = cost.reshape(-1, m), step.reshape(-1, m)
+
+    def diagonal(flat: np.ndarray, width: int, i: int, j: int, n: int) -> np.ndarray:
+        """A view of n cells from (i, j) on, each a row lower and a column before."""
+        start, stride = i * width + j, max(1, width - 1)
+        return flat[start:start + (n - 1) * stride + 1:stride]
+
     for s in range(a + b - 1):
-        i = np.arange(max(0, s - b + 1), min(a - 1, s) + 1)
-        j = s - i
-        best = np.minimum(np.minimum(cost[i, j + 1], cost[i + 1, j]), cost[i, j])
-        cost[i + 1, j + 1] = step[i, j] + best
+        i = max(0, s - b + 1)
+        j, n = s - i, min(a - 1, s) + 1 - i
+        best = np.minimum(diagonal(flat_cost, b + 1, i, j + 1, n), diagonal(flat_cost, b + 1, i + 1, j, n))
+        np.minimum(best, diagonal(flat_cost, b + 1, i, j, n), out=best)
+        np.add(diagonal(flat_step, b, i, j, n), best, out=diagonal(flat_cost, b + 1, i + 1, j + 1, n))
     return cost[a, b]
 
 

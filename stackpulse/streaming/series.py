@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import series as ops, wavelet
-from ..operators.forest import IsolationForest, forest_scores
+from ..operators.forest import IsolationForest, forest_scores, packed
 from ..operators.ordered import ROW
 from ..operators.quantiles import quantile
 from ..operators.warping import warp
@@ -192,7 +192,7 @@ def stream_series(
         *[T.StructField(c, T.DoubleType()) for c in doubles], *([T.StructField("iso_anomaly", T.BooleanType())] if scorer else [])])
     # What the tasks need; the nodes of a forest are bounded by its sample.
     scale, axes, length = (scorer.scale, scorer.axes, scorer.length) if scorer else ({}, None, 0)
-    trees, psi, iso_cut = (scorer.forest.tables(), scorer.forest.psi, scorer.forest.threshold) if scorer else ([], 0, None)
+    trees, psi, iso_cut = (packed(scorer.forest.tables()), scorer.forest.psi, scorer.forest.threshold) if scorer else ([], 0, None)
     if scorer and iso_cut is None:
         raise ValueError("fit a threshold first")
 

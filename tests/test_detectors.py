@@ -238,3 +238,32 @@ def test_window_covariance_of_nothing(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "s string, row_no long, u double")
     n, mean, covariance = windows.window_covariance(df, ["u"], 30, ["s"])
     assert n == 0 and not mean.any() and not covariance.any()
+
+
+def test_all_trees_are_walked_at_once():
+    """Scores equal those of a walk through one tree after another, whatever rows
+    stand beside a row, and the number of trees adds no calls."""
+    rng = np.random.default_rng(8)
+    trees = []
+    for levels in (0, 1, 3, 4):
+        n = 2 ** (levels + 1) - 1
+        inner, node = np.arange(n) < 2 ** levels - 1, np.arange(n)
+        trees.append({"left": np.where(inner, 2 * node + 1, node), "right": np.where(inner, 2 * node + 2, node), "feature": np.where(inner, rng.integers(0, 3, n), 0),
+                      "threshold": rng.normal(size=n), "path": rng.random(n) * 5, "levels": levels})
+    x = rng.normal(size=(600, 3))
+    x[5, 1] = np.nan
+
+    def walk(row):
+        total = 0.0
+        for t in trees:
+            at = 0
+            while t["left"][at] != at:
+                at = t["left"][at] if row[t["feature"][at]] < t["threshold"][at] else t["right"][at]
+            total += t["path"][at]
+        return 2.0 ** (-(total / len(trees)) / float(forest.average_path(16)))
+
+    table = forest.packed(trees)
+    got = forest.forest_scores(x, table, 16)
+    assert np.allclose(got, [walk(r) for r in x], rtol=1e-12)
+    assert (got == forest.forest_scores(x, trees, 16)).all() and (got[300:303] == forest.forest_scores(x[300:303], table, 16)).all()
+    assert len(forest.forest_scores(x[:0], table, 16)) == 0 and np.isnan(forest.forest_scores(x, forest.packed([]), 0)).all()
