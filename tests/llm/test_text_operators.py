@@ -1,5 +1,6 @@
 """Encoding, secrets, contamination and near duplicates against plain versions."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -306,6 +307,53 @@ def test_near_copies_of_paragraphs(spark):
     assert not [p for p in pairs if not any(p[:2] == g[:2] and g[2] <= p[2] and p[3] <= g[3] for g in got)]
 
 
+def test_only_some_paragraphs_are_banded(spark, monkeypatch):
+    """Paragraphs cut by content that share 19 words are links without bands or
+    a look at their sets; those near a line of their size, and those of few
+    different shingles, still get them. Tables that were read are gone."""
+    def words(tag, n):
+        return [f"{tag}w{i}" for i in range(n)]
+
+    shared, line, dull = words("shared", 60), words("line", 22), ["ha", "ho"] * 30
+    docs = [(i, " ".join(words(f"head{i}", 30) + shared + words(f"tail{i}", 30))) for i in (1, 2)]
+    docs += [(i, " ".join(words(f"front{i}", 40)) + "\n" * (i < 5) + " " * (i > 4) + " ".join(line) + "\n" * (i < 5) + " " * (i > 4) + " ".join(words(f"back{i}", 40))) for i in (3, 4, 5, 6)]
+    docs += [(i, " ".join(words(f"left{i}", 30) + dull + words(f"right{i}", 30))) for i in (7, 8)]
+    banded, inner = [], passages.link
+    monkeypatch.setattr(passages, "link", lambda members, *more: banded.extend(r[0] for r in members.select("node").distinct().collect()) or inner(members, *more))
+    gone, drop = [], passages.drop
+    monkeypatch.setattr(passages, "drop", lambda s, paths: gone.extend(paths) or drop(s, paths))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts, kept = dict(docs), {}
+    for r in got:
+        kept.setdefault(r["doc_id"], set()).add(r["kept_doc_id"])
+    assert all(kept[i] == {1} for i in (1, 2)) and kept[7] == kept[8] == {7}
+    for i in (1, 2):
+        at = texts[i].index(" ".join(shared))
+        assert (at, at + len(" ".join(shared))) in {(min(r["para_start"] for r in got if r["doc_id"] == i), max(r["para_end"] for r in got if r["doc_id"] == i))}
+    assert 3 in kept[4] and len(banded) < len({r["component_id"] for r in got}) + 40
+    assert len(gone) > 3 and not any(pathlib.Path(p.removeprefix("file:")).exists() for p in gone)
+
+
+def test_cut_paragraphs_by_windows():
+    """The same paragraphs as one window after the other would give."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 3, 5, 19, 20, 21, 34, 35, 36, 60, 200)]
+    raw = [t.encode() for t in texts]
+    found = tx.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), tx.SPACE)
+    parts = tx.shingles(found.hashes, passages.SHINGLE)
+    begin, size = passages.anchors(parts, found.first, np.repeat(np.arange(len(texts)), np.diff(found.first)))
+    want = set()
+    for a, b in zip(found.first.tolist(), found.first.tolist()[1:]):
+        n, own = b - a, parts[a:b - passages.SHINGLE + 1]
+        if passages.SHINGLE <= n < passages.WORDS:
+            want.add((a, n))
+        elif n >= passages.WORDS:
+            ends = range(max(1, len(own) - passages.REACH + 1))
+            at = {i + int(own[i:i + passages.REACH].argmin()) for i in ends}
+            want |= {(a + i, passages.WORDS) for i in {0, n - passages.WORDS, *at} if i <= n - passages.WORDS}
+    assert set(zip(begin.tolist(), size.tolist())) == want
+
+
 def test_bands_reach_the_recall():
     for limit in (0.6, 0.8, 0.9):
         bands, per_band = passages.tune_bands(limit)
