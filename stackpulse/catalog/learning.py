@@ -27,8 +27,7 @@ def _priced(spark, sf):
 
 
 def _priced_states(spark, sf):
-    rows, _ = learn.health_labels(_priced(spark, sf), "l_extendedprice")
-    return materialise(rows, "priced")
+    return learn.health_labels(materialise(_priced(spark, sf), "priced"), "l_extendedprice")[0]
 
 
 @query("i04_pca")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .ordered import running_totals, slices
 
 
@@ -151,7 +152,9 @@ MAX_CLASSES = 100_000
 
 def join_classes(df: DataFrame, per_class: DataFrame, label: str) -> DataFrame:
     """Join a table of one row per class; it is broadcast once its size is
-    checked, because a class may hold most rows."""
+    checked, because a class may hold most rows. It is pinned, so that later
+    passes do not count the classes anew."""
+    per_class = materialise(per_class, "classes")
     few = per_class.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
     return df.join(F.broadcast(per_class) if few else per_class, label)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,15 +31,18 @@ from ..schema import with_missing_as_zero
 from ..session import materialise, scratch_path, spread
 from .clean import iqr_bounds, quantile_bounds, sample_rows
 from .evaluate import feature_importance, with_class_weight
+from .folded import FoldedRows, coded_cells, cut_back, decoded, depths, fold_rows as held_cells, held_trees, kind_of
 from .quantiles import quantiles
 
 WEIGHT = "_weight"
 # Trees see features in at most this many bins, Spark's own default.
 BINS = 32
 # Larger tables are folded to one row per occupied cell of bins, if that leaves
-# at most this share of the rows. A folded forest costs a fit a tree, so
-# it takes more rows to pay; that limit is an estimate, not measured.
-FOLD_ROWS, FOREST_FOLD_ROWS, FOLD_SHARE = 1 << 20, 1 << 23, 0.125
+# at most this share of the rows. Forests of tables above ``FOREST_FOLD_ROWS``
+# are grown a tree a task, whatever the share, if a task can hold the cells.
+# With more cells than that a folded forest costs a fit a tree, so it takes more
+# rows to pay; that limit, ``FITTED_FOLD_ROWS``, is an estimate, not measured.
+FOLD_ROWS, FOREST_FOLD_ROWS, FITTED_FOLD_ROWS, FOLD_SHARE = 1 << 20, 1 << 17, 1 << 23, 0.125
 # Nodes that the driver grows at once in a forest search, and holds to score
 # them; a single tree may have more.
 GROWN_NODES, SCORED_NODES = 1 << 20, 1 << 21
@@ -102,12 +105,12 @@ def bin_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     """Upper ends of all bins but the last: every value of a column of few
     values, else quantiles of all rows."""
     few = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    short = [c for c in columns if few[c] <= 2 * BINS]
     cuts = {}
-    for c in columns:
-        if few[c] <= 2 * BINS:
-            values = sorted(r[0] for r in df.select(c).distinct().limit(BINS + 1).collect())
-            if len(values) <= BINS:
-                cuts[c] = values[:-1]
+    if short:
+        # The counts are off by a few hundredths, so the sets are small.
+        found = df.agg(*[F.collect_set(F.when(~F.isnan(c), F.col(c))).alias(c) for c in short]).first()
+        cuts = {c: sorted(found[c])[:-1] for c in short if len(found[c]) <= BINS}
     many = [c for c in columns if c not in cuts]
     if many:
         found = df.approxQuantile(many, [i / BINS for i in range(1, BINS)], 0.001)
@@ -144,6 +147,19 @@ def fold_cells(
     return binned, materialise(cells.sortWithinPartitions(*keys), "cells")
 
 
+def folded_columns(rows: DataFrame, names: Sequence[str], label: str) -> FoldedRows | None:
+    """Cells of a table with columns ``names``, a label and ``WEIGHT``."""
+    cuts = bin_cuts(rows.select(*names), names)
+    return held_cells(rows, names, [cuts[c] for c in names], label, WEIGHT)
+
+
+def as_columns(rows: DataFrame, size: int) -> tuple[DataFrame, list[str]]:
+    """(rows with the elements of features as columns, their names)."""
+    names = [f"_x{i}" for i in range(size)]
+    values = rows.withColumn("_x", vector_to_array("features"))
+    return values.select("*", *[F.col("_x")[i].alias(c) for i, c in enumerate(names)]).drop("_x", "features"), names
+
+
 def _with_draws(cells: DataFrame, trees: int, seed: int) -> DataFrame:
     """Adds ``_d<t>``: how many rows of a cell the bootstrap of tree t draws. A
     row is drawn Poisson(1) times, so a cell of n rows Poisson(n) times. The seed
@@ -205,11 +221,16 @@ def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42,
 
 def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, fold_rows: int = FOREST_FOLD_ROWS, **preparation) -> PipelineModel:
     """Random forest with balanced class weights. Large tables are folded to
-    cells of bins first, where that leaves far fewer rows."""
+    cells of bins first."""
     weighted = with_class_weight(df, label, WEIGHT)
     stage = preparation_stage(weighted, features, **preparation)
-    folded = fold_cells(weighted, stage, features, [label, WEIGHT], fold_rows=fold_rows)
     assembler = VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="features")
+    large = weighted.count() > fold_rows
+    held = folded_columns(stage.transform(weighted), [f"x_{c}" for c in features], label) if large else None
+    if held is not None:
+        grown = held.trees(trees, depth, 1, features_per_node("sqrt", len(features)) if trees > 1 else len(features), 42)
+        return PipelineModel(stages=[stage, assembler, held.model(grown, label, maxDepth=depth, weightCol=WEIGHT, seed=42)])
+    folded = fold_cells(weighted, stage, features, [label, WEIGHT], fold_rows=max(fold_rows, FITTED_FOLD_ROWS)) if large else None
     if folded is None:
         return Pipeline(stages=[stage, assembler, random_forest(label, trees, depth)]).fit(spread(weighted))
     forest = _forest_of_cells(folded[1], features, label, trees, depth)
@@ -352,27 +373,10 @@ def saved_nodes(model: RandomForestClassificationModel, spark) -> list[dict[str,
     out = []
     for at in np.split(order, np.flatnonzero(np.diff(column["treeID"][order])) + 1):
         tree = {c: column[c][at].astype(np.int32) for c in ("left", "right", "feature")} | {"cut": column["cut"][at], "stats": stats[at]}
-        depth, level = np.zeros(len(at), np.int16), np.zeros(1, np.int64)
-        while len(level):
-            children = np.concatenate([tree[side][level] for side in ("left", "right")])
-            depth[children[children >= 0]] = depth[level[0]] + 1
-            level = children[children >= 0]
-        out.append(tree | {"depth": depth})
+        out.append(tree | {"depth": depths(tree)})
     return out
 
 
-def cut_back(tree: dict[str, np.ndarray], depth: int) -> np.ndarray:
-    """Which nodes are leaves of the tree at that depth. Sister leaves of one
-    class are one leaf, as in a tree grown to that depth only."""
-    leaf = (tree["left"] < 0) | (tree["depth"] >= depth)
-    kind = tree["stats"].argmax(axis=1)
-    for level in range(int(tree["depth"].max()), -1, -1):
-        at = np.flatnonzero(~leaf & (tree["depth"] == level))
-        left, right = tree["left"][at], tree["right"][at]
-        leaf[at] = leaf[left] & leaf[right] & (kind[left] == kind[right])
-    return leaf
-
-
 def added_votes(x: np.ndarray, tree: dict[str, np.ndarray], leaf: np.ndarray) -> np.ndarray:
     """Class shares of the leaves that the rows reach."""
     at = np.zeros(len(x), np.int64)
@@ -408,11 +412,11 @@ def grown_forests(learner: RandomForestClassifier, rows: DataFrame, count: int,
         yield part
 
 
-def _held_together(parts: Iterator[RandomForestClassificationModel], spark) -> Iterator[list[dict[str, np.ndarray]]]:
+def _held_together(parts: Iterator[RandomForestClassificationModel | list[dict[str, np.ndarray]]], spark) -> Iterator[list[dict[str, np.ndarray]]]:
     """Nodes of consecutive trees, about ``SCORED_NODES`` at once."""
     held: list[dict[str, np.ndarray]] = []
     for part in parts:
-        trees = saved_nodes(part, spark)
+        trees = part if isinstance(part, list) else saved_nodes(part, spark)
         if held and sum(len(t["left"]) for t in held + trees) > SCORED_NODES:
             yield held
             held = []
@@ -420,11 +424,13 @@ def _held_together(parts: Iterator[RandomForestClassificationModel], spark) -> I
     yield held
 
 
-def _stage_scores(parts: Iterator[RandomForestClassificationModel], test: DataFrame, label: str, stages: Sequence[tuple[int, int]]) -> list[float]:
+def _stage_scores(parts: Iterator[RandomForestClassificationModel | list[dict[str, np.ndarray]]], test: DataFrame, label: str, stages: Sequence[tuple[int, int]], weight: str | None = None) -> list[float]:
     """Balanced accuracy of each (trees, depth) stage of a forest that comes in
-    parts. The votes of a row so far go with it from part to part."""
+    parts. The votes of a row so far go with it from part to part. A test row
+    may stand for ``weight`` rows."""
     spark, done, last = test.sparkSession, 0, max(t for t, _ in stages)
-    voted = test.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x"), F.array().cast("array<double>").alias("votes"))
+    n = F.col(weight).cast("double") if weight else F.lit(1.0)
+    voted = test.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x"), F.array().cast("array<double>").alias("votes"), n.alias("n"))
     for forest in _held_together(parts, spark):
         leaves = {d: [cut_back(t, d) for t in forest] for d in {d for _, d in stages}}
         shared = spark.sparkContext.broadcast((forest, leaves, done))  # bounded by ``SCORED_NODES`` or one tree
@@ -443,21 +449,47 @@ def _stage_scores(parts: Iterator[RandomForestClassificationModel], test: DataFr
                             if wanted:
                                 votes[:, wanted] += added_votes(x, tree, leaf[t - before])[:, None]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(stages) * classes), pa.array(votes.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["y", "x", "votes"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, batch.column(3)], names=["y", "x", "votes", "n"])
 
-        voted, done = voted.mapInArrow(run, "y double, x array<double>, votes array<double>"), done + len(forest)
+        voted, done = voted.mapInArrow(run, "y double, x array<double>, votes array<double>, n double"), done + len(forest)
         if done < last:
             voted = materialise(voted, "votes")
     classes = F.size("votes") / len(stages)
     own = [F.slice("votes", (classes * i + 1).cast("int"), classes.cast("int")) for i in range(len(stages))]
-    recalls = voted.groupBy("y").agg(*[F.avg((F.array_position(v, F.array_max(v)) - 1 == F.col("y")).cast("double")).alias(f"r{i}") for i, v in enumerate(own)])
+    hit = [(F.array_position(v, F.array_max(v)) - 1 == F.col("y")).cast("double") for v in own]
+    recalls = voted.groupBy("y").agg(*[(F.sum(h * F.col("n")) / F.sum("n")).alias(f"r{i}") for i, h in enumerate(hit)])
     row = recalls.agg(*[F.avg(f"r{i}") for i in range(len(stages))]).first()
     return [float(v) for v in row]
 
 
+def folded_trees(held: FoldedRows, learner: RandomForestClassifier) -> DataFrame:
+    """Trees as the learner would have them."""
+    trees, strategy = learner.getNumTrees(), learner.getFeatureSubsetStrategy()
+    each = features_per_node("all" if strategy == "auto" and trees == 1 else strategy, len(held.cuts))
+    return held.trees(trees, learner.getMaxDepth(), learner.getMinInstancesPerNode(), each, learner.getSeed())
+
+
+def folded_test(test: DataFrame, held: FoldedRows, size: int, label: str) -> DataFrame:
+    """Cells of test rows in the bins of the training rows: features (numbers of
+    bins), label and ``_n``. Trees see no more of a row than that."""
+    rows, names = as_columns(test, size)
+    labels = sorted(r[0] for r in rows.select(label).distinct().collect())
+    cells = coded_cells(rows, names, held.cuts, kind_of([(v,) for v in labels], [label]), len(labels))
+    sizes = held.sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, kind = decoded(batch.column(0).to_numpy(), sizes, len(labels))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kind) + 1, dtype=np.int32) * size), pa.array(bins.T.astype(float).ravel()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(np.asarray(labels, float)[kind]), batch.column(1)], names=["x", "y", "n"])
+
+    spelled = cells.mapInArrow(run, "x array<double>, y double, n long")
+    return spread(materialise(spelled.select(array_to_vector("x").alias("features"), F.col("y").alias(label), F.col("n").alias("_n")), "test-cells"))
+
+
 def tune_forest(
     df: DataFrame, label: str, fold: str, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 2, prepare: Callable[[DataFrame], PipelineModel] | None = None,
-    weighted: bool = False,
+    weighted: bool = False, fold_rows: float = FOREST_FOLD_ROWS,
 ) -> tuple[GridSearch, float]:
     """Grid search by balanced accuracy over stratified folds.
 
@@ -471,11 +503,14 @@ def tune_forest(
     node are the same forest. A forest of many nodes is grown and scored in
     parts, so the driver holds a bounded number of nodes or one tree. The forest
     with the best point, which has to be held, is then fitted on
-    all rows. Ties go to the first point of the grid.
+    all rows. Ties go to the first point of the grid. Above ``fold_rows`` rows
+    both sides of a fold are folded to cells of the bins of its training rows.
     """
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     full = [{"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "auto", **p} for p in points]
     staged = ("numTrees", "maxDepth", "featureSubsetStrategy")
+    if not all(set(p) <= {*staged, "minInstancesPerNode"} for p in full):
+        fold_rows = math.inf  # folded rows are grown with these parameters only
     scores = np.zeros(len(points))
 
     def ready(rows: DataFrame) -> tuple[PipelineModel | None, DataFrame]:
@@ -489,6 +524,9 @@ def tune_forest(
         test = df.filter(F.col(fold) == turn)
         test = materialise((shaper.transform(test) if shaper else test).select("features", label), "search-test")
         n, count = len(train.first()["features"]), train.count()
+        held = folded_columns(*as_columns(train, n), label) if count > fold_rows else None
+        if held is not None:
+            test = folded_test(test, held, n, label)
         alike: dict[tuple, list[int]] = {}
         for i, point in enumerate(full):
             rest = tuple(sorted((k, v) for k, v in point.items() if k not in staged))
@@ -496,13 +534,18 @@ def tune_forest(
         for (rest, each), members in alike.items():
             stages = [(full[i]["numTrees"], full[i]["maxDepth"]) for i in members]
             learner = _search_forest(label, max(t for t, _ in stages), max(d for _, d in stages), featureSubsetStrategy=str(each) if each < n else "all", **dict(rest))
-            parts = grown_forests(learner, train, count, n)
-            for i, value in zip(members, _stage_scores(parts, test, label, stages)):
+            parts = grown_forests(learner, train, count, n) if held is None else held_trees(folded_trees(held, learner), held.classes)
+            for i, value in zip(members, _stage_scores(parts, test, label, stages, None if held is None else "_n")):
                 scores[i] += value / folds
     best = dict(full[int(scores.argmax())])
     shaper, rows = ready(df)
-    parts = list(grown_forests(_search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best), rows, rows.count(), n))
-    model = parts[0] if len(parts) == 1 else forest_of([t for p in parts for t in p.trees], n, parts[0].numClasses).setFeaturesCol("features")
+    learner, count = _search_forest(label, best.pop("numTrees"), best.pop("maxDepth"), **best), rows.count()
+    held = folded_columns(*as_columns(rows, n), label) if count > fold_rows else None
+    if held is not None:
+        model = held.model(folded_trees(held, learner), label, maxDepth=learner.getMaxDepth(), minInstancesPerNode=learner.getMinInstancesPerNode(), weightCol=WEIGHT)
+    else:
+        parts = list(grown_forests(learner, rows, count, n))
+        model = parts[0] if len(parts) == 1 else forest_of([t for p in parts for t in p.trees], n, parts[0].numClasses).setFeaturesCol("features")
     return GridSearch(points, scores.tolist(), PipelineModel(stages=[*shaper.stages, model]) if shaper else model), float(scores.max())
 
 

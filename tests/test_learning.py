@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F, types as T
 
-from stackpulse.operators import balance, clean, evaluate, learn, profile
+from stackpulse.operators import balance, clean, evaluate, folded, learn, profile
 from stackpulse.plans import classifiers, stack
 from stackpulse.sources import models, sinks
 from stackpulse.streaming import scoring
@@ -347,3 +347,53 @@ def test_folding_keeps_rows_that_do_not_repeat(spark):
     assert learn.fold_cells(df, stage, ["a", "b"], ["y"], fold_rows=0) is None
     assert learn.fold_cells(df, stage, ["a"], ["y"], fold_rows=0) is not None
     assert learn.fold_cells(df, stage, ["a"], ["y"]) is None
+
+
+def _distinct_rows(spark, n=1500):
+    """Rows of which hardly two share a cell."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(int) + (x[:, 2] > 0.8)
+    return spark.createDataFrame([(i, *map(float, r), int(c), i % 2) for i, (r, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int, fold int")
+
+
+def _unwanted(*args, **options):
+    raise AssertionError("large tables are not fitted by rows")
+
+
+def test_tree_of_cells_equals_spark_tree(spark):
+    """Without draws, and with all features at each node, cells give the tree
+    that Spark grows from the rows."""
+    df, names = _folding_rows(spark, 2500).drop("y"), ["a", "b", "c"]
+    rows = df.withColumn(learn.WEIGHT, F.when(F.col("kind") == 1, 2.5).otherwise(0.75))
+    cuts = learn.bin_cuts(rows, names)
+    held = folded.fold_rows(rows, names, [cuts[c] for c in names], "kind", learn.WEIGHT)
+    assert held.n.sum() == 2500 and len(held.codes) < 600
+    per_class = np.zeros((len(held.kinds), held.classes))
+    for i, (label, weight) in enumerate(held.kinds):
+        per_class[i, label] = weight
+    shaped = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    x, y = np.array([[r[c] for c in names] for r in df.orderBy("id").collect()]), df.count()
+    for depth, least in ((1, 1), (4, 1), (7, 3)):
+        tree = folded.grow_tree(*folded.decoded(held.codes, held.sizes, len(held.kinds)), held.n, held.sizes, per_class, depth, least, 3, np.random.default_rng(0))
+        model = learn.random_forest("kind", 1, depth, bootstrap=False, featureSubsetStrategy="all", minInstancesPerNode=least).fit(shaped)
+        want = [r["prediction"] for r in model.transform(shaped).orderBy("id").collect()]
+        at = np.zeros(y, int)
+        bins = np.stack([folded.bins_of(x[:, f], held.cuts[f]) for f in range(3)], axis=1)
+        said = learn.staged_votes(bins, [tree], 1, [tree["left"] < 0])
+        assert said.tolist() == want and len(tree["left"]) == model.trees[0].numNodes
+        assert (tree["raw"][0], at.sum()) == (2500, 0)
+
+
+def test_large_forests_are_grown_a_tree_a_task(spark, monkeypatch):
+    """Cells need not be far fewer than rows."""
+    df, names = _distinct_rows(spark), ["a", "b", "c"]
+    whole = learn.train_forest(df, names, "y", 12, 6)
+    monkeypatch.setattr(learn, "random_forest", _unwanted)
+    model = learn.train_forest(df, names, "y", 12, 6, fold_rows=0)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 12 and forest.numClasses == 3 and len({t.toDebugString for t in forest.trees}) == 12
+    said = [evaluate.classification_metrics(m.transform(df), "y", "prediction").first()["balanced_accuracy"] for m in (whole, model)]
+    assert abs(said[0] - said[1]) < 0.05
+    weights = [m.stages[-1].featureImportances.toArray() for m in (whole, model)]
+    assert np.allclose(*weights, atol=0.1)
