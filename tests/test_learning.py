@@ -397,3 +397,34 @@ def test_large_forests_are_grown_a_tree_a_task(spark, monkeypatch):
     assert abs(said[0] - said[1]) < 0.05
     weights = [m.stages[-1].featureImportances.toArray() for m in (whole, model)]
     assert np.allclose(*weights, atol=0.1)
+
+
+def test_large_forest_search_uses_cells(spark, monkeypatch):
+    """Both sides of a fold are folded; scores are those of the same trees on rows."""
+    df = _distinct_rows(spark)
+    prepare = lambda rows: Pipeline(stages=[learn.preparation_stage(rows, ["a", "b", "c"], bounds=None), VectorAssembler(inputCols=["x_a", "x_b", "x_c"], outputCol="features")]).fit(rows)
+    grid = {"numTrees": [4, 12], "maxDepth": [2, 7], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt", "log2"]}
+    rows, _ = learn.tune_forest(df, "y", "fold", grid, prepare=prepare, weighted=True)
+    monkeypatch.setattr(learn, "grown_forests", _unwanted)
+    cells, best = learn.tune_forest(df, "y", "fold", grid, prepare=prepare, weighted=True, fold_rows=0)
+    assert cells.points == rows.points and best == max(cells.scores)
+    assert np.allclose(cells.scores, rows.scores, atol=0.06)
+    model = cells.bestModel.stages[-1]
+    assert model.getNumTrees == cells.points[int(np.argmax(cells.scores))]["numTrees"]
+    assert evaluate.classification_metrics(cells.bestModel.transform(df), "y", "prediction").first()["balanced_accuracy"] > 0.85
+    # One stage, scored on rows by hand.
+    shaped = prepare(df.filter("fold = 1")).transform(df)
+    train = evaluate.with_class_weight(shaped.filter("fold = 1"), "y", learn.WEIGHT).select("features", "y", learn.WEIGHT)
+    held = learn.folded_columns(*learn.as_columns(train, 3), "y")
+    trees = [t for part in folded.held_trees(held.trees(5, 6, 2, 2, 42), held.classes) for t in part]
+    test = shaped.filter("fold = 0").select("features", "y")
+    got = learn._stage_scores(iter([trees[:3], trees[3:]]), learn.folded_test(test, held, 3, "y"), "y", [(5, 6), (2, 3)], "_n")
+    forest = held.model(held.trees(5, 6, 2, 2, 42), "y", maxDepth=6)
+    want = evaluate.classification_metrics(forest.transform(test), "y", "prediction").first()["balanced_accuracy"]
+    assert got[0] == pytest.approx(want)
+
+
+def test_unknown_grid_parameters_are_not_folded(spark):
+    grid = {"numTrees": [2], "maxDepth": [3], "minInfoGain": [0.5]}
+    search, _ = learn.tune_forest(_distinct_rows(spark, 300), "y", "fold", grid, prepare=lambda rows: Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features")]).fit(rows), weighted=True, fold_rows=0)
+    assert search.bestModel.stages[-1].totalNumNodes == 2
