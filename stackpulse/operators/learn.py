@@ -17,6 +17,7 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
@@ -31,7 +32,7 @@ from ..schema import with_missing_as_zero
 from ..session import materialise, scratch_path, spread
 from .clean import iqr_bounds, quantile_bounds, sample_rows
 from .evaluate import feature_importance, with_class_weight
-from .folded import FoldedRows, coded_cells, cut_back, decoded, depths, fold_rows as held_cells, held_trees, kind_of
+from .folded import FoldedRows, bins_of, coded_cells, cut_back, decoded, depths, fold_rows as held_cells, held_trees, kind_of
 from .quantiles import quantiles
 
 WEIGHT = "_weight"
@@ -43,6 +44,9 @@ BINS = 32
 # With more cells than that a folded forest costs a fit a tree, so it takes more
 # rows to pay; that limit, ``FITTED_FOLD_ROWS``, is an estimate, not measured.
 FOLD_ROWS, FOREST_FOLD_ROWS, FITTED_FOLD_ROWS, FOLD_SHARE = 1 << 20, 1 << 17, 1 << 23, 0.125
+# Tables above this many rows are scored through a table of all cells between the
+# cuts of a forest, if there are at most so many cells.
+LOOKUP_ROWS, LOOKUP_CELLS = 1 << 17, 1 << 18
 # Nodes that the driver grows at once in a forest search, and holds to score
 # them; a single tree may have more.
 GROWN_NODES, SCORED_NODES = 1 << 20, 1 << 21
@@ -554,12 +558,61 @@ def search_table(search: GridSearch, spark) -> DataFrame:
     return spark.createDataFrame([(str(dict(sorted(p.items()))), s) for p, s in zip(search.points, search.scores)], "params string, score double")
 
 
+def classified(df: DataFrame, model: PipelineModel, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """``model.transform(df)``. A forest says the same of all values between two
+    neighbouring cuts, so for a large table it is asked once for each cell of
+    cuts, and rows look up the answer of their cell."""
+    forest = model.stages[-1]
+    if df.isStreaming or not isinstance(forest, RandomForestClassificationModel) or df.count() <= rows:
+        return model.transform(df)
+    spark, names = df.sparkSession, model.stages[1].getInputCols()
+    found: list[set] = [set() for _ in names]
+    for tree in saved_nodes(forest, spark):
+        inner = tree["left"] >= 0
+        for f in np.unique(tree["feature"][inner]):
+            found[f].update(tree["cut"][inner & (tree["feature"] == f)].tolist())
+    cuts = [sorted(c) for c in found]
+    sizes = [len(c) + 1 for c in cuts]
+    if math.prod(sizes) > LOOKUP_CELLS:
+        return model.transform(df)
+    # A cell ends on its upper cut; the last one is open.
+    ends = [np.array([*c, np.nextafter(c[-1], np.inf) if c else 0.0]) for c in cuts]
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, _ = decoded(batch.column(0).to_numpy(), sizes, 1)
+            x = np.stack([e[b] for e, b in zip(ends, bins)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(ends)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_cell", "x"])
+
+    cells = spark.range(math.prod(sizes)).repartition(spark.sparkContext.defaultParallelism).mapInArrow(spelled, "_cell long, x array<double>")
+    said = [forest.getRawPredictionCol(), forest.getProbabilityCol(), forest.getPredictionCol()]
+    asked = cells.select("_cell", array_to_vector("x").alias(forest.getFeaturesCol()))
+    answers = materialise(forest.transform(asked).select("_cell", *said), "answers")  # ``LOOKUP_CELLS`` rows
+
+    @F.pandas_udf("long")
+    def cell(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            code = np.zeros(len(columns[0]), np.int64)
+            for column, c in zip(columns, cuts):
+                x = column.to_numpy(float)
+                if np.isnan(x).any():
+                    raise ValueError("features hold missing values")
+                code = code * (len(c) + 1) + bins_of(x, c)
+            yield pd.Series(code)
+
+    shaped = model.stages[0].transform(df)
+    for stage in model.stages[1:-1]:
+        shaped = stage.transform(shaped)
+    return shaped.withColumn("_cell", cell(*names)).join(F.broadcast(answers), "_cell").drop("_cell")
+
+
 def score(df: DataFrame, model: PipelineModel, keep: Sequence[str] | None = None) -> DataFrame:
     """Apply a stored pipeline; absent features count as 0. Works on batches
     and on streams."""
     features = [c.removeprefix("x_") for c in model.stages[1].getInputCols()]
     names = list(keep or df.columns)
-    out = model.transform(with_missing_as_zero(df, features))
+    out = classified(with_missing_as_zero(df, features), model)
     extra = [c for c in ("prediction", "probability") if c in out.columns]
     return out.select(*names, *extra)
 

@@ -45,7 +45,7 @@ def train_health(
     parts = None
     for name, m in (("all", model), ("top", top_model)):
         for part, data in (("train", train), ("test", test)):
-            scored = m.transform(data)
+            scored = learn.classified(data, m)
             one = evaluate.classification_metrics(scored, "Health_State_Code", "prediction").withColumns(
                 {"features": F.lit(name), "part": F.lit(part), **{k: F.lit(v) for k, v in cuts.items()}})
             parts = one if parts is None else parts.unionByName(one)

@@ -428,3 +428,17 @@ def test_unknown_grid_parameters_are_not_folded(spark):
     grid = {"numTrees": [2], "maxDepth": [3], "minInfoGain": [0.5]}
     search, _ = learn.tune_forest(_distinct_rows(spark, 300), "y", "fold", grid, prepare=lambda rows: Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features")]).fit(rows), weighted=True, fold_rows=0)
     assert search.bestModel.stages[-1].totalNumNodes == 2
+
+
+def test_scores_looked_up_equal_scores_of_the_model(spark):
+    df, names = _folding_rows(spark, 800), ["a", "b", "c"]
+    for model in (learn.train_forest(df, names, "kind", 5, 4), learn.train_forest(df, names, "kind", 5, 4, fold_rows=0)):
+        far = df.unionByName(df.limit(9).withColumns({"id": F.col("id") + 10_000, "a": F.lit(1e9), "b": F.lit(None).cast("double")}))
+        got, want = (d.orderBy("id").select("id", "prediction", "probability", "rawPrediction").collect() for d in (learn.classified(far, model, 0), model.transform(far)))
+        assert got == want and len(got) == 809
+        assert "ArrowEvalPython" in learn.classified(far, model, 0)._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" not in learn.classified(far, model)._jdf.queryExecution().toString()
+    loose = learn.train_forest(df, names, "kind", 2, 2, bounds=None)
+    for least in (0, 1000):
+        with pytest.raises(Exception):
+            learn.classified(df.withColumn("a", F.lit(float("nan"))), loose, least).select("prediction").collect()
