@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, neighbours as nn
 from ..operators.quantiles import pick_rank
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from .registry import CELLS_SQL, cells_table, query, r6
 
 DIST = f"""{CELLS_SQL}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.c, b.c) AS d FROM cells a, cells b)"""
@@ -30,7 +30,8 @@ def c04(spark, sf):
 @query("e08_k_distance_pick", f"WITH {ELBOW} SELECT round(eps, 6) AS eps FROM eps")
 def e08(spark, sf):
     rows = cells_table(spark, sf)
-    curve = nn.kth_distances(rows, "vec_id", "cells", density.min_samples_for(rows.count()))
+    # Pinned, because picking a rank reads it several times.
+    curve = materialise(nn.kth_distances(rows, "vec_id", "cells", density.min_samples_for(rows.count())), "k_distances")
     eps = pick_rank(curve, "k_distance", 0.2)
     return spark.createDataFrame([(eps,)], "eps double").withColumn("eps", r6("eps"))
 

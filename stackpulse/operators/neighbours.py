@@ -10,7 +10,10 @@ gap between two boxes. Boxes, and spheres in the full space, prune on the way
 from a query block to its candidate blocks before any vectors move. Pairs of
 blocks that are left travel in groups, so that a block is sent once for each
 group it meets instead of once for each block. Each pair is measured as a whole
-and gives back reduced results only, never its point pairs.
+and gives back reduced results only, never its point pairs. In the search for
+the k nearest a task holds a group of query blocks and all that they meet
+streams past it, so it gives back k neighbours a point. Products in single
+precision tell which pairs of points are measured.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ PLAIN_WINDOW_ROWS = 1_000_000
 # Up to this many blocks are compared through one array.
 FEW_BLOCKS = 256
 _CHUNK = 4_000_000
+# Points that a query block meets at once.
+MET = 4096
+# Rounding of a square in single precision, for each dimension and its size.
+SINGLE = 2.4e-7
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,11 +113,23 @@ class Blocks:
     most: int  # about the number of blocks, at most
     axes: int
     slabs_together: int  # slabs of a group; 0 if a tile is one
+    slabs_asking: int  # slabs of a group that asks alone; 0 if a tile is one
+    leaves: int  # slabs, at most
 
     def group(self, block: Column) -> Column:
         tile = F.floor(block / _PART)
         return (F.floor(tile / _PART / self.slabs_together) if self.slabs_together else tile).cast("bigint")
 
+    def asking_group(self, block: Column) -> Column:
+        tile = F.floor(block / _PART)
+        return (F.floor(tile / _PART / self.slabs_asking) if self.slabs_asking else tile).cast("bigint")
+
+    def dealt(self, rows: DataFrame, group: str) -> DataFrame:
+        """One task for each group that asks, if groups are numbered in a row."""
+        if not self.slabs_asking:
+            return rows.repartition(group)
+        return rows.repartitionById(math.ceil(self.leaves / self.slabs_asking), F.col(group).cast("int"))
+
 
 def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | None = None) -> Blocks:
     """Pack a pinned table of folded points; ``k`` also bounds k-th distances."""
@@ -159,7 +178,9 @@ def build_blocks(points: DataFrame, block_points: int = BLOCK_POINTS, k: int | N
     most = max(GROUP_BLOCKS, GROUP_BYTES // (8 * max(1, dim) * block_points))
     size = min(most, max(1, int(blocks / math.sqrt(4 * points.sparkSession.sparkContext.defaultParallelism))))
     together = size * leaves // max(1, blocks)
-    return Blocks(payload, materialise(meta, "block_meta"), dim, blocks + 2 * leaves, n_axes, together)
+    # Four groups a core that ask, if they are not too large.
+    asking = min(most * leaves // max(1, blocks), max(1, leaves // (4 * points.sparkSession.sparkContext.defaultParallelism)))
+    return Blocks(payload, materialise(meta, "block_meta"), dim, blocks + 2 * leaves, n_axes, together, asking, leaves)
 
 
 @dataclass
@@ -353,6 +374,11 @@ def tile_spheres(blocks: Blocks) -> DataFrame:
     return _spheres(blocks.meta, ["slab", "tile"], blocks)
 
 
+def _dealt_out(small: DataFrame, *keys: str) -> DataFrame:
+    """A table of few bytes but much work over all cores."""
+    return small.repartition(small.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def tile_pairs(blocks: Blocks, tiles: DataFrame, radius: float | None = None) -> DataFrame:
     """Ordered pairs of tiles (q, c) in reach, with both sides' spheres.
 
@@ -363,7 +389,7 @@ def tile_pairs(blocks: Blocks, tiles: DataFrame, radius: float | None = None) ->
     asking = _side(tiles, "q", "tile", F.col("radius") if radius is None else F.lit(float(radius)))
     touched = F.filter("slabs", lambda b: (_gap(F.col("q_lo"), F.col("q_hi"), b["lo"], b["hi"]) <= F.col("wide"))
                        & (_apart(F.col("q_centre"), b["centre"]) - F.col("q_reach") - b["reach"] <= F.col("wide")))
-    step = asking.withColumn("slabs", slabs.scalar()).select(*asking.columns, F.explode(touched["slab"]).alias("slab"))
+    step = _dealt_out(asking, "q").withColumn("slabs", slabs.scalar()).select(*asking.columns, F.explode(touched["slab"]).alias("slab"))
     others = tiles.select("slab", F.col("tile").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ("lo", "hi", "centre", "reach")])
     return in_reach(step.join(others, "slab").drop("slab"))
 
@@ -392,7 +418,7 @@ def block_pairs(blocks: Blocks, tiles: DataFrame | None, radius: float | None =
     pairs = tiles.select(F.col("q").alias("q_tile"), F.col("c").alias("c_tile"))
     asking = asking.join(home.select(F.col("block").alias("q"), F.col("tile").alias("q_tile")), "q")
     others = _side(blocks.meta, "c", "block").join(home.select(F.col("block").alias("c"), F.col("tile").alias("c_tile")), "c")
-    return in_reach(pairs.join(asking, "q_tile").join(others, "c_tile").drop("q_tile", "c_tile"))
+    return in_reach(_dealt_out(pairs, "q_tile", "c_tile").join(asking, "q_tile").join(others, "c_tile").drop("q_tile", "c_tile"))
 
 
 def candidate_pairs(blocks: Blocks, radius: float | None = None) -> DataFrame:
@@ -450,56 +476,141 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block_points: int = BL
     return rows.join(packed, "point").select(key, F.explode("l").alias("l")).select(key, "l.*")
 
 
+class _Asking:
+    """The k nearest of each point of one query block in what it has met. Limits
+    shrink on the way, so few pairs of points are measured."""
+
+    def __init__(self, ids: np.ndarray, a: np.ndarray, limits: np.ndarray, k: int):
+        self.ids, self.a, self.limits, self.k = ids, a, np.array(limits, dtype=float), k
+        self.mid = a.mean(axis=0)
+        x = a - self.mid
+        self.size, self.single = np.einsum("nd,nd->n", x, x), x.astype(np.float32)
+        self.at, self.near, self.d, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def _squares(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squares less the size of the asking point, and how far off they may be."""
+        y = b - self.mid
+        bb = np.einsum("nd,nd->n", y, y)
+        most = bb.max(initial=0.0)
+        if not most + self.size.max(initial=0.0) < 1e30:
+            squares, slack = rough_squares(self.a, b)
+            return squares - self.size[:, None], np.full(len(self.a), slack)
+        squares = self.single @ y.astype(np.float32).T
+        squares *= -2
+        squares += bb.astype(np.float32)
+        return squares, SINGLE * (b.shape[1] + 8) * (self.size + most) + 1e-30
+
+    def meet(self, b: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
+        squares, slack = self._squares(b)
+        edge = self.limits ** 2 * (1 + 1e-9) + slack - self.size
+        if len(b) > self.k and not np.isfinite(self.limits).all():
+            edge = np.minimum(edge, np.partition(squares, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)
+        i, j = np.divmod(np.flatnonzero(squares <= edge.astype(squares.dtype)[:, None]), max(1, len(b)))
+        d = pair_distances(self.a, b, i, j)
+        inside = d <= self.limits[i]
+        i, j, d = i[inside], j[inside], d[inside]
+        if not len(i):
+            return
+        touched = np.zeros(len(self.a), bool)
+        touched[i] = True
+        old = touched[self.at]
+        at, near = np.concatenate([self.at[old], i]), np.concatenate([self.near[old], ids[j]])
+        d, weights = np.concatenate([self.d[old], d]), np.concatenate([self.weights[old], weights[j]])
+        order = np.lexsort((near, d, at))
+        order = order[np.arange(len(at)) - np.searchsorted(at[order], at[order]) < self.k]
+        at, near, d, weights = at[order], near[order], d[order], weights[order]
+        full = np.arange(len(at)) - np.searchsorted(at, at) == self.k - 1
+        self.limits[at[full]] = d[full]
+        for name, new in (("at", at), ("near", near), ("d", d), ("weights", weights)):
+            setattr(self, name, np.concatenate([getattr(self, name)[~old], new]))
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        """(points, neighbours, distances, weights), the nearest first."""
+        order = np.lexsort((self.near, self.d, self.at))
+        return self.ids[self.at[order]], self.near[order], self.d[order], self.weights[order]
+
+
 def _nearest_of(pairs: pd.DataFrame, dim: int, k: int) -> tuple[np.ndarray, ...]:
     """(points, neighbours, distances, weights): up to k nearest of each point of
-    one query block in the blocks that it meets here. What a block gives bounds
-    the search in the next ones, so few pairs of points are measured."""
+    one query block in the blocks of ``pairs``."""
     first = next(pairs.itertuples(index=False))
-    a, limits = np.asarray(first.q_flat, dtype=float).reshape(-1, dim), np.array(first.q_limits, dtype=float)
-    at, ids, d, weights = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    block = _Asking(np.asarray(first.q_ids), np.asarray(first.q_flat, dtype=float).reshape(-1, dim), first.q_limits, k)
     for r in pairs.itertuples(index=False):
-        b = np.asarray(r.c_flat, dtype=float).reshape(-1, dim)
-        squares, slack = rough_squares(a, b)
-        edge = limits ** 2 * (1 + 1e-9) + slack
-        if len(b) > k:
-            edge = np.minimum(edge, np.partition(squares, k - 1, axis=1)[:, k - 1] + 2 * slack)
-        i, j = np.nonzero(squares <= edge[:, None])
-        if not len(i):
-            continue
-        at, d = np.concatenate([at, i]), np.concatenate([d, pair_distances(a, b, i, j)])
-        ids, weights = np.concatenate([ids, np.asarray(r.c_ids)[j]]), np.concatenate([weights, np.asarray(r.c_weights)[j]])
-        order = np.lexsort((ids, d, at))
-        at, ids, d, weights = at[order], ids[order], d[order], weights[order]
-        turn = np.arange(len(at)) - np.searchsorted(at, at)
-        keep = (turn < k) & (d <= limits[at])
-        full = keep & (turn == k - 1)
-        limits[at[full]] = d[full]
-        at, ids, d, weights = at[keep], ids[keep], d[keep], weights[keep]
-    return np.asarray(first.q_ids)[at], ids, d, weights
+        block.meet(np.asarray(r.c_flat, dtype=float).reshape(-1, dim), np.asarray(r.c_ids), np.asarray(r.c_weights))
+    return block.found()
+
+
+def _streamed(dim: int, k: int):
+    """Nearest points from rows (g, kind, block, ids, weights, flat, limits, wants)
+    in order: the query blocks of a group (kind 0) with the blocks that they
+    want, then the blocks they meet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asking, wanted = None, [], {}
+        held: list[tuple] = []
+
+        def meet() -> None:
+            if held:
+                b, ids, weights = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+                for i in held[0][0]:
+                    asking[i].meet(b, ids, weights)
+                held.clear()
+
+        def result() -> pa.RecordBatch:
+            found = [np.concatenate(x) for x in zip(*[block.found() for block in asking])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["point", "neighbour_point", "distance", "weight"])
+
+        for batch in batches:
+            groups, kinds, numbers = (batch.column(c).to_pylist() for c in ("g", "kind", "block"))
+            for row, (g, kind, number) in enumerate(zip(groups, kinds, numbers)):
+                ids, weights, flat, limits, wants = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "weights", "flat", "limits", "wants"))
+                x = flat.reshape(-1, dim)
+                if g != group:
+                    meet()
+                    if asking:
+                        yield result()
+                    group, asking, wanted = g, [], {}
+                if kind == 0:
+                    for c in wants.tolist():
+                        wanted.setdefault(c, []).append(len(asking))
+                    asking.append(_Asking(ids.copy(), x.copy(), limits, k))
+                    continue
+                if held and (held[0][0] != wanted[number] or sum(len(h[1]) for h in held) + len(x) > MET):
+                    meet()
+                held.append((wanted[number], x, ids, weights))
+            meet()
+        if asking:
+            yield result()
+    return run
 
 
 def nearest_points(blocks: Blocks, k: int) -> DataFrame:
     """k nearest distinct points of every point:
     (point, neighbour_point, distance, weight of the neighbour).
 
-    ``blocks`` must have been built for this k.
+    ``blocks`` must have been built for this k. One task holds the blocks of a
+    group that asks, ``GROUP_BYTES`` of vectors or four groups a core, and reads
+    the blocks that they may reach, near ones first.
     """
-    dim = blocks.dim
-    pairs = candidate_pairs(blocks)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, pairs_of in pdf.groupby("q"):
-                best = _nearest_of(pairs_of, dim, k)
-                if len(best[0]):
-                    yield pd.DataFrame(dict(zip(("point", "neighbour_point", "distance", "weight"), best)))
-
-    found = measure_pairs(
-        blocks, pairs, blocks.payload.select("block", "ids", "flat").join(blocks.meta.select("block", "limits"), "block"),
-        blocks.payload.select("block", "ids", "weights", "flat"), measure,
-        "point long, neighbour_point long, distance double, weight long")
-    rank = F.row_number().over(Window.partitionBy("point").orderBy("distance", "neighbour_point"))
-    return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    pairs = candidate_pairs(blocks).select("q", "c", blocks.asking_group(F.col("q")).alias("g"), blocks.asking_group(F.col("c")).alias("of_c"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    payload = blocks.payload.select("block", "ids", "weights", F.col("flat").cast("array<double>").alias("flat"))
+    asking = pairs.groupBy("g", F.col("q").alias("block")).agg(F.collect_list("c").alias("wants")) \
+        .join(payload.join(blocks.meta.select("block", "limits"), "block"), "block").withColumn("kind", F.lit(0))
+    # A task may send its blocks to every group, so they are dealt out first.
+    spread = payload.repartition(4 * payload.sparkSession.sparkContext.defaultParallelism, "block")
+    met = pairs.select("g", F.col("c").alias("block"), F.when(F.col("g") == F.col("of_c"), 1).otherwise(2).alias("kind")).distinct() \
+        .join(spread, "block").withColumns({"wants": none("bigint"), "limits": none("double")})
+    columns = ["g", "kind", "block", "ids", "weights", "flat", "limits", "wants"]
+    rows = blocks.dealt(asking.select(*columns).unionByName(met.select(*columns)), "g").sortWithinPartitions("g", "kind", "block")
+    return rows.mapInArrow(_streamed(blocks.dim, k), "point long, neighbour_point long, distance double, weight long")
+
+
+def kth_of_points(blocks: Blocks, k: int) -> DataFrame:
+    """(point, k_distance) of every point that has k rows around it."""
+    near = nearest_points(blocks, k)
+    upto = Window.partitionBy("point").orderBy("distance", "neighbour_point").rowsBetween(Window.unboundedPreceding, 0)
+    reached = near.withColumn("_w", F.sum("weight").over(upto)).filter(F.col("_w") >= k)
+    return reached.groupBy("point").agg(F.min("distance").alias("k_distance"))
 
 
 def kth_distances(
@@ -507,11 +618,7 @@ def kth_distances(
 ) -> DataFrame:
     """Distance of every row to its k-th nearest row, itself counted."""
     found = points or point_set(df, key, vector, k, block_points)
-    near = nearest_points(found.blocks, k)
-    upto = Window.partitionBy("point").orderBy("distance", "neighbour_point").rowsBetween(Window.unboundedPreceding, 0)
-    reached = near.withColumn("_w", F.sum("weight").over(upto)).filter(F.col("_w") >= k)
-    kth = reached.groupBy("point").agg(F.min("distance").alias("k_distance"))
-    return map_to_points(df, found.points, key, vector).join(kth, "point", "left").drop("point")
+    return map_to_points(df, found.points, key, vector).join(kth_of_points(found.blocks, k), "point", "left").drop("point")
 
 
 def within_eps_counts(df: DataFrame, key: str, vector: str, eps: float, block_points: int = BLOCK_POINTS) -> DataFrame:

@@ -247,3 +247,26 @@ def test_neighbours_of_a_group_leave_together(spark):
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(6000, 4)))], "id long, x array<double>")
     blocks = nn.point_set(rows, "id", "x", None, 16).blocks
     assert blocks.meta.select(blocks.group(F.col("block")).alias("g")).distinct().count() <= 12
+
+
+def test_a_search_gives_back_k_rows_a_point(spark):
+    """Whatever number of groups a point meets, nothing is left to be merged; far
+    off, tiny and copied points come out as they are measured."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 3))
+    x[:300] = x[:300] * 1e-4 + 1e6
+    x[300:330] = x[300]
+    x[330:340] *= 1e100
+    k = 6
+    found = nn.point_set(make(spark, x), "id", "x", k, 24)
+    groups = found.blocks.meta.select(found.blocks.asking_group(F.col("block"))).distinct().count()
+    with np.errstate(over="ignore"):
+        got = nn.nearest_points(found.blocks, k).toPandas()
+    assert groups > 5 and (got.groupby("point").size() == k).all() and got["point"].nunique() == 1471
+    kept = np.r_[0:301, 340:1500]
+    at = rng.choice(len(kept), 60, replace=False)
+    d = nn.distances(x[kept][at], x[kept])
+    for i, row in zip(kept[at], d):
+        near = got[got["point"] == i].sort_values(["distance", "neighbour_point"])
+        order = np.lexsort((kept, row))[:k]
+        assert near["neighbour_point"].tolist() == kept[order].tolist() and (near["distance"].to_numpy() == row[order]).all()
