@@ -304,14 +304,27 @@ def _located(shared):
     return run
 
 
+def _sample(points: DataFrame, n: int, dim: int, wanted: int) -> np.ndarray:
+    """The vectors of the least hashes. Each partition would send its own best
+    ones to the driver, in all far more than are wanted, so hashes that are
+    surely too large go first."""
+    share = (wanted + 8 * math.sqrt(wanted) + 16) / n
+    mark = F.xxhash64("point")
+    some = points if share >= 1 else points.filter(mark < F.lit(int(-2.0 ** 63 + share * 2.0 ** 64)))
+    for rows in (some, points):
+        found = rows.orderBy(mark, "point").limit(wanted).select(F.col("vec").cast("array<double>").alias("vec")).toArrow()
+        if len(found) >= min(wanted, n):
+            break
+    return found.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def _place(points: DataFrame, n: int, dim: int, block_points: int, leaves: int, least: int) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if n <= block_points:
         return points.withColumns({
             "axes": F.slice("vec", 1, PIVOTS), "slab": zero, "tile": zero, "block": zero})
     sampled = min(SAMPLE, max(leaves, SENT // dim))
-    # The sort keeps the best rows of each partition only.
-    x = np.array([r["vec"] for r in points.orderBy(F.xxhash64("point"), "point").limit(sampled).select("vec").collect()], dtype=float)
+    x = _sample(points, n, dim, sampled)
     scale = len(x) / n
     tree = ball_tree(x, leaves, max(1, round(max(block_points / 3, least) * scale)))
     shared = points.sparkSession.sparkContext.broadcast((tree, far_points(x, PIVOTS)))  # ``LEAVES`` planes at most

@@ -270,3 +270,14 @@ def test_a_search_gives_back_k_rows_a_point(spark):
         near = got[got["point"] == i].sort_values(["distance", "neighbour_point"])
         order = np.lexsort((kept, row))[:k]
         assert near["neighbour_point"].tolist() == kept[order].tolist() and (near["distance"].to_numpy() == row[order]).all()
+
+
+def test_sample_is_that_of_all_points(spark):
+    """The driver gets few points more than it wants, and the same ones."""
+    points = spark.range(5000).select(F.col("id").alias("point"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    got = nn._sample(points, 5000, 2, 100)
+    want = [r["point"] for r in points.orderBy(F.xxhash64("point"), "point").limit(100).collect()]
+    assert got[:, 0].astype(int).tolist() == want
+    assert len(nn._sample(points.limit(50), 50, 2, 100)) == 50
+    far = points.filter(F.xxhash64("point") > 0)  # no hash is small
+    assert len(nn._sample(far, 5000, 2, 100)) == 100
