@@ -78,10 +78,28 @@ def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return out
 
 
+def single_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """As ``rough_squares``, from a product in single precision around the middle
+    of ``a``; not for numbers that it cannot hold."""
+    mid = a.mean(axis=0) if len(a) else 0.0
+    x, y = a - mid, b - mid
+    aa, bb = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", y, y)
+    size = aa.max(initial=0.0) + bb.max(initial=0.0)
+    if not size < 1e30:
+        return rough_squares(a, b)
+    squares = x.astype(np.float32) @ y.astype(np.float32).T
+    squares *= -2
+    squares += aa.astype(np.float32)[:, None]
+    squares += bb.astype(np.float32)
+    return squares, float(SINGLE * (a.shape[1] + 8) * size) + 1e-30
+
+
 def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """Which distances are at most ``eps``; close calls are measured."""
-    squares, slack = rough_squares(a, b)
-    slack += 1e-12 * eps * eps
+    squares, slack = single_squares(a, b)
+    if slack > 1e-2 * eps * eps:  # too coarse for so small a radius
+        squares, slack = rough_squares(a, b)
+    slack += 1e-6 * eps * eps if squares.dtype == np.float32 else 1e-12 * eps * eps
     out = squares <= eps * eps
     i, j = np.nonzero(np.abs(squares - eps * eps) <= slack)
     out[i, j] = pair_distances(a, b, i, j) <= eps

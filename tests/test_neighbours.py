@@ -272,6 +272,16 @@ def test_a_search_gives_back_k_rows_a_point(spark):
         assert near["neighbour_point"].tolist() == kept[order].tolist() and (near["distance"].to_numpy() == row[order]).all()
 
 
+def test_within_in_single_precision():
+    rng = np.random.default_rng(9)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e6), (1e-30, 0.0), (1e100, 0.0), (1e20, 0.0)):
+        a, b = (rng.normal(size=(n, 5)) * scale + shift for n in (70, 90))
+        b[:20] = a[:20]
+        d = nn.distances(a, b)
+        for eps in (*np.quantile(d, [0.1, 0.5]), float(d[3, 40]), 0.0):
+            assert (nn.within(a, b, eps) == (d <= eps)).all()
+
+
 def test_sample_is_that_of_all_points(spark):
     """The driver gets few points more than it wants, and the same ones."""
     points = spark.range(5000).select(F.col("id").alias("point"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
@@ -281,3 +291,13 @@ def test_sample_is_that_of_all_points(spark):
     assert len(nn._sample(points.limit(50), 50, 2, 100)) == 50
     far = points.filter(F.xxhash64("point") > 0)  # no hash is small
     assert len(nn._sample(far, 5000, 2, 100)) == 100
+
+
+def test_clusters_from_distances_of_the_curve(spark, few):
+    """The elbow's distances tell the cores; nothing is counted twice."""
+    rows = make(spark, cloud())
+    want_eps, k = density.elbow_eps(rows, "id", "x", None, 0.5, 12)
+    got, eps, min_samples = density.elbow_dbscan(rows, "id", "x", None, None, 0.5, 12)
+    assert (eps, min_samples) == (want_eps, k)
+    want = density.dbscan(rows, "id", "x", eps, k, 12)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("is_core").count() > 0
