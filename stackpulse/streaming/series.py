@@ -59,42 +59,61 @@ def stored_scorer(model, windows: DataFrame, p: float = 0.9) -> SeriesScorer:
 
 @dataclass
 class History:
-    """State of one series. ``held`` are rows from position ``taken - len(held)``
-    on, gaps open at their end; ``given`` rows have come out, ``kept`` of them
-    with all features."""
+    """State of one series. ``held`` are the columns of rows from position
+    ``taken - len(held)`` on, gaps open at their end; ``given`` rows have come
+    out, ``kept`` of them with all features. Columns are plain arrays, because
+    most pieces are small and a table costs more than what is done with it."""
 
     taken: int
     given: int
     kept: int
-    held: pd.DataFrame
+    held: dict[str, np.ndarray]
     tail: np.ndarray
     reference: np.ndarray
 
     @classmethod
-    def read(cls, state: GroupState, empty: pd.DataFrame) -> "History":
+    def read(cls, state: GroupState, empty: dict[str, np.ndarray]) -> "History":
         if not state.exists:
             none = np.zeros((0, len(ops.FEATURES)))
             return cls(0, 0, 0, empty, none, none)
         taken, given, kept, held, tail, reference = state.get
-        rows = pa.ipc.open_stream(held).read_all().to_pandas()
+        rows = {name: _plain(column) for name, column in zip(empty, pa.ipc.open_stream(held).read_all().select(list(empty)).columns)}
         tail, reference = (np.frombuffer(b, float).reshape(-1, len(ops.FEATURES)) for b in (tail, reference))
         return cls(taken, given, kept, rows, tail, reference)
 
     def write(self, state: GroupState) -> None:
-        table = pa.Table.from_pandas(self.held, preserve_index=False)
+        table = pa.table({c: pa.array(v, from_pandas=v.dtype == object) for c, v in self.held.items()})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         state.update((self.taken, self.given, self.kept, sink.getvalue().to_pybytes(), self.tail.tobytes(), self.reference.tobytes()))
 
 
-def not_after(rows: pd.DataFrame, held: pd.DataFrame, order: Sequence[str]) -> np.ndarray:
+def _plain(column: pa.ChunkedArray) -> np.ndarray:
+    kind = column.type
+    if pa.types.is_timestamp(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        return column.to_numpy()
+    return column.to_pandas().to_numpy()
+
+
+def in_order(rows: dict[str, np.ndarray], order: Sequence[str]) -> np.ndarray:
+    """Places of the rows sorted, equal ones as they came, missing values last."""
+    values = [rows[c] for c in order]
+    if any(v.dtype == object for v in values):
+        return pd.DataFrame({c: rows[c] for c in order}).sort_values(list(order), kind="stable").index.to_numpy()
+    return np.lexsort(values[::-1])
+
+
+def not_after(rows: dict[str, np.ndarray], held: dict[str, np.ndarray], order: Sequence[str]) -> np.ndarray:
     """Rows whose order is not behind that of the last of ``held``."""
-    before, equal = np.zeros(len(rows), bool), np.ones(len(rows), bool)
+    n = len(rows[order[0]])
+    before, equal = np.zeros(n, bool), np.ones(n, bool)
     for c in order:
-        last = held[c].iloc[-1]
-        before |= equal & (rows[c] < last).to_numpy()
-        equal &= (rows[c] == last).to_numpy()
+        value, last = rows[c], held[c][-1]
+        if value.dtype == object or held[c].dtype == object:
+            value = pd.Series(value)
+        before |= equal & np.asarray(value < last)
+        equal &= np.asarray(value == last)
     return before | equal
 
 
@@ -136,9 +155,9 @@ def features_of(filled: dict[str, np.ndarray], start: int, low: int, high: int,
     }
 
 
-def scaled_features(rows: pd.DataFrame, scale: dict[str, tuple[float, float]]) -> np.ndarray:
+def scaled_features(rows: dict[str, np.ndarray], scale: dict[str, tuple[float, float]]) -> np.ndarray:
     """Features as the detectors see them: not finite ones as zero, then scaled."""
-    x = rows[ops.FEATURES].to_numpy(float)
+    x = np.stack([rows[c] for c in ops.FEATURES], axis=1)
     x = np.where(np.isfinite(x), x, 0.0)
     for j, c in enumerate(ops.FEATURES):
         if c in scale:
@@ -197,55 +216,61 @@ def stream_series(
         raise ValueError("fit a threshold first")
 
     def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(pieces), ignore_index=True)
-        ends = new[CLOSED].fillna(False).astype(bool).to_numpy()
+        came = list(pieces)
+        table = came[0] if len(came) == 1 else pd.concat(came, ignore_index=True)
+        ends = table[CLOSED].to_numpy()
+        if ends.dtype == object:
+            ends = table[CLOSED].fillna(False).astype(bool).to_numpy()
         closed = bool(ends.any())
-        new = new.loc[~ends, [*order, *VALUES]].sort_values(list(order), kind="stable", ignore_index=True)
-        history = History.read(state, new.iloc[:0])
+        new = {c: table[c].to_numpy() for c in (*order, *VALUES)}
+        if closed:
+            new = {c: v[~ends] for c, v in new.items()}
+        at = in_order(new, order)
+        new = {c: v[at] for c, v in new.items()}
+        history = History.read(state, {c: v[:0] for c, v in new.items()})
 
-        def shaped(out: pd.DataFrame) -> pd.DataFrame:
-            for name, value in zip(series, key):
-                out[name] = pd.Series([value] * len(out), index=out.index, dtype=object if value is None else None)
-            return out.reindex(columns=schema.names)
+        def keyed(n: int) -> dict[str, pd.Series]:
+            return {name: pd.Series([value] * n, dtype=object if value is None else None) for name, value in zip(series, key)}
 
-        if len(history.held):
+        if len(history.held[VALUES[0]]):
             late = not_after(new, history.held, order)
             if late.any():
-                gone = new.loc[late, list(order)].assign(late=True)
-                yield shaped(gone.assign(**{c: pd.array([None] * len(gone), dtype="Int64") for c in numbers}))
-                new = new.loc[~late]
-        held = pd.concat([history.held, new], ignore_index=True) if len(history.held) else new
-        start = history.taken - len(history.held)
-        history.taken += len(new)
-        filled, final = {}, len(held)
+                gone = pd.DataFrame({**keyed(int(late.sum())), **{c: new[c][late] for c in order}}).assign(late=True)
+                gone = gone.assign(**{c: pd.array([None] * len(gone), dtype="Int64") for c in numbers})
+                yield gone.reindex(columns=schema.names)
+                new = {c: v[~late] for c, v in new.items()}
+            held = {c: np.concatenate([v, new[c]]) for c, v in history.held.items()}
+        else:
+            held = new
+        start = history.taken - len(history.held[VALUES[0]])
+        history.taken += len(new[VALUES[0]])
+        filled, final = {}, len(held[VALUES[0]])
         for c in VALUES:
-            filled[c], upto = fill_known(held[c].to_numpy(float), closed)
+            filled[c], upto = fill_known(np.asarray(held[c], float), closed)
             final = min(final, upto)
         end = start + final
         high = end if closed else max(history.given, end - reach)
         if high > history.given:
             total = end if closed else OPEN_END
             columns = features_of({c: v[:final] for c, v in filled.items()}, start, history.given, high, total, size)
-            out = held.loc[history.given - start:high - start - 1, list(order)].reset_index(drop=True)
-            out = out.assign(late=False, source_row=np.arange(history.given, high), **columns)
-            out = out.dropna(subset=["current", *ops.FEATURES]).reset_index(drop=True)
-            out[ROW] = history.kept + np.arange(len(out))
-            if axes is not None and len(out):
+            whole = ~np.isnan(np.stack([columns[c] for c in ("current", *ops.FEATURES)])).any(axis=0)
+            out = {**{c: held[c][history.given - start:high - start][whole] for c in order}, **{c: v[whole] for c, v in columns.items()}}
+            n = int(whole.sum())
+            out |= {"late": np.zeros(n, bool), "source_row": np.arange(history.given, high)[whole], ROW: history.kept + np.arange(n)}
+            if axes is not None and n:
                 x = scaled_features(out, scale)
                 out["recon_error"], out["dtw_distance"] = score_windows(history, x, length, axes)
                 out["iso_anomaly"] = forest_scores(x, trees, psi) > iso_cut
-            history.kept += len(out)
+            history.kept += n
             history.given = high
-            if len(out):
-                yield shaped(out)
+            if n:
+                yield pd.DataFrame({**keyed(n), **out}, columns=schema.names)
         if closed:
             if state.exists:
                 state.remove()
         else:
             # Filled values of a closed gap are kept, so that its far end may go.
-            for c in VALUES:
-                held[c] = filled[c]
-            history.held = held.iloc[max(history.given - reach, start) - start:]
+            history.held = {c: filled.get(c, v)[max(history.given - reach, start) - start:] for c, v in held.items()}
             history.write(state)
 
     table = rows.select(*series, *order, *[F.col(c).cast("double").alias(c) for c in VALUES], CLOSED)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,41 @@ def test_fill_known(closed):
     assert np.array_equal(got, [nan, 1, 2, 3, 4, 4 if closed else nan], equal_nan=True)
     got, final = streamed.fill_known(np.full(3, nan), closed)
     assert final == 3 and np.isnan(got).all()
+
+
+def test_rows_are_ordered_and_late_as_pandas_has_it():
+    """Arrays give the order and the late rows that pandas gives, gaps included."""
+    rng = np.random.default_rng(4)
+    n = 60
+    base = pd.DataFrame({"ts": pd.to_datetime(rng.integers(0, 6, n), unit="s"), "event_id": rng.integers(0, 4, n), "at": np.arange(n)})
+    gaps = base.assign(ts=base["ts"].where(base["event_id"] > 0), event_id=base["event_id"].where(base["at"] % 5 > 0))
+    words = base.assign(event_id=base["event_id"].map("abcd".__getitem__).astype(object))
+    for rows in (base, gaps, words):
+        want = rows.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+        plain = {c: rows[c].to_numpy() for c in rows}
+        assert streamed.in_order(plain, ["ts", "event_id"]).tolist() == want["at"].tolist()
+        held = want.dropna().iloc[:20]
+        ts, event = held["ts"].iloc[-1], held["event_id"].iloc[-1]
+        late = (rows["ts"] < ts) | (rows["ts"] == ts) & ((rows["event_id"] < event) | (rows["event_id"] == event))
+        assert (streamed.not_after(plain, {c: held[c].to_numpy() for c in held}, ["ts", "event_id"]) == late.to_numpy()).all()
+
+
+class _State:
+    """A state as a call sees it."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_history_comes_back_as_it_was():
+    held = {"ts": np.array(["2024-01-01T00:00:01.5", "NaT"], "datetime64[us]"), "n": np.array([1, 2]), "gap": np.array([1.5, np.nan]), "word": np.array(["a", None], object)}
+    none, state = np.zeros((0, len(ops.FEATURES))), _State()
+    streamed.History(7, 5, 4, held, none + 1, none).write(state)
+    back = streamed.History.read(state, {c: v[:0] for c, v in held.items()})
+    assert (back.taken, back.given, back.kept) == (7, 5, 4) and list(back.held) == list(held)
+    for c, v in held.items():
+        assert back.held[c].dtype.kind == v.dtype.kind
+        pd.testing.assert_series_equal(pd.Series(back.held[c]), pd.Series(v), check_dtype=False)
+    assert list(streamed.History.read(_State(), {"ts": held["ts"][:0]}).held) == ["ts"]
